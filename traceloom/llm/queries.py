@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import fusion, splitting
+from traceloom.llm import codedoc, email, fusion, splitting
 from traceloom.plans.tables import table
 
 SCORES = ["vector_score", "bm25_score", "combined_score"]
@@ -24,6 +24,21 @@ def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
     return fused.select("req_id", "chunk_id", *[f"rank_{s}" for s in SCORES], "rrf", "position")
 
 
+def _p3(spark: SparkSession, d: str, only_new: bool = True) -> DataFrame:
+    mails = table(spark, d, "raw_chunks").filter(F.col("source_type") == "EMAIL")
+    return email.new_lines(mails, "chunk_uid", only_new=only_new)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p3(spark, d).select("chunk_uid", "line_no").distinct()
+
+
+def p3_label_report(spark: SparkSession, d: str) -> DataFrame:
+    """How many lines of each label the mails hold."""
+    lines = _p3(spark, d, only_new=False).select("chunk_uid", "line_no", "label").distinct()
+    return lines.groupBy("label").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 def _p4(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "raw_chunks"), "chunk_uid")
 
@@ -36,6 +51,19 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _p4(spark, d).dropDuplicates(["chunk_uid", "piece_no"])
 
 
+def _p5(spark: SparkSession, d: str) -> DataFrame:
+    elements = table(spark, d, "python_elements").filter(F.col("element_type").isin("function", "class", "plain_text"))
+    return codedoc.extract_pairs(elements, "element_row")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p5(spark, d).select("element_row", "function_name").distinct()
+
+
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _p5(spark, d).dropDuplicates(["element_row", "function_name", "line_start"])
+
+
 _P1_SQL = """
 WITH m AS (SELECT req_id, chunk_id,
     max(CASE WHEN NOT isnan(vector_score) AND vector_score <> 0 THEN vector_score END) AS v,
@@ -52,7 +80,16 @@ t AS (SELECT *, round(1.0::DOUBLE / (60 + rank_vector_score) + 1.0::DOUBLE / (60
 o AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY rrf DESC, chunk_id) AS position FROM t)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p4_found": p4_found, "p4_pieces": p4_pieces}
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_ranking": p1_ranking,
+    "p3_found": p3_found,
+    "p3_label_report": p3_label_report,
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_pairs": p5_pairs,
+}
 SQL = {
     "p1_found": _P1_SQL + "SELECT req_id, chunk_id FROM o WHERE position = 1",
     "p1_ranking": _P1_SQL + "SELECT * FROM o",
