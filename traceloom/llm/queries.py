@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import codedoc, email, fusion, splitting
+from traceloom.llm import codedoc, email, fusion, mixing, packing, splitting, tokens
+from traceloom.plans.lineage import checkpoint
 from traceloom.plans.tables import table
 
 SCORES = ["vector_score", "bm25_score", "combined_score"]
@@ -64,6 +65,28 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _p5(spark, d).dropDuplicates(["element_row", "function_name", "line_start"])
 
 
+def _capacities(spark: SparkSession, d: str) -> dict[str, int]:
+    rows = table(spark, d, "pack_capacities").filter("container_kind is not null and capacity_tokens > 0").distinct().collect()
+    return {r["container_kind"]: r["capacity_tokens"] for r in rows}  # settings, a row per kind
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    sizes = checkpoint(tokens.count_tokens(table(spark, d, "documents"), ["doc_id"], "text"))
+    return packing.pack(sizes, _capacities(spark, d))
+
+
+def p8_fill_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, d), _capacities(spark, d))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_share_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_report(p9_mixture(spark, d), table(spark, d, "mix_targets"))
+
+
 _P1_SQL = """
 WITH m AS (SELECT req_id, chunk_id,
     max(CASE WHEN NOT isnan(vector_score) AND vector_score <> 0 THEN vector_score END) AS v,
@@ -89,6 +112,10 @@ QUERIES = {
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_pairs": p5_pairs,
+    "p8_containers": p8_containers,
+    "p8_fill_report": p8_fill_report,
+    "p9_mixture": p9_mixture,
+    "p9_share_report": p9_share_report,
 }
 SQL = {
     "p1_found": _P1_SQL + "SELECT req_id, chunk_id FROM o WHERE position = 1",
