@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import codedoc, email, fusion, mixing, packing, splitting, tokens
+from traceloom.llm import abuse, codedoc, email, fusion, mixing, packing, splitting, tokens
 from traceloom.plans.lineage import checkpoint
 from traceloom.plans.tables import table
 
@@ -87,6 +87,24 @@ def p9_share_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(p9_mixture(spark, d), table(spark, d, "mix_targets"))
 
 
+def _p10(spark: SparkSession, d: str, *also: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = abuse.fit_on_labels(docs, table(spark, d, "abuse_labels"))
+    return abuse.score_documents(docs, model, also=also)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p10(spark, d).filter("found").select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _p10(spark, d).dropDuplicates(["doc_id"])
+
+
+def p10_rate_report(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rate_report(_p10(spark, d, "source").dropDuplicates(["doc_id"]))
+
+
 _P1_SQL = """
 WITH m AS (SELECT req_id, chunk_id,
     max(CASE WHEN NOT isnan(vector_score) AND vector_score <> 0 THEN vector_score END) AS v,
@@ -116,6 +134,9 @@ QUERIES = {
     "p8_fill_report": p8_fill_report,
     "p9_mixture": p9_mixture,
     "p9_share_report": p9_share_report,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rate_report": p10_rate_report,
 }
 SQL = {
     "p1_found": _P1_SQL + "SELECT req_id, chunk_id FROM o WHERE position = 1",
