@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from traceloom.plans import general
+from traceloom.plans import general, reference
 
-QUERIES = {**general.QUERIES}
-SQL = {**general.SQL}
+QUERIES = {**reference.QUERIES, **general.QUERIES}
+SQL = {**reference.SQL, **general.SQL}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return general.p7_report(spark, folder)
+    """The traceability matrix: every requirement with its best correlation, evidence and documents."""
+    return reference.m04_matrix(spark, folder)
