@@ -145,31 +145,33 @@ def instant_micros(df: DataFrame, default_zone: Column, month_first: Column, pre
     return F.when(text.rlike(EPOCH), whole.try_cast("bigint") * scale + rest).otherwise(F.unix_micros(made))
 
 
-def source_conventions(df: DataFrame, source: str, near: str | None, prefix: str = "_ts") -> DataFrame:
-    """One row per source: whether its slashed dates put the month first.
+def source_conventions(df: DataFrame, text: str, source: str, near: str | None) -> DataFrame:
+    """(source, month_first): whether the slashed dates of a source put the month first.
 
     All lines of a source keep one order.  Evidence is weighed in this order: lines of
     which only one order exists; the order that lies nearer to the time of delivery
     (``near``); the order that gives the shorter total span; a 12-hour clock.  Partial
     aggregates do all of it, so a source of any size shuffles as one row per task.
     """
-    rec = F.col(f"{prefix}_rec")
+    slashed = next(f for f in FORMS if f.name == "slashed")
+    at = F.datediff(F.to_date(F.col(near)), F.lit("1970-01-01").cast("date")) if near else F.lit(None).cast("int")
+    rows = df.select(F.col(source).alias("source"), clean(F.col(text)).alias("t"), at.alias("at")).filter(F.col("t").rlike(slashed.pattern) & F.col("source").isNotNull())
+    rows = rows.select("source", "at", F.split(F.regexp_replace("t", slashed.pattern, slashed.record), r"\|").alias("rec"))
+    rec = F.col("rec")
     a, b, y = rec[2].try_cast("int"), rec[3].try_cast("int"), _year(rec[1])
-    day = lambda m, d: F.datediff(F.to_date(F.try_make_timestamp(y, m, d, F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)"), F.lit("UTC"))), F.lit("1970-01-01").cast("date"))
-    rows = df.filter(rec[0] == "any").select(
-        F.col(source).alias(source), day(b, a).alias("dmy"), day(a, b).alias("mdy"), (F.length(rec[8]) > 0).alias("twelve"),
-        (F.datediff(F.to_date(F.col(near)), F.lit("1970-01-01").cast("date")) if near else F.lit(None).cast("int")).alias("at"),
-    )
+    zero = F.lit(0)
+    day = lambda m, d: F.datediff(F.to_date(F.try_make_timestamp(y, m, d, zero, zero, zero.cast("decimal(8,6)"), F.lit("UTC"))), F.lit("1970-01-01").cast("date"))
+    rows = rows.select("source", "at", day(b, a).alias("dmy"), day(a, b).alias("mdy"), (F.length(rec[8]) > 0).alias("twelve"))
     dmy, mdy, at = F.col("dmy"), F.col("mdy"), F.col("at")
     off_d, off_m = F.abs(at - dmy), F.abs(at - mdy)
-    votes = rows.groupBy(source).agg(
+    votes = rows.groupBy("source").agg(
         (F.count_if(dmy.isNull() & mdy.isNotNull()) - F.count_if(mdy.isNull() & dmy.isNotNull())).alias("only"),
         (F.count_if(off_m < off_d) - F.count_if(off_d < off_m)).alias("near"),
         ((F.max(dmy) - F.min(dmy)) - (F.max(mdy) - F.min(mdy))).alias("span"),
         F.bool_or("twelve").alias("twelve"),
     )
     sign = F.when(F.col("only") != 0, F.col("only")).when(F.col("near") != 0, F.col("near")).when(F.col("span") != 0, F.col("span"))
-    return votes.select(source, F.coalesce(sign > 0, F.col("twelve"), F.lit(False)).alias("month_first"))
+    return votes.select("source", F.coalesce(sign > 0, F.col("twelve"), F.lit(False)).alias("month_first"))
 
 
 def normalise(df: DataFrame, text: str, source: str, zones: DataFrame, near: str | None = None, out: str = "utc_micros", gap_policy: str = "shift") -> DataFrame:
@@ -180,14 +182,16 @@ def normalise(df: DataFrame, text: str, source: str, zones: DataFrame, near: str
     The look-up has one row per source and joins by that key; which join is used is left to the
     optimiser, which knows the side's size (adaptive execution splits a hot source).
     """
-    parsed = fields(df, text)
-    orders = source_conventions(parsed, source, near).withColumnRenamed(source, "_ts_source")
-    zone = zones.filter(F.col("filename").isNotNull()).groupBy(F.col("filename").alias("_ts_source")).agg(F.min("zone_name").alias("_ts_zone"))
-    look_up = zone.join(orders, "_ts_source", "full_outer").select("_ts_source", "_ts_zone", F.col("month_first").alias("_ts_month_first"))
-    joined = parsed.join(look_up, F.col(source) == F.col("_ts_source"), "left")
-    made = instant_micros(joined, F.col("_ts_zone"), F.col("_ts_month_first"), gap_policy=gap_policy)
-    helpers = ["_ts_text", "_ts_rec", "_ts_source", "_ts_zone", "_ts_month_first"]
-    return joined.withColumn(out, made).drop(*helpers)
+    p = "_ts"
+    while any(c.lower().startswith(p) for c in df.columns):
+        p += "_"
+    parsed = fields(df, text, p)
+    orders = source_conventions(df, text, source, near)
+    zone = zones.filter(F.col("filename").isNotNull()).groupBy(F.col("filename").alias("source")).agg(F.min("zone_name").alias("zone"))
+    look_up = zone.join(orders, "source", "full_outer").select(F.col("source").alias(f"{p}_source"), F.col("zone").alias(f"{p}_zone"), F.col("month_first").alias(f"{p}_month_first"))
+    joined = parsed.join(look_up, F.col(source) == F.col(f"{p}_source"), "left")
+    made = instant_micros(joined, F.col(f"{p}_zone"), F.col(f"{p}_month_first"), p, gap_policy)
+    return joined.withColumn(out, made).drop(*[f"{p}_{c}" for c in ("text", "rec", "source", "zone", "month_first")])
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

@@ -29,7 +29,7 @@ def parent_intervals(parents: DataFrame, deletions: DataFrame) -> DataFrame:
     A row is void if its entity was deleted after it was created; the last deletion per entity decides that.
     """
     last = deletions.select(id_key(F.col("entity_id")).alias("_entity"), "deleted_at").filter("_entity is not null").groupBy("_entity").agg(F.max("deleted_at").alias("_deleted"))
-    rows = parents.withColumn("_entity", id_key(F.col("entity"))).join(last, "_entity", "left")
+    rows = parents.select("kind", "key", "created_at", id_key(F.col("entity")).alias("_entity")).join(last, "_entity", "left")
     valid = ~F.coalesce(F.col("_deleted") > F.col("created_at"), F.lit(False))
     start = F.coalesce(F.unix_micros("created_at"), F.lit(-(2**62)))
     return rows.groupBy("kind", "key").agg(F.min(F.when(valid, start)).alias("valid_from"))
@@ -37,7 +37,7 @@ def parent_intervals(parents: DataFrame, deletions: DataFrame) -> DataFrame:
 
 def orphan_references(references: DataFrame, parents: DataFrame, deletions: DataFrame) -> DataFrame:
     """``references``: ref_table, ref_field, ref_seq, kind, target, created_at.  Returns the faulty ones with a reason."""
-    refs = references.withColumn("key", id_key(F.col("target"))).filter(F.col("key").isNotNull() & ~F.col("key").isin(*PLACEHOLDERS)).drop("target")
+    refs = references.select("ref_table", "ref_field", "ref_seq", "kind", "created_at", id_key(F.col("target")).alias("key")).filter(F.col("key").isNotNull() & ~F.col("key").isin(*PLACEHOLDERS))
     intervals = parent_intervals(parents, deletions)
     found = refs.join(intervals.withColumn("_found", F.lit(True)).hint("merge"), ["kind", "key"], "left")
     reason = (
