@@ -51,14 +51,17 @@ class Function:
     line_end: int
 
 
-def _masked(source: str) -> tuple[str, list[tuple[int, int, str]]]:
-    """The source with strings and comments blanked (line feeds kept), and the strings' spans with their prefixes."""
-    out, strings, last = [], [], 0
+Strings = dict[int, tuple[int, str]]
+
+
+def _masked(source: str) -> tuple[str, Strings]:
+    """The source with strings and comments blanked (line feeds kept), and each string's end and prefix by its start."""
+    out, strings, last = [], {}, 0
     for m in _TOKEN.finditer(source):
         out.append(source[last : m.start()])
         text = m.group()
         if m.group("string") is not None:
-            strings.append((m.start(), m.end(), m.group("prefix") or ""))
+            strings[m.start()] = (m.end(), m.group("prefix") or "")
             out.append(re.sub(r"[^\n]", "\x01", text))
         else:
             out.append(re.sub(r"[^\n]", " ", text))
@@ -103,7 +106,7 @@ def _signature_end(mask: str, at: int) -> int:
     return -1
 
 
-def _docstring(source: str, mask: str, strings: list[tuple[int, int, str]], begin: int, end: int, indent: int, name_width: int) -> str | None:
+def _docstring(source: str, mask: str, strings: Strings, begin: int, end: int, indent: int) -> str | None:
     """The literal that is the first statement after a signature; None if the first statement is something else."""
     m = re.compile(r"[\s\\]*").match(mask, begin)
     at = m.end()
@@ -114,16 +117,16 @@ def _docstring(source: str, mask: str, strings: list[tuple[int, int, str]], begi
         return None
     parts, here = [], at
     while True:
-        hit = next(((s, e, p) for s, e, p in strings if s == here), None)
+        hit = strings.get(here)
         if hit is None:
             break
-        if set(hit[2].lower()) & set("bft"):
+        if set(hit[1].lower()) & set("bft"):
             return None
-        parts.append(_literal(source[hit[0] : hit[1]]))
-        here = hit[1]
+        parts.append(_literal(source[here : hit[0]]))
+        here = hit[0]
         gap = re.compile(r"(?:[ \t\f]|\\\n)*").match(mask, here)
         here = gap.end()
-        if not any(s == here for s, _, _ in strings):
+        if here not in strings:
             break
     if not parts or here < len(mask) and mask[here] not in "\n;":
         return None
@@ -152,8 +155,8 @@ def functions(source: str) -> list[Function]:
         if not text:
             continue
         within = depth > 0 or previous_open or starts[i] < skip_to
-        begins_inside_string = line[:1] == "\x01" and any(s < starts[i] < e for s, e, _ in strings) if line[:1] == "\x01" else False
-        if not within and not begins_inside_string:
+        inside_string = line[:1] == "\x01" and starts[i] not in strings
+        if not within and not inside_string:
             indent = _width(line[: len(line) - len(line.lstrip(" \t\f"))])
             while stack and indent <= stack[-1][0]:
                 close(stack.pop(), last_code)
@@ -184,7 +187,7 @@ def functions(source: str) -> list[Function]:
     for f in made:
         doc = None
         if f["colon"] > 0:
-            doc = _docstring(source, mask, strings, f["colon"], starts[f["end"] + 1], f["indent"], 0)
+            doc = _docstring(source, mask, strings, f["colon"], starts[f["end"] + 1], f["indent"])
         if not (doc or "").strip():
             doc = _comment_above(lines, masks, f["start"], f["indent"])
         first = _first_decorator(lines, masks, f["start"], f["indent"])

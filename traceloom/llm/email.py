@@ -219,8 +219,7 @@ def _signatures(lines: list[str], blank: list[bool], labels: list[str | None], b
         rule = bool(_RULE.match(line))
         named = _names_sender(line, names)
         if closing or rule or named:
-            ahead = [k for k in range(j + 1, n) if not blank[k]]
-            nxt = ahead[0] if ahead else None
+            nxt = next((k for k in range(j + 1, n) if not blank[k]), None)
             if named and not _tail(lines, blank, labels, j, names):
                 j += 1
                 continue

@@ -12,8 +12,8 @@ text between passes and no lineage grows; texts of equal membership move togethe
 are fitted as one class.
 
 Defined results: equal texts are one text, their uses count together and the smallest id stands for
-them; source names match but for letter case and outer white space, others (and null) are predicted; null, blank and
-token-free texts are not drawn; a source without texts stays at zero; a source too small for
+them; source names match but for letter case and outer white space; texts without a source (null, blank) are predicted,
+those of a source without target are not drawn, nor are null, blank and token-free texts; a source without texts stays at zero; a source too small for
 its share is used as often as allowed and the report shows what it reached; an empty table gives an empty mixture.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions.keys import id_key
-from traceloom.llm.tokens import VOCABULARY, encoding
+from traceloom.llm.tokens import VOCABULARY, n_tokens
 from traceloom.plans.lineage import checkpoint
 
 FEATURES, LABELLED_PER_SOURCE, MAX_PASSES, TOLERANCE, PART_ROWS = 4096, 1000, 25, 1e-5, 100_000
@@ -85,11 +85,10 @@ def measured(docs: DataFrame, names: list[str], key: str, text: str, per_source:
     column = {s: i for i, s in enumerate(names)}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
         for batch in batches:
             lengths, members = [], []
             for label, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                lengths.append(len(encode(t)) if t.strip() else 0)
+                lengths.append(n_tokens(t, path) if t.strip() else 0)
                 p = np.zeros(len(names))
                 if label in column:
                     p[column[label]] = 1.0
@@ -146,7 +145,8 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
     settings = {r["name"]: r for r in targets.select(id_key(F.col("source_name")).alias("name"), "target_share", "max_repeats").filter("name is not null").distinct().collect()}
     names = sorted(settings)
     label = id_key(F.col(source))
-    stored = checkpoint(measured(docs.withColumn("_label", F.when(label.isin(names), label)), names, key, text, per_source, path).filter("n_tokens > 0"))
+    wanted = docs.withColumn("_label", label).filter(F.col("_label").isNull() | F.col("_label").isin(names))
+    stored = checkpoint(measured(wanted, names, key, text, per_source, path).filter("n_tokens > 0"))
     members = F.array(*[F.round(F.avg(F.col("membership")[i]), 2) for i in range(len(names))])
     texts = stored.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), members.alias("membership"))
     caps = F.array(*[F.lit(int(settings[s]["max_repeats"] or 0)) for s in names])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +26,17 @@ def encoding(path: str = VOCABULARY):
     return tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+_LONG_GAP = re.compile(r"(\s{10000})")
+
+
+def n_tokens(text: str, path: str = VOCABULARY) -> int:
+    """The tokens of a whole text.  White space is encoded 10,000 characters at a time, as the word pattern's engine has no stack for more."""
+    encode = encoding(path).encode_ordinary
+    if len(text) > 10_000 and _LONG_GAP.search(text):
+        return sum(len(encode(part)) for part in _LONG_GAP.split(text) if part)
+    return len(encode(text))
+
+
 def count_tokens(df: DataFrame, columns: list[Column | str], text: str, path: str = VOCABULARY) -> DataFrame:
     """``columns`` and ``n_tokens`` (0 for an empty text, NULL for a null one); whole texts, one narrow stage."""
     rows = df.select(*columns, text)
@@ -32,9 +44,8 @@ def count_tokens(df: DataFrame, columns: list[Column | str], text: str, path: st
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
         for batch in batches:
-            lengths = [None if t is None else len(encode(t)) for t in batch.column(len(names)).to_pylist()]
+            lengths = [None if t is None else n_tokens(t, path) for t in batch.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lengths, pa.int64())], [*names, "n_tokens"])
 
     return rows.mapInArrow(count, f"{schema}, n_tokens bigint")
