@@ -93,20 +93,35 @@ def term_statistics(counted: DataFrame, epsilon: float = SETTINGS.bm25_epsilon)
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("_mean")).otherwise(F.col("raw")).alias("idf"))  # one row
 
 
+PAIRS = 4_000_000  # pairs of a posting and a query that are expanded at a time
+
+
 def _bm25(k1: float, b: float, average: float):
     def score(q: pd.DataFrame, r: pd.DataFrame) -> np.ndarray:
         wanted: dict[str, list[tuple[int, float]]] = {}
         for i, (terms, weights) in enumerate(zip(q["terms"], q["weights"])):
             for t, w in zip(terms, weights):
                 wanted.setdefault(t, []).append((i, w))
-        columns = {t: (np.array([i for i, _ in v]), np.array([w for _, w in v])) for t, v in wanted.items()}
-        out = np.zeros((len(q), len(r)))
-        for j, (terms, counts, length) in enumerate(zip(r["terms"], r["counts"], r["length"])):
-            base = k1 * (1 - b + b * length / average) if average else k1
-            for t, n in zip(terms, counts):
-                hit = columns.get(t)
-                if hit is not None:
-                    out[hit[0], j] += hit[1] * (n * (k1 + 1) / (n + base))
+        code = {t: n for n, t in enumerate(wanted)}
+        start = np.concatenate([[0], np.cumsum([len(v) for v in wanted.values()])]).astype(np.int64)
+        asking = np.array([i for v in wanted.values() for i, _ in v], np.int64)
+        weight = np.array([w for v in wanted.values() for _, w in v])
+        length = r["terms"].map(len).to_numpy()
+        term = np.fromiter((code.get(t, -1) for terms in r["terms"] for t in terms), np.int64, int(length.sum()))
+        row = np.repeat(np.arange(len(r)), length)
+        count = np.concatenate([np.asarray(c, np.float64) for c in r["counts"]]) if len(term) else np.zeros(0)
+        base = k1 * (1 - b + b * r["length"].to_numpy() / average) if average else np.full(len(r), k1)
+        kept = term >= 0
+        term, row, count = term[kept], row[kept], count[kept]
+        part = count * (k1 + 1) / (count + base[row])
+        many = start[term + 1] - start[term]
+        out = np.zeros(len(q) * len(r))
+        edges = np.searchsorted(np.cumsum(many), np.arange(0, many.sum() + PAIRS, PAIRS), side="left")
+        for lo, hi in zip(edges, np.append(edges[1:], len(term))):
+            n = many[lo:hi]
+            at = np.repeat(start[term[lo:hi]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            out += np.bincount(asking[at] * len(r) + np.repeat(row[lo:hi], n), weight[at] * np.repeat(part[lo:hi], n), len(out))
+        out = out.reshape(len(q), len(r))
         return np.where(out > 0, out, np.nan)
 
     return score
