@@ -24,7 +24,7 @@ COMMIT_MARK = "<<<COMMIT_START>>>"
 
 
 def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """filename, content, length, modified; sub-folders included."""
+    """filename, content, length, modified; sub-folders included.  Spark's file reader itself passes over files without a byte."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), "content", "length", F.col("modificationTime").alias("modified"))
