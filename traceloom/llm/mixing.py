@@ -32,7 +32,7 @@ from traceloom.functions.keys import id_key
 from traceloom.llm.tokens import VOCABULARY, n_tokens
 from traceloom.plans.lineage import checkpoint
 
-FEATURES, LABELLED_PER_SOURCE, MAX_PASSES, TOLERANCE, PART_ROWS = 4096, 1000, 25, 1e-5, 100_000
+FEATURES, LABELLED_PER_SOURCE, MAX_PASSES, TOLERANCE, PART_ROWS = 4096, 1000, 25, 3e-4, 100_000
 _WORD = re.compile(r"\w+|[^\w\s]")
 
 
@@ -116,7 +116,8 @@ def _rate(gradients: list[list[float]], member: str = "membership", cap: str = "
 def fit_rates(classes: DataFrame, targets: list[float], passes: int = MAX_PASSES, tolerance: float = TOLERANCE) -> list[list[float]]:
     """The gradient steps that bring the expected totals to ``targets``; ``classes``: membership, cap, tokens.
 
-    One aggregation to a row per pass; the step of a source is scaled by its tokens.
+    One aggregation to a row per pass; the step of a source is scaled by its tokens.  The passes end when one
+    brings the distance from the targets down by less than ``tolerance`` of all tokens.
     """
     n = len(targets)
     total = lambda weight: [F.coalesce(F.sum(F.col("membership")[i] * weight), F.lit(0.0)).alias(f"s{i}") for i in range(n)]
@@ -128,8 +129,8 @@ def fit_rates(classes: DataFrame, targets: list[float], passes: int = MAX_PASSES
     for _ in range(passes):
         row = classes.agg(*total(F.col("tokens") * _rate(gradients))).first()
         off = np.array([row[i] for i in range(n)], float) - goal
-        error = float((off**2).sum())
-        if before - error <= tolerance * max(goal.sum(), 1.0) ** 2 * 1e-3:
+        error = float(np.sqrt((off**2).sum()))
+        if before - error <= tolerance * max(goal.sum(), 1.0):
             break
         before = error
         gradients.append((off / scale).tolist())

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-GROUPS, LARGE_SHARE, PART_ROWS = 48, 1 / 6, 100_000
+GROUPS, LARGE_SHARE, PART_ROWS = 128, 1 / 6, 100_000
 
 Interval = tuple[int, int, int, int]  # length, first rank, first container, items of this length per container
 
