@@ -93,16 +93,18 @@ def test_fences_hide_blank_lines(spark):
 
 def test_trailing_context(spark):
     df = spark.createDataFrame([("d", i, f"m{i}") for i in range(4)] + [("e", 0, "x")], "k string, o int, t string")
-    got = {(r.k, r.o): r.context for r in C.trailing_context(df, "k", "o", "t").collect()}
-    assert got == {("d", 0): None, ("d", 1): "m0", ("d", 2): "m0\n---\nm1", ("d", 3): "m1\n---\nm2", ("e", 0): None}
+    for width in (1, 2, 3, 100_000):
+        got = {(r.k, r.o): r.context for r in C.trailing_context(df, "k", "o", "t", width=width).collect()}
+        assert got == {("d", 0): None, ("d", 1): "m0", ("d", 2): "m0\n---\nm1", ("d", 3): "m1\n---\nm2", ("e", 0): None}
 
 
 def test_chat_windows_split_only_above_the_gap_and_by_readable_times(spark):
     minute = 60_000_000
     rows = [("d", i, us, "t", "s", f"m{i}") for i, us in enumerate([0, 30 * minute, None, 61 * minute, 50 * minute, 200 * minute])]
     df = spark.createDataFrame(rows, "k string, o int, us long, timestamp string, sender string, message_text string")
-    windows = C.chat_windows(df, "k", "o", "us")
-    assert [r.window_no for r in windows.orderBy("o").collect()] == [0, 0, 0, 1, 1, 2]
+    for width in (1, 2, 4, 100_000):
+        windows = C.chat_windows(df, "k", "o", "us", width=width)
+        assert [r.window_no for r in windows.orderBy("o").collect()] == [0, 0, 0, 1, 1, 2], width
     text = C.chat_chunks(windows, "k", "o").orderBy("window_no").first()
     assert text.text == "[t] s: m0\n[t] s: m1\n[t] s: m2" and text.message_count == 3 and text.participants == ["s"]
 

@@ -101,42 +101,71 @@ def chunk_elements(elements: DataFrame, key: str, order: str, overlap: bool = Tr
     return out.select(key, "chunk_index", F.col("_c.text").alias("chunk_text"), F.col("_c.piece.locator").alias("source_locator"), F.col("_c.piece.metadata").alias("metadata"), F.length("_c.text").alias("char_count"))
 
 
-def trailing_context(messages: DataFrame, key: str, order: str, text: str, n: int = SETTINGS.overlap_messages) -> DataFrame:
+SLICE = 100_000  # a document's rows are handled in slices of this many order numbers, whatever its length
+
+
+def trailing_context(messages: DataFrame, key: str, order: str, text: str, n: int = SETTINGS.overlap_messages, width: int = SLICE) -> DataFrame:
     """Adds ``context``: up to ``n`` texts before this one in its document, oldest first (NULL for the first).
 
-    ``lag`` keeps the window's state at ``n`` rows however long a document is.
+    ``order`` is an integer.  A document is read in slices: within one, ``lag`` finds what comes before; the last ``n`` texts of each
+    slice are carried to the next ones, so a document with any share of the rows is many tasks.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    before = F.concat_ws("\n---\n", *[F.lag(text, i).over(w) for i in range(n, 0, -1)])
-    return messages.withColumn("context", F.when(F.row_number().over(w) > 1, before))
+    part = [key, "_slice"]
+    rows = messages.withColumn("_slice", F.floor(F.col(order) / width))
+    inside, back = Window.partitionBy(*part).orderBy(order), Window.partitionBy(*part).orderBy(F.desc(order))
+    last = rows.select(*part, order, F.col(text).alias("_t")).withColumn("_r", F.row_number().over(back)).filter(F.col("_r") <= n)
+    tails = last.groupBy(*part).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_r")).alias("r"), "_t"))), lambda x: x["_t"]).alias("_tail"))  # n texts
+    slices = Window.partitionBy(key).orderBy("_slice")
+    empty = F.array().cast("array<string>")
+    carried = F.concat(*[F.coalesce(F.lag("_tail", i).over(slices), empty) for i in range(n, 0, -1)])
+    carry = tails.withColumn("_c", carried).select(*part, F.when(F.size("_c") > n, F.slice("_c", -n, n)).otherwise(F.col("_c")).alias("_carry"))
+    here = rows.withColumn("_own", F.array_compact(F.array(*[F.lag(text, i).over(inside) for i in range(n, 0, -1)])))
+    both = F.concat(F.coalesce("_carry", empty), F.col("_own"))
+    last_n = F.when(F.size("_b") > n, F.slice("_b", -n, n)).otherwise(F.col("_b"))
+    joined = here.join(carry, part, "left").withColumn("_b", both)
+    return joined.withColumn("context", F.when(F.size("_b") > 0, F.array_join(last_n, "\n---\n"))).drop("_slice", "_own", "_carry", "_b")
 
 
 def with_context(text: Column, context: Column) -> Column:
     return F.when(context.isNull(), text).otherwise(F.concat(F.lit("[Previous context:]\n"), context, F.lit("\n[End context]\n\n"), text))
 
 
-def chat_windows(messages: DataFrame, key: str, order: str, micros: str, gap_minutes: int = SETTINGS.chat_gap_minutes) -> DataFrame:
+def chat_windows(messages: DataFrame, key: str, order: str, micros: str, gap_minutes: int = SETTINGS.chat_gap_minutes, width: int = SLICE) -> DataFrame:
     """Adds ``window_no``: a new window begins where the clock jumped more than the gap since the last readable time.
 
-    The order of the file counts, not the clock; a message without readable time never begins a window.
+    The order of the file counts (``order``, an integer), not the clock; a message without readable time never begins a window.
+    Two levels: jumps are counted within slices of a document, and each slice's first jump and running number follow
+    from one summary row per slice, so a document with any share of the rows is many tasks.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    last = F.last(micros, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    jump = F.coalesce(F.col(micros) - last > gap_minutes * 60_000_000, F.lit(False))
-    return messages.withColumn("window_no", F.sum(jump.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-
-def chat_chunks(messages: DataFrame, key: str, order: str, size: int = SETTINGS.max_chunk_chars) -> DataFrame:
+    gap, part = gap_minutes * 60_000_000, [key, "_slice"]
+    rows = messages.withColumn("_slice", F.floor(F.col(order) / width))
+    inside = Window.partitionBy(*part).orderBy(order)
+    before = F.last(micros, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_before", before).withColumn("_jump", F.coalesce(F.col(micros) - F.col("_before") > gap, F.lit(False)).cast("int"))
+    timed = F.when(F.col(micros).isNotNull(), F.struct(order, F.col(micros).alias("t")))
+    sums = rows.groupBy(*part).agg(F.sum("_jump").alias("_jumps"), F.min(timed)["t"].alias("_first"), F.max(timed)["t"].alias("_last"), F.min(timed)[order].alias("_at"))
+    slices = Window.partitionBy(key).orderBy("_slice")
+    earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
+    opens = F.coalesce(F.col("_first") - F.last("_last", ignorenulls=True).over(earlier) > gap, F.lit(False)).cast("int")
+    sums = sums.withColumn("_opens", opens)
+    sums = sums.withColumn("_base", F.coalesce(F.sum(F.col("_jumps") + F.col("_opens")).over(earlier), F.lit(0)))
+    joined = rows.join(sums.select(*part, "_opens", "_base", "_at"), part)
+    number = F.col("_base") + F.sum("_jump").over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.when(F.col(order) >= F.col("_at"), F.col("_opens")).otherwise(0)
+    return joined.withColumn("window_no", number).drop("_before", "_jump", "_opens", "_base", "_at", "_slice")
+
+
+def chat_chunks(messages: DataFrame, key: str, order: str, width: int = SLICE) -> DataFrame:
     """Windows as texts of lines ``[time] sender: text`` with their participants; input as from ``chat_windows``.
 
-    A window is bounded by its gap; long ones are split by the size limits afterwards.
+    A window that never pauses is cut where ``order`` passes a multiple of ``width``, so a row's text stays bounded.
     """
     line = F.format_string("[%s] %s: %s", F.coalesce("timestamp", F.lit("")), F.coalesce("sender", F.lit("Unknown")), F.coalesce("message_text", F.lit("")))
     item = F.struct(F.col(order).alias("o"), line.alias("l"), F.col("timestamp").alias("t"))
-    per = messages.groupBy(key, "window_no").agg(F.array_sort(F.collect_list(item)).alias("_m"), F.array_sort(F.collect_set("sender")).alias("participants"))
+    parts = messages.withColumn("part_no", F.floor(F.col(order) / width))
+    per = parts.groupBy(key, "window_no", "part_no").agg(F.array_sort(F.collect_list(item)).alias("_m"), F.array_sort(F.collect_set("sender")).alias("participants"))
     text = F.array_join(F.transform("_m", lambda m: m["l"]), "\n")
     locator = F.concat_ws(" to ", F.element_at("_m", 1)["t"], F.element_at("_m", -1)["t"])
-    return per.select(key, "window_no", text.alias("text"), locator.alias("locator"), "participants", F.size("_m").alias("message_count"))
+    return per.select(key, "window_no", "part_no", text.alias("text"), locator.alias("locator"), "participants", F.size("_m").alias("message_count"))
 
 
 def commit_chunks(commits: DataFrame, files: int = 20) -> DataFrame:
