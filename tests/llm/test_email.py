@@ -59,3 +59,8 @@ def test_no_header_and_table(spark):
 
 def test_long_texts_are_quick():
     label_lines(HEAD + "--\n" * 20_000 + "> q\n" * 20_000 + "Thanks\ntext\n" * 20_000)
+
+
+def test_signs_that_are_no_quotes():
+    body = "It takes long.\n> 56 minutes of waiting is too much.\n\n>>> load(3) then prints None.\nWhy?\n\nOn Mon, 1 Jan 2024, Bo wrote:\n> 5 days are fine.\n\n> Old.\n> 7 hours more."
+    assert new(body) == ["It takes long.", "> 56 minutes of waiting is too much.", ">>> load(3) then prints None.", "Why?"]

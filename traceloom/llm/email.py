@@ -20,6 +20,13 @@ from pyspark.sql import functions as F
 HEADER = re.compile(r"^From:\s*(?P<sender>.*?)\s*\|\s*Date:.*?\|\s*Subject:")
 _QUOTE = re.compile(r"^\s*(?:>|»|\||›|&gt;)")
 
+# Signs that look like a quote mark: "more than" before a number with its unit, and the prompt of a Python shell.
+_NO_QUOTE = re.compile(
+    r"^\s*>\s?[~≈]?\d[\d.,]*\s*(?:%|(?:percent|seconds?|minutes?|hours?|days?|weeks?|months?|years?|ms|[kmg]b|rows?|users?|times|points?|prozent|sekunden?|minuten?|stunden?|tagen?|wochen?|monaten?|pour cent|secondes?|heures?|jours?|semaines?|mois|por ciento|segundos?|minutos?|horas?|días?|semanas?|meses)\b)"
+    r"|^\s*>>>\s+(?:[\w.]+\(|import\s|from\s|[\w.]+\s*=|print\b|for\s|with\s|assert\s)",
+    re.I,
+)
+
 # The line rules, by language where they differ.
 _BANNER = re.compile(r"^\W*(?:\[?(?:external|extern|externe|externo)\]?\b.*|(?:caution|warning|achtung|vorsicht|attention|avertissement|atención|advertencia|precaución)\b\s*:.*(?:mail|sender|absender|adresse|domain|expéditeur|exp|remitente|extern|outside|link|correo|courriel|message).*)$", re.I)
 _BANNER_MORE = re.compile(r"\b(?:extern\w*|outside|unknown sender|sender domain|do not open|öffnen sie|n'ouvrez|no abra|links?)\b", re.I)
@@ -106,6 +113,7 @@ def label_lines(text: str) -> list[tuple[int, str]]:
         if not blank[j] and _QUOTE.match(lines[j]):
             labels[j] = "quote"
     _attributions(lines, blank, labels, body)
+    _no_quotes(lines, blank, labels, body)
     _broken_quotes(lines, blank, labels, body)
     _forwards(lines, blank, labels, body)
     _banners(lines, blank, labels, body)
@@ -137,6 +145,25 @@ def _attributions(lines: list[str], blank: list[bool], labels: list[str | None],
                 break
 
 
+def _no_quotes(lines: list[str], blank: list[bool], labels: list[str | None], body: int) -> None:
+    """Lines that begin with a sign like a quote mark, stand apart from quoted lines and are not introduced as a quote."""
+    j, before = body, None
+    while j < len(lines):
+        if labels[j] != "quote":
+            before = before if blank[j] else labels[j]
+            j += 1
+            continue
+        end = j
+        while end < len(lines) and labels[end] == "quote":
+            end += 1
+        if before != "attribution" and all(_NO_QUOTE.match(x) for x in lines[j:end]):
+            labels[j:end] = [None] * (end - j)
+            before = None
+        else:
+            before = "quote"
+        j = end
+
+
 def _broken_quotes(lines: list[str], blank: list[bool], labels: list[str | None], body: int) -> None:
     """The rest of a quoted line that a mail program wrapped without repeating the prefix."""
     for j in range(body + 1, len(lines)):
