@@ -24,8 +24,8 @@ def block_top_k(queries: DataFrame, rows: DataFrame, scorer: Scorer, k: int, que
 
     Order: score rounded to ``digits`` descending, then row_id.
     """
-    n_q = max(1, -(-queries.count() // query_block))
-    n_r = max(1, -(-rows.count() // row_block))
+    n_q = max(1, -(-queries.select("query_id").count() // query_block))
+    n_r = max(1, -(-rows.select("row_id").count() // row_block))
     left = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn("_r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_r - 1).cast("bigint"))))
     right = rows.withColumn("_r", F.pmod(F.xxhash64("row_id"), F.lit(n_r))).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_q - 1).cast("bigint"))))
     q_type, r_type = queries.schema["query_id"].dataType.simpleString(), rows.schema["row_id"].dataType.simpleString()

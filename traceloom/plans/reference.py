@@ -10,6 +10,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from traceloom.config import SOURCE_TYPES
 from traceloom.functions import text as T
 from traceloom.functions.providers import embedding
 from traceloom.functions.timestamps import normalise
@@ -51,6 +52,16 @@ def s05_first_copies(spark: SparkSession, d: str) -> DataFrame:
     return files.first_copies(docs, table(spark, d, "ingestion_log"), order="doc_id").select("doc_id", "file_hash")
 
 
+@query("SELECT filename, file_size, CASE WHEN file_size = 0 THEN 'empty file' WHEN file_size > 52428800 THEN 'file too large' END AS error_message FROM ingestion_log")
+def s03_size_gate(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "ingestion_log").select("filename", "file_size", files.validation_error(F.col("file_size")).alias("error_message"))
+
+
+@query(r"SELECT filename, regexp_extract(lower(filename), '\.([^./]+)$', 1) AS extension FROM ingestion_log")
+def s06_extension(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "ingestion_log").select("filename", files.extension(F.col("filename")).alias("extension"))
+
+
 _TYPE = """CASE WHEN ext IN ('pdf') THEN 'PDF' WHEN ext IN ('docx', 'doc') THEN 'DOCX' WHEN ext IN ('eml', 'mbox') THEN 'EMAIL'
   WHEN ext IN ('md', 'markdown', 'mdx') THEN 'MARKDOWN' WHEN ext IN ('py', 'pyw') THEN 'PYTHON'"""
 _LOOKS = r"""
@@ -115,6 +126,13 @@ def s18_git_commits(spark: SparkSession, d: str) -> DataFrame:
     return parsers.parse_git_log(rows.withColumn("log", entry), "commit_row", "log")
 
 
+@query("SELECT CASE WHEN source_type IN ('PDF', 'DOCX', 'EMAIL', 'WHATSAPP', 'GIT', 'MARKDOWN', 'PYTHON') THEN source_type ELSE 'MARKDOWN' END AS source_type, count(*) AS n FROM (SELECT DISTINCT chunk_uid, source_type FROM raw_chunks) GROUP BY 1")
+def s20_known_types(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks by type; a type outside the domain counts as Markdown."""
+    kind = F.when(F.col("source_type").isin(*SOURCE_TYPES), F.col("source_type")).otherwise("MARKDOWN")
+    return table(spark, d, "raw_chunks").select("chunk_uid", "source_type").distinct().groupBy(kind.alias("source_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT DISTINCT seq, entity_type, entity_id, source_document, created_at FROM evidence WHERE entity_type = 'REQUIREMENT'")
 def s21_scan_by_type(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "evidence").filter("entity_type = 'REQUIREMENT'").select("seq", "entity_type", "entity_id", "source_document", "created_at").distinct().orderBy(F.desc("created_at"))
@@ -246,6 +264,16 @@ def c13_event_sessions(spark: SparkSession, d: str) -> DataFrame:
     return sessionise(events, ["user_id"], "us", "event_id").select("user_id", "first_id", "last_id", "duration_seconds", "n_events")
 
 
+@query("""
+WITH c AS (SELECT DISTINCT ON (commit_row) *, list_slice(coalesce(changed_files, []), 1, 20) AS f FROM git_commits),
+t AS (SELECT commit_row, 'Commit: ' || coalesce(commit_sha, '') || chr(10) || 'Author: ' || coalesce(author, '') || chr(10) || 'Date: ' || coalesce(date, '') || chr(10) || chr(10) || coalesce(message, '')
+  || CASE WHEN len(f) > 0 THEN chr(10) || chr(10) || 'Changed files:' || chr(10) || array_to_string(list_transform(f, lambda x: '- ' || x), chr(10)) ELSE '' END AS text, 'commit ' || substring(commit_sha, 1, 8) || ' (' || coalesce(date, '') || ')' AS locator FROM c)
+SELECT commit_row, sha256(text) AS text_hash, locator, length(text) AS char_count FROM t""")
+def c16_commit_texts(spark: SparkSession, d: str) -> DataFrame:
+    commits = table(spark, d, "git_commits").dropDuplicates(["commit_row"])
+    return chunking.commit_chunks(commits).select("commit_row", F.sha2("text", 256).alias("text_hash"), "locator", F.length("text").alias("char_count"))
+
+
 @query()
 def c16_commit_chunks(spark: SparkSession, d: str) -> DataFrame:
     commits = table(spark, d, "git_commits").dropDuplicates(["commit_row"])
@@ -487,6 +515,12 @@ def l05_decide(spark: SparkSession, d: str) -> DataFrame:
     return correlate.decide(table(spark, d, "evidence"), table(spark, d, "candidates"))
 
 
+@query(f"WITH {_RULES} SELECT rule_name, count(*) AS n, round(sum(best), 4) AS total_score FROM k GROUP BY 1")
+def l11_rule_counts(spark: SparkSession, d: str) -> DataFrame:
+    decided = correlate.decide(table(spark, d, "evidence"), table(spark, d, "candidates"))
+    return decided.groupBy("rule_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("best_score"), 4).alias("total_score"))
+
+
 @query(f"""
 WITH ev AS (SELECT DISTINCT seq, entity_type, entity_id, text, linked_requirement FROM evidence),
 q AS (SELECT seq, entity_id, {_WORDS.format('text')} AS a FROM ev WHERE entity_type = 'EVALUATION' AND (linked_requirement IS NULL OR trim(linked_requirement) = '')),
@@ -577,6 +611,19 @@ def m13_latest(spark: SparkSession, d: str) -> DataFrame:
     return matrix.latest(table(spark, d, "correlation")).select("seq", "correlation_id", "requirement_entity_id", "status").distinct()
 
 
+@query(f"WITH {_MATRIX} SELECT m.requirement_id, m.seq, m.status, m.confidence, coalesce(len(b.supporting_chunk_ids), 0) AS evidence_count FROM m LEFT JOIN b ON b.requirement_entity_id = m.requirement_id")
+def m02_load_latest(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix from stored correlations alone."""
+    return matrix.build(table(spark, d, "evidence"), table(spark, d, "correlation")).select("requirement_id", "seq", "status", "confidence", "evidence_count")
+
+
+@query("SELECT requirement_entity_id, arg_max(correlation_id, (created_at, seq)) AS correlation_id, max(created_at) AS created_at FROM correlation WHERE requirement_entity_id IS NOT NULL GROUP BY 1")
+def m14_latest_one(spark: SparkSession, d: str) -> DataFrame:
+    last = F.max(F.struct("created_at", "seq", "correlation_id"))
+    rows = table(spark, d, "correlation").filter("requirement_entity_id is not null").groupBy("requirement_entity_id").agg(last.alias("_l"))
+    return rows.select("requirement_entity_id", "_l.correlation_id", "_l.created_at")
+
+
 # ---- graph -----------------------------------------------------------------------------------------------
 
 _EDGES = """
@@ -606,6 +653,27 @@ def g02_source_types(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "evidence").filter("source_document is not null").select("source_document", graph.source_type_of(F.col("source_document")).alias("source_type")).distinct()
 
 
+@query("SELECT regexp_matches(evidence_entity_id, '^[0-9a-f]{64}$') AS is_chunk, count(*) AS n FROM (SELECT DISTINCT seq, evidence_entity_id FROM correlation WHERE evidence_entity_id IS NOT NULL) GROUP BY 1")
+def g01_chunk_ids(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "correlation").filter("evidence_entity_id is not null").select("seq", "evidence_entity_id").distinct()
+    return rows.groupBy(graph.is_chunk_id(F.col("evidence_entity_id")).alias("is_chunk")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT DISTINCT entity_id AS src, source_document AS dst FROM evidence WHERE entity_id IS NOT NULL AND source_document IS NOT NULL")
+def g05_extracted_from(spark: SparkSession, d: str) -> DataFrame:
+    return graph.extracted_from(table(spark, d, "evidence")).select("src", "dst")
+
+
+@query("SELECT DISTINCT entity_id AS src, linked_requirement AS dst FROM evidence WHERE entity_type = 'IMPLEMENTATION' AND linked_requirement IN (SELECT entity_id FROM evidence WHERE entity_type = 'REQUIREMENT')")
+def g07_explicit_links(spark: SparkSession, d: str) -> DataFrame:
+    return graph.links(table(spark, d, "evidence"), "IMPLEMENTATION", "EXPLICITLY_LINKS").select("src", "dst")
+
+
+@query("SELECT DISTINCT entity_id AS src, linked_requirement AS dst FROM evidence WHERE entity_type = 'EVALUATION' AND linked_requirement IN (SELECT entity_id FROM evidence WHERE entity_type = 'REQUIREMENT')")
+def g08_evaluates(spark: SparkSession, d: str) -> DataFrame:
+    return graph.links(table(spark, d, "evidence"), "EVALUATION", "EVALUATES").select("src", "dst")
+
+
 @query(f"WITH {_EDGES} SELECT label, key, source_document FROM nodes")
 def g03_nodes(spark: SparkSession, d: str) -> DataFrame:
     return _graph(spark, d)[0].select("label", "key", "source_document")
@@ -657,6 +725,11 @@ def g15_document_coverage(spark: SparkSession, d: str) -> DataFrame:
     return graph.document_coverage(edge, node)
 
 
+@query(f"WITH {_EDGES} SELECT rel_type, src, dst, correlation_id FROM edges WHERE rel_type <> 'EXTRACTED_FROM'")
+def g16_graph_without_documents(spark: SparkSession, d: str) -> DataFrame:
+    return graph.full_graph(*_graph(spark, d), documents=False)[1]
+
+
 @query(f"WITH {_EDGES} SELECT 'node' AS kind, label AS name, count(*) AS n FROM nodes GROUP BY 1, 2 UNION ALL SELECT 'edge', rel_type, count(*) FROM edges GROUP BY 1, 2")
 def g17_statistics(spark: SparkSession, d: str) -> DataFrame:
     return graph.statistics(*_graph(spark, d))
