@@ -274,9 +274,8 @@ def fit_models(ids: np.ndarray, segment: np.ndarray, toxic: np.ndarray, size: in
     shared /= shared.sum()
     uni, back1, bi, back2, tri = [], [], [], [], []
     for keys3, n3, keys2, n2, n1 in parts:
-        total = max(n1.sum(), 1.0)
-        uni.append((np.maximum(n1 - DISCOUNT, 0) + DISCOUNT * max((n1 > 0).sum(), 1) * shared) / (np.maximum(n1 - DISCOUNT, 0).sum() + DISCOUNT * max((n1 > 0).sum(), 1)))
-        del total
+        kept, spare = np.maximum(n1 - DISCOUNT, 0), DISCOUNT * max((n1 > 0).sum(), 1)
+        uni.append((kept + spare * shared) / (kept.sum() + spare))
         opener = keys2 // size
         sums, kinds = _grouped(opener, n2, size), _grouped(opener, np.ones(len(keys2)), size)
         back1.append(np.where(sums > 0, DISCOUNT * kinds / np.maximum(sums, 1), 1.0))

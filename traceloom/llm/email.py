@@ -222,11 +222,10 @@ def _notes(lines: list[str], blank: list[bool], labels: list[str | None], body:
     for j in range(body, n):
         if blank[j] or labels[j]:
             continue
+        opens = j == body or blank[j - 1] or labels[j - 1] is not None or bool(_RULE.match(lines[j - 1]))
         if _DEVICE.match(lines[j]):
             labels[j] = "device"
-        elif _LEGAL.search(" ".join(x.strip() for x in lines[j : j + 2] if x.strip())) and (j == body or blank[j - 1] or labels[j - 1] not in (None,) or _RULE.match(lines[j - 1]) or _LEGAL.match(lines[j])):
-            if not _LEGAL.match(lines[j]) and not _LEGAL.match(" ".join(x.strip() for x in lines[j : j + 2])):
-                continue
+        elif _LEGAL.match(lines[j]) or opens and _LEGAL.match(" ".join(x.strip() for x in lines[j : j + 2])):
             k = j
             while k < n and not blank[k] and labels[k] is None:
                 labels[k] = "legal"
