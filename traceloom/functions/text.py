@@ -95,6 +95,11 @@ def scores(text: Column) -> Column:
     return F.transform(F.zip_with(first, second, lambda a, b: F.when(a != "", a).otherwise(b)), lambda x: x.cast("double"))
 
 
+def round4(value: Column) -> Column:
+    """Four decimal places; what lies within 1e-9 below a half rounds up, so that the order of additions does not show."""
+    return F.round(value + 1e-9, 4)
+
+
 def is_positive(text: Column) -> Column:
     return contains_any(text, POSITIVE) | F.coalesce(F.exists(scores(text), lambda s: s >= SETTINGS.negative_score_below), F.lit(False))
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.config import SETTINGS
-from traceloom.functions.text import is_claim, is_negative, is_positive, word_set
+from traceloom.functions.text import is_claim, is_negative, is_positive, round4, word_set
 from traceloom.operators.blocks import block_top_k
 
 # How far a method and a status are believed.
@@ -117,7 +117,7 @@ def confidence(best: Column, method: Column, n: Column, n_sources: Column, statu
     e = F.when(n == 0, 0.0).when(n == 1, 0.5).otherwise(F.least(F.lit(1.0), F.log(n + 1) / F.log(F.lit(6.0))))
     d = F.least(F.lit(1.0), n_sources / 3.0)
     raw = wr * r + wm * F.coalesce(F.try_element_at(table(METHOD_WEIGHT), method), F.lit(0.5)) + we * e + wd * d
-    return F.round(F.least(raw * F.coalesce(F.try_element_at(table(STATUS_FACTOR), status), F.lit(0.8)), F.lit(1.0)), 4)
+    return round4(F.least(raw * F.coalesce(F.try_element_at(table(STATUS_FACTOR), status), F.lit(0.8)), F.lit(1.0)))
 
 
 def chunk_documents(evidence: DataFrame) -> DataFrame:

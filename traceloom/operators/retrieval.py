@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.config import SETTINGS
-from traceloom.functions.text import tokens
+from traceloom.functions.text import round4, tokens
 from traceloom.operators.blocks import block_top_k
 
 PRESETS = {"implementation": ("PYTHON", "GIT"), "evaluation": ("PDF", "DOCX"), "discussion": ("WHATSAPP", "EMAIL")}
@@ -193,7 +193,7 @@ def combined_score(vector: Column, bm25: Column, id_match: Column) -> Column:
     v, has_v = F.coalesce(vector, F.lit(0.0)), F.coalesce(vector > 0, F.lit(False))
     base = F.when(has_v & bm25.isNotNull(), SETTINGS.vector_weight * v + SETTINGS.bm25_weight * bm25).when(has_v, v).otherwise(F.coalesce(bm25, F.lit(0.0)))
     lifted = F.when(F.coalesce(id_match, F.lit(False)), F.greatest(base, F.lit(SETTINGS.id_match_boost))).otherwise(base)
-    return F.round(F.least(lifted, F.lit(1.0)), 4)
+    return round4(F.least(lifted, F.lit(1.0)))
 
 
 def merge(scored: DataFrame, k: int = SETTINGS.retrieval_top_k) -> DataFrame:

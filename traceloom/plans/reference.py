@@ -402,7 +402,7 @@ def q12_id_matches(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.id_matches(ids, docs)
 
 
-_COMBINE = """round(least(CASE WHEN i THEN greatest(b0, 0.95) ELSE b0 END, 1.0), 4)"""
+_COMBINE = """round(least(CASE WHEN i THEN greatest(b0, 0.95) ELSE b0 END, 1.0) + 1e-9, 4)"""
 
 
 @query(f"""
@@ -551,7 +551,7 @@ j AS (SELECT correlation_id, status, resolution_method, coalesce(best, 0) AS bes
 SELECT correlation_id, round(least((0.35 * least(greatest(best, 0), 1) + 0.30 * CASE resolution_method WHEN 'deterministic_rule' THEN 1.0 WHEN 'llm_stage2' THEN 0.7 ELSE 0.5 END
  + 0.20 * CASE WHEN n = 0 THEN 0.0 WHEN n = 1 THEN 0.5 ELSE least(1.0, ln(n + 1) / ln(6)) END + 0.15 * least(1.0, d / 3.0)::DOUBLE)
  * CASE status WHEN 'IMPLEMENTED_AND_VALIDATED' THEN 1.0 WHEN 'IMPLEMENTED_WITHOUT_EVALUATION' THEN 0.9 WHEN 'PARTIALLY_IMPLEMENTED' THEN 0.85 WHEN 'IMPLEMENTED_BUT_NEGATIVELY_EVALUATED' THEN 0.85
-   WHEN 'REQUIREMENT_NOT_IMPLEMENTED' THEN 0.8 WHEN 'CLAIMED_BUT_NO_EVIDENCE' THEN 0.7 WHEN 'EVALUATION_WITHOUT_REQUIREMENT' THEN 0.75 ELSE 0.8 END, 1.0)::DOUBLE, 4) AS confidence FROM j""")
+   WHEN 'REQUIREMENT_NOT_IMPLEMENTED' THEN 0.8 WHEN 'CLAIMED_BUT_NO_EVIDENCE' THEN 0.7 WHEN 'EVALUATION_WITHOUT_REQUIREMENT' THEN 0.75 ELSE 0.8 END, 1.0)::DOUBLE + 1e-9, 4) AS confidence FROM j""")
 def l19_confidence(spark: SparkSession, d: str) -> DataFrame:
     return correlate.rescore(table(spark, d, "correlation"), table(spark, d, "evidence"), table(spark, d, "candidates"))
 
