@@ -72,15 +72,15 @@ def _cut(text: str, at: list[int], strength: list[int], n: int, size: int, overl
     """(start, end) of ``n`` pieces; None if a limit fails.  ``must``: cut between characters where no boundary is in reach."""
     total, start, pieces, done = len(text), 0, [], 0
     for i in range(n - 1):
-        step = (total - done + 0.0) / (n - i)
-        target = done + step
-        reach = max(40.0, step * 0.35)
+        length = (total - start + (n - i - 1) * overlap) / (n - i)  # of this and all later pieces, if equal
+        target = start + length
+        reach = max(40.0, length * 0.35)
         high = min(start + size, int(target + reach), total - 1)
         low = max(done + 1, int(target - reach), total - (n - i - 1) * (size - overlap))
         if low > high:
             return None
         a, b = bisect_left(at, low), bisect_right(at, high)
-        best = max(range(a, b), key=lambda j: (strength[j] - 3.0 * abs(at[j] - target) / step, -at[j]), default=None)
+        best = max(range(a, b), key=lambda j: (strength[j] - 3.0 * abs(at[j] - target) / length, -at[j]), default=None)
         if best is None:
             if not must:
                 return None
@@ -103,13 +103,20 @@ def split_text(text: str, kind: str = "", size: int = MAX_CHARS, overlap: int =
         return [(0, len(text), 0)]
     at, strength = boundaries(text, kind)
     n = -(-(len(text) - overlap) // (size - overlap))
-    made = None
-    for more in range(n):
-        for must in (False, True) if more >= 2 else (False,):
-            made = made or _cut(text, at, strength, n + more, size, overlap, must)
-        if made:
+    strong = dict(zip(at, strength))
+    made, mean = None, -1.0
+    for more in range(min(n, 64)):
+        if made and more > 1:
             break
-    made = made or [(max(0, p - overlap) if p else 0, min(len(text), p + size - overlap)) for p in range(0, len(text), size - overlap)]
+        cut = _cut(text, at, strength, n + more, size, overlap, False)
+        if not cut and not made and more >= 2:
+            cut = _cut(text, at, strength, n + more, size, overlap, True)
+        if cut:
+            # where the least number leaves no choice of boundaries, one piece more is worth clearly stronger ones
+            its = sum(strong.get(e, 0) for _, e in cut[:-1]) / max(1, len(cut) - 1)
+            if its >= mean + 1:
+                made, mean = cut, its
+    made = made or [(p, min(len(text), p + size)) for p in range(0, len(text) - overlap, size - overlap)]
     return [(s, e, made[i - 1][1] - s if i else 0) for i, (s, e) in enumerate(made)]
 
 
