@@ -212,16 +212,34 @@ def k05_delete_by_source(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, '\s+', '', 'g') <> '')) AS n_sentences
 FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\x00-\x7F]*')""")
 def c01_sentences(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter(F.col("text").rlike(r"^[\x00-\x7f]*$"))
+    """The ASCII documents, as in the SQL; ``c01_sentences_all`` has them all."""
+    return _sentence_counts(table(spark, d, "documents").filter(F.col("text").rlike(r"^[\x00-\x7f]*$")))
+
+
+def _sentence_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.size(T.sentences(F.col("text"))).alias("n_sentences"))
 
 
+@query()
+def c01_sentences_all(spark: SparkSession, d: str) -> DataFrame:
+    return _sentence_counts(table(spark, d, "documents").filter("text is not null"))
+
+
 @query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda x: regexp_replace(x, '\s+', '', 'g') <> '')) AS n_paragraphs FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')")
 def c02_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter(F.col("text").rlike(r"^[\x00-\x7f]*$"))
+    """The ASCII documents, as in the SQL; ``c02_paragraphs_all`` has them all."""
+    return _paragraph_counts(table(spark, d, "documents").filter(F.col("text").rlike(r"^[\x00-\x7f]*$")))
+
+
+def _paragraph_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.size(T.paragraphs(F.col("text"))).alias("n_paragraphs"))
 
 
+@query()
+def c02_paragraphs_all(spark: SparkSession, d: str) -> DataFrame:
+    return _paragraph_counts(table(spark, d, "documents").filter("text is not null"))
+
+
 @query()
 def c04_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_documents(table(spark, d, "documents"), "doc_id", "text", overlap=False)
@@ -287,7 +305,16 @@ def c16_commit_chunks(spark: SparkSession, d: str) -> DataFrame:
 SELECT DISTINCT chunk_uid, sha256(regexp_replace(regexp_replace(regexp_replace(chunk_text, '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS text_hash
 FROM raw_chunks WHERE regexp_full_match(chunk_text, '[\x20-\x7E\n\r\t]*') AND trim(chunk_text, ' ' || chr(10) || chr(13) || chr(9)) <> ''""")
 def n01_normalise(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "raw_chunks").filter(F.col("chunk_text").rlike(r"^[\x20-\x7E\n\r\t]*$"))
+    """The ASCII chunks, as in the SQL; ``n01_normalise_all`` has them all."""
+    return _normalised_hashes(table(spark, d, "raw_chunks").filter(F.col("chunk_text").rlike(r"^[\x20-\x7E\n\r\t]*$")))
+
+
+@query()
+def n01_normalise_all(spark: SparkSession, d: str) -> DataFrame:
+    return _normalised_hashes(table(spark, d, "raw_chunks"))
+
+
+def _normalised_hashes(rows: DataFrame) -> DataFrame:
     return rows.select("chunk_uid", T.normalise(F.col("chunk_text")).alias("t")).filter("t <> ''").select("chunk_uid", F.sha2("t", 256).alias("text_hash")).distinct()
 
 
@@ -444,14 +471,32 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT seq, seq % 4 <> 3 AS readable FROM evidence WHERE text NOT LIKE '%]%' AND text NOT LIKE '%[%' AND text NOT LIKE '%}%'")
 def x05_json_recovery(spark: SparkSession, d: str) -> DataFrame:
-    rows = _answers(spark, d).filter(~F.col("source_text").rlike(r"[\[\]}]"))
+    """Texts without brackets, as in the SQL; ``x05_json_recovery_all`` has them all."""
+    return _readable(_answers(spark, d).filter(~F.col("source_text").rlike(r"[\[\]}]")))
+
+
+def _readable(rows: DataFrame) -> DataFrame:
     return rows.select("seq", extraction.recover_json(F.col("raw_response")).isNotNull().alias("readable"))
 
 
+@query()
+def x05_json_recovery_all(spark: SparkSession, d: str) -> DataFrame:
+    return _readable(_answers(spark, d))
+
+
 @query("SELECT entity_type, count(*) AS n FROM (SELECT DISTINCT seq, entity_type, entity_id, text FROM evidence WHERE seq % 4 <> 3 AND text NOT LIKE '%]%' AND text NOT LIKE '%[%' AND text NOT LIKE '%}%') WHERE trim(entity_id) <> '' AND trim(text) <> '' GROUP BY 1")
 def x06_validate(spark: SparkSession, d: str) -> DataFrame:
-    good, _ = extraction.validate(_answers(spark, d).filter(~F.col("source_text").rlike(r"[\[\]}]")))
-    return good.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+    """Texts without brackets, as in the SQL; ``x06_validate_all`` has them all."""
+    return _valid_counts(_answers(spark, d).filter(~F.col("source_text").rlike(r"[\[\]}]")))
+
+
+def _valid_counts(rows: DataFrame) -> DataFrame:
+    return extraction.validate(rows)[0].groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def x06_validate_all(spark: SparkSession, d: str) -> DataFrame:
+    return _valid_counts(_answers(spark, d))
 
 
 _WORDS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
