@@ -175,6 +175,18 @@ def test_matrix(spark):
     assert matrix.latest(co).count() == 6
 
 
+def test_matrix_names_the_documents_of_the_three_best_candidates(spark):
+    ev, co = small_graph(spark)
+    ev = ev.unionByName(spark.createDataFrame([(10 + i, "IMPLEMENTATION", f"X{i}", "t", None, f"x{i}.py", f"x{i}", T) for i in range(5)], EVIDENCE))
+    scores = [("R2", "x0", 0.4), ("R2", "x0", 0.9), ("R2", "x1", 0.5), ("R2", "x2", 0.5), ("R2", "x3", 0.5), ("R2", "x4", float("nan")), ("R1", "x4", 0.2), ("R1", "gone", 0.1), ("R1", "c4", 0.1)]
+    cand = spark.createDataFrame([(r, c, None, None, False, s) for r, c, s in scores], CANDIDATES)
+    alone = matrix.build(ev, co.limit(0), cand)
+    assert {r.requirement_id: r.source_documents for r in alone.collect()} == {"R1": ["c.pdf", "x4.py"], "R2": ["x0.py", "x1.py", "x2.py"]}
+    assert {r.source_document: r.n_requirements for r in matrix.coverage_by_source(alone).collect()} == {"c.pdf": 1, "x0.py": 1, "x1.py": 1, "x2.py": 1, "x4.py": 1}
+    both = {r.requirement_id: r.source_documents for r in matrix.build(ev, co, cand).collect()}
+    assert both == {"R1": ["b.py", "c.pdf", "x4.py"], "R2": ["b.py", "c.pdf", "x0.py", "x1.py", "x2.py"]}
+
+
 def test_export(spark, tmp_path):
     ev, co = small_graph(spark)
     matrix.export(matrix.build(ev, co), str(tmp_path / "m"), "csv")

@@ -49,10 +49,15 @@ def requirements(evidence: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("entity_id").alias("requirement_id")).agg(F.min(F.struct("seq", F.col("text").alias("text"), F.col("chunk_id").alias("chunk_id"))).alias("_f")).select("requirement_id", F.col("_f.seq").alias("seq"), F.col("_f.text").alias("text"), F.col("_f.chunk_id").alias("chunk_id"))
 
 
+def scored_pairs(candidates: DataFrame) -> DataFrame:
+    """req_id, chunk_id and the best score of the pair; candidates without a score (NaN, null) are left out."""
+    return candidates.filter(~F.isnan("combined_score") & F.col("combined_score").isNotNull()).groupBy("req_id", "chunk_id").agg(F.max("combined_score").alias("score"))
+
+
 def best_candidates(candidates: DataFrame) -> DataFrame:
     """Per requirement the best score, its chunk, and how many candidates are strong or worth naming."""
     s = SETTINGS
-    pair = candidates.filter(~F.isnan("combined_score") & F.col("combined_score").isNotNull()).groupBy("req_id", "chunk_id").agg(F.max("combined_score").alias("score"))
+    pair = scored_pairs(candidates)
     best = F.min(F.struct((-F.col("score")).alias("s"), F.col("chunk_id").alias("c")))
     return pair.groupBy(F.col("req_id").alias("requirement_id")).agg((-best["s"]).alias("best_score"), best["c"].alias("best_chunk"), F.count_if(F.col("score") >= s.high_score).alias("n_strong"), F.count_if(F.col("score") >= s.no_evidence_floor).alias("n_named"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.config import STATUS_COLOURS
-from traceloom.operators.correlate import chunk_documents
+from traceloom.operators.correlate import chunk_documents, scored_pairs
 
 IMPLEMENTED = ("IMPLEMENTED_AND_VALIDATED", "IMPLEMENTED_WITHOUT_EVALUATION", "IMPLEMENTED_BUT_NEGATIVELY_EVALUATED")
 
@@ -28,11 +28,27 @@ def documents_of(best: DataFrame, evidence: DataFrame) -> DataFrame:
     return ids.join(chunk_documents(evidence), "chunk_id").groupBy("requirement_entity_id").agg(F.array_sort(F.collect_set("source_document")).alias("source_documents"))
 
 
-def build(evidence: DataFrame, correlation: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
-    """requirement_id, requirement_text, status, confidence, evidence_count, source_documents, reasoning, resolution_method, colour."""
+def with_candidate_documents(documents: DataFrame, evidence: DataFrame, candidates: DataFrame, most: int) -> DataFrame:
+    """``documents_of`` with those of each requirement's ``most`` best candidates (highest score, then lowest chunk; NaN and null have none)."""
+    order = Window.partitionBy("req_id").orderBy(F.desc("score"), "chunk_id")
+    best = scored_pairs(candidates).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most)
+    theirs = best.join(chunk_documents(evidence), "chunk_id").select(F.col("req_id").alias("requirement_entity_id"), "source_document")
+    both = documents.select("requirement_entity_id", F.explode("source_documents").alias("source_document")).unionByName(theirs)
+    return both.groupBy("requirement_entity_id").agg(F.array_sort(F.collect_set("source_document")).alias("source_documents"))
+
+
+def build(evidence: DataFrame, correlation: DataFrame, candidates: DataFrame | None = None, candidate_documents: int = 3) -> DataFrame:
+    """requirement_id, requirement_text, status, confidence, evidence_count, source_documents, reasoning, resolution_method, colour.
+
+    Source documents are those of the best correlation's chunks and of the ``candidate_documents`` best candidates.
+    """
     wanted = evidence.filter(F.col("entity_type") == "REQUIREMENT").dropDuplicates(["seq"]).select(F.col("entity_id").alias("requirement_id"), F.col("text").alias("requirement_text"), "seq")
     best = best_correlations(correlation)
-    rows = wanted.join(best, F.col("requirement_id") == F.col("requirement_entity_id"), "left").join(documents_of(best, evidence), "requirement_entity_id", "left")
+    documents = documents_of(best, evidence)
+    if candidates is not None and candidate_documents:
+        documents = with_candidate_documents(documents, evidence, candidates, candidate_documents)
+    documents = documents.withColumnRenamed("requirement_entity_id", "_documents_of")
+    rows = wanted.join(best, F.col("requirement_id") == F.col("requirement_entity_id"), "left").join(documents, F.col("requirement_id") == F.col("_documents_of"), "left")
     n = F.greatest(F.coalesce(F.size("supporting_chunk_ids"), F.lit(0)), F.lit(0))
     if candidates is not None:
         counts = candidates.groupBy(F.col("req_id").alias("requirement_id")).agg(F.count_distinct("chunk_id").alias("_n"))

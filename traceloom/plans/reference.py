@@ -613,8 +613,9 @@ m AS (SELECT r.entity_id AS requirement_id, r.seq, coalesce(b.status, 'REQUIREME
   FROM (SELECT DISTINCT seq, entity_id FROM evidence WHERE entity_type = 'REQUIREMENT') r LEFT JOIN b ON b.requirement_entity_id = r.entity_id LEFT JOIN docs ON docs.requirement_entity_id = r.entity_id LEFT JOIN nc ON nc.req_id = r.entity_id)"""
 
 
-def _matrix(spark: SparkSession, d: str) -> DataFrame:
-    return matrix.build(table(spark, d, "evidence"), table(spark, d, "correlation"), table(spark, d, "candidates"))
+def _matrix(spark: SparkSession, d: str, candidate_documents: int = 0) -> DataFrame:
+    """Without the candidates' documents, as the SQL has it, if not asked for."""
+    return matrix.build(table(spark, d, "evidence"), table(spark, d, "correlation"), table(spark, d, "candidates"), candidate_documents)
 
 
 @query(f"WITH {_BEST} SELECT requirement_entity_id, correlation_id, status, confidence FROM b")
@@ -624,7 +625,24 @@ def m03_best_correlation(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_MATRIX} SELECT requirement_id, seq, status, confidence, evidence_count, array_to_string(source_documents, '; ') AS source_documents, resolution_method FROM m")
 def m04_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return _matrix(spark, d).select("requirement_id", "seq", "status", "confidence", "evidence_count", F.array_join("source_documents", "; ").alias("source_documents"), "resolution_method")
+    """``source_documents`` are those of the supporting chunks only, as in the SQL; ``m05_matrix`` has the candidates' too."""
+    return _matrix_rows(_matrix(spark, d))
+
+
+def _matrix_rows(rows: DataFrame) -> DataFrame:
+    return rows.select("requirement_id", "seq", "status", "confidence", "evidence_count", F.array_join("source_documents", "; ").alias("source_documents"), "resolution_method")
+
+
+@query()
+def m05_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix with the documents of each requirement's three best candidates."""
+    return _matrix_rows(_matrix(spark, d, 3))
+
+
+@query()
+def m07_coverage_all(spark: SparkSession, d: str) -> DataFrame:
+    """Requirements per document, those that come from candidates alone included."""
+    return matrix.coverage_by_source(_matrix(spark, d, 3))
 
 
 @query(f"WITH {_MATRIX} SELECT source_document, count(*) AS n_requirements FROM (SELECT unnest(source_documents) AS source_document FROM m) GROUP BY 1")
