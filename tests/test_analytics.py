@@ -224,6 +224,24 @@ def test_providers(spark):
     assert rows[1].c is None and rows[2].c == "REQUIREMENT_NOT_IMPLEMENTED" and "R1" in rows[0].x
 
 
+class ShortEmbedder(providers.HashingEmbedder):
+    max_chars = 10
+
+    def embed(self, texts):
+        assert all(len(t) <= 10 for t in texts)
+        return super().embed(texts)
+
+
+def test_long_texts_are_embedded_whole(spark):
+    long = "alpha beta " * 900 + "omega " * 3000
+    df = spark.createDataFrame([(long,), ("omega beta",), ("",), (None,)], "t string")
+    want = providers.HashingEmbedder().embed([long])[0]
+    rows = df.select(providers.embedding(F.col("t")).alias("v"), providers.embedding(F.col("t"), ShortEmbedder).alias("s")).collect()
+    assert rows[0].v == want and rows[0].v != providers.HashingEmbedder().embed([long[:8000]])[0]
+    assert abs(sum(x * x for x in rows[0].s) - 1) < 1e-5 and rows[1].s == rows[1].v
+    assert not any(rows[2].s) and not any(rows[3].s)
+
+
 def test_stream_inserts_once(spark, tmp_path):
     from traceloom.streaming.pipeline import insert_stream, table_stream
 

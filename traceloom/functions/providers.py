@@ -17,10 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType
 
-DIMENSIONS, EMBEDDED_CHARS = 64, 8000
+DIMENSIONS = 64
 
 
 class Embedder(Protocol):
+    """May have ``max_chars``: longer texts go to it in parts of that length, and the parts' vectors are added."""
+
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
@@ -70,20 +72,37 @@ class OverlapClassifier:
 
 
 def embedding(text: Column, factory: Callable[[], Embedder] = HashingEmbedder, retries: int = 3) -> Column:
-    """Vectors of texts in Arrow batches; texts beyond the model's limit of characters are cut, as the model would."""
+    """Vectors of whole texts in Arrow batches.
+
+    A text beyond the limit of the model (``max_chars``; without it there is none) is embedded in parts: their vectors,
+    each weighted with its length, are added and brought to length 1.
+    """
 
     @F.pandas_udf(ArrayType(FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = factory()
+        limit = getattr(model, "max_chars", None)
         for batch in batches:
-            texts = [(t or "")[:EMBEDDED_CHARS] for t in batch]
+            texts = [t or "" for t in batch]
+            parts = [[t] if not limit else [t[i : i + limit] for i in range(0, len(t), limit)] or [""] for t in texts]
+            flat = [p for own in parts for p in own]
             for attempt in range(retries):
                 try:
-                    yield pd.Series(model.embed(texts))
+                    vectors = model.embed(flat) if flat else []
                     break
                 except ConnectionError:
                     if attempt == retries - 1:
                         raise
+            out, at = [], 0
+            for own in parts:
+                if len(own) == 1:
+                    out.append(vectors[at])
+                else:
+                    v = np.average(np.array(vectors[at : at + len(own)], float), axis=0, weights=[len(p) for p in own])
+                    norm = np.sqrt((v * v).sum())
+                    out.append((v / norm if norm > 0 else v).astype(np.float32).tolist())
+                at += len(own)
+            yield pd.Series(out)
 
     return embed(text)
 
