@@ -109,6 +109,20 @@ def test_chat_windows_split_only_above_the_gap_and_by_readable_times(spark):
     assert text.text == "[t] s: m0\n[t] s: m1\n[t] s: m2" and text.message_count == 3 and text.participants == ["s"]
 
 
+def test_a_chat_window_is_cut_by_its_own_length_only(spark):
+    # 99,998 to 100,003 straddle a multiple of the slice width
+    rows = [("d", 99_998 + i, i // 5, f"t{i}", f"s{i % 2}", f"m{i}") for i in range(6)] + [("e", 7, 0, "t", None, None)]
+    df = spark.createDataFrame(rows, "k string, o long, window_no long, timestamp string, sender string, message_text string")
+    for width in (1, 2, 4, 100_000):
+        got = [tuple(r) for r in C.chat_chunks(df, "k", "o", width=width).orderBy("k", "window_no", "part_no").collect()]
+        assert got == [
+            ("d", 0, 0, "\n".join(f"[t{i}] s{i % 2}: m{i}" for i in range(5)), "t0 to t4", ["s0", "s1"], 5),
+            ("d", 1, 0, "[t5] s1: m5", "t5 to t5", ["s1"], 1), ("e", 0, 0, "[t] Unknown: ", "t to t", [], 1),
+        ], width
+        cut = C.chat_chunks(df.filter("k = 'd' and window_no = 0"), "k", "o", width=width, most=2).orderBy("part_no").collect()
+        assert [(r.part_no, r.message_count, r.locator) for r in cut] == [(0, 2, "t0 to t1"), (1, 2, "t2 to t3"), (2, 1, "t4 to t4")], width
+
+
 def test_commits_list_at_most_twenty_files(spark):
     df = spark.createDataFrame([("a" * 40, "A", "d", "m", [f"f{i}" for i in range(30)]), (None, None, None, None, None)], "commit_sha string, author string, date string, message string, changed_files array<string>")
     rows = C.commit_chunks(df).collect()

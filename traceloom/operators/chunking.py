@@ -154,14 +154,25 @@ def chat_windows(messages: DataFrame, key: str, order: str, micros: str, gap_min
     return joined.withColumn("window_no", number).drop("_before", "_jump", "_opens", "_base", "_at", "_slice")
 
 
-def chat_chunks(messages: DataFrame, key: str, order: str, width: int = SLICE) -> DataFrame:
+def chat_line() -> Column:
+    return F.format_string("[%s] %s: %s", F.coalesce("timestamp", F.lit("")), F.coalesce("sender", F.lit("Unknown")), F.coalesce("message_text", F.lit("")))
+
+
+def chat_chunks(messages: DataFrame, key: str, order: str, width: int = SLICE, most: int = SLICE) -> DataFrame:
     """Windows as texts of lines ``[time] sender: text`` with their participants; input as from ``chat_windows``.
 
-    A window that never pauses is cut where ``order`` passes a multiple of ``width``, so a row's text stays bounded.
+    Only a window of more than ``most`` messages is cut, after every ``most`` of its own messages, so a row's text stays bounded.
+    Messages are numbered within slices of ``width`` order numbers, and each slice's first number follows from one summary row
+    per window and slice; the result does not depend on ``width``.
     """
-    line = F.format_string("[%s] %s: %s", F.coalesce("timestamp", F.lit("")), F.coalesce("sender", F.lit("Unknown")), F.coalesce("message_text", F.lit("")))
-    item = F.struct(F.col(order).alias("o"), line.alias("l"), F.col("timestamp").alias("t"))
-    parts = messages.withColumn("part_no", F.floor(F.col(order) / width))
+    part = [key, "window_no", "_slice"]
+    rows = messages.withColumn("_slice", F.floor(F.col(order) / width))
+    earlier = Window.partitionBy(key, "window_no").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).select(*part, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*part).orderBy(order)
+    position = F.col("_base") + F.row_number().over(inside) - 1
+    parts = rows.join(base, part).withColumn("part_no", F.floor(position / most))
+    item = F.struct(F.col(order).alias("o"), chat_line().alias("l"), F.col("timestamp").alias("t"))
     per = parts.groupBy(key, "window_no", "part_no").agg(F.array_sort(F.collect_list(item)).alias("_m"), F.array_sort(F.collect_set("sender")).alias("participants"))
     text = F.array_join(F.transform("_m", lambda m: m["l"]), "\n")
     locator = F.concat_ws(" to ", F.element_at("_m", 1)["t"], F.element_at("_m", -1)["t"])
