@@ -128,6 +128,19 @@ def test_golden_cases(spark):
     assert orphan == {"E9": None, "E8": "R4-data"}
 
 
+def test_open_requirements_and_claims_get_their_best_candidates(spark):
+    ev = evidence(
+        spark, ("REQUIREMENT", "R1", "alpha beta", None, "a.docx", "c1"), ("REQUIREMENT", "R2", "gamma", None, "a.docx", "c2"), ("REQUIREMENT", "R3", "delta", None, "a.docx", "c3"),
+        ("IMPLEMENTATION", "I1", "We built it", "R2", "chat.txt", "c4"), ("IMPLEMENTATION", "I2", "We built it", None, "chat.txt", "c5"),
+    )
+    scores = [("R1", f"k{i}", 0.3 + i / 100) for i in range(7)] + [("R1", "k0", 0.5), ("R1", "low", 0.29), ("R1", "nan", float("nan")), ("R2", "a", 0.1), ("R2", "b", 0.2), ("R2", "c", 0.2), ("R2", "d", 0.3)]
+    cand = spark.createDataFrame([(r, c, None, None, False, s) for r, c, s in scores], CANDIDATES)
+    chunks = spark.createDataFrame([("k0", "alpha here"), ("k6", "beta here"), ("low", "beta")], "chunk_id string, chunk_text string")
+    rows = correlate.ambiguous(ev, cand, chunks).withColumn("status", providers.classify(F.col("text"), F.col("evidence"))).collect()
+    assert [(r.requirement_id, r.chunk_ids, r.evidence, r.status) for r in rows] == [("R1", ["k0", "k6", "k5", "k4", "k3"], ["alpha here", "beta here"], "IMPLEMENTED_WITHOUT_EVALUATION")]
+    assert {r.entity_id: r.candidate_chunk_ids for r in correlate.claims_with_candidates(ev, cand).collect()} == {"I1": ["d", "b", "c"], "I2": []}
+
+
 @pytest.mark.parametrize(("best", "method", "n", "d", "status", "want"), [(0.85, "deterministic_rule", 2, 2, "IMPLEMENTED_AND_VALIDATED", 0.8201), (0.05, "deterministic_rule", 0, 0, "REQUIREMENT_NOT_IMPLEMENTED", 0.254), (0.0, "deterministic_rule", 1, 1, "EVALUATION_WITHOUT_REQUIREMENT", 0.3375)])
 def test_confidence_anchors(spark, best, method, n, d, status, want):
     df = spark.createDataFrame([(best, method, n, d, status)], "b double, m string, n int, d int, s string")

@@ -123,6 +123,29 @@ def test_a_chat_window_is_cut_by_its_own_length_only(spark):
         assert [(r.part_no, r.message_count, r.locator) for r in cut] == [(0, 2, "t0 to t1"), (1, 2, "t2 to t3"), (2, 1, "t4 to t4")], width
 
 
+def test_mail_and_chat_chunks_hold_their_context_and_limits(spark):
+    rows = [("d", i, "s", "t", "u", body) for i, body in enumerate(["one " * 15, " ", "two " * 15, "three " * 15, "four"])]
+    df = spark.createDataFrame(rows, "k string, o long, sender string, timestamp string, subject string, body string")
+    raw = [f"From: s | Date: t | Subject: u\n\n{b.strip()}" for _, _, _, _, _, b in rows if b.strip()]
+    whole = [raw[0]] + ["[Previous context:]\n" + "\n---\n".join(raw[max(0, i - 2) : i]) + f"\n[End context]\n\n{raw[i]}" for i in range(1, 4)]
+    want = []
+    for piece in [p for t in whole for p in split_large(t, 150)]:
+        if want and len(want[-1]) < 50:
+            want[-1] += "\n\n" + piece
+        else:
+            want.append(piece)
+    for width in (1, 2, 100_000):
+        got = C.email_chunks(df, "k", "o", size=150, width=width).orderBy("chunk_index").collect()
+        assert [r.chunk_text for r in got] == want and [r.chunk_index for r in got] == list(range(len(want))), width
+
+    chat = spark.createDataFrame([("d", i, w, f"t{i}", "s", m) for i, (w, m) in enumerate([(0, "x" * 60), (1, "y" * 60), (2, "z" * 60), (2, "long\n\n" + "v" * 200)])], "k string, o long, window_no long, timestamp string, sender string, message_text string")
+    line = [f"[t{i}] s: {m}" for i, m in enumerate(["x" * 60, "y" * 60, "z" * 60, "long\n\n" + "v" * 200])]
+    texts = [line[0], f"[Context:]\n{line[0]}\n\n[Current window:]\n{line[1]}", f"[Context:]\n{line[0]}\n{line[1]}\n\n[Current window:]\n{line[2]}\n{line[3]}"]
+    for width in (1, 2, 4, 100_000):
+        got = C.chat_context_chunks(chat, "k", "o", size=200, width=width).orderBy("chunk_index").collect()
+        assert [(r.chunk_text, r.source_locator) for r in got] == [(p, loc) for t, loc in zip(texts, ["t0 to t0", "t1 to t1", "t2 to t3"]) for p in split_large(t, 200)], width
+
+
 def test_commits_list_at_most_twenty_files(spark):
     df = spark.createDataFrame([("a" * 40, "A", "d", "m", [f"f{i}" for i in range(30)]), (None, None, None, None, None)], "commit_sha string, author string, date string, message string, changed_files array<string>")
     rows = C.commit_chunks(df).collect()

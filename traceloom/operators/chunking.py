@@ -104,7 +104,7 @@ def chunk_elements(elements: DataFrame, key: str, order: str, overlap: bool = Tr
 SLICE = 100_000  # a document's rows are handled in slices of this many order numbers, whatever its length
 
 
-def trailing_context(messages: DataFrame, key: str, order: str, text: str, n: int = SETTINGS.overlap_messages, width: int = SLICE) -> DataFrame:
+def trailing_context(messages: DataFrame, key: str, order: str, text: str, n: int = SETTINGS.overlap_messages, width: int = SLICE, between: str = "\n---\n") -> DataFrame:
     """Adds ``context``: up to ``n`` texts before this one in its document, oldest first (NULL for the first).
 
     ``order`` is an integer.  A document is read in slices: within one, ``lag`` finds what comes before; the last ``n`` texts of each
@@ -123,7 +123,7 @@ def trailing_context(messages: DataFrame, key: str, order: str, text: str, n: in
     both = F.concat(F.coalesce("_carry", empty), F.col("_own"))
     last_n = F.when(F.size("_b") > n, F.slice("_b", -n, n)).otherwise(F.col("_b"))
     joined = here.join(carry, part, "left").withColumn("_b", both)
-    return joined.withColumn("context", F.when(F.size("_b") > 0, F.array_join(last_n, "\n---\n"))).drop("_slice", "_own", "_carry", "_b")
+    return joined.withColumn("context", F.when(F.size("_b") > 0, F.array_join(last_n, between))).drop("_slice", "_own", "_carry", "_b")
 
 
 def with_context(text: Column, context: Column) -> Column:
@@ -179,6 +179,29 @@ def chat_chunks(messages: DataFrame, key: str, order: str, width: int = SLICE, m
     return per.select(key, "window_no", "part_no", text.alias("text"), locator.alias("locator"), "participants", F.size("_m").alias("message_count"))
 
 
+def email_chunks(messages: DataFrame, key: str, order: str, size: int = SETTINGS.max_chunk_chars, least: int = SETTINGS.min_chunk_chars, width: int = SLICE) -> DataFrame:
+    """Messages (sender, timestamp, subject, body) to chunks with the messages before each as context, within the limits of size."""
+    kept = messages.filter(F.length(strip(F.col("body"))) > 0)
+    head = F.format_string("From: %s | Date: %s | Subject: %s\n\n", F.coalesce("sender", F.lit("Unknown")), F.coalesce("timestamp", F.lit("")), F.coalesce("subject", F.lit("(no subject)")))
+    raw = kept.withColumn("_raw", F.concat(head, strip(F.col("body"))))
+    rows = trailing_context(raw, key, order, "_raw", width=width)
+    elements = rows.select(key, order, strip(with_context(F.col("_raw"), F.col("context"))).alias("text"), F.concat(F.lit("Message from "), F.coalesce("sender", F.lit("Unknown"))).alias("locator"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    return chunk_elements(elements, key, order, overlap=False, size=size, least=least).drop("metadata")
+
+
+def chat_context_chunks(messages: DataFrame, key: str, order: str, size: int = SETTINGS.max_chunk_chars, least: int = SETTINGS.min_chunk_chars, width: int = SLICE, most: int = SLICE) -> DataFrame:
+    """``chat_chunks``, each window after a document's first preceded by the last messages before it, within the limits of size.
+
+    A document's windows meet in one row, as in ``chunk_elements``.
+    """
+    lines = trailing_context(messages.withColumn("_line", chat_line()), key, order, "_line", width=width, between="\n")
+    before = lines.groupBy(key, "window_no").agg(F.min(F.struct(F.col(order).alias("o"), "context"))["context"].alias("_context"), F.lit(0).cast("bigint").alias("part_no"))
+    rows = chat_chunks(messages, key, order, width, most).join(before, [key, "window_no", "part_no"], "left")
+    text = F.when(F.col("_context").isNull(), F.col("text")).otherwise(F.concat(F.lit("[Context:]\n"), "_context", F.lit("\n\n[Current window:]\n"), "text"))
+    elements = rows.select(key, F.struct("window_no", "part_no").alias("_order"), text.alias("text"), "locator", F.lit(None).cast("map<string,string>").alias("metadata"))
+    return chunk_elements(elements, key, "_order", overlap=False, size=size, least=least).drop("metadata")
+
+
 def commit_chunks(commits: DataFrame, files: int = 20) -> DataFrame:
     """A text per commit: identity, author, date, message and up to ``files`` changed files."""
     some = F.slice(F.coalesce("changed_files", F.array().cast("array<string>")), 1, files)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.config import SETTINGS
@@ -30,6 +30,33 @@ STATUS_FACTOR = {
 }
 
 
+def best_of(candidates: DataFrame, most: int, least: float | None = None) -> DataFrame:
+    """requirement_id, chunk_id, score, rank of each requirement's ``most`` best candidates, those below ``least`` left out."""
+    pair = scored_pairs(candidates)
+    pair = pair if least is None else pair.filter(F.col("score") >= least)
+    order = Window.partitionBy("req_id").orderBy(F.desc("score"), "chunk_id")
+    return pair.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select(F.col("req_id").alias("requirement_id"), "chunk_id", "score", "rank")
+
+
+def ambiguous(evidence: DataFrame, candidates: DataFrame, chunks: DataFrame, most: int = 5) -> DataFrame:
+    """The requirements that no rule settles, with what the classifier sees; ``chunks``: chunk_id, chunk_text.
+
+    requirement_id, text, chunk_ids (the ``most`` best candidates worth naming, best first), evidence (their texts, of those that have one).
+    """
+    open_ = decide(evidence, candidates).filter("rule_name = 'ambiguous_with_retrieval_evidence'").select("requirement_id")
+    best = best_of(candidates, most, SETTINGS.no_evidence_floor).join(open_, "requirement_id", "left_semi").join(chunks.select("chunk_id", "chunk_text"), "chunk_id", "left")
+    seen = best.groupBy("requirement_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "chunk_text"))).alias("_c"))
+    texts = F.array_compact(F.transform("_c", lambda c: c["chunk_text"]))
+    return requirements(evidence).select("requirement_id", "text").join(seen, "requirement_id").select("requirement_id", "text", F.transform("_c", lambda c: c["chunk_id"]).alias("chunk_ids"), texts.alias("evidence"))
+
+
+def claims_with_candidates(evidence: DataFrame, candidates: DataFrame, most: int = 3) -> DataFrame:
+    """``verbal_claims`` with the ``most`` best candidates of the requirement each is linked to, best first."""
+    best = best_of(candidates, most).groupBy(F.col("requirement_id").alias("linked_requirement")).agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("_c"))
+    rows = verbal_claims(evidence).join(best, "linked_requirement", "left")
+    return rows.select("seq", "entity_id", "linked_requirement", "source_document", F.coalesce(F.transform("_c", lambda c: c["chunk_id"]), F.array().cast("array<string>")).alias("candidate_chunk_ids"))
+
+
 def linked(evidence: DataFrame) -> DataFrame:
     """Per linked requirement: counts, the first implementation, and whether its evaluations are good or bad."""
     rows = evidence.dropDuplicates(["seq"]).filter(F.col("linked_requirement").isNotNull() & (F.trim("linked_requirement") != ""))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.config import STATUS_COLOURS
-from traceloom.operators.correlate import chunk_documents, scored_pairs
+from traceloom.operators.correlate import best_of, chunk_documents
 
 IMPLEMENTED = ("IMPLEMENTED_AND_VALIDATED", "IMPLEMENTED_WITHOUT_EVALUATION", "IMPLEMENTED_BUT_NEGATIVELY_EVALUATED")
 
@@ -30,9 +30,7 @@ def documents_of(best: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def with_candidate_documents(documents: DataFrame, evidence: DataFrame, candidates: DataFrame, most: int) -> DataFrame:
     """``documents_of`` with those of each requirement's ``most`` best candidates (highest score, then lowest chunk; NaN and null have none)."""
-    order = Window.partitionBy("req_id").orderBy(F.desc("score"), "chunk_id")
-    best = scored_pairs(candidates).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most)
-    theirs = best.join(chunk_documents(evidence), "chunk_id").select(F.col("req_id").alias("requirement_entity_id"), "source_document")
+    theirs = best_of(candidates, most).join(chunk_documents(evidence), "chunk_id").select(F.col("requirement_id").alias("requirement_entity_id"), "source_document")
     both = documents.select("requirement_entity_id", F.explode("source_documents").alias("source_document")).unionByName(theirs)
     return both.groupBy("requirement_entity_id").agg(F.array_sort(F.collect_set("source_document")).alias("source_documents"))
 

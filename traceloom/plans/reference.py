@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from traceloom.config import SOURCE_TYPES
 from traceloom.functions import text as T
-from traceloom.functions.providers import embedding
+from traceloom.functions.providers import classify, embedding
 from traceloom.functions.timestamps import normalise
 from traceloom.operators import chunking, correlate, extraction, graph, matrix, metrics, retrieval, store
 from traceloom.operators.sessions import sessionise
@@ -266,11 +266,30 @@ def c12_trailing_context(spark: SparkSession, d: str) -> DataFrame:
     return chunking.trailing_context(rows, "source_document", "chunk_uid", "chunk_text").select("chunk_uid", F.sha2("context", 256).alias("context_hash"))
 
 
+@query()
+def c12_email_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Every message of the mail texts, in the order of their chunks, with the two before it as context."""
+    rows = table(spark, d, "raw_chunks").filter("source_type = 'EMAIL' and chunk_text is not null and source_document is not null").dropDuplicates(["chunk_uid"])
+    mail = parsers.parse_email(rows, "chunk_uid", "chunk_text").join(rows.select("chunk_uid", "source_document"), "chunk_uid")
+    # a chunk holds fewer messages than characters, far below 2^20
+    return chunking.email_chunks(mail.withColumn("message_no", F.col("chunk_uid") * (1 << 20) + F.col("position")), "source_document", "message_no", width=chunking.SLICE << 20)
+
+
+@query()
+def c14_chat_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chat windows with the two messages before each as context, within the limits of size."""
+    return chunking.chat_context_chunks(checkpoint(_chat_windows(spark, d)), "source_document", "msg_id")
+
+
 @query()
 def c13_chat_windows(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chat_chunks(_chat_windows(spark, d), "source_document", "msg_id")
+
+
+def _chat_windows(spark: SparkSession, d: str) -> DataFrame:
     chat = table(spark, d, "chat_messages").dropDuplicates(["msg_id"]).filter("not is_media and not is_system and source_document is not null")
     timed = normalise(chat.filter(F.trim("message_text") != ""), "timestamp", "source_document", table(spark, d, "ingestion_log"), near="loaded_at")
-    return chunking.chat_chunks(chunking.chat_windows(timed, "source_document", "msg_id", "utc_micros"), "source_document", "msg_id")
+    return chunking.chat_windows(timed, "source_document", "msg_id", "utc_micros")
 
 
 @query("""
@@ -560,6 +579,15 @@ def l05_decide(spark: SparkSession, d: str) -> DataFrame:
     return correlate.decide(table(spark, d, "evidence"), table(spark, d, "candidates"))
 
 
+@query()
+def l08_classified(spark: SparkSession, d: str) -> DataFrame:
+    """The requirements that no rule settles, with the classifier's status from their five best candidates."""
+    chunks = table(spark, d, "raw_chunks").filter("chunk_text is not null").select(T.chunk_id(F.col("source_hash"), F.col("chunk_index")).alias("chunk_id"), "chunk_uid", "chunk_text")
+    one = chunks.groupBy("chunk_id").agg(F.min(F.struct("chunk_uid", "chunk_text"))["chunk_text"].alias("chunk_text"))
+    rows = correlate.ambiguous(table(spark, d, "evidence"), table(spark, d, "candidates"), one)
+    return rows.select("requirement_id", "chunk_ids", F.size("evidence").alias("n_texts"), classify(F.col("text"), F.col("evidence")).alias("status"))
+
+
 @query(f"WITH {_RULES} SELECT rule_name, count(*) AS n, round(sum(best), 4) AS total_score FROM k GROUP BY 1")
 def l11_rule_counts(spark: SparkSession, d: str) -> DataFrame:
     decided = correlate.decide(table(spark, d, "evidence"), table(spark, d, "candidates"))
@@ -583,6 +611,12 @@ def l10_verbal_claims(spark: SparkSession, d: str) -> DataFrame:
     return correlate.verbal_claims(table(spark, d, "evidence"))
 
 
+@query()
+def l10_claim_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The claims with the three best candidates of their requirement."""
+    return correlate.claims_with_candidates(table(spark, d, "evidence"), table(spark, d, "candidates"))
+
+
 _OWNER = "own AS (SELECT chunk_id, arg_max(source_document, seq) AS source_document FROM evidence WHERE chunk_id IS NOT NULL GROUP BY 1)"
 
 
