@@ -54,6 +54,14 @@ def test_no_character_is_parted():
     assert all(not unicodedata.combining((text * 1000)[e]) for _, e, _ in pieces[:-1])
 
 
+def test_a_text_of_two_pieces_without_boundaries_is_balanced_and_parts_no_character():
+    for text in ("a" * 2000, "词" * 2500, "e\u0301" * 900, "e\u0301\u0301" * 601, "x" * 1349 + "e\u0301\u0301\u0301" * 200):
+        pieces = check(text)
+        lengths = [e - s for s, e, _ in pieces]
+        assert len(pieces) == 2 and max(lengths) - min(lengths) < 200
+        assert all(not unicodedata.combining(text[p]) for s, e, _ in pieces for p in (s, e) if 0 < p < len(text))
+
+
 def test_table(spark):
     rows = [(1, None, "PDF", "p1"), (2, "", "PDF", None), (3, "s" * 1500, None, "p"), (4, "w " * 900, None, None), (5, "w " * 900, "EMAIL", "loc"), (5, "w " * 900, "EMAIL", "loc")]
     df = spark.createDataFrame(rows, "chunk_uid long, chunk_text string, source_type string, source_locator string").selectExpr("*", "1 as piece_no", "2 as char_count")

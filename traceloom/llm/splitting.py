@@ -60,14 +60,26 @@ def boundaries(text: str, kind: str) -> tuple[list[int], list[int]]:
     return at, [found[p] for p in at]
 
 
+def _parts(text: str, p: int) -> bool:
+    """Whether a cut at ``p`` parts a character."""
+    return p < len(text) and (unicodedata.combining(text[p]) or text[p] in "‍️" or text[p - 1] == "‍" or text[p - 1 : p + 1] == "\r\n")
+
+
 def _between_characters(text: str, at: int, least: int) -> int:
     """The nearest position not above ``at`` that parts no character."""
     p = at
-    while p > least and p < len(text) and (unicodedata.combining(text[p]) or text[p] in "‍️" or text[p - 1] == "‍" or text[p - 1 : p + 1] == "\r\n"):
+    while p > least and _parts(text, p):
         p -= 1
     return p if p > least else at
 
 
+def _from_character(text: str, at: int, most: int) -> int:
+    """The nearest position from ``at`` to ``most`` that parts no character."""
+    while at < most and _parts(text, at):
+        at += 1
+    return at
+
+
 def _cut(text: str, at: list[int], strength: list[int], n: int, size: int, overlap: int, must: bool) -> list[tuple[int, int]] | None:
     """(start, end) of ``n`` pieces; None if a limit fails.  ``must``: cut between characters where no boundary is in reach."""
     total, start, pieces, done = len(text), 0, [], 0
@@ -91,12 +103,22 @@ def _cut(text: str, at: list[int], strength: list[int], n: int, size: int, overl
         done, floor_ = end, max(end - overlap, start + 1)
         a, b = bisect_left(at, floor_), bisect_left(at, end)
         back = max(range(a, b), key=lambda j: (min(strength[j], 3), -at[j]), default=None)
-        start = at[back] if back is not None else _between_characters(text, floor_, start)
+        start = at[back] if back is not None else _from_character(text, floor_, end)
     if total - start > size:
         return None
     return [*pieces, (start, total)]
 
 
+def _steps(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
+    """Pieces as long as possible, cut between characters."""
+    pieces, start, done = [], 0, 0
+    while len(text) - start > size:
+        end = _between_characters(text, start + size, max(start, done) + 1)
+        pieces.append((start, end))
+        done, start = end, _from_character(text, max(end - overlap, start + 1), end)
+    return [*pieces, (start, len(text))]
+
+
 def split_text(text: str, kind: str = "", size: int = MAX_CHARS, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
     """(start, end, overlap with the piece before) of each piece."""
     if len(text) <= size:
@@ -116,7 +138,12 @@ def split_text(text: str, kind: str = "", size: int = MAX_CHARS, overlap: int =
             its = sum(strong.get(e, 0) for _, e in cut[:-1]) / max(1, len(cut) - 1)
             if its >= mean + 1:
                 made, mean = cut, its
-    made = made or [(p, min(len(text), p + size)) for p in range(0, len(text) - overlap, size - overlap)]
+    # no boundary in reach: balanced targets cut between characters; fixed steps only where those fail too
+    more = 0
+    while not made and more < 64:
+        made = _cut(text, at, strength, n + more, size, overlap, True)
+        more += 1
+    made = made or _steps(text, size, overlap)
     return [(s, e, made[i - 1][1] - s if i else 0) for i, (s, e) in enumerate(made)]
 
 
