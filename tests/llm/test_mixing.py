@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from traceloom.llm.mixing import mix, mix_report
+from traceloom.llm.mixing import _rate, fit_rates, mix, mix_report
 from traceloom.llm.tokens import VOCABULARY, n_tokens
 
 pytestmark = pytest.mark.skipif(not __import__("os").path.exists(VOCABULARY), reason="no vocabulary")
@@ -45,6 +45,16 @@ def test_a_source_that_is_too_small_is_used_up(spark):
     assert report["note"].actual_share < 0.5 and report["note"].most_uses == 2
 
 
+def test_a_source_out_of_reach_does_not_end_the_fit_of_the_others(spark):
+    # "a" reaches 0.02 of its 0.05 at most; the texts between "b" and "c" need several passes
+    rows = [([1.0, 0.0, 0.0], 1, 2000.0), ([0.0, 0.9, 0.1], 3, 30000.0), ([0.0, 0.4, 0.6], 3, 40000.0), ([0.0, 0.1, 0.9], 3, 28000.0)]
+    classes = spark.createDataFrame(rows, "membership array<double>, cap int, tokens double").coalesce(1).cache()
+    goal = [5000.0, 57000.0, 38000.0]
+    rated = classes.withColumn("r", _rate(fit_rates(classes, goal))).collect()
+    got = [sum(x.membership[i] * x.tokens * x.r for x in rated) for i in range(3)]
+    assert got[0] == pytest.approx(2000) and abs(got[1] - goal[1]) < 100 and abs(got[2] - goal[2]) < 100, got
+
+
 def test_empty(spark):
     targets = spark.createDataFrame([("mail", 1.0, 1)], TARGETS)
     assert mix(docs(spark).limit(0), targets).collect() == []

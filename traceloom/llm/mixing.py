@@ -116,8 +116,9 @@ def _rate(gradients: list[list[float]], member: str = "membership", cap: str = "
 def fit_rates(classes: DataFrame, targets: list[float], passes: int = MAX_PASSES, tolerance: float = TOLERANCE) -> list[list[float]]:
     """The gradient steps that bring the expected totals to ``targets``; ``classes``: membership, cap, tokens.
 
-    One aggregation to a row per pass; the step of a source is scaled by its tokens.  The passes end when one
-    brings the distance from the targets down by less than ``tolerance`` of all tokens.
+    One aggregation to a row per pass; the step of a source is scaled by its tokens.  The passes end when a
+    step, projected onto what the caps allow, moved less than ``tolerance`` of all tokens in every source: a source
+    that cannot come nearer to its target does not hide what the others still can.
     """
     n = len(targets)
     total = lambda weight: [F.coalesce(F.sum(F.col("membership")[i] * weight), F.lit(0.0)).alias(f"s{i}") for i in range(n)]
@@ -125,15 +126,18 @@ def fit_rates(classes: DataFrame, targets: list[float], passes: int = MAX_PASSES
     goal = np.array(targets)
     scale = np.maximum(np.array([have[i] for i in range(n)], float), 1.0)
     gradients: list[list[float]] = []
-    before = np.inf
     for _ in range(passes):
-        row = classes.agg(*total(F.col("tokens") * _rate(gradients))).first()
-        off = np.array([row[i] for i in range(n)], float) - goal
-        error = float(np.sqrt((off**2).sum()))
-        if before - error <= tolerance * max(goal.sum(), 1.0):
+        step = None
+        if gradients:
+            # what the last step moved, in tokens; its rates are needed for the totals anyway
+            now, last = F.col("tokens") * _rate(gradients), F.col("tokens") * _rate(gradients[:-1])
+            row = classes.agg(*total(now), *[F.coalesce(F.sum(F.col("membership")[i] * F.abs(now - last)), F.lit(0.0)).alias(f"m{i}") for i in range(n)]).first()
+            step = max([row[n + i] for i in range(n)], default=0.0)
+        else:
+            row = classes.agg(*total(F.col("tokens") * _rate(gradients))).first()
+        if step is not None and step <= tolerance * max(goal.sum(), 1.0):
             break
-        before = error
-        gradients.append((off / scale).tolist())
+        gradients.append(((np.array([row[i] for i in range(n)], float) - goal) / scale).tolist())
     return gradients
 
 
