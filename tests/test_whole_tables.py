@@ -59,3 +59,14 @@ def test_answers_with_brackets_in_their_texts(spark, tmp_path):
     want = {i: readable(i, texts[i // 4]) for i in range(len(rows))}
     assert {r.seq: r.readable for r in run(spark, tmp_path, "x05_json_recovery_all")} == want
     assert Counter({r.entity_type: r.n for r in run(spark, tmp_path, "x06_validate_all")}) == Counter(REQUIREMENT=sum(want.values()))
+
+
+def test_a_long_git_log_keeps_all_its_commits(spark, tmp_path):
+    rows = [(i, "log" if i % 3 else None, f"{i:040x}", "A", "d", f"m{i}\nmore") for i in range(1200)]
+    spark.createDataFrame(rows, "commit_row long, source_document string, commit_sha string, author string, date string, message string").write.parquet(str(tmp_path / "git_commits.parquet"))
+    got = {(r.source_document, r.position): (r.commit_sha, r.message) for r in run(spark, tmp_path, "s18_git_commits")}
+    want = {}
+    for source in ("log", None):
+        own = [r for r in rows if r[1] == source]
+        want |= {(source, i): (r[2], r[5]) for i, r in enumerate(own)}
+    assert got == want

@@ -120,10 +120,11 @@ def s17_chat_messages(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def s18_git_commits(spark: SparkSession, d: str) -> DataFrame:
-    """Logs put together from the commit table in ``git log`` form, parsed again."""
-    rows = table(spark, d, "git_commits").dropDuplicates(["commit_row"]).filter("commit_sha is not null")
+    """A log per source document put together from the commit table in ``git log`` form, parsed again."""
+    rows = table(spark, d, "git_commits").dropDuplicates(["commit_row"]).filter(F.col("commit_sha").rlike(r"^[0-9a-f]{40}$"))
     entry = F.concat(F.lit("commit "), F.col("commit_sha"), F.lit("\nAuthor: "), F.coalesce("author", F.lit("")), F.lit("\nDate:   "), F.coalesce("date", F.lit("")), F.lit("\n\n    "), F.regexp_replace(F.coalesce("message", F.lit("")), r"\r\n|\r|\n", "\n    "), F.lit("\n"))
-    return parsers.parse_git_log(rows.withColumn("log", entry), "commit_row", "log")
+    logs = rows.groupBy("source_document").agg(F.array_sort(F.collect_list(F.struct("commit_row", entry.alias("e")))).alias("_e"))
+    return parsers.parse_git_log(logs.select("source_document", F.array_join(F.transform("_e", lambda e: e["e"]), "\n").alias("log")), "source_document", "log")
 
 
 @query("SELECT CASE WHEN source_type IN ('PDF', 'DOCX', 'EMAIL', 'WHATSAPP', 'GIT', 'MARKDOWN', 'PYTHON') THEN source_type ELSE 'MARKDOWN' END AS source_type, count(*) AS n FROM (SELECT DISTINCT chunk_uid, source_type FROM raw_chunks) GROUP BY 1")

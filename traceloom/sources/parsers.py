@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.config import SETTINGS
 from traceloom.functions.text import strip
 from traceloom.sources.files import COMMIT_MARK
 
@@ -67,16 +66,16 @@ def parse_chat(docs: DataFrame, key: str, text: str, strict_system: bool = False
     return out.select(key, "position", F.col("_m.sender").alias("sender"), F.col("_m.ts").alias("timestamp"), F.col("_m.body").alias("message_text"), F.col("_m.body").contains("<Media omitted>").alias("is_media"), system.alias("is_system"))
 
 
-def parse_git_log(docs: DataFrame, key: str, text: str, most: int = SETTINGS.max_commits, keep: str = "tail") -> DataFrame:
+def parse_git_log(docs: DataFrame, key: str, text: str, most: int | None = None, keep: str = "tail") -> DataFrame:
     """key, position, commit_sha, author, date, message, changed_files, is_merge; ``git log`` and separator form.
 
-    Of a longer log the last ``most`` commits stay (``keep="head"``: the first).
+    All commits stay; with ``most`` (the reference has ``SETTINGS.max_commits``) the last of a longer log (``keep="head"``: the first).
     """
     source = _lf(F.col(text))
     marked = F.array_remove(F.transform(F.split(source, COMMIT_MARK), strip), "")
     plain = F.filter(F.split(source, r"(?m)(?=^commit\s+[0-9a-f]{40}$)"), lambda s: s.rlike(r"^commit\s+[0-9a-f]{40}"))
     parts = F.when(source.contains(COMMIT_MARK), F.filter(marked, lambda s: F.size(F.split(s, "\n")) >= 3)).otherwise(plain)
-    kept = F.when(F.size(parts) <= most, parts).otherwise(F.slice(parts, F.size(parts) - most + 1 if keep == "tail" else F.lit(1), F.lit(most)))
+    kept = parts if most is None else F.when(F.size(parts) <= most, parts).otherwise(F.slice(parts, F.size(parts) - most + 1 if keep == "tail" else F.lit(1), F.lit(most)))
     rows = docs.filter(F.col(text).isNotNull()).select(key, source.contains(COMMIT_MARK).alias("_m"), F.posexplode(kept).alias("position", "_s"))
     lines, field = F.split("_s", "\n"), lambda n: F.trim(F.regexp_extract("_s", rf"(?m)^{n}:[^\S\n]+(.+)$", 1))
     indented = F.regexp_extract_all("_s", F.lit(r"(?m)^    (.*)$"), F.lit(1))
