@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from traceloom.functions import providers
-from traceloom.operators import correlate, extraction, graph, matrix, metrics, retrieval, store
+from traceloom.operators import correlate, extraction, graph, matrix, metrics, retrieval, store, trace
 
 EVIDENCE = "seq long, entity_type string, entity_id string, text string, linked_requirement string, source_document string, chunk_id string, created_at timestamp"
 CANDIDATES = "req_id string, chunk_id string, vector_score double, bm25_score double, id_match boolean, combined_score double"
@@ -128,17 +128,45 @@ def test_golden_cases(spark):
     assert orphan == {"E9": None, "E8": "R4-data"}
 
 
-def test_open_requirements_and_claims_get_their_best_candidates(spark):
+def test_the_whole_run(spark):
     ev = evidence(
-        spark, ("REQUIREMENT", "R1", "alpha beta", None, "a.docx", "c1"), ("REQUIREMENT", "R2", "gamma", None, "a.docx", "c2"), ("REQUIREMENT", "R3", "delta", None, "a.docx", "c3"),
-        ("IMPLEMENTATION", "I1", "We built it", "R2", "chat.txt", "c4"), ("IMPLEMENTATION", "I2", "We built it", None, "chat.txt", "c5"),
+        spark, ("REQUIREMENT", "R1", "alpha beta", None, "a.docx", "c1"), ("REQUIREMENT", "R2", "gamma", None, "a.docx", "c2"), ("REQUIREMENT", "R3", "delta", None, "a.docx", "c3"), ("REQUIREMENT", "R4", "", None, "a.docx", "c3"),
+        ("IMPLEMENTATION", "I1", "We built gamma", "R2", "chat.txt", "c4"), ("IMPLEMENTATION", "I2", "We built it", None, "chat.txt", "c5"), ("IMPLEMENTATION", "I3", "We built it", "R99", "chat.txt", "c5"),
+        ("EVALUATION", "E1", "delta is here", " ", "r.pdf", "c6"), ("EVALUATION", "E2", "nothing of that kind", None, "r.pdf", "c7"), ("EVALUATION", "E3", "good", "R2", "r.pdf", "c8"),
     )
-    scores = [("R1", f"k{i}", 0.3 + i / 100) for i in range(7)] + [("R1", "k0", 0.5), ("R1", "low", 0.29), ("R1", "nan", float("nan")), ("R2", "a", 0.1), ("R2", "b", 0.2), ("R2", "c", 0.2), ("R2", "d", 0.3)]
+    scores = [("R1", f"k{i}", 0.3 + i / 100) for i in range(7)] + [("R1", "k0", 0.5), ("R1", "low", 0.29), ("R1", "nan", float("nan")), ("R2", "a", 0.1), ("R2", "b", 0.2), ("R2", "c", 0.2), ("R2", "d", 0.3), ("R4", "k1", 0.5)]
     cand = spark.createDataFrame([(r, c, None, None, False, s) for r, c, s in scores], CANDIDATES)
-    chunks = spark.createDataFrame([("k0", "alpha here"), ("k6", "beta here"), ("low", "beta")], "chunk_id string, chunk_text string")
-    rows = correlate.ambiguous(ev, cand, chunks).withColumn("status", providers.classify(F.col("text"), F.col("evidence"))).collect()
-    assert [(r.requirement_id, r.chunk_ids, r.evidence, r.status) for r in rows] == [("R1", ["k0", "k6", "k5", "k4", "k3"], ["alpha here", "beta here"], "IMPLEMENTED_WITHOUT_EVALUATION")]
-    assert {r.entity_id: r.candidate_chunk_ids for r in correlate.claims_with_candidates(ev, cand).collect()} == {"I1": ["d", "b", "c"], "I2": []}
+    chunks = spark.createDataFrame([("k0", "x.md", "alpha here"), ("k6", "y.md", "beta here"), ("low", "z.md", "beta")], "chunk_id string, source_document string, chunk_text string")
+    done = trace.run(ev.unionByName(ev.limit(5)), cand, chunks)
+    rows = {r.correlation_id: r for r in done.correlations.collect()}
+    assert {k: (r.requirement_entity_id, r.evidence_entity_id, r.status, r.rule_confidence, r.n_supporting) for k, r in rows.items()} == {
+        "ambiguous:R1": ("R1", "k0", "IMPLEMENTED_WITHOUT_EVALUATION", 0.0, 5),
+        "rule:R2": ("R2", "I1", "IMPLEMENTED_AND_VALIDATED", 0.95, 2),
+        "rule:R3": ("R3", "(none)", "REQUIREMENT_NOT_IMPLEMENTED", 0.8, 0),
+        "claim:4": ("R2", "d", "IMPLEMENTED_WITHOUT_EVALUATION", 0.0, 4),
+        "orphan:7": ("R3", "E1", "IMPLEMENTED_WITHOUT_EVALUATION", 0.0, 1),
+        "orphan:8": ("(unlinked)", "E2", "EVALUATION_WITHOUT_REQUIREMENT", 0.8, 1),
+    }
+    support = {}
+    for r in done.support.collect():
+        support.setdefault(r.correlation_id, []).append(r.chunk_id)
+    assert {k: sorted(v) for k, v in support.items()} == {"ambiguous:R1": ["k0", "k3", "k4", "k5", "k6"], "rule:R2": ["c4", "c8"], "claim:4": ["b", "c", "c4", "d"], "orphan:7": ["c6"], "orphan:8": ["c7"]}
+    built = {r.requirement_id: (r.status, r.evidence_count, r.source_documents) for r in done.matrix.collect()}
+    assert built["R1"] == ("IMPLEMENTED_WITHOUT_EVALUATION", 9, ["x.md", "y.md"]) and built["R2"][0] == "IMPLEMENTED_AND_VALIDATED" and built["R4"][0] == "REQUIREMENT_NOT_IMPLEMENTED"
+    only = trace.run(ev, cand, chunks, factory=None, run_id="7")
+    assert only.correlations.count() == 3 and only.correlations.filter("length(correlation_id) = 64").count() == 3
+    none = trace.run(ev.limit(0), cand.limit(0), chunks.limit(0))
+    assert none.correlations.count() == none.support.count() == none.matrix.count() == 0
+
+
+def test_an_older_confident_correlation_does_not_count(spark):
+    ev, co = small_graph(spark)
+    stale = co.filter("correlation_id = 'k1'").withColumn("created_at", F.col("created_at") - F.expr("interval 1 day")).withColumn("correlation_id", F.lit("old")).withColumn("confidence", F.lit(0.99)).withColumn("status", F.lit("IMPLEMENTED_AND_VALIDATED")).withColumn("evidence_entity_id", F.lit("E2"))
+    both = co.unionByName(stale.select(co.columns))
+    assert {r.requirement_id: r.status for r in matrix.load_latest(ev, both).collect()} == {"R1": "PARTIALLY_IMPLEMENTED", "R2": "PARTIALLY_IMPLEMENTED"}
+    assert {r.requirement_id: r.confidence for r in matrix.load_latest(ev, both).collect()}["R1"] == 0.9
+    assert "E2" not in {r.dst for r in graph.correlates_to(ev, both).collect()} and graph.correlates_to(ev, co).count() == graph.correlates_to(ev, both).count()
+    assert graph.correlates_to(ev, both).filter("correlation_id = 'old'").count() == 0
 
 
 @pytest.mark.parametrize(("best", "method", "n", "d", "status", "want"), [(0.85, "deterministic_rule", 2, 2, "IMPLEMENTED_AND_VALIDATED", 0.8201), (0.05, "deterministic_rule", 0, 0, "REQUIREMENT_NOT_IMPLEMENTED", 0.254), (0.0, "deterministic_rule", 1, 1, "EVALUATION_WITHOUT_REQUIREMENT", 0.3375)])
@@ -218,10 +246,29 @@ def test_store(spark, tmp_path):
     assert sorted(tuple(r) for r in store.upsert(old, df(("c", 1, "z")), "k").collect()) == [("a", 1, "x"), ("c", 1, "z")]
     assert store.delete_where(df(("a", 1, None), ("b", 1, "x")), "v", "x").count() == 1
     path = str(tmp_path / "t")
-    store.append(old, path)
+    assert store.current_version(spark, path) is None
+    store.rewrite(old, path)
+    for i in range(4):
+        before = store.read_published(spark, path, "rows")
+        store.rewrite(store.upsert(before, df(("a", i, "new")), "k"), path)
+        assert before.count() == 1  # a reader of the version before can end
+        assert [tuple(r) for r in store.read_published(spark, path, "rows").collect()] == [("a", i, "new")]
+    assert len(list((tmp_path / "t").glob("*/rows"))) == 2
+    tables = str(tmp_path / "tables")
     for _ in range(2):
-        store.rewrite(store.upsert(spark.read.parquet(path), df(("a", 9, "new")), "k"), path)
-        assert [tuple(r) for r in spark.read.parquet(path).collect()] == [("a", 9, "new")]
+        store.create_tables(spark, tables)
+        assert spark.read.parquet(f"{tables}/evidence").count() == 0
+
+
+def test_rebuilding_the_graph_changes_nothing(spark, tmp_path):
+    ev, co = small_graph(spark)
+    seen = [[sorted(map(str, t.collect())) for t in graph.sync(ev, co, str(tmp_path / "g"))] for _ in range(2)]
+    assert seen[0] == seen[1] and any("SourceDocument" in x and "PYTHON" in x for x in seen[0][0])
+    done = {r["name"]: r.n for r in graph.build_statistics(ev, co, graph.nodes(ev), graph.edges(ev, co)).filter("kind = 'skipped'").collect()}
+    assert done == {"placeholder": 1, "chunk without entity": 1}
+    drawn = {(r.src, r.dst): (r.src_label, r.dst_label, r.width) for r in graph.layout(graph.nodes(ev), graph.edges(ev, co), co, "R2").collect()}
+    assert drawn["R2", "I1"] == ("Requirement", "Implementation", 2.0) and drawn["E1", "R2"] == ("Evaluation", "Requirement", 1.0) and drawn["I1", "b.py"][1] == "SourceDocument"
+    assert {(r.source_document, r.entity, r.requirement_id) for r in graph.document_members(graph.edges(ev, co)).collect()} == {("a.pdf", "R1", None), ("a.pdf", "R2", None), ("b.py", "I1", "R1"), ("c.pdf", "E1", "R2"), ("c.pdf", "E2", None)}
 
 
 def test_metrics(spark):
@@ -231,12 +278,65 @@ def test_metrics(spark):
 
 
 def test_providers(spark):
-    df = spark.createDataFrame([("R1 was implemented well.", ["implemented"]), (None, None), ("alpha beta", [])], "t string, e array<string>")
-    rows = df.select(providers.embedding(F.col("t")).alias("v"), providers.classify(F.col("t"), F.col("e")).alias("c"), providers.extract_answers(df, "t").alias("x")).collect()
+    df = spark.createDataFrame([("R1 was implemented well.", ["head\nimplemented"]), (None, None), ("alpha beta", [])], "t string, e array<string>")
+    rows = df.select(providers.embedding(F.col("t")).alias("v"), providers.classify(F.col("t"), F.col("e")).alias("c"), providers.extract_answers(F.col("t"))["answer"].alias("x")).collect()
     assert abs(sum(x * x for x in rows[0].v) - 1) < 1e-5 and sum(rows[1].v) == 0
     assert rows[1].c is None and rows[2].c == "REQUIREMENT_NOT_IMPLEMENTED" and "R1" in rows[0].x
 
 
+class Scripted:
+    """A chat model that gives its answers in turn."""
+
+    def __init__(self, *answers):
+        self.answers, self.seen = list(answers), []
+
+    def chat(self, messages):
+        self.seen.append(messages)
+        answer = self.answers[min(len(self.seen), len(self.answers)) - 1]
+        if isinstance(answer, Exception):
+            raise answer
+        return answer
+
+    def available(self):
+        return True
+
+
+GOOD = '[{"entity_type": "REQUIREMENT", "entity_id": "R1", "text": "t"}]'
+
+
+@pytest.mark.parametrize(
+    ("answers", "attempts", "n"),
+    [([GOOD], 1, 1), (["sorry", GOOD], 2, 1), ([ConnectionError("down"), "[{}]", GOOD], 3, 1), (["no", "no", "no", GOOD], 3, 0), (["[]"], 1, 0), (['[{"entity_type": "X"}, ' + GOOD[1:]], 1, 1)],
+)
+def test_a_model_is_asked_again_until_its_answer_is_valid(spark, answers, attempts, n):
+    df = spark.createDataFrame([("long text " * 1000, "d", "p")], "t string, s string, l string")
+    row = df.select(providers.extract_answers(F.col("t"), F.col("s"), F.col("l"), lambda: providers.PromptedExtractor(Scripted(*answers))).alias("x")).first().x
+    assert row.attempts == attempts and (row.answer == "[]" if n == 0 else GOOD[1:] in row.answer or row.answer == GOOD) and bool(row.errors) == (answers[-1] == GOOD and n == 0)
+
+
+def test_prompts_hold_whole_texts_and_the_errors(spark):
+    model = Scripted("no", "[{}]", "no")
+    for attempt in (1, 2, 3):
+        providers.PromptedExtractor(model).extract("word " * 5000 + "end", ["no JSON found"], attempt, "doc.md", "page 3")
+    assert all(m[-1]["content"].endswith("end") for m in model.seen) and [len(m) for m in model.seen] == [2, 2, 1]
+    assert "- no JSON found" in model.seen[1][1]["content"] and "page 3" in model.seen[0][1]["content"] and "Examples" in model.seen[0][0]["content"] and "Examples" not in model.seen[1][0]["content"]
+    assert len(providers.extraction_messages("x" * 9000, attempt=3, max_chars=2000)[0]["content"]) < 2300
+
+
+@pytest.mark.parametrize(
+    ("answer", "want"),
+    [('{"status": "PARTIALLY_IMPLEMENTED", "reasoning": "r"}', ("PARTIALLY_IMPLEMENTED", "r")), ('Well: {"status": "it is partially_implemented."} ok', ("PARTIALLY_IMPLEMENTED", "")), ('{"status": "unclear"}', None), ("nothing", None), ("", None), ('["x"]', None), ('{"status": null}', None)],
+)
+def test_labels(answer, want):
+    assert providers.parse_label(answer) == want
+
+
+def test_classifier_asks_twice():
+    label = '{"status": "CLAIMED_BUT_NO_EVIDENCE"}'
+    assert providers.PromptedClassifier(Scripted("?", label)).classify("r", ["[Evidence 1]\nt"]) == "CLAIMED_BUT_NO_EVIDENCE"
+    assert providers.PromptedClassifier(Scripted("?", "?", label)).classify("r", ["b\nt"]) is None
+
+
 class ShortEmbedder(providers.HashingEmbedder):
     max_chars = 10
 

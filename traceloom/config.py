@@ -22,6 +22,7 @@ class Settings:
     chat_gap_minutes: int = 30
     max_file_bytes: int = 50 * 1024 * 1024
     max_commits: int = 500
+    max_extraction_retries: int = 3
     min_word_overlap: float = 0.30
     high_score: float = 0.75
     no_evidence_floor: float = 0.30

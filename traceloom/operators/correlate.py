@@ -1,7 +1,7 @@
 """Correlating requirements with evidence: one pass over requirements with pre-aggregated evidence.
 
 What many rows say about a requirement is reduced to flags, counts and firsts before it meets the requirement, so a
-requirement with any share of the rows stays one row.  Supporting chunks stay rows of their own table.
+requirement with any share of the rows stays one row.  Supporting chunks are rows of their own table (``trace.run``).
 Order of decision: a linked implementation, a strong retrieval score, no score worth naming, else
 undecided.  Duplicated rows count once (by ``seq``).
 """
@@ -30,6 +30,9 @@ STATUS_FACTOR = {
 }
 
 
+MOST_NAMED = 5  # candidates that an open requirement takes to the classifier (the reference's number; a parameter everywhere)
+
+
 def best_of(candidates: DataFrame, most: int, least: float | None = None) -> DataFrame:
     """requirement_id, chunk_id, score, rank of each requirement's ``most`` best candidates, those below ``least`` left out."""
     pair = scored_pairs(candidates)
@@ -38,25 +41,6 @@ def best_of(candidates: DataFrame, most: int, least: float | None = None) -> Dat
     return pair.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select(F.col("req_id").alias("requirement_id"), "chunk_id", "score", "rank")
 
 
-def ambiguous(evidence: DataFrame, candidates: DataFrame, chunks: DataFrame, most: int = 5) -> DataFrame:
-    """The requirements that no rule settles, with what the classifier sees; ``chunks``: chunk_id, chunk_text.
-
-    requirement_id, text, chunk_ids (the ``most`` best candidates worth naming, best first), evidence (their texts, of those that have one).
-    """
-    open_ = decide(evidence, candidates).filter("rule_name = 'ambiguous_with_retrieval_evidence'").select("requirement_id")
-    best = best_of(candidates, most, SETTINGS.no_evidence_floor).join(open_, "requirement_id", "left_semi").join(chunks.select("chunk_id", "chunk_text"), "chunk_id", "left")
-    seen = best.groupBy("requirement_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "chunk_text"))).alias("_c"))
-    texts = F.array_compact(F.transform("_c", lambda c: c["chunk_text"]))
-    return requirements(evidence).select("requirement_id", "text").join(seen, "requirement_id").select("requirement_id", "text", F.transform("_c", lambda c: c["chunk_id"]).alias("chunk_ids"), texts.alias("evidence"))
-
-
-def claims_with_candidates(evidence: DataFrame, candidates: DataFrame, most: int = 3) -> DataFrame:
-    """``verbal_claims`` with the ``most`` best candidates of the requirement each is linked to, best first."""
-    best = best_of(candidates, most).groupBy(F.col("requirement_id").alias("linked_requirement")).agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("_c"))
-    rows = verbal_claims(evidence).join(best, "linked_requirement", "left")
-    return rows.select("seq", "entity_id", "linked_requirement", "source_document", F.coalesce(F.transform("_c", lambda c: c["chunk_id"]), F.array().cast("array<string>")).alias("candidate_chunk_ids"))
-
-
 def linked(evidence: DataFrame) -> DataFrame:
     """Per linked requirement: counts, the first implementation, and whether its evaluations are good or bad."""
     rows = evidence.dropDuplicates(["seq"]).filter(F.col("linked_requirement").isNotNull() & (F.trim("linked_requirement") != ""))
@@ -89,8 +73,16 @@ def best_candidates(candidates: DataFrame) -> DataFrame:
     return pair.groupBy(F.col("req_id").alias("requirement_id")).agg((-best["s"]).alias("best_score"), best["c"].alias("best_chunk"), F.count_if(F.col("score") >= s.high_score).alias("n_strong"), F.count_if(F.col("score") >= s.no_evidence_floor).alias("n_named"))
 
 
-def decide(evidence: DataFrame, candidates: DataFrame) -> DataFrame:
-    """requirement_id, rule_name, status (NULL: for the classifier), evidence_entity_id, best_score, n_supporting."""
+def decide(evidence: DataFrame, candidates: DataFrame, most_named: int = MOST_NAMED) -> DataFrame:
+    """requirement_id, rule_name, status (NULL: for the classifier), evidence_entity_id, best_score, n_supporting.
+
+    An open requirement goes to the classifier with its ``most_named`` best candidates; that is what counts as its support.
+    """
+    return decided(evidence, candidates, most_named).select("requirement_id", "rule_name", "status", "evidence_entity_id", "best_score", "n_supporting")
+
+
+def decided(evidence: DataFrame, candidates: DataFrame, most_named: int = MOST_NAMED) -> DataFrame:
+    """``decide`` with the requirement's text, its unrounded best score and what was counted."""
     s = SETTINGS
     known = requirements(evidence).select("requirement_id", "text").join(linked(evidence), "requirement_id", "left").join(best_candidates(candidates), "requirement_id", "left")
     best, n_impl, n_eval = F.coalesce("best_score", F.lit(0.0)), F.coalesce("n_impl", F.lit(0)), F.coalesce("n_eval", F.lit(0))
@@ -105,8 +97,11 @@ def decide(evidence: DataFrame, candidates: DataFrame) -> DataFrame:
     out = known.withColumn("rule_name", rule)
     status = F.when(name.isin("exact_requirement_id_match", "strong_semantic_match"), verdict).when(name == "requirement_with_no_evidence", "REQUIREMENT_NOT_IMPLEMENTED")
     target = F.when(name == "exact_requirement_id_match", F.col("first_impl")).when(name == "strong_semantic_match", F.col("best_chunk")).otherwise("(none)")
-    support = F.when(name == "exact_requirement_id_match", n_impl + n_eval).when(name == "strong_semantic_match", F.coalesce("n_strong", F.lit(0)) + n_eval).when(name == "requirement_with_no_evidence", 0).otherwise(F.least(F.coalesce("n_named", F.lit(0)), F.lit(5)))
-    return out.select("requirement_id", "rule_name", status.alias("status"), target.alias("evidence_entity_id"), F.round(best, 6).alias("best_score"), support.cast("bigint").alias("n_supporting"))
+    support = F.when(name == "exact_requirement_id_match", n_impl + n_eval).when(name == "strong_semantic_match", F.coalesce("n_strong", F.lit(0)) + n_eval).when(name == "requirement_with_no_evidence", 0).otherwise(F.least(F.coalesce("n_named", F.lit(0)), F.lit(most_named)))
+    return out.select(
+        "requirement_id", "text", "rule_name", status.alias("status"), target.alias("evidence_entity_id"), F.round(best, 6).alias("best_score"), support.cast("bigint").alias("n_supporting"),
+        best.alias("best"), n_impl.alias("n_impl"), n_eval.alias("n_eval"), F.coalesce("n_strong", F.lit(0)).alias("n_strong"),
+    )
 
 
 def _overlap(q: pd.DataFrame, r: pd.DataFrame) -> np.ndarray:
@@ -157,23 +152,28 @@ def chunk_documents(evidence: DataFrame) -> DataFrame:
     return evidence.filter("chunk_id is not null").groupBy("chunk_id").agg(F.max(F.struct("seq", "source_document"))["source_document"].alias("source_document"))
 
 
-def support_of(correlation: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Per correlation the supporting chunks that hold evidence, and their distinct documents."""
-    ids = correlation.select("correlation_id", F.explode(F.array_distinct("supporting_chunk_ids")).alias("chunk_id"))
-    return ids.join(chunk_documents(evidence), "chunk_id").groupBy("correlation_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("source_document").alias("n_sources"))
+def listed_support(correlation: DataFrame) -> DataFrame:
+    """correlation_id, chunk_id: the supporting chunks that stored correlations list, each once per correlation."""
+    return correlation.select("correlation_id", F.explode(F.array_distinct("supporting_chunk_ids")).alias("chunk_id"))
+
+
+def support_of(support: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Per correlation the supporting chunks that hold evidence, and their distinct documents; ``support``: correlation_id, chunk_id."""
+    return support.select("correlation_id", "chunk_id").distinct().join(chunk_documents(evidence), "chunk_id").groupBy("correlation_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("source_document").alias("n_sources"))
 
 
-def rescore(correlation: DataFrame, evidence: DataFrame, candidates: DataFrame) -> DataFrame:
+def rescore(correlation: DataFrame, evidence: DataFrame, candidates: DataFrame, support: DataFrame | None = None) -> DataFrame:
     """correlation_id and its formula confidence.
 
-    Counts come from the requirement's candidates, else from supporting rows, else from the ids listed.
+    Counts come from the requirement's candidates, else from supporting rows, else from the chunks listed.  ``support`` replaces the
+    lists (``supporting_chunk_ids``) of stored correlations; the number listed is then the column ``n_supporting``.
     """
     rows = correlation.dropDuplicates(["correlation_id"])
     pairs = candidates.filter("req_id is not null").select(F.col("req_id").alias("requirement_entity_id"), "chunk_id").distinct()
     wide = pairs.join(chunk_documents(evidence), "chunk_id", "left").groupBy("requirement_entity_id").agg(F.count(F.lit(1)).alias("n_candidates"), F.count_distinct("source_document").alias("candidate_sources"))
     best = best_candidates(candidates).select(F.col("requirement_id").alias("requirement_entity_id"), "best_score")
-    joined = rows.join(support_of(rows, evidence), "correlation_id", "left").join(best, "requirement_entity_id", "left").join(wide, "requirement_entity_id", "left")
-    listed = F.greatest(F.coalesce(F.size("supporting_chunk_ids"), F.lit(0)), F.lit(0))
+    joined = rows.join(support_of(listed_support(rows) if support is None else support, evidence), "correlation_id", "left").join(best, "requirement_entity_id", "left").join(wide, "requirement_entity_id", "left")
+    listed = F.greatest(F.coalesce(F.size("supporting_chunk_ids"), F.lit(0)), F.lit(0)) if support is None else F.col("n_supporting")
     n = F.coalesce("n_candidates", "n_rows", listed)
     sources = F.coalesce("candidate_sources", "n_sources", F.lit(0))
     return joined.select("correlation_id", confidence(F.coalesce("best_score", F.lit(0.0)), F.col("resolution_method"), n, sources, F.col("status")).alias("confidence"))

@@ -7,6 +7,9 @@ true source and chunk always replace what an answer claims.
 
 from __future__ import annotations
 
+import json as json_module
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,25 @@ def recover_json(answer: Column) -> Column:
     return F.coalesce(readable(whole), readable(fenced), readable(bare))
 
 
+def read_answer(answer: str | None) -> tuple[list[dict] | None, list[str]]:
+    """(valid items, errors) of one answer, by the rules of ``validate``; None: no readable JSON.  For loops that ask a model again."""
+    text = (answer or "").strip()
+    parts = [text] if text[:1] in ("[", "{") else []
+    parts += [m.group(1) for p in (_FENCE, _BARE) if (m := re.search(p, answer or ""))]
+    for part in parts:
+        try:
+            read = json_module.loads(part)
+        except ValueError:
+            continue
+        valid, errors = [], []
+        for i, x in enumerate(read if isinstance(read, list) else [read]):
+            filled = lambda k: str(x.get(k) or "").strip() != ""  # noqa: B023, E731 - used at once
+            what = "not an object" if not isinstance(x, dict) else "invalid entity_type" if str(x.get("entity_type") or "").strip().upper() not in ENTITY_TYPES else "empty entity_id" if not filled("entity_id") else "empty text" if not filled("text") else ""
+            errors.append(f"item {i}: {what}") if what else valid.append(x)
+        return valid, errors
+    return None, ["no JSON found"]
+
+
 def items(json: Column) -> Column:
     """A list of typed items; an object is a list of one."""
     listed = F.when(json.startswith("{"), F.concat(F.lit("["), json, F.lit("]"))).otherwise(json)

@@ -10,44 +10,51 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.config import STATUS_COLOURS
-from traceloom.operators.correlate import best_of, chunk_documents
+from traceloom.operators.correlate import best_of, chunk_documents, listed_support
 
 IMPLEMENTED = ("IMPLEMENTED_AND_VALIDATED", "IMPLEMENTED_WITHOUT_EVALUATION", "IMPLEMENTED_BUT_NEGATIVELY_EVALUATED")
 
 
 def best_correlations(correlation: DataFrame) -> DataFrame:
-    """Per requirement the correlation of highest confidence, then of lowest ``seq``."""
-    value = F.struct((-F.col("confidence")).alias("_c"), "seq", "correlation_id", "status", "resolution_method", "rule_name", "confidence", "reasoning", "supporting_chunk_ids")
+    """Per requirement the correlation of highest confidence, then of lowest ``seq``; needs ``n_supporting`` or the lists of a stored table."""
+    if "n_supporting" not in correlation.columns:
+        correlation = correlation.withColumn("n_supporting", F.greatest(F.coalesce(F.size("supporting_chunk_ids"), F.lit(0)), F.lit(0)))
+    kept = ["correlation_id", "status", "resolution_method", "rule_name", "confidence", "reasoning", "n_supporting"]
+    value = F.struct((-F.col("confidence")).alias("_c"), "seq", *kept)
     best = correlation.filter("requirement_entity_id is not null").groupBy("requirement_entity_id").agg(F.min(value).alias("_b"))
-    return best.select("requirement_entity_id", "_b.correlation_id", "_b.status", "_b.resolution_method", "_b.rule_name", "_b.confidence", "_b.reasoning", "_b.supporting_chunk_ids")
+    return best.select("requirement_entity_id", *[f"_b.{c}" for c in kept])
 
 
-def documents_of(best: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Per requirement the documents behind its best correlation's chunks, sorted; as long as that row's own list at most."""
-    ids = best.select("requirement_entity_id", F.explode(F.array_distinct("supporting_chunk_ids")).alias("chunk_id"))
-    return ids.join(chunk_documents(evidence), "chunk_id").groupBy("requirement_entity_id").agg(F.array_sort(F.collect_set("source_document")).alias("source_documents"))
+def documents_of(best: DataFrame, support: DataFrame, evidence: DataFrame, candidates: DataFrame | None, chunks: DataFrame | None, most: int) -> DataFrame:
+    """requirement_entity_id, source_document: distinct documents behind the best correlation's chunks and the ``most`` best candidates.
 
-
-def with_candidate_documents(documents: DataFrame, evidence: DataFrame, candidates: DataFrame, most: int) -> DataFrame:
-    """``documents_of`` with those of each requirement's ``most`` best candidates (highest score, then lowest chunk; NaN and null have none)."""
-    theirs = best_of(candidates, most).join(chunk_documents(evidence), "chunk_id").select(F.col("requirement_id").alias("requirement_entity_id"), "source_document")
-    both = documents.select("requirement_entity_id", F.explode("source_documents").alias("source_document")).unionByName(theirs)
-    return both.groupBy("requirement_entity_id").agg(F.array_sort(F.collect_set("source_document")).alias("source_documents"))
-
-
-def build(evidence: DataFrame, correlation: DataFrame, candidates: DataFrame | None = None, candidate_documents: int = 3) -> DataFrame:
+    A candidate's document is that of its chunk (``chunks``: chunk_id, source_document), else that of the evidence taken from it.
+    """
+    known = chunk_documents(evidence)
+    rows = best.select("requirement_entity_id", "correlation_id").join(support.select("correlation_id", "chunk_id"), "correlation_id").join(known, "chunk_id").select("requirement_entity_id", "source_document")
+    if candidates is not None and most:
+        theirs = best_of(candidates, most).select(F.col("requirement_id").alias("requirement_entity_id"), "chunk_id")
+        if chunks is not None:
+            own = chunks.groupBy("chunk_id").agg(F.min("source_document").alias("_own"))
+            theirs = theirs.join(own, "chunk_id", "left").join(known, "chunk_id", "left").withColumn("source_document", F.coalesce("_own", "source_document"))
+        else:
+            theirs = theirs.join(known, "chunk_id")
+        rows = rows.unionByName(theirs.select("requirement_entity_id", "source_document"))
+    return rows.filter("source_document is not null").distinct()
+
+
+def build(evidence: DataFrame, correlation: DataFrame, candidates: DataFrame | None = None, chunks: DataFrame | None = None, support: DataFrame | None = None, candidate_documents: int = 3) -> DataFrame:
     """requirement_id, requirement_text, status, confidence, evidence_count, source_documents, reasoning, resolution_method, colour.
 
-    Source documents are those of the best correlation's chunks and of the ``candidate_documents`` best candidates.
+    Source documents are those of the best correlation's chunks and of the ``candidate_documents`` best candidates.  ``support``
+    (correlation_id, chunk_id) replaces the lists of a stored table.
     """
     wanted = evidence.filter(F.col("entity_type") == "REQUIREMENT").dropDuplicates(["seq"]).select(F.col("entity_id").alias("requirement_id"), F.col("text").alias("requirement_text"), "seq")
     best = best_correlations(correlation)
-    documents = documents_of(best, evidence)
-    if candidates is not None and candidate_documents:
-        documents = with_candidate_documents(documents, evidence, candidates, candidate_documents)
-    documents = documents.withColumnRenamed("requirement_entity_id", "_documents_of")
+    named = documents_of(best, listed_support(correlation) if support is None else support, evidence, candidates, chunks, candidate_documents)
+    documents = named.groupBy(F.col("requirement_entity_id").alias("_documents_of")).agg(F.array_sort(F.collect_list("source_document")).alias("source_documents"))
     rows = wanted.join(best, F.col("requirement_id") == F.col("requirement_entity_id"), "left").join(documents, F.col("requirement_id") == F.col("_documents_of"), "left")
-    n = F.greatest(F.coalesce(F.size("supporting_chunk_ids"), F.lit(0)), F.lit(0))
+    n = F.coalesce("n_supporting", F.lit(0))
     if candidates is not None:
         counts = candidates.groupBy(F.col("req_id").alias("requirement_id")).agg(F.count_distinct("chunk_id").alias("_n"))
         rows = rows.join(counts, "requirement_id", "left")
@@ -61,6 +68,11 @@ def build(evidence: DataFrame, correlation: DataFrame, candidates: DataFrame | N
     )
 
 
+def load_latest(evidence: DataFrame, correlation: DataFrame) -> DataFrame:
+    """The matrix from the stored correlations of each requirement's latest moment, without candidates."""
+    return build(evidence, latest(correlation))
+
+
 def status_distribution(matrix: DataFrame) -> DataFrame:
     n = matrix.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("percent", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 1))  # seven statuses

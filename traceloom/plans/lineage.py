@@ -2,18 +2,43 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``, which all executors share.
+
+    Where none is named, a session in one process (``local``) gets a temporary folder that goes with the process, as in tests;
+    a cluster gets an error, as its executors would not find what one machine wrote.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="traceloom-")
+    atexit.register(shutil.rmtree, folder, True)
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` stored once in the folder that the cluster names in ``spark.checkpoint.dir``.
+    """``df`` stored once in the shared folder.
 
-    A machine-local folder is used only where neither the context nor the setting names one, as in tests.
+    The files are removed when the frame is no longer referred to, if the session sets
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``; else with the folder.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="traceloom-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for tables that a query writes and reads again."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

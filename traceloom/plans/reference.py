@@ -10,13 +10,13 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.config import SOURCE_TYPES
+from traceloom.config import SOURCE_TYPES, STATUS_COLOURS
 from traceloom.functions import text as T
-from traceloom.functions.providers import classify, embedding
-from traceloom.functions.timestamps import normalise
-from traceloom.operators import chunking, correlate, extraction, graph, matrix, metrics, retrieval, store
+from traceloom.functions.providers import embedding
+from traceloom.functions.timestamps import normalise, union_all
+from traceloom.operators import chunking, correlate, extraction, graph, matrix, metrics, retrieval, store, trace
 from traceloom.operators.sessions import sessionise
-from traceloom.plans.lineage import checkpoint
+from traceloom.plans.lineage import checkpoint, scratch
 from traceloom.plans.tables import table
 from traceloom.sources import files, parsers
 
@@ -182,17 +182,32 @@ def k02_replace_by_hash(spark: SparkSession, d: str) -> DataFrame:
     return store.replace_by_key(old, new, "file_hash", ["ingested_at", "filename", "status"])
 
 
-@query("SELECT DISTINCT correlation_id, to_json(supporting_chunk_ids)::VARCHAR AS ids_json FROM correlation WHERE supporting_chunk_ids IS NOT NULL AND confidence BETWEEN 0 AND 1")
+@query("SELECT seq, correlation_id, to_json(coalesce(supporting_chunk_ids, []))::VARCHAR AS ids_json, count(*) AS n FROM correlation WHERE confidence BETWEEN 0 AND 1 GROUP BY ALL")
 def k03_append_rows(spark: SparkSession, d: str) -> DataFrame:
-    good, _ = store.split_valid_correlation(table(spark, d, "correlation"))
-    return good.filter("supporting_chunk_ids is not null").select("correlation_id", F.to_json("supporting_chunk_ids").alias("ids_json")).distinct()
+    """Older, then newer correlations appended to a stored table, which is read again whole."""
+    path = scratch(spark, "k03")
+    for half in _halves(spark, d, "correlation", "created_at"):
+        store.append_correlations(half, path)
+    return spark.read.parquet(path).groupBy("seq", "correlation_id", F.col("supporting_chunk_ids").alias("ids_json")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'evidence' AS name, count(*) AS n FROM evidence WHERE entity_type IN ('REQUIREMENT', 'IMPLEMENTATION', 'EVALUATION') AND trim(source_document) <> '' AND trim(chunk_id) <> '' UNION ALL SELECT 'ingestion_log', count(*) FROM ingestion_log UNION ALL SELECT x, 0 FROM (SELECT unnest(['chunks', 'embeddings', 'correlation']) AS x)")
+def k07_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The store's tables made twice, rows of two of them appended, and counted."""
+    path = scratch(spark, "k07")
+    store.create_tables(spark, path)
+    store.append(store.split_valid_evidence(table(spark, d, "evidence"))[0].select("seq", "entity_type", "entity_id", "text", "linked_requirement", "source_document", "chunk_id", "author", "timestamp", "metadata", "created_at"), f"{path}/evidence")
+    store.append(table(spark, d, "ingestion_log").drop("zone_name"), f"{path}/ingestion_log")
+    store.create_tables(spark, path)
+    counts = [spark.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name in store.TABLES]
+    return union_all(counts)
 
 
 @query(f"""
 WITH old AS (SELECT DISTINCT chunk_uid, char_count FROM raw_chunks WHERE loaded_at < {_HALF} AND chunk_uid % 2 = 0), new AS (SELECT DISTINCT chunk_uid, length(chunk_text) AS char_count FROM raw_chunks)
 SELECT * FROM old WHERE chunk_uid NOT IN (SELECT chunk_uid FROM new) UNION ALL SELECT * FROM new""")
 def k04_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """All chunks with their true length over a store that holds some older rows."""
+    """All chunks with their true length over a store that holds older rows under even numbers."""
     rows = table(spark, d, "raw_chunks")
     old = rows.filter((F.col("loaded_at") < F.lit("2024-07-01").cast("timestamp")) & (F.col("chunk_uid") % 2 == 0)).select("chunk_uid", F.col("char_count").cast("bigint").alias("char_count")).distinct()
     new = rows.select("chunk_uid", F.length("chunk_text").cast("bigint").alias("char_count")).distinct()
@@ -580,44 +595,44 @@ def l05_decide(spark: SparkSession, d: str) -> DataFrame:
     return correlate.decide(table(spark, d, "evidence"), table(spark, d, "candidates"))
 
 
-@query()
-def l08_classified(spark: SparkSession, d: str) -> DataFrame:
-    """The requirements that no rule settles, with the classifier's status from their five best candidates."""
-    chunks = table(spark, d, "raw_chunks").filter("chunk_text is not null").select(T.chunk_id(F.col("source_hash"), F.col("chunk_index")).alias("chunk_id"), "chunk_uid", "chunk_text")
-    one = chunks.groupBy("chunk_id").agg(F.min(F.struct("chunk_uid", "chunk_text"))["chunk_text"].alias("chunk_text"))
-    rows = correlate.ambiguous(table(spark, d, "evidence"), table(spark, d, "candidates"), one)
-    return rows.select("requirement_id", "chunk_ids", F.size("evidence").alias("n_texts"), classify(F.col("text"), F.col("evidence")).alias("status"))
-
-
 @query(f"WITH {_RULES} SELECT rule_name, count(*) AS n, round(sum(best), 4) AS total_score FROM k GROUP BY 1")
 def l11_rule_counts(spark: SparkSession, d: str) -> DataFrame:
     decided = correlate.decide(table(spark, d, "evidence"), table(spark, d, "candidates"))
     return decided.groupBy("rule_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("best_score"), 4).alias("total_score"))
 
 
-@query(f"""
-WITH ev AS (SELECT DISTINCT seq, entity_type, entity_id, text, linked_requirement FROM evidence),
-q AS (SELECT seq, entity_id, {_WORDS.format('text')} AS a FROM ev WHERE entity_type = 'EVALUATION' AND (linked_requirement IS NULL OR trim(linked_requirement) = '')),
-f AS (SELECT entity_id AS requirement_id, arg_min(text, seq) AS text, min(seq) AS rseq FROM ev WHERE entity_type = 'REQUIREMENT' GROUP BY 1), r AS (SELECT requirement_id, rseq, {_WORDS.format('text')} AS b FROM f),
-s AS (SELECT seq, requirement_id, rseq, round(len(list_intersect(a, b))::DOUBLE / len(a), 9) AS o FROM q, r WHERE len(a) > 0 AND len(b) > 0),
-k AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY o DESC, rseq) AS n FROM s)
-SELECT q.seq, q.entity_id, k.requirement_id, round(k.o, 6) AS overlap FROM q LEFT JOIN k ON k.seq = q.seq AND k.n = 1 AND k.o >= 0.3""")
+_ORPHANS = f"""q AS (SELECT seq, entity_id, {_WORDS.format('text')} AS a FROM ev WHERE entity_type = 'EVALUATION' AND (linked_requirement IS NULL OR trim(linked_requirement) = '')),
+fr AS (SELECT entity_id AS requirement_id, arg_min(text, seq) AS text, min(seq) AS rseq FROM ev WHERE entity_type = 'REQUIREMENT' GROUP BY 1), r AS (SELECT requirement_id, rseq, {_WORDS.format('text')} AS b FROM fr),
+ov AS (SELECT seq, requirement_id, rseq, round(len(list_intersect(a, b))::DOUBLE / len(a), 9) AS o FROM q, r WHERE len(a) > 0 AND len(b) > 0),
+ok AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY o DESC, rseq) AS n FROM ov),
+orph AS (SELECT q.seq, q.entity_id, ok.requirement_id, round(ok.o, 6) AS overlap FROM q LEFT JOIN ok ON ok.seq = q.seq AND ok.n = 1 AND ok.o >= 0.3)"""
+
+
+@query(f"WITH ev AS (SELECT DISTINCT seq, entity_type, entity_id, text, linked_requirement FROM evidence), {_ORPHANS} SELECT * FROM orph")
 def l09_orphan_evaluations(spark: SparkSession, d: str) -> DataFrame:
     return correlate.orphan_evaluations(table(spark, d, "evidence"))
 
 
-@query(f"""SELECT DISTINCT seq, entity_id, linked_requirement, source_document FROM evidence WHERE entity_type = 'IMPLEMENTATION' AND {_LIST(T.CLAIMS)}
-AND (contains(lower(source_document), '.txt') OR contains(lower(source_document), 'whatsapp') OR contains(lower(source_document), 'chat') OR contains(lower(source_document), 'email') OR contains(lower(source_document), '.eml'))""")
+_CLAIM = f"""{_LIST(T.CLAIMS)}
+AND (contains(lower(source_document), '.txt') OR contains(lower(source_document), 'whatsapp') OR contains(lower(source_document), 'chat') OR contains(lower(source_document), 'email') OR contains(lower(source_document), '.eml'))"""
+
+
+@query(f"SELECT DISTINCT seq, entity_id, linked_requirement, source_document FROM evidence WHERE entity_type = 'IMPLEMENTATION' AND {_CLAIM}")
 def l10_verbal_claims(spark: SparkSession, d: str) -> DataFrame:
     return correlate.verbal_claims(table(spark, d, "evidence"))
 
 
-@query()
-def l10_claim_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """The claims with the three best candidates of their requirement."""
-    return correlate.claims_with_candidates(table(spark, d, "evidence"), table(spark, d, "candidates"))
+@query(f"SELECT DISTINCT chunk_uid, {_CLAIM.replace('text', 'chunk_text')} AS is_claim FROM raw_chunks WHERE chunk_text IS NOT NULL AND source_document IS NOT NULL")
+def l14_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk: whether it claims work done and comes from a conversation."""
+    rows = table(spark, d, "raw_chunks").filter("chunk_text is not null and source_document is not null")
+    return rows.select("chunk_uid", T.is_claim(F.col("chunk_text"), F.col("source_document")).alias("is_claim")).distinct()
 
 
+_CONFIDENCE = """round(least((0.35 * least(greatest(best, 0), 1) + 0.30 * CASE resolution_method WHEN 'deterministic_rule' THEN 1.0 WHEN 'llm_stage2' THEN 0.7 ELSE 0.5 END
+ + 0.20 * CASE WHEN n = 0 THEN 0.0 WHEN n = 1 THEN 0.5 ELSE least(1.0, ln(n + 1) / ln(6)) END + 0.15 * least(1.0, d / 3.0)::DOUBLE)
+ * CASE status WHEN 'IMPLEMENTED_AND_VALIDATED' THEN 1.0 WHEN 'IMPLEMENTED_WITHOUT_EVALUATION' THEN 0.9 WHEN 'PARTIALLY_IMPLEMENTED' THEN 0.85 WHEN 'IMPLEMENTED_BUT_NEGATIVELY_EVALUATED' THEN 0.85
+   WHEN 'REQUIREMENT_NOT_IMPLEMENTED' THEN 0.8 WHEN 'CLAIMED_BUT_NO_EVIDENCE' THEN 0.7 WHEN 'EVALUATION_WITHOUT_REQUIREMENT' THEN 0.75 ELSE 0.8 END, 1.0)::DOUBLE + 1e-9, 4)"""
 _OWNER = "own AS (SELECT chunk_id, arg_max(source_document, seq) AS source_document FROM evidence WHERE chunk_id IS NOT NULL GROUP BY 1)"
 
 
@@ -628,10 +643,7 @@ cp AS (SELECT DISTINCT req_id, chunk_id FROM candidates WHERE req_id IS NOT NULL
 b AS (SELECT req_id, max(combined_score) AS best FROM candidates WHERE combined_score IS NOT NULL AND NOT isnan(combined_score) GROUP BY 1),
 j AS (SELECT correlation_id, status, resolution_method, coalesce(best, 0) AS best, coalesce(nc, n_rows, len(supporting_chunk_ids), 0) AS n, coalesce(cs, n_sources, 0) AS d
   FROM c LEFT JOIN sup USING (correlation_id) LEFT JOIN b ON b.req_id = requirement_entity_id LEFT JOIN cw ON cw.req_id = requirement_entity_id)
-SELECT correlation_id, round(least((0.35 * least(greatest(best, 0), 1) + 0.30 * CASE resolution_method WHEN 'deterministic_rule' THEN 1.0 WHEN 'llm_stage2' THEN 0.7 ELSE 0.5 END
- + 0.20 * CASE WHEN n = 0 THEN 0.0 WHEN n = 1 THEN 0.5 ELSE least(1.0, ln(n + 1) / ln(6)) END + 0.15 * least(1.0, d / 3.0)::DOUBLE)
- * CASE status WHEN 'IMPLEMENTED_AND_VALIDATED' THEN 1.0 WHEN 'IMPLEMENTED_WITHOUT_EVALUATION' THEN 0.9 WHEN 'PARTIALLY_IMPLEMENTED' THEN 0.85 WHEN 'IMPLEMENTED_BUT_NEGATIVELY_EVALUATED' THEN 0.85
-   WHEN 'REQUIREMENT_NOT_IMPLEMENTED' THEN 0.8 WHEN 'CLAIMED_BUT_NO_EVIDENCE' THEN 0.7 WHEN 'EVALUATION_WITHOUT_REQUIREMENT' THEN 0.75 ELSE 0.8 END, 1.0)::DOUBLE + 1e-9, 4) AS confidence FROM j""")
+SELECT correlation_id, {_CONFIDENCE} AS confidence FROM j""")
 def l19_confidence(spark: SparkSession, d: str) -> DataFrame:
     return correlate.rescore(table(spark, d, "correlation"), table(spark, d, "evidence"), table(spark, d, "candidates"))
 
@@ -640,17 +652,29 @@ def l19_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 _BEST = """best AS (SELECT requirement_entity_id, arg_min(correlation_id, (-confidence, seq)) AS correlation_id FROM correlation WHERE requirement_entity_id IS NOT NULL GROUP BY 1),
 c1 AS (SELECT DISTINCT ON (correlation_id) * FROM correlation), b AS (SELECT c1.* FROM best JOIN c1 USING (correlation_id))"""
-_MATRIX = f"""{_BEST}, {_OWNER},
-docs AS (SELECT requirement_entity_id, list_sort(list(DISTINCT source_document)) AS source_documents FROM (SELECT DISTINCT requirement_entity_id, unnest(supporting_chunk_ids) AS chunk_id FROM b) JOIN own USING (chunk_id) GROUP BY 1),
+# every stored correlation of a requirement's latest second, and the best of them
+_LATEST = """lt AS (SELECT c.* FROM correlation c JOIN (SELECT requirement_entity_id, max(date_trunc('second', created_at)) AS last FROM correlation GROUP BY 1) x
+  ON x.requirement_entity_id = c.requirement_entity_id AND date_trunc('second', c.created_at) = x.last)"""
+_CHUNKS = """ck AS (SELECT sha256(source_hash || '::' || chunk_index::VARCHAR) AS chunk_id, arg_min(source_document, chunk_uid) AS source_document, arg_min(chunk_text, chunk_uid) AS chunk_text FROM raw_chunks WHERE chunk_text IS NOT NULL GROUP BY 1)"""
+_TOP = """cs AS (SELECT req_id, chunk_id, max(combined_score) AS s FROM candidates WHERE combined_score IS NOT NULL AND NOT isnan(combined_score) GROUP BY 1, 2),
+top AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY s DESC, chunk_id) AS n FROM cs)"""
+_MATRIX = f"""{_BEST}, {_OWNER}, {_CHUNKS}, {_TOP},
+dr AS (SELECT requirement_entity_id AS id, source_document FROM (SELECT requirement_entity_id, unnest(supporting_chunk_ids) AS chunk_id FROM b) JOIN own USING (chunk_id)
+  UNION SELECT req_id, coalesce(ck.source_document, own.source_document) FROM top LEFT JOIN ck USING (chunk_id) LEFT JOIN own USING (chunk_id) WHERE n <= 3),
+docs AS (SELECT id, list_sort(list(source_document)) AS source_documents FROM dr WHERE source_document IS NOT NULL GROUP BY 1),
 nc AS (SELECT req_id, count(DISTINCT chunk_id) AS n FROM candidates GROUP BY 1),
 m AS (SELECT r.entity_id AS requirement_id, r.seq, coalesce(b.status, 'REQUIREMENT_NOT_IMPLEMENTED') AS status, coalesce(b.confidence, 0.0) AS confidence, greatest(coalesce(len(b.supporting_chunk_ids), 0), coalesce(nc.n, 0)) AS evidence_count,
   coalesce(source_documents, []) AS source_documents, coalesce(b.resolution_method, 'none') AS resolution_method
-  FROM (SELECT DISTINCT seq, entity_id FROM evidence WHERE entity_type = 'REQUIREMENT') r LEFT JOIN b ON b.requirement_entity_id = r.entity_id LEFT JOIN docs ON docs.requirement_entity_id = r.entity_id LEFT JOIN nc ON nc.req_id = r.entity_id)"""
+  FROM (SELECT DISTINCT seq, entity_id FROM evidence WHERE entity_type = 'REQUIREMENT') r LEFT JOIN b ON b.requirement_entity_id = r.entity_id LEFT JOIN docs ON docs.id = r.entity_id LEFT JOIN nc ON nc.req_id = r.entity_id)"""
+
+
+def _chunk_documents(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "raw_chunks").filter("chunk_text is not null")
+    return rows.select(T.chunk_id(F.col("source_hash"), F.col("chunk_index")).alias("chunk_id"), "source_document")
 
 
-def _matrix(spark: SparkSession, d: str, candidate_documents: int = 0) -> DataFrame:
-    """Without the candidates' documents, as the SQL has it, if not asked for."""
-    return matrix.build(table(spark, d, "evidence"), table(spark, d, "correlation"), table(spark, d, "candidates"), candidate_documents)
+def _matrix(spark: SparkSession, d: str) -> DataFrame:
+    return matrix.build(table(spark, d, "evidence"), table(spark, d, "correlation"), table(spark, d, "candidates"), _chunk_documents(spark, d))
 
 
 @query(f"WITH {_BEST} SELECT requirement_entity_id, correlation_id, status, confidence FROM b")
@@ -658,26 +682,22 @@ def m03_best_correlation(spark: SparkSession, d: str) -> DataFrame:
     return matrix.best_correlations(table(spark, d, "correlation")).select("requirement_entity_id", "correlation_id", "status", "confidence")
 
 
-@query(f"WITH {_MATRIX} SELECT requirement_id, seq, status, confidence, evidence_count, array_to_string(source_documents, '; ') AS source_documents, resolution_method FROM m")
-def m04_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """``source_documents`` are those of the supporting chunks only, as in the SQL; ``m05_matrix`` has the candidates' too."""
-    return _matrix_rows(_matrix(spark, d))
-
-
 def _matrix_rows(rows: DataFrame) -> DataFrame:
     return rows.select("requirement_id", "seq", "status", "confidence", "evidence_count", F.array_join("source_documents", "; ").alias("source_documents"), "resolution_method")
 
 
-@query()
-def m05_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """The matrix with the documents of each requirement's three best candidates."""
-    return _matrix_rows(_matrix(spark, d, 3))
+_MATRIX_ROWS = "requirement_id, seq, status, confidence, evidence_count, array_to_string(source_documents, '; ') AS source_documents, resolution_method"
 
 
-@query()
-def m07_coverage_all(spark: SparkSession, d: str) -> DataFrame:
-    """Requirements per document, those that come from candidates alone included."""
-    return matrix.coverage_by_source(_matrix(spark, d, 3))
+@query(f"WITH {_MATRIX} SELECT {_MATRIX_ROWS} FROM m")
+def m04_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Documents are those of the supporting chunks and of the three best candidates (M05)."""
+    return _matrix_rows(_matrix(spark, d))
+
+
+@query(f"WITH {_MATRIX} SELECT requirement_id, seq, unnest(source_documents) AS source_document FROM m")
+def m05_matrix_documents(spark: SparkSession, d: str) -> DataFrame:
+    return _matrix(spark, d).select("requirement_id", "seq", F.explode("source_documents").alias("source_document"))
 
 
 @query(f"WITH {_MATRIX} SELECT source_document, count(*) AS n_requirements FROM (SELECT unnest(source_documents) AS source_document FROM m) GROUP BY 1")
@@ -697,22 +717,32 @@ def m10_summary(spark: SparkSession, d: str) -> DataFrame:
     return matrix.summary(_matrix(spark, d))
 
 
+_COLOURS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in STATUS_COLOURS.items()) + "}"
+
+
+@query(f"WITH {_MATRIX} SELECT requirement_id, seq, {_COLOURS}[status] AS colour FROM m ORDER BY requirement_id, seq")
+def m11_colours(spark: SparkSession, d: str) -> DataFrame:
+    """Sorted by requirement, as the matrix is shown (M09)."""
+    return _matrix(spark, d).select("requirement_id", "seq", "colour").orderBy("requirement_id", "seq")
+
+
 @query(f"WITH {_MATRIX} SELECT requirement_id, seq, status, confidence FROM m WHERE status IN ('PARTIALLY_IMPLEMENTED', 'CLAIMED_BUT_NO_EVIDENCE') AND confidence >= 0.5")
 def m12_filtered(spark: SparkSession, d: str) -> DataFrame:
     return matrix.filtered(_matrix(spark, d), ["PARTIALLY_IMPLEMENTED", "CLAIMED_BUT_NO_EVIDENCE"], 0.5).select("requirement_id", "seq", "status", "confidence")
 
 
-@query("""
-WITH l AS (SELECT requirement_entity_id, max(date_trunc('second', created_at)) AS at FROM correlation GROUP BY 1)
-SELECT DISTINCT seq, correlation_id, c.requirement_entity_id, status FROM correlation c JOIN l ON l.requirement_entity_id = c.requirement_entity_id AND date_trunc('second', c.created_at) = l.at""")
+@query(f"WITH {_LATEST} SELECT DISTINCT seq, correlation_id, requirement_entity_id, status FROM lt")
 def m13_latest(spark: SparkSession, d: str) -> DataFrame:
     return matrix.latest(table(spark, d, "correlation")).select("seq", "correlation_id", "requirement_entity_id", "status").distinct()
 
 
-@query(f"WITH {_MATRIX} SELECT m.requirement_id, m.seq, m.status, m.confidence, coalesce(len(b.supporting_chunk_ids), 0) AS evidence_count FROM m LEFT JOIN b ON b.requirement_entity_id = m.requirement_id")
+@query(f"""WITH {_LATEST}, lb AS (SELECT requirement_entity_id, arg_min(correlation_id, (-confidence, seq)) AS correlation_id FROM lt GROUP BY 1), l1 AS (SELECT DISTINCT ON (correlation_id) lt.* FROM lt JOIN lb USING (correlation_id)), {_OWNER},
+ld AS (SELECT requirement_entity_id AS id, list_sort(list(DISTINCT source_document)) AS docs FROM (SELECT requirement_entity_id, unnest(supporting_chunk_ids) AS chunk_id FROM l1) JOIN own USING (chunk_id) WHERE source_document IS NOT NULL GROUP BY 1)
+SELECT r.entity_id AS requirement_id, r.seq, coalesce(status, 'REQUIREMENT_NOT_IMPLEMENTED') AS status, coalesce(confidence, 0.0) AS confidence, coalesce(len(supporting_chunk_ids), 0) AS evidence_count, coalesce(array_to_string(docs, '; '), '') AS source_documents,
+ coalesce(resolution_method, 'none') AS resolution_method FROM (SELECT DISTINCT seq, entity_id FROM evidence WHERE entity_type = 'REQUIREMENT') r LEFT JOIN l1 ON l1.requirement_entity_id = r.entity_id LEFT JOIN ld ON ld.id = r.entity_id""")
 def m02_load_latest(spark: SparkSession, d: str) -> DataFrame:
-    """The matrix from stored correlations alone."""
-    return matrix.build(table(spark, d, "evidence"), table(spark, d, "correlation")).select("requirement_id", "seq", "status", "confidence", "evidence_count")
+    """The matrix from each requirement's latest stored correlations alone."""
+    return _matrix_rows(matrix.load_latest(table(spark, d, "evidence"), table(spark, d, "correlation")))
 
 
 @query("SELECT requirement_entity_id, arg_max(correlation_id, (created_at, seq)) AS correlation_id, max(created_at) AS created_at FROM correlation WHERE requirement_entity_id IS NOT NULL GROUP BY 1")
@@ -722,14 +752,99 @@ def m14_latest_one(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("requirement_entity_id", "_l.correlation_id", "_l.created_at")
 
 
+@query(f"WITH {_MATRIX} SELECT {_MATRIX_ROWS} FROM m")
+def k06_export(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix written as CSV and read again."""
+    path = scratch(spark, "k06")
+    matrix.export(_matrix(spark, d).drop("requirement_text", "reasoning", "colour"), path, "csv")
+    schema = "requirement_id string, seq bigint, status string, confidence double, evidence_count bigint, source_documents string, resolution_method string"
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).schema(schema).csv(path).na.fill("", ["source_documents"])
+
+
+# ---- the whole run ----------------------------------------------------------------------------------------
+
+_ITEM_TEXT = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
+_RUN = f"""{_RULES}, {_ORPHANS}, {_OWNER}, {_CHUNKS}, {_TOP},
+er AS (SELECT DISTINCT ON (seq) seq, entity_type, entity_id, text, linked_requirement, source_document, chunk_id FROM evidence),
+ft AS (SELECT entity_id AS requirement_id, arg_min(text, seq) AS rtext FROM er WHERE entity_type = 'REQUIREMENT' GROUP BY 1),
+pairs AS (
+ SELECT 'ambiguous:' || requirement_id AS correlation_id, 1 AS step, NULL::BIGINT AS eseq, requirement_id, rtext, 5 AS most, 0.30 AS least FROM k JOIN ft USING (requirement_id) WHERE rule_name = 'ambiguous_with_retrieval_evidence'
+ UNION ALL SELECT 'orphan:' || seq, 2, seq, requirement_id, rtext, 0, 0 FROM orph JOIN ft USING (requirement_id)
+ UNION ALL SELECT 'claim:' || seq, 3, seq, linked_requirement, rtext, 3, -1 FROM er JOIN ft ON ft.requirement_id = linked_requirement WHERE entity_type = 'IMPLEMENTATION' AND {_CLAIM}),
+op AS (SELECT * FROM pairs WHERE rtext <> ''),
+items AS (SELECT correlation_id, n AS position, chunk_id, chunk_text AS text FROM op JOIN top ON top.req_id = requirement_id AND n <= most AND s >= least LEFT JOIN ck USING (chunk_id)
+ UNION ALL SELECT correlation_id, 6, chunk_id, text FROM op JOIN er ON er.seq = eseq),
+tw AS (SELECT correlation_id, list_distinct(flatten(list({_ITEM_TEXT.format('text')}))) AS w FROM items WHERE text IS NOT NULL GROUP BY 1),
+sh AS (SELECT op.*, w IS NULL AS none, list_distinct({_ITEM_TEXT.format('rtext')}) AS rw, w FROM op LEFT JOIN tw USING (correlation_id)),
+lab AS (SELECT *, CASE WHEN none THEN 'REQUIREMENT_NOT_IMPLEMENTED' WHEN len(rw) > 0 AND len(list_intersect(rw, w))::DOUBLE / len(rw) >= 0.7 THEN 'IMPLEMENTED_WITHOUT_EVALUATION' WHEN len(rw) > 0 AND len(list_intersect(rw, w))::DOUBLE / len(rw) >= 0.4 THEN 'PARTIALLY_IMPLEMENTED' ELSE 'CLAIMED_BUT_NO_EVIDENCE' END AS status FROM sh),
+co AS (
+ SELECT 'rule:' || requirement_id AS correlation_id, 0::BIGINT AS seq, requirement_id, CASE rule_name WHEN 'exact_requirement_id_match' THEN fi WHEN 'strong_semantic_match' THEN bc ELSE '(none)' END AS evidence_entity_id,
+  CASE WHEN rule_name = 'requirement_with_no_evidence' THEN 'REQUIREMENT_NOT_IMPLEMENTED' ELSE verdict END AS status, 'deterministic_rule' AS resolution_method, rule_name,
+  CASE rule_name WHEN 'exact_requirement_id_match' THEN CASE WHEN ne > 0 THEN 0.95 ELSE 0.85 END WHEN 'strong_semantic_match' THEN round(least(best, 1.0) + 1e-9, 4) ELSE 0.80 END::DOUBLE AS rule_confidence FROM k WHERE rule_name <> 'ambiguous_with_retrieval_evidence'
+ UNION ALL SELECT 'orphan:' || seq, 2 * (1::BIGINT << 48) + seq, '(unlinked)', entity_id, 'EVALUATION_WITHOUT_REQUIREMENT', 'deterministic_rule', 'orphan_evaluation', 0.80 FROM orph WHERE requirement_id IS NULL
+ UNION ALL SELECT l.correlation_id, step * (1::BIGINT << 48) + coalesce(eseq, 0), requirement_id, CASE WHEN none THEN '(none)' ELSE coalesce((SELECT min(i.chunk_id) FROM items i WHERE i.correlation_id = l.correlation_id AND position = 1), er.entity_id) END, status, 'llm_stage2', NULL, 0.0 FROM lab l LEFT JOIN er ON er.seq = eseq),
+su AS (
+ SELECT 'rule:' || requirement_id AS correlation_id, er.chunk_id FROM k JOIN er ON er.linked_requirement = requirement_id WHERE (rule_name = 'exact_requirement_id_match' AND entity_type IN ('IMPLEMENTATION', 'EVALUATION')) OR (rule_name = 'strong_semantic_match' AND entity_type = 'EVALUATION')
+ UNION ALL SELECT 'rule:' || requirement_id, chunk_id FROM k JOIN cs ON req_id = requirement_id AND s >= 0.75 WHERE rule_name = 'strong_semantic_match'
+ UNION ALL SELECT 'orphan:' || seq, chunk_id FROM orph JOIN er USING (seq) WHERE requirement_id IS NULL
+ UNION ALL SELECT correlation_id, chunk_id FROM items JOIN lab USING (correlation_id) WHERE NOT none),
+sup AS (SELECT * FROM su WHERE chunk_id IS NOT NULL), ns AS (SELECT correlation_id, count(*) AS n_supporting FROM sup GROUP BY 1),
+sr AS (SELECT correlation_id, count(*) AS n_rows, count(DISTINCT source_document) AS n_sources FROM (SELECT DISTINCT correlation_id, chunk_id FROM sup) JOIN own USING (chunk_id) GROUP BY 1),
+cw AS (SELECT req_id, count(*) AS nc, count(DISTINCT source_document) AS csrc FROM (SELECT DISTINCT req_id, chunk_id FROM candidates WHERE req_id IS NOT NULL) LEFT JOIN own USING (chunk_id) GROUP BY 1),
+sj AS (SELECT co.*, coalesce(n_supporting, 0) AS n_supporting, coalesce(nc, n_rows, n_supporting, 0) AS n, coalesce(csrc, n_sources, 0) AS d, coalesce((SELECT max(s) FROM cs WHERE cs.req_id = co.requirement_id), 0) AS best
+ FROM co LEFT JOIN ns USING (correlation_id) LEFT JOIN sr USING (correlation_id) LEFT JOIN cw ON cw.req_id = co.requirement_id),
+sc AS (SELECT *, {_CONFIDENCE} AS confidence FROM sj)"""
+
+
+def _run(spark: SparkSession, d: str, with_matrix: bool = False) -> trace.Run:
+    return trace.run(table(spark, d, "evidence"), table(spark, d, "candidates"), trace.chunk_texts(table(spark, d, "raw_chunks")), with_matrix=with_matrix)
+
+
+@query(f"""WITH {_RUN}, rb AS (SELECT requirement_id, arg_min(correlation_id, (-confidence, seq)) AS correlation_id FROM sc GROUP BY 1), rc AS (SELECT sc.* FROM sc JOIN rb USING (correlation_id)),
+rd AS (SELECT requirement_id AS id, source_document FROM rc JOIN sup USING (correlation_id) JOIN own USING (chunk_id) UNION SELECT req_id, coalesce(ck.source_document, own.source_document) FROM top LEFT JOIN ck USING (chunk_id) LEFT JOIN own USING (chunk_id) WHERE n <= 3),
+rl AS (SELECT id, list_sort(list(source_document)) AS docs FROM rd WHERE source_document IS NOT NULL GROUP BY 1), rn AS (SELECT req_id, count(DISTINCT chunk_id) AS cn FROM candidates GROUP BY 1)
+SELECT r.entity_id AS requirement_id, r.seq, coalesce(rc.status, 'REQUIREMENT_NOT_IMPLEMENTED') AS status, coalesce(rc.confidence, 0.0) AS confidence, greatest(coalesce(rc.n_supporting, 0), coalesce(cn, 0)) AS evidence_count,
+ coalesce(array_to_string(docs, '; '), '') AS source_documents, coalesce(rc.resolution_method, 'none') AS resolution_method
+ FROM (SELECT seq, entity_id FROM er WHERE entity_type = 'REQUIREMENT') r LEFT JOIN rc ON rc.requirement_id = r.entity_id LEFT JOIN rl ON rl.id = r.entity_id LEFT JOIN rn ON rn.req_id = r.entity_id""")
+def m01_run(spark: SparkSession, d: str) -> DataFrame:
+    """Rules, classifier, confidence and matrix in one run over all requirements."""
+    return _matrix_rows(_run(spark, d, True).matrix)
+
+
+@query(f"WITH {_RUN} SELECT correlation_id, requirement_id AS requirement_entity_id, evidence_entity_id, status, resolution_method, rule_name, rule_confidence, confidence, n_supporting FROM sc")
+def m01_correlations(spark: SparkSession, d: str) -> DataFrame:
+    """All correlations of a run: rules, orphan evaluations, and what the classifier settled."""
+    return _run(spark, d).correlations.drop("seq", "reasoning")
+
+
+@query(f"WITH {_RUN} SELECT correlation_id, chunk_id, count(*) AS n FROM sup GROUP BY ALL")
+def l05_support(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks behind each correlation of a run, as rows (repeats counted)."""
+    return _run(spark, d).support.groupBy("correlation_id", "chunk_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_RUN} SELECT correlation_id, requirement_id AS requirement_entity_id, status FROM lab")
+def l15_classified(spark: SparkSession, d: str) -> DataFrame:
+    """What the classifier makes of open requirements, loosely matching evaluations and verbal claims."""
+    return _run(spark, d).correlations.filter("resolution_method = 'llm_stage2'").select("correlation_id", "requirement_entity_id", "status")
+
+
+@query(f"WITH {_RUN} SELECT correlation_id, position, chunk_id, length(text) AS n_chars FROM items")
+def l16_classifier_items(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that the classifier reads of each pair, in their order."""
+    evidence, candidates = table(spark, d, "evidence"), table(spark, d, "candidates")
+    items = trace.open_pairs(evidence, candidates, trace.chunk_texts(table(spark, d, "raw_chunks")), correlate.decided(evidence, candidates), correlate.orphan_evaluations(evidence))[1]
+    return items.select("correlation_id", "position", "chunk_id", F.length("text").alias("n_chars"))
+
+
 # ---- graph -----------------------------------------------------------------------------------------------
 
-_EDGES = """
+_EDGES = f"""{_LATEST},
 ev AS (SELECT DISTINCT seq, entity_type, entity_id, linked_requirement, source_document, chunk_id FROM evidence),
 ownr AS (SELECT chunk_id, arg_max(entity_id, (CASE entity_type WHEN 'EVALUATION' THEN 3 WHEN 'IMPLEMENTATION' THEN 2 ELSE 1 END, seq)) AS owner FROM ev WHERE chunk_id IS NOT NULL GROUP BY 1),
 rq AS (SELECT DISTINCT entity_id AS id FROM ev WHERE entity_type = 'REQUIREMENT'),
-cc AS (SELECT DISTINCT ON (correlation_id) correlation_id, requirement_entity_id AS src, evidence_entity_id FROM correlation WHERE evidence_entity_id NOT IN ('', '(none)', '(unlinked)', '(unknown)') AND requirement_entity_id NOT IN ('', '(none)', '(unlinked)', '(unknown)')),
-cr AS (SELECT correlation_id, src, CASE WHEN regexp_matches(evidence_entity_id, '^[0-9a-f]{64}$') THEN owner ELSE evidence_entity_id END AS dst FROM cc LEFT JOIN ownr ON ownr.chunk_id = cc.evidence_entity_id),
+cc AS (SELECT DISTINCT ON (correlation_id) correlation_id, requirement_entity_id AS src, evidence_entity_id FROM lt WHERE evidence_entity_id NOT IN ('', '(none)', '(unlinked)', '(unknown)') AND requirement_entity_id NOT IN ('', '(none)', '(unlinked)', '(unknown)')),
+cr AS (SELECT correlation_id, src, CASE WHEN regexp_matches(evidence_entity_id, '^[0-9a-f]{{64}}$') THEN owner ELSE evidence_entity_id END AS dst FROM cc LEFT JOIN ownr ON ownr.chunk_id = cc.evidence_entity_id),
 edges AS (
  SELECT DISTINCT 'EXTRACTED_FROM' AS rel_type, entity_id AS src, source_document AS dst, NULL::VARCHAR AS correlation_id FROM ev WHERE entity_id IS NOT NULL AND source_document IS NOT NULL
  UNION ALL SELECT DISTINCT 'EXPLICITLY_LINKS', entity_id, linked_requirement, NULL FROM ev WHERE entity_type = 'IMPLEMENTATION' AND linked_requirement IN (SELECT id FROM rq)
@@ -777,6 +892,15 @@ def g03_nodes(spark: SparkSession, d: str) -> DataFrame:
     return _graph(spark, d)[0].select("label", "key", "source_document")
 
 
+_SOURCE_TYPE = r"""CASE WHEN regexp_matches(lower({0}), 'whatsapp|chat') THEN 'WHATSAPP' WHEN regexp_matches(lower({0}), 'git|commit') THEN 'GIT'
+ ELSE coalesce(MAP {{'pdf': 'PDF', 'docx': 'DOCX', 'doc': 'DOCX', 'py': 'PYTHON', 'md': 'MARKDOWN', 'txt': 'TEXT', 'eml': 'EMAIL', 'msg': 'EMAIL'}}[regexp_extract(lower({0}), '\.([^.]*)$', 1)], 'UNKNOWN') END"""
+
+
+@query(f"WITH {_EDGES} SELECT key, {_SOURCE_TYPE.format('key')} AS source_type FROM nodes WHERE label = 'SourceDocument'")
+def g04_document_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return _graph(spark, d)[0].filter("label = 'SourceDocument'").select("key", "source_type")
+
+
 @query(f"WITH {_EDGES} SELECT rel_type, src, dst, correlation_id FROM edges")
 def g06_edges(spark: SparkSession, d: str) -> DataFrame:
     return _graph(spark, d)[1]
@@ -819,8 +943,16 @@ def g14_orphans(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_EDGES}, o AS (SELECT src AS entity, dst AS source_document FROM edges WHERE rel_type = 'EXTRACTED_FROM'), t AS (SELECT DISTINCT src AS entity, dst AS requirement_id FROM edges WHERE rel_type IN ('EXPLICITLY_LINKS', 'EVALUATES'))
 SELECT source_document, count(DISTINCT entity) AS n_entities, count(DISTINCT requirement_id) AS n_requirements FROM o LEFT JOIN t USING (entity) GROUP BY 1""")
 def g15_document_coverage(spark: SparkSession, d: str) -> DataFrame:
-    node, edge = _graph(spark, d)
-    return graph.document_coverage(edge, node)
+    return graph.document_coverage(_graph(spark, d)[1])
+
+
+_MEMBERS = "o AS (SELECT src AS entity, dst AS source_document FROM edges WHERE rel_type = 'EXTRACTED_FROM'), t AS (SELECT DISTINCT src AS entity, dst AS requirement_id FROM edges WHERE rel_type IN ('EXPLICITLY_LINKS', 'EVALUATES'))"
+
+
+@query(f"WITH {_EDGES}, {_MEMBERS} SELECT source_document, entity, requirement_id FROM o LEFT JOIN t USING (entity)")
+def g15_document_members(spark: SparkSession, d: str) -> DataFrame:
+    """Each entity of a document with each requirement it links to."""
+    return graph.document_members(_graph(spark, d)[1])
 
 
 @query(f"WITH {_EDGES} SELECT rel_type, src, dst, correlation_id FROM edges WHERE rel_type <> 'EXTRACTED_FROM'")
@@ -833,6 +965,30 @@ def g17_statistics(spark: SparkSession, d: str) -> DataFrame:
     return graph.statistics(*_graph(spark, d))
 
 
+@query(f"""WITH {_EDGES}, gone AS (SELECT DISTINCT ON (correlation_id) correlation_id, coalesce(evidence_entity_id IN ('', '(none)', '(unlinked)', '(unknown)') OR requirement_entity_id IN ('', '(none)', '(unlinked)', '(unknown)'), true) AS g FROM lt)
+SELECT 'node' AS kind, label AS name, count(*) AS n FROM nodes GROUP BY 1, 2 UNION ALL SELECT 'edge', rel_type, count(*) FROM edges GROUP BY 1, 2
+UNION ALL SELECT 'skipped', 'placeholder', count(*) FROM gone WHERE g UNION ALL SELECT 'skipped', 'chunk without entity', count(*) FROM cr WHERE dst IS NULL""")
+def g09_build_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return graph.build_statistics(table(spark, d, "evidence"), table(spark, d, "correlation"), *_graph(spark, d))
+
+
+@query(f"WITH {_EDGES} SELECT 'node' AS kind, label AS name, count(*) AS n FROM nodes GROUP BY 1, 2 UNION ALL SELECT 'edge', rel_type, count(*) FROM edges GROUP BY 1, 2")
+def g10_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """The stored graph after two whole rebuilds."""
+    path, tables = scratch(spark, "g10"), (table(spark, d, "evidence"), table(spark, d, "correlation"))
+    graph.sync(*tables, path)
+    return graph.statistics(*graph.sync(*tables, path))
+
+
+@query(f"""WITH {_EDGES}, h AS (SELECT DISTINCT 1 AS hop, rel_type, src, dst FROM edges WHERE src = {_HOT} OR dst = {_HOT}), nb AS (SELECT DISTINCT CASE WHEN src = {_HOT} THEN dst ELSE src END AS id FROM h),
+ego AS (SELECT * FROM h UNION ALL SELECT DISTINCT 2, rel_type, src, dst FROM edges WHERE rel_type = 'EXTRACTED_FROM' AND src <> {_HOT} AND src IN (SELECT id FROM nb)),
+lb AS (SELECT key, arg_min(label, CASE label WHEN 'Requirement' THEN 0 WHEN 'Implementation' THEN 1 WHEN 'Evaluation' THEN 2 ELSE 3 END) AS label FROM nodes GROUP BY 1),
+w AS (SELECT rel_type, src, dst, arg_min(status, (-confidence, x.correlation_id)) AS status, max(confidence) AS confidence FROM edges x JOIN (SELECT DISTINCT ON (correlation_id) correlation_id, status, confidence FROM correlation) USING (correlation_id) WHERE rel_type = 'CORRELATES_TO' GROUP BY ALL)
+SELECT hop, ego.rel_type, ego.src, a.label AS src_label, ego.dst, z.label AS dst_label, status, greatest(1.0, 4 * coalesce(confidence, 0.0)) AS width FROM ego LEFT JOIN w ON w.rel_type = ego.rel_type AND w.src = ego.src AND w.dst = ego.dst AND ego.src = {_HOT} LEFT JOIN lb a ON a.key = ego.src LEFT JOIN lb z ON z.key = ego.dst""")
+def g19_layout(spark: SparkSession, d: str) -> DataFrame:
+    return graph.layout(*_graph(spark, d), table(spark, d, "correlation"), _hottest(spark, d))
+
+
 @query(f"""WITH {_EDGES}, s AS (SELECT DISTINCT key FROM nodes WHERE label IN ('Requirement', 'Implementation'))
 SELECT rel_type, src, dst, correlation_id FROM edges WHERE src IN (SELECT key FROM s) AND dst IN (SELECT key FROM s)""")
 def g18_visible_edges(spark: SparkSession, d: str) -> DataFrame:
