@@ -26,10 +26,8 @@ def test_vector_search_equals_numpy(spark):
     m = rng.normal(size=(300, 8)).astype(np.float32)
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(900, [0.0] * 8), (901, None), (902, [])], "row_id long, vector array<float>")
     queries = rows.filter("row_id % 20 = 0 or row_id > 899").withColumnRenamed("row_id", "query_id")
-    import traceloom.operators.blocks as blocks
-
     got = {}
-    for r in blocks.block_top_k(queries.filter("size(vector) > 0"), rows.filter("size(vector) > 0"), retrieval._cosine, 5, query_block=4, row_block=50).collect():
+    for r in retrieval.vector_top_k(queries, rows.repartition(3), 5, query_block=4).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = r.row_id
     u = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
     for q in range(0, 300, 20):

@@ -9,13 +9,13 @@ undecided.  Duplicated rows count once (by ``seq``).
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.config import SETTINGS
 from traceloom.functions.text import is_claim, is_negative, is_positive, round4, word_set
-from traceloom.operators.blocks import block_top_k
+from traceloom.operators.blocks import Postings, best_target
 
 # How far a method and a status are believed.
 METHOD_WEIGHT = {"deterministic_rule": 1.0, "llm_stage2": 0.7}
@@ -104,29 +104,23 @@ def decided(evidence: DataFrame, candidates: DataFrame, most_named: int = MOST_N
     )
 
 
-def _overlap(q: pd.DataFrame, r: pd.DataFrame) -> np.ndarray:
-    at: dict[str, list[int]] = {}
-    for j, words in enumerate(r["words"]):
-        for w in words:
-            at.setdefault(w, []).append(j)
-    index = {w: np.array(v) for w, v in at.items()}
-    out = np.zeros((len(q), len(r)))
-    for i, words in enumerate(q["words"]):
-        for w in words:
-            if w in index:
-                out[i, index[w]] += 1
-        out[i] /= max(1, len(words))
-    return np.where(out > 0, out, np.nan)
+def _overlap(targets: Postings, rows: pa.RecordBatch) -> np.ndarray:
+    words = rows.column(1)
+    shared = targets.sums(words, None, rows.num_rows)
+    return shared / np.maximum(1, np.diff(words.offsets.to_numpy()))[None, :]
 
 
 def orphan_evaluations(evidence: DataFrame) -> DataFrame:
-    """Evaluations without a link: the requirement whose words they share most, if that is enough; else NULL."""
+    """Evaluations without a link: the requirement whose words they share most, the first of equals, if that is enough; else NULL.
+
+    Requirements go out in blocks by word, so an evaluation meets those alone that share a word, where it lies.
+    """
     rows = evidence.dropDuplicates(["seq"])
     loose = rows.filter((F.col("entity_type") == "EVALUATION") & (F.col("linked_requirement").isNull() | (F.trim("linked_requirement") == "")))
-    queries = loose.select(F.col("seq").alias("query_id"), word_set(F.col("text")).alias("words")).filter(F.size("words") > 0)
-    targets = requirements(evidence).select(F.col("seq").alias("row_id"), "requirement_id", word_set(F.col("text")).alias("words")).filter(F.size("words") > 0)
-    best = block_top_k(queries, targets, _overlap, 1).filter(F.col("score") >= SETTINGS.min_word_overlap)
-    named = best.join(targets.select("row_id", "requirement_id"), "row_id").select(F.col("query_id").alias("seq"), "requirement_id", F.round("score", 6).alias("overlap"))
+    words = loose.select(F.col("seq").alias("row_id"), word_set(F.col("text")).alias("words")).filter(F.size("words") > 0)
+    targets = requirements(evidence).select(F.col("requirement_id").alias("target_id"), "seq", word_set(F.col("text")).alias("words")).filter(F.size("words") > 0)
+    best = best_target(words, targets, lambda block: Postings(list(block["words"])), _overlap, "seq", SETTINGS.min_word_overlap)
+    named = best.select(F.col("row_id").alias("seq"), F.col("target_id").alias("requirement_id"), F.round("score", 6).alias("overlap"))
     return loose.select("seq", "entity_id").join(named, "seq", "left")
 
 

@@ -6,7 +6,7 @@ the row's id; duplicates of a pair merge with their highest scores.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime
 from functools import reduce
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from traceloom.config import SETTINGS
 from traceloom.functions.text import round4, tokens
-from traceloom.operators.blocks import block_top_k
+from traceloom.operators.blocks import Postings, block_top_k, query_blocks
 
 PRESETS = {"implementation": ("PYTHON", "GIT"), "evaluation": ("PDF", "DOCX"), "discussion": ("WHATSAPP", "EMAIL")}
 
@@ -42,24 +42,28 @@ def metadata_filter(source_types: list[str] | None = None, source_document: str
 # ---- vectors ---------------------------------------------------------------------------------------------
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    m = np.stack([np.asarray(v, np.float64) for v in vectors])
+def _unit(m: np.ndarray) -> np.ndarray:
     norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, norm, out=np.full_like(m, np.nan), where=norm > 0)
 
 
-def _cosine(q: pd.DataFrame, r: pd.DataFrame) -> np.ndarray:
-    return np.maximum(_unit(q["vector"]) @ _unit(r["vector"]).T, 0.0)
+def _query_vectors(block: pd.DataFrame) -> np.ndarray:
+    return _unit(np.stack([np.asarray(v, np.float64) for v in block["vector"]]))
 
 
-def vector_top_k(queries: DataFrame, rows: DataFrame, k: int = SETTINGS.retrieval_top_k, where: Column | None = None) -> DataFrame:
+def _cosine(queries: np.ndarray, rows: pa.RecordBatch) -> np.ndarray:
+    vectors = rows.column(1)
+    return np.maximum(queries @ _unit(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)).T, 0.0)
+
+
+def vector_top_k(queries: DataFrame, rows: DataFrame, k: int = SETTINGS.retrieval_top_k, where: Column | None = None, query_block: int = 4096) -> DataFrame:
     """Exact cosine search; ``queries`` (query_id, vector), ``rows`` (row_id, vector); similarities below 0 count as 0.
 
-    ``where`` filters the rows before the best ``k`` are taken.  Vectors of norm 0 match nothing.
+    ``where`` filters the rows before the best ``k`` are taken.  Vectors of norm 0 match nothing, null and empty ones are left out.
     """
     kept = rows.filter(where) if where is not None else rows
     usable = F.size("vector") > 0
-    return block_top_k(queries.select("query_id", "vector").filter(usable), kept.select("row_id", "vector").filter(usable), _cosine, k)
+    return block_top_k(queries.select("query_id", "vector").filter(usable), kept.select("row_id", "vector").filter(usable), _query_vectors, _cosine, k, query_block)
 
 
 # ---- BM25 ------------------------------------------------------------------------------------------------
@@ -71,17 +75,18 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms, counts, lengths = [], [], []
-            for words in batch.column(1).to_pylist():
-                seen: dict[str, int] = {}
-                for w in words or ():
-                    seen[w] = seen.get(w, 0) + 1
-                terms.append(list(seen))
-                counts.append(list(seen.values()))
-                lengths.append(len(words or ()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32())), pa.array(lengths, pa.int32())], ["row_id", "terms", "counts", "length"])
+            words = batch.column(1)
+            n = np.diff(words.offsets.to_numpy()) if len(words) else np.zeros(0, np.int64)
+            flat = words.flatten().dictionary_encode()
+            size = max(1, len(flat.dictionary))
+            code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64) if len(flat) else np.zeros(0, np.int64)
+            pair, times = np.unique(np.repeat(np.arange(len(n)), n) * size + code, return_counts=True)
+            ends = pa.array(np.searchsorted(pair // size, np.arange(len(n) + 1)), pa.int32())
+            terms = pa.ListArray.from_arrays(ends, flat.dictionary.take(pa.array(pair % size)) if len(pair) else pa.array([], pa.string()))
+            counts = pa.ListArray.from_arrays(ends, pa.array(times, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), terms, counts, pa.array(n, pa.int32())], ["row_id", "terms", "counts", "length"])
 
-    return docs.select("row_id", tokens(F.col("text")).alias("words")).mapInArrow(count, f"row_id {id_type}, terms array<string>, counts array<int>, length int")
+    return docs.select("row_id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("words")).mapInArrow(count, f"row_id {id_type}, terms array<string>, counts array<int>, length int")
 
 
 def term_statistics(counted: DataFrame, epsilon: float = SETTINGS.bm25_epsilon) -> DataFrame:
@@ -93,51 +98,35 @@ def term_statistics(counted: DataFrame, epsilon: float = SETTINGS.bm25_epsilon)
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("_mean")).otherwise(F.col("raw")).alias("idf"))  # one row
 
 
-PAIRS = 4_000_000  # pairs of a posting and a query that are expanded at a time
-
-
-def _bm25(k1: float, b: float, average: float):
-    def score(q: pd.DataFrame, r: pd.DataFrame) -> np.ndarray:
-        wanted: dict[str, list[tuple[int, float]]] = {}
-        for i, (terms, weights) in enumerate(zip(q["terms"], q["weights"])):
-            for t, w in zip(terms, weights):
-                wanted.setdefault(t, []).append((i, w))
-        code = {t: n for n, t in enumerate(wanted)}
-        start = np.concatenate([[0], np.cumsum([len(v) for v in wanted.values()])]).astype(np.int64)
-        asking = np.array([i for v in wanted.values() for i, _ in v], np.int64)
-        weight = np.array([w for v in wanted.values() for _, w in v])
-        length = r["terms"].map(len).to_numpy()
-        term = np.fromiter((code.get(t, -1) for terms in r["terms"] for t in terms), np.int64, int(length.sum()))
-        row = np.repeat(np.arange(len(r)), length)
-        count = np.concatenate([np.asarray(c, np.float64) for c in r["counts"]]) if len(term) else np.zeros(0)
-        base = k1 * (1 - b + b * r["length"].to_numpy() / average) if average else np.full(len(r), k1)
-        kept = term >= 0
-        term, row, count = term[kept], row[kept], count[kept]
-        part = count * (k1 + 1) / (count + base[row])
-        many = start[term + 1] - start[term]
-        out = np.zeros(len(q) * len(r))
-        edges = np.searchsorted(np.cumsum(many), np.arange(0, many.sum() + PAIRS, PAIRS), side="left")
-        for lo, hi in zip(edges, np.append(edges[1:], len(term))):
-            n = many[lo:hi]
-            at = np.repeat(start[term[lo:hi]] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            out += np.bincount(asking[at] * len(r) + np.repeat(row[lo:hi], n), weight[at] * np.repeat(part[lo:hi], n), len(out))
-        out = out.reshape(len(q), len(r))
-        return np.where(out > 0, out, np.nan)
-
-    return score
-
-
-def bm25_top_k(queries: DataFrame, counted: DataFrame, statistics: DataFrame, k: int = SETTINGS.retrieval_top_k, where: Column | None = None) -> DataFrame:
+def _bm25(rows_average: tuple[Postings, float], rows: pa.RecordBatch) -> np.ndarray:
+    postings, average = rows_average
+    k1, b = SETTINGS.bm25_k1, SETTINGS.bm25_b
+    terms, counts, length = rows.column(1), rows.column(2), rows.column(3).to_numpy(zero_copy_only=False)
+    base = k1 * (1 - b + b * length / average) if average else np.full(len(length), k1)
+    n = counts.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    each = np.repeat(base, np.diff(counts.offsets.to_numpy()))
+    out = postings.sums(terms, n * (k1 + 1) / (n + each), len(length))
+    return np.where(out > 0, out, np.nan)
+
+
+def bm25_top_k(queries: DataFrame, counted: DataFrame, statistics: DataFrame, k: int = SETTINGS.retrieval_top_k, where: Column | None = None, query_block: int = 4096, rows: DataFrame | None = None) -> DataFrame:
     """``queries`` (query_id, text) against documents counted by ``term_counts``; a repeated query term counts each time.
 
-    ``where`` filters documents after the statistics were taken over all of them.
+    ``where``, or ``rows`` (some of the counted documents), filters after the statistics were taken over all of them.
     """
-    s = SETTINGS
     average = counted.agg(F.avg("length")).first()[0] or 0.0
     terms = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    weighted = terms.join(statistics.select("term", "idf"), "term").groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list(F.col("n") * F.col("idf")).alias("weights"))
-    kept = counted.filter(where) if where is not None else counted
-    return block_top_k(weighted, kept.select("row_id", "terms", "counts", "length"), _bm25(s.bm25_k1, s.bm25_b, average), k, query_block=256, row_block=5_000)
+    weighted = terms.join(statistics.select("term", "idf"), "term").groupBy("query_id").agg(F.collect_list(F.struct("term", (F.col("n") * F.col("idf")).alias("w"))).alias("_t"))
+    weighted = weighted.select("query_id", F.transform("_t", lambda t: t["term"]).alias("terms"), F.transform("_t", lambda t: t["w"]).alias("weights"))
+    kept = rows if rows is not None else counted.filter(where) if where is not None else counted
+    prepare = lambda block: (Postings(list(block["terms"]), list(block["weights"])), average)
+    return block_top_k(weighted, kept.select("row_id", "terms", "counts", "length"), prepare, _bm25, k, query_block)
+
+
+def index_size(counted: DataFrame) -> DataFrame:
+    """One row: whether the index holds a document, how many, and how many with at least one term."""
+    n = F.count(F.lit(1))
+    return counted.agg((n > 0).alias("is_built"), n.alias("n_documents"), F.count_if(F.col("length") > 0).alias("n_with_terms"))
 
 
 def min_max(df: DataFrame, group: str, score: str, out: str) -> DataFrame:
@@ -151,38 +140,41 @@ def min_max(df: DataFrame, group: str, score: str, out: str) -> DataFrame:
 
 
 def id_matches(ids: DataFrame, docs: DataFrame, id_block: int = 50_000) -> DataFrame:
-    """Every (query_id, row_id) whose text holds the id as a substring, whatever the case.
+    """Every (query_id, row_id) whose text holds the id as a substring, whatever the case; blank ids match nothing.
 
-    ``ids`` (query_id string), ``docs`` (row_id, text).  Ids are dealt into blocks of fixed size, each
-    block becomes one automaton that reads a text once for all its ids.
+    ``ids`` (query_id string), ``docs`` (row_id, text).  Ids go out in blocks of fixed size, each as one automaton that reads
+    a text once, where it lies, for all its ids; texts are neither shuffled nor copied.
     """
-    n = max(1, -(-ids.count() // id_block))
-    kept = ids.filter(F.length(F.trim("query_id")) > 0).select("query_id").distinct().withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(n)))
-    lists = kept.groupBy("_b").agg(F.collect_list("query_id").alias("_ids"))  # at most about ``id_block`` each
-    id_type = docs.schema["row_id"].dataType.simpleString()
-    pairs = docs.filter(F.col("text").isNotNull()).select("row_id", F.lower("text").alias("_text")).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
+    spark = docs.sparkSession
+    kept = ids.filter(F.length(F.trim("query_id")) > 0).select("query_id").distinct()
+    schema = f"query_id string, row_id {docs.schema['row_id'].dataType.simpleString()}"
+    texts = docs.filter(F.col("text").isNotNull()).select("row_id", F.lower("text").alias("_text"))
+    parts = []
+    for block in query_blocks(kept, "query_id", id_block):
+        if not len(block):
+            continue
+        sent = spark.sparkContext.broadcast(list(block["query_id"]))
 
-    def match(blocks: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-        import ahocorasick
+        def match(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
 
-        found: list[tuple[str, object]] = []
-        if len(blocks) and len(texts):
             spelt: dict[str, list[str]] = {}
-            for x in blocks["_ids"].iloc[0]:
+            for x in sent.value:
                 spelt.setdefault(x.lower(), []).append(x)
             automaton = ahocorasick.Automaton()
             for low, names in spelt.items():
                 automaton.add_word(low, names)
             automaton.make_automaton()
-            for row, text in zip(texts["row_id"], texts["_text"]):
-                for name in {x for _, names in automaton.iter(text) for x in names}:
-                    found.append((name, row))
-        return pd.DataFrame(found, columns=["query_id", "row_id"])
+            for batch in batches:
+                take, found = [], []
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    for name in {x for _, names in automaton.iter(text) for x in names}:
+                        take.append(i)
+                        found.append(name)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), batch.column(0).take(pa.array(take, pa.int64()))], ["query_id", "row_id"])
 
-    parts = 64
-    salted = pairs.withColumn("_p", F.pmod(F.xxhash64("row_id"), F.lit(parts)))
-    copies = lists.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
-    return copies.groupBy("_b", "_p").cogroup(salted.groupBy("_b", "_p")).applyInPandas(match, f"query_id string, row_id {id_type}")
+        parts.append(texts.mapInArrow(match, schema))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
 # ---- merge -----------------------------------------------------------------------------------------------
@@ -221,3 +213,22 @@ def hybrid(vector: DataFrame, bm25: DataFrame, ids: DataFrame, k: int = SETTINGS
     b = min_max(bm25, "query_id", "score", "_s").select("query_id", "row_id", none("double").alias("vector_score"), F.col("_s").alias("bm25_score"), F.lit(False).alias("id_match"), F.lit("bm25").alias("method"))
     i = ids.select("query_id", "row_id", none("double").alias("vector_score"), none("double").alias("bm25_score"), F.lit(True).alias("id_match"), F.lit("id_match").alias("method"))
     return merge(v.unionByName(b).unionByName(i), k)
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, embed: Callable[[Column], Column], where: Column | None = None, source_types: list[str] | None = None, k: int = SETTINGS.retrieval_top_k, stored: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Hybrid search of all ``queries`` (query_id, text; an id that texts hold counts as a match) over ``chunks`` (row_id, text and filter columns).
+
+    ``where`` filters vector and identifier matches; keyword search honours ``source_types`` alone, after its statistics.  A
+    free-text search is a table of one query, whose id no text holds.  ``stored`` keeps the counted terms (a checkpoint), as they are read three times.
+    """
+    asked = queries.filter(F.length(F.trim("text")) > 0)
+    kinds = F.col("source_type").isin(*source_types) if source_types else None
+    both = where if kinds is None else kinds if where is None else where & kinds
+    kept = chunks.filter("text is not null")
+    seen = kept.filter(both) if both is not None else kept
+    vector = vector_top_k(asked.withColumn("vector", embed(F.col("text"))), seen.withColumn("vector", embed(F.col("text"))), k)
+    counted = stored(term_counts(kept))
+    searched = counted if kinds is None else counted.join(kept.filter(kinds).select("row_id"), "row_id", "left_semi")
+    average_over_all = term_statistics(counted)
+    bm25 = bm25_top_k(asked, counted, average_over_all, k) if kinds is None else bm25_top_k(asked, counted, average_over_all, k, rows=searched)
+    return hybrid(vector, bm25, id_matches(asked, seen), k)

@@ -481,15 +481,56 @@ def q13_merge(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.merge(scored).select("query_id", "row_id", "combined_score", "rank")
 
 
+@query(f"WITH {_TERMS} SELECT true AS is_built, count(*) AS n_documents, count(*) FILTER (dl > 0) AS n_with_terms FROM lens")
+def q11_index_size(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.index_size(_corpus(spark, d))
+
+
 @query()
 def q15_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """Requirements whose number is divisible by 20 against all documents: vectors, BM25 and identifiers merged."""
-    queries = _requirement_queries(spark, d)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    return retrieval.retrieve(_requirement_queries(spark, d), docs, embedding, stored=checkpoint)
+
+
+_STORED = f"""{_BM25},
+qe AS (SELECT f.entity_id AS query_id, e.embedding FROM first f JOIN embeddings e ON e.vec_id = f.seq WHERE f.seq % 20 = 0), re AS (SELECT e.vec_id AS doc_id, e.embedding FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id AND d.text IS NOT NULL),
+vs AS (SELECT query_id, r.doc_id AS row_id, round({_COSINE}, 9) AS score FROM qe q, re r), vk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS n FROM vs),
+bk AS (SELECT query_id, row_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS b FROM k WHERE rank <= 10 WINDOW w AS (PARTITION BY query_id)),
+ik AS (SELECT entity_id AS query_id, doc_id AS row_id FROM first JOIN documents d ON contains(lower(d.text), lower(entity_id)) WHERE seq % 20 = 0 AND trim(entity_id) <> ''),
+al AS (SELECT query_id, row_id, score AS v, NULL::DOUBLE AS b, false AS i, 'vector' AS w FROM vk WHERE n <= 10 UNION ALL SELECT query_id, row_id, NULL, b, false, 'bm25' FROM bk UNION ALL SELECT query_id, row_id, NULL, NULL, true, 'id_match' FROM ik),
+p AS (SELECT query_id, row_id, max(v) AS v, max(b) AS b, bool_or(i) AS i, list_sort(list(DISTINCT w)) AS ways FROM al GROUP BY 1, 2),
+c AS (SELECT *, CASE WHEN v > 0 AND b IS NOT NULL THEN 0.7 * v + 0.3 * b WHEN v > 0 THEN v ELSE coalesce(b, 0) END AS b0 FROM p),
+mm AS (SELECT *, {_COMBINE} AS combined_score FROM c),
+rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined_score DESC, row_id) AS place, bool_or(i) OVER (PARTITION BY query_id) AS a FROM mm)
+SELECT query_id, row_id, combined_score, array_to_string(ways, ',') AS retrieval_method, place AS rank FROM rr WHERE place <= 10 + CASE WHEN a THEN 5 ELSE 0 END"""
+
+
+@query(f"WITH {_STORED}")
+def q16_hybrid_stored_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Every requirement of the query set in one table, with the stored vectors of the same numbers instead of embedded texts."""
+    first = correlate.requirements(table(spark, d, "evidence")).filter(F.col("seq") % 20 == 0).select(F.col("requirement_id").alias("query_id"), "text", "seq")
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     docs = table(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("row_id"), "text")
-    counted = checkpoint(retrieval.term_counts(docs))
-    vector = retrieval.vector_top_k(queries.withColumn("vector", embedding(F.col("text"))), docs.withColumn("vector", embedding(F.col("text"))))
-    bm25 = retrieval.bm25_top_k(queries, counted, retrieval.term_statistics(counted))
-    return retrieval.hybrid(vector, bm25, retrieval.id_matches(queries, docs))
+    vector = retrieval.vector_top_k(first.join(vectors, F.col("seq") == F.col("vec_id")).select("query_id", "vector"), docs.join(vectors, F.col("row_id") == F.col("vec_id")).select("row_id", "vector"))
+    counted = checkpoint(_corpus(spark, d))
+    bm25 = retrieval.bm25_top_k(first, counted, retrieval.term_statistics(counted))
+    return retrieval.hybrid(vector, bm25, retrieval.id_matches(first, docs)).select("query_id", "row_id", "combined_score", "retrieval_method", "rank")
+
+
+_EXPLORE = "session timeout of the export module"
+
+
+@query(f"""WITH {_TERMS}, q AS (SELECT term, count(*) AS n FROM (SELECT unnest({_TOKENS}) AS term FROM (SELECT '{_EXPLORE}' AS text)) GROUP BY 1),
+s AS (SELECT doc_id AS row_id, round(sum(q.n * idf.idf * (tf.tf * 2.5 / (tf.tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)))), 9) AS score FROM q JOIN idf USING (term) JOIN tf USING (term) JOIN lens USING (doc_id), tot GROUP BY 1),
+k AS (SELECT s.*, row_number() OVER (ORDER BY score DESC, row_id) AS rank FROM s JOIN documents d ON d.doc_id = row_id WHERE score > 0 AND lower(trim(d.source)) IN ('email', 'markdown'))
+SELECT row_id, round(score, 5) AS score, rank FROM k WHERE rank <= 20""")
+def q18_explore(spark: SparkSession, d: str) -> DataFrame:
+    """A free text as a query table of one row, over the documents of two sources, by keywords."""
+    counted, docs = checkpoint(_corpus(spark, d)), table(spark, d, "documents")
+    kept = docs.filter(F.lower(F.trim("source")).isin("email", "markdown")).select(F.col("doc_id").alias("row_id"))
+    one = spark.createDataFrame([("explore", _EXPLORE)], "query_id string, text string")
+    return retrieval.bm25_top_k(one, counted, retrieval.term_statistics(counted), 20, rows=counted.join(kept, "row_id", "left_semi")).select("row_id", F.round("score", 5).alias("score"), "rank")
 
 
 # ---- extraction ------------------------------------------------------------------------------------------
