@@ -37,8 +37,8 @@ def test_random_events_equal_brute_force(spark):
     base = 1_700_000_000_000_000
     rows = [(r.choice("ab"), r.choice("xy"), base + r.randrange(0, 400) * 300_000_000, i) for i in range(600)]
     rows += rows[:40] + [(None, "x", base, 1), ("a", None, base, 2), ("a", "x", None, 3), ("a", "x", base, None)]
-    for width in (4000, 7200, 86_400):
-        assert run(spark, rows, slice_seconds=width) == brute(rows)
+    for width in (7, 600, None):
+        assert run(spark, rows, stretch_seconds=width) == brute(rows)
 
 
 def test_exactly_the_gap_does_not_split(spark):
@@ -54,7 +54,13 @@ def test_across_a_slice_end_and_before_the_epoch(spark):
 
 def test_a_chain_over_many_slices_is_one_session(spark):
     rows = [("a", "x", i * GAP, i) for i in range(1, 200)]
-    assert run(spark, rows, slice_seconds=3601) == [("a", "x", 1, 199, 199)]
+    assert run(spark, rows, stretch_seconds=1799) == [("a", "x", 1, 199, 199)]
+
+
+def test_one_hot_key(spark):
+    r = random.Random(8)
+    rows = [("hot", "x", r.randrange(0, 3000) * 60_000_000, i) for i in range(4000)] + [(f"k{i % 50}", "x", r.randrange(0, 9000) * 60_000_000, i) for i in range(2000)]
+    assert run(spark, rows) == brute(rows)
 
 
 def test_ties_and_empty(spark):
