@@ -8,19 +8,23 @@ counting; null, NaN and (where asked) zero scores are missing and rank with the
 equal values share the better rank; equal totals are ordered by item; rows with a null group or item are
 left out; an empty table gives an empty ranking.
 
-Scale: pairs merge by (group, item), which no hot group can skew.  Groups up to ``hot_rows``
-items are ranked in one window.  A larger group is cut into value ranges (approximate quantiles per
-group, equal values never parted), ranked within each range and shifted by the number of items
-in higher ranges, so no task sees more than a few ranges of a group.
+Scale: one plan for all sizes.  Not items but the distinct values of a group are ranked, each with the number of
+its items, so any number of equal or missing scores is one row.  Distinct values are cut into 1,024 ranges of the whole
+table's distribution, so a group with a third of all rows is many tasks; within a range a window counts what is higher,
+and a range's start follows from one sum per range.  The ranks then meet the items by value, a join whose
+hot values adaptive execution splits.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 200_000
-RANGES = 64
+from traceloom.plans.lineage import checkpoint
+
+FAN = 32  # ranges are found in two steps of this many
 
 
 def _present(name: str, zero_missing: bool) -> Column:
@@ -35,60 +39,47 @@ def merge_pairs(df: DataFrame, group: str, item: str, scores: list[str], zero_mi
     return kept.groupBy(group, item).agg(*[F.max(_present(s, s in zero_missing)).alias(s) for s in scores])
 
 
-def _rank_small(df: DataFrame, group: str, scores: list[str]) -> DataFrame:
-    whole = Window.partitionBy(group)
-    filled = {s: F.coalesce(F.col(s), F.min(s).over(whole)) for s in scores}
-    out = df.withColumns({f"_v_{s}": c for s, c in filled.items()})
-    for s in scores:
-        out = out.withColumn(f"rank_{s}", F.rank().over(whole.orderBy(F.desc(f"_v_{s}"))).cast("bigint"))
-    return out.drop(*[f"_v_{s}" for s in scores])
-
-
-def _rank_hot(df: DataFrame, group: str, scores: list[str]) -> DataFrame:
-    cuts = [i / RANGES for i in range(1, RANGES)]
-    bounds = df.groupBy(group).agg(*[F.min(s).alias(f"_low_{s}") for s in scores], *[F.percentile_approx(s, cuts, 10_000).alias(f"_cuts_{s}") for s in scores])
-    out = df.join(bounds, group)
-    for s in scores:
-        out = out.withColumn(f"_v_{s}", F.coalesce(F.col(s), F.col(f"_low_{s}")))
-        value = F.col(f"_v_{s}")
-        above = F.size(F.filter(F.col(f"_cuts_{s}"), lambda c: c > value))  # noqa: B023 - used at once
-        out = out.withColumn(f"_r_{s}", F.when(F.col(f"_v_{s}").isNull(), 0).otherwise(above))
-    out = out.drop(*[f"_low_{s}" for s in scores], *[f"_cuts_{s}" for s in scores])
-    for s in scores:
-        part = f"_r_{s}"
-        sizes = out.groupBy(group, part).agg(F.count(F.lit(1)).alias("_n"))
-        w = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-        shift = sizes.select(group, part, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_shift"))
-        inner = F.rank().over(Window.partitionBy(group, part).orderBy(F.desc(f"_v_{s}")))
-        out = out.withColumn("_inner", inner).join(shift, [group, part]).withColumn(f"rank_{s}", F.col("_inner") + F.col("_shift"))
-        out = out.drop("_inner", "_shift", part, f"_v_{s}")
-    return out
-
-
-def has_hot_group(df: DataFrame, group: str, hot_rows: int = HOT_ROWS) -> bool:
-    """Whether any group has more rows than ``hot_rows``: one pre-aggregated pass over the group column alone."""
-    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    return bool(counts.filter(F.col("_n") > hot_rows).head(1))
-
-
-def ranks(df: DataFrame, group: str, scores: list[str], hot_rows: int = HOT_ROWS, any_hot: bool = True) -> DataFrame:
-    """Adds ``rank_<score>`` for each score: 1 + the number of items of the group with a higher value.
-
-    ``any_hot=False`` (no group is larger than ``hot_rows``) leaves the branch for large groups out of the plan.
-    """
-    if not any_hot:
-        return _rank_small(df, group, scores)
-    hot = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(group)
-    cold = _rank_small(df.join(hot, group, "left_anti"), group, scores)
-    return cold.unionByName(_rank_hot(df.join(hot, group, "left_semi"), group, scores))
+def _cuts(df: DataFrame, scores: list[str], zero_missing: tuple[str, ...]) -> DataFrame:
+    """One row: per score the quantiles of all its values, as the ends of ``FAN`` wide ranges and of the narrow ones in each."""
+    n = FAN * FAN
+    out = df.agg(*[F.coalesce(F.percentile_approx(_present(s, s in zero_missing), [i / n for i in range(1, n)], 4 * n), F.array().cast("array<double>")).alias(f"_{i}") for i, s in enumerate(scores)])
+    upto = lambda m: F.sequence(F.lit(1), F.lit(m - 1))
+    wide = lambda a: F.transform(upto(FAN), lambda c: F.try_element_at(a, c * FAN))
+    narrow = lambda a: F.transform(F.sequence(F.lit(0), F.lit(FAN - 1)), lambda g: F.transform(upto(FAN), lambda c: F.try_element_at(a, g * FAN + c)))
+    columns = [F.struct(wide(F.col(f"_{i}")).alias("wide"), narrow(F.col(f"_{i}")).alias("narrow")) for i in range(len(scores))]
+    return out.select(F.array(*columns).alias("_cuts"))
+
+
+def _range(cuts: Column, value: Column) -> Column:
+    """The range of a value, 0 for the highest; equal values share one, and higher values never have a higher one."""
+    above = lambda ends: F.size(F.filter(ends, lambda c: c > value))
+    high = above(cuts["wide"])
+    return high * FAN + above(F.element_at(cuts["narrow"], FAN - high))
 
 
-def reciprocal_rank_fusion(df: DataFrame, group: str, item: str, scores: list[str], zero_missing: tuple[str, ...] = (), k: int = 60, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Columns: group, item, the merged scores, their ranks, and ``rrf`` (rounded to 12 places, so equal sums are equal)."""
+def value_ranks(long: DataFrame, cuts: DataFrame, group: str) -> DataFrame:
+    """``long``: group, _score, _v (NaN: missing).  Each distinct (group, _score, _v) with ``_rank``: 1 + the items of a higher value; missing ones rank as the lowest."""
+    counts = long.filter(~F.isnan("_v")).groupBy(group, "_score", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    placed = counts.join(F.broadcast(cuts)).withColumn("_range", _range(F.get("_cuts", F.col("_score")), F.col("_v"))).drop("_cuts")  # one row
+    sums = placed.groupBy(group, "_score", "_range").agg(F.sum("_n").alias("_m"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    shift = sums.withColumn("_shift", F.coalesce(F.sum("_m").over(before(Window.partitionBy(group, "_score").orderBy("_range"))), F.lit(0))).drop("_m")
+    inner = F.coalesce(F.sum("_n").over(before(Window.partitionBy(group, "_score", "_range").orderBy(F.desc("_v")))), F.lit(0))
+    ranked = placed.withColumn("_inner", inner).join(shift, [group, "_score", "_range"]).select(group, "_score", "_v", (F.col("_inner") + F.col("_shift") + 1).alias("_rank"))
+    lowest = ranked.groupBy(group, "_score").agg(F.lit(float("nan")).alias("_v"), F.max("_rank").alias("_rank"))
+    return ranked.unionByName(lowest)
+
+
+def reciprocal_rank_fusion(df: DataFrame, group: str, item: str, scores: list[str], zero_missing: tuple[str, ...] = (), k: int = 60) -> DataFrame:
+    """Columns: group, item, ``rank_<score>`` of each score, and ``rrf`` (rounded to 12 places, so equal sums are equal)."""
     merged = merge_pairs(df, group, item, scores, zero_missing)
-    ranked = ranks(merged, group, scores, hot_rows, has_hot_group(df, group, hot_rows))
-    total = sum((F.lit(1.0) / (k + F.col(f"rank_{s}")) for s in scores[1:]), F.lit(1.0) / (k + F.col(f"rank_{scores[0]}")))
-    return ranked.withColumn("rrf", F.round(total, 12))
+    values = F.array(*[F.coalesce(F.col(s).cast("double"), F.lit(float("nan"))) for s in scores])
+    long = merged.select(F.col(group), F.col(item), F.posexplode(values).alias("_score", "_v"))
+    ranked = long.join(value_ranks(long.drop(item), _cuts(df, scores, zero_missing), group), [group, "_score", "_v"], "left")
+    rank = F.coalesce("_rank", F.lit(1))  # a score that the whole group lacks
+    per = ranked.groupBy(group, item).agg(*[F.max(F.when(F.col("_score") == i, rank)).alias(f"rank_{s}") for i, s in enumerate(scores)])
+    total = reduce(lambda a, b: a + b, [F.lit(1.0) / (k + F.col(f"rank_{s}")) for s in scores])
+    return per.withColumn("rrf", F.round(total, 12))
 
 
 def first_of_each(fused: DataFrame, group: str, item: str) -> DataFrame:
@@ -96,8 +87,15 @@ def first_of_each(fused: DataFrame, group: str, item: str) -> DataFrame:
     return fused.groupBy(group).agg(F.min(F.struct((-F.col("rrf")).alias("_s"), F.col(item).alias(item))).alias("_best")).select(group, F.col(f"_best.{item}").alias(item))
 
 
-def final_order(fused: DataFrame, group: str, item: str, hot_rows: int = HOT_ROWS, any_hot: bool = True) -> DataFrame:
-    """Adds ``position``, 1 for the highest total; equal totals in the order of the items."""
-    ranked = ranks(fused, group, ["rrf"], hot_rows, any_hot)
-    ties = Window.partitionBy(group, "rrf").orderBy(item)
-    return ranked.withColumn("position", F.col("rank_rrf") + F.row_number().over(ties) - 1).drop("rank_rrf")
+def final_order(fused: DataFrame, group: str, item: str) -> DataFrame:
+    """Adds ``position``, 1 for the highest total; equal totals in the order of the items.
+
+    Rows are dealt by ranges of (group, total, item), which are unique, so neither a hot group nor equal totals meet in one task; they are
+    numbered within their part, and a part's first number follows from one count per group and part.  The parts are stored, as both steps need the same.
+    """
+    parts = checkpoint(fused.repartitionByRange(group, F.desc("rrf"), item).withColumn("_part", F.spark_partition_id()))
+    inner = F.row_number().over(Window.partitionBy(group, "_part").orderBy(F.desc("rrf"), item))
+    sizes = parts.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(group, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
+    return parts.withColumn("_inner", inner).join(shift, [group, "_part"]).withColumn("position", F.col("_inner") + F.col("_shift")).drop("_part", "_inner", "_shift")

@@ -21,8 +21,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
-    fused = fusion.final_order(_p1(spark, d), "req_id", "chunk_id", any_hot=fusion.has_hot_group(table(spark, d, "candidates"), "req_id"))
-    return fused.select("req_id", "chunk_id", *[f"rank_{s}" for s in SCORES], "rrf", "position")
+    return fusion.final_order(_p1(spark, d), "req_id", "chunk_id").select("req_id", "chunk_id", *[f"rank_{s}" for s in SCORES], "rrf", "position")
 
 
 def _p3(spark: SparkSession, d: str, only_new: bool = True) -> DataFrame:
