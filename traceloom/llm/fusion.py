@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,34 +40,34 @@ def merge_pairs(df: DataFrame, group: str, item: str, scores: list[str], zero_mi
     return kept.groupBy(group, item).agg(*[F.max(_present(s, s in zero_missing)).alias(s) for s in scores])
 
 
-def _cuts(df: DataFrame, scores: list[str], zero_missing: tuple[str, ...]) -> DataFrame:
-    """One row: per score the quantiles of all its values, as the ends of ``FAN`` wide ranges and of the narrow ones in each."""
+def _cuts(df: DataFrame, scores: list[str], zero_missing: tuple[str, ...]) -> list[np.ndarray]:
+    """Per score the quantiles of all its values, the ends of its ranges.
+
+    One row of ``FAN`` x ``FAN`` numbers per score comes to the driver, whatever the data's size.
+    """
     n = FAN * FAN
-    out = df.agg(*[F.coalesce(F.percentile_approx(_present(s, s in zero_missing), [i / n for i in range(1, n)], 4 * n), F.array().cast("array<double>")).alias(f"_{i}") for i, s in enumerate(scores)])
-    upto = lambda m: F.sequence(F.lit(1), F.lit(m - 1))
-    wide = lambda a: F.transform(upto(FAN), lambda c: F.try_element_at(a, c * FAN))
-    narrow = lambda a: F.transform(F.sequence(F.lit(0), F.lit(FAN - 1)), lambda g: F.transform(upto(FAN), lambda c: F.try_element_at(a, g * FAN + c)))
-    columns = [F.struct(wide(F.col(f"_{i}")).alias("wide"), narrow(F.col(f"_{i}")).alias("narrow")) for i in range(len(scores))]
-    return out.select(F.array(*columns).alias("_cuts"))
+    row = df.agg(*[F.percentile_approx(_present(s, s in zero_missing), [i / n for i in range(1, n)], 4 * n) for s in scores]).first()
+    return [np.array(row[i] or [0.0] * (n - 1), np.float64) for i in range(len(scores))]
 
 
-def _range(cuts: Column, value: Column) -> Column:
+def _range(cuts: list[np.ndarray], score: Column, value: Column) -> Column:
     """The range of a value, 0 for the highest; equal values share one, and higher values never have a higher one."""
     above = lambda ends: F.size(F.filter(ends, lambda c: c > value))
-    high = above(cuts["wide"])
-    return high * FAN + above(F.element_at(cuts["narrow"], FAN - high))
+    pick = lambda arrays: F.get(F.array(*[F.lit(x) for x in arrays]), score)
+    high = above(pick([c[FAN - 1 :: FAN] for c in cuts]))
+    return high * FAN + above(F.slice(pick(cuts), (FAN - 1 - high) * FAN + 1, FAN - 1))
 
 
-def value_ranks(long: DataFrame, cuts: DataFrame, group: str) -> DataFrame:
+def value_ranks(long: DataFrame, cuts: list[np.ndarray], group: str) -> DataFrame:
     """``long``: group, _score, _v (NaN: missing).  Each distinct (group, _score, _v) with ``_rank``: 1 + the items of a higher value; missing ones rank as the lowest."""
     counts = long.filter(~F.isnan("_v")).groupBy(group, "_score", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    placed = counts.join(F.broadcast(cuts)).withColumn("_range", _range(F.get("_cuts", F.col("_score")), F.col("_v"))).drop("_cuts")  # one row
+    placed = counts.withColumn("_range", _range(cuts, F.col("_score"), F.col("_v")))
     sums = placed.groupBy(group, "_score", "_range").agg(F.sum("_n").alias("_m"))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     shift = sums.withColumn("_shift", F.coalesce(F.sum("_m").over(before(Window.partitionBy(group, "_score").orderBy("_range"))), F.lit(0))).drop("_m")
     inner = F.coalesce(F.sum("_n").over(before(Window.partitionBy(group, "_score", "_range").orderBy(F.desc("_v")))), F.lit(0))
     ranked = placed.withColumn("_inner", inner).join(shift, [group, "_score", "_range"]).select(group, "_score", "_v", (F.col("_inner") + F.col("_shift") + 1).alias("_rank"))
-    lowest = ranked.groupBy(group, "_score").agg(F.lit(float("nan")).alias("_v"), F.max("_rank").alias("_rank"))
+    lowest = counts.groupBy(group, "_score").agg(F.lit(float("nan")).alias("_v"), (F.sum("_n") - F.min(F.struct("_v", "_n"))["_n"] + 1).alias("_rank"))
     return ranked.unionByName(lowest)
 
 
