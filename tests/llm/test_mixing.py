@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from traceloom.llm.mixing import _rate, fit_rates, mix, mix_report
+import numpy as np
+from traceloom.llm.mixing import _features, fit_rates, fit_sources, mix, mix_report, rates
 from traceloom.llm.tokens import VOCABULARY, n_tokens
 
 pytestmark = pytest.mark.skipif(not __import__("os").path.exists(VOCABULARY), reason="no vocabulary")
@@ -48,18 +49,54 @@ def test_a_source_that_is_too_small_is_used_up(spark):
 def test_a_source_out_of_reach_does_not_end_the_fit_of_the_others(spark):
     # "a" reaches 0.02 of its 0.05 at most; the texts between "b" and "c" need several passes
     rows = [([1.0, 0.0, 0.0], 1, 2000.0), ([0.0, 0.9, 0.1], 3, 30000.0), ([0.0, 0.4, 0.6], 3, 40000.0), ([0.0, 0.1, 0.9], 3, 28000.0)]
-    classes = spark.createDataFrame(rows, "membership array<double>, cap int, tokens double").coalesce(1).cache()
+    texts = spark.createDataFrame(rows, "membership array<double>, cap int, n_tokens double").coalesce(2).cache()
     goal = [5000.0, 57000.0, 38000.0]
-    rated = classes.withColumn("r", _rate(fit_rates(classes, goal))).collect()
-    got = [sum(x.membership[i] * x.tokens * x.r for x in rated) for i in range(3)]
+    r = rates(np.array([x[0] for x in rows]), np.array([float(x[1]) for x in rows]), fit_rates(texts, goal))
+    got = [sum(x[0][i] * x[2] * y for x, y in zip(rows, r)) for i in range(3)]
     assert got[0] == pytest.approx(2000) and abs(got[1] - goal[1]) < 100 and abs(got[2] - goal[2]) < 100, got
 
 
+def test_the_classifier_has_its_say_in_every_membership(spark):
+    table = docs(spark).filter("trim(text) <> ''").selectExpr("doc_id", "lower(trim(source)) as _label", "text as _text", "unhex(sha2(text, 256)) as _hash", "cast(doc_id % 2 as int) as _fold")
+    model = fit_sources(table, sorted(WORDS), "_text")
+    right = total = 0
+    for r in table.filter("_label is not null and _label <> 'elsewhere'").collect():
+        x = np.sqrt(_features(r._text))
+        p, free = model.posterior(x, r._fold, r._label), model.prior + model.scores(x, r._fold)
+        right, total = right + (sorted(WORDS)[int(free.argmax())] == r._label), total + 1
+        assert abs(p.sum() - 1) < 1e-9 and 0 < p[sorted(WORDS).index(r._label)] <= 1
+    assert right / total > 0.95 and model.sharpness > 0
+    mail = np.sqrt(_features("dear1 regards2 meeting3 sender4 reply5 dear6 meeting7"))
+    assert sorted(WORDS)[int(model.posterior(mail, 0, None).argmax())] == "mail"
+    assert model.posterior(mail, 0, "note")[sorted(WORDS).index("mail")] > model.posterior(mail, 0, "note")[sorted(WORDS).index("code")]
+
+
+def test_words_that_say_nothing_get_no_weight(spark):
+    import random as rnd
+
+    r = rnd.Random(1)
+    rows = [(i, r.choice(["a", "b"]), " ".join(r.choice("u v w x y z".split()) + str(r.randrange(300)) for _ in range(20)), str(i).encode(), i % 2) for i in range(400)]
+    model = fit_sources(spark.createDataFrame(rows, "doc_id long, _label string, _text string, _hash binary, _fold int"), ["a", "b"], "_text")
+    assert model.sharpness <= 0.12
+
+
 def test_empty(spark):
     targets = spark.createDataFrame([("mail", 1.0, 1)], TARGETS)
     assert mix(docs(spark).limit(0), targets).collect() == []
 
 
+def test_long_white_space_counts_as_the_tokenizer_counts_it():
+    from traceloom.llm import tokens
+
+    text = "a  b" + " " * 9000 + "c\n" + "\n" * 9500 + "  d"
+    want = n_tokens(text)
+    old, tokens._LONG_GAP = tokens._LONG_GAP, tokens.re.compile(r"\s{3}")
+    try:
+        assert n_tokens(text) == want
+    finally:
+        tokens._LONG_GAP = old
+
+
 def test_tokens_of_odd_texts():
     for text in ("", " " * 200_000, "\n" * 150_000, "a" * 100_000, "é🙂" * 1000):
         assert n_tokens(text) >= (1 if text else 0)

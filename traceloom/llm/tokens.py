@@ -26,15 +26,21 @@ def encoding(path: str = VOCABULARY):
     return tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-_LONG_GAP = re.compile(r"(\s{10000})")
+_LONG_GAP = re.compile(r"\s{10000}")
 
 
 def n_tokens(text: str, path: str = VOCABULARY) -> int:
-    """The tokens of a whole text.  White space is encoded 10,000 characters at a time, as the word pattern's engine has no stack for more."""
-    encode = encoding(path).encode_ordinary
-    if len(text) > 10_000 and _LONG_GAP.search(text):
-        return sum(len(encode(part)) for part in _LONG_GAP.split(text) if part)
-    return len(encode(text))
+    """The tokens of a whole text.
+
+    The tokenizer's own pattern engine has no stack for white space of 10,000 characters and more; texts that hold some are cut into
+    words by the same pattern in another engine, and each word is encoded whole, so the count is the tokenizer's.
+    """
+    own = encoding(path)
+    if len(text) >= 10_000 and _LONG_GAP.search(text):
+        import regex
+
+        return sum(len(own._encode_single_piece(word)) for word in regex.findall(PATTERN, text))
+    return len(own.encode_ordinary(text))
 
 
 def count_tokens(df: DataFrame, columns: list[Column | str], text: str, path: str = VOCABULARY) -> DataFrame:
