@@ -10,7 +10,7 @@ All of this needs only how many items each length has, a table bounded by the
 capacities (one entry per possible length), so it is planned on the driver whatever the data's size.
 The plan says for each length which ranks go to which containers; the texts themselves are
 numbered within their length in a distributed window (lengths that many texts share are numbered in
-several parts) and look their container up.  Container contents never meet in one task.
+several parts) and look their container up afterwards.  Container contents never meet in one task.
 
 Defined results: a text longer than the capacity is cut at multiples of the capacity, its full pieces
 fill containers of their own; null texts and texts without tokens need no container and get none; an empty
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 GROUPS, LARGE_SHARE, PART_ROWS = 128, 1 / 6, 100_000
+BROADCAST_BYTES = 64 << 20  # a plan beyond this is joined by its key instead of being broadcast
 
 Interval = tuple[int, int, int, int]  # length, first rank, first container, items of this length per container
 
@@ -179,16 +180,19 @@ def pack(items: DataFrame, capacities: dict[str, int], key: str = "doc_id", size
         by_size: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for length, rank, base, per in plan_containers(counts[kind], capacity, n_groups)[0]:
             by_size[length].append((rank, base, per))
-        look_up += [(kind, length, -(-counts[kind][length] // part_rows), sorted(v)) for length, v in by_size.items()]
-    plan = spark.createDataFrame(look_up, "container_kind string, _rest bigint, _parts bigint, _plan array<struct<rank:bigint,base:bigint,per:bigint>>")
-    planned = rows.join(F.broadcast(plan), ["container_kind", "_rest"]).withColumn("_part", F.pmod(F.xxhash64("_key"), F.col("_parts")))
+        look_up += [(kind, length, sorted(v)) for length, v in by_size.items()]
+    plan = spark.createDataFrame(look_up, "container_kind string, _rest bigint, _plan array<struct<rank:bigint,base:bigint,per:bigint>>")
+    # texts are numbered within their length first, in as many parts as the most frequent length needs; only then the plan joins
+    n_parts = max([1, *(-(-n // part_rows) for c in counts.values() for n in c.values())])
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64("_key"), F.lit(n_parts)))
     w = Window.partitionBy("container_kind", "_rest", "_part").orderBy("_key")
-    numbered = planned.withColumn("_rank", (F.row_number().over(w) - 1).cast("bigint"))
-    if any(n > part_rows for c in counts.values() for n in c.values()):
-        parts = planned.filter("_parts > 1").groupBy("container_kind", "_rest", "_part").agg(F.count(F.lit(1)).alias("_n"))
-        before = Window.partitionBy("container_kind", "_rest").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-        shift = parts.select("container_kind", "_rest", "_part", F.sum("_n").over(before).alias("_shift"))
-        numbered = numbered.join(shift, ["container_kind", "_rest", "_part"], "left").withColumn("_rank", F.col("_rank") + F.coalesce("_shift", F.lit(0)))
+    ranked = dealt.withColumn("_rank", (F.row_number().over(w) - 1).cast("bigint"))
+    sizes = dealt.groupBy("container_kind", "_rest", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("container_kind", "_rest").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select("container_kind", "_rest", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    ranked = ranked.join(shift, ["container_kind", "_rest", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_shift")) if n_parts > 1 else ranked
+    small = 24 * sum(len(v) for _, _, v in look_up) <= BROADCAST_BYTES
+    numbered = ranked.join(F.broadcast(plan) if small else plan, ["container_kind", "_rest"])
     at = F.element_at(F.filter("_plan", lambda p: p["rank"] <= F.col("_rank")), -1)
     numbered = numbered.withColumn("_at", at)
     number = F.col("_at.base") + F.floor((F.col("_rank") - F.col("_at.rank")) / F.col("_at.per"))

@@ -119,6 +119,14 @@ def _steps(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     return [*pieces, (start, len(text))]
 
 
+def _added(n: int) -> Iterator[int]:
+    """How many pieces more than ``n`` are tried: each number at first, then ever larger steps, to twice the least number."""
+    more = 0
+    while more < n:
+        yield more
+        more += max(1, more // 4)
+
+
 def split_text(text: str, kind: str = "", size: int = MAX_CHARS, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
     """(start, end, overlap with the piece before) of each piece."""
     if len(text) <= size:
@@ -127,7 +135,7 @@ def split_text(text: str, kind: str = "", size: int = MAX_CHARS, overlap: int =
     n = -(-(len(text) - overlap) // (size - overlap))
     strong = dict(zip(at, strength))
     made, mean = None, -1.0
-    for more in range(min(n, 64)):
+    for more in _added(n):
         if made and more > 1:
             break
         cut = _cut(text, at, strength, n + more, size, overlap, False)
@@ -138,11 +146,10 @@ def split_text(text: str, kind: str = "", size: int = MAX_CHARS, overlap: int =
             its = sum(strong.get(e, 0) for _, e in cut[:-1]) / max(1, len(cut) - 1)
             if its >= mean + 1:
                 made, mean = cut, its
-    # no boundary in reach: balanced targets cut between characters; fixed steps only where those fail too
-    more = 0
-    while not made and more < 64:
-        made = _cut(text, at, strength, n + more, size, overlap, True)
-        more += 1
+    # no boundary in reach: balanced targets cut between characters, a piece added as long as a limit fails; fixed steps only where a
+    # run of characters that may not be parted fails them all
+    for more in _added(n):
+        made = made or _cut(text, at, strength, n + more, size, overlap, True)
     made = made or _steps(text, size, overlap)
     return [(s, e, made[i - 1][1] - s if i else 0) for i, (s, e) in enumerate(made)]
 
