@@ -85,3 +85,8 @@ def test_table(spark):
 
 def test_long_sources_are_quick():
     assert len(functions('def f():\n    """A documentation text."""\n    x = "s"\n' * 20_000)) == 20_000
+
+
+def test_variables_in_prose_are_no_template():
+    assert not is_trivial("Return the parsed value $HOME from env.", "parse") and not is_trivial("Expand {{ name }} in a page before it is sent.", "render")
+    assert all(is_trivial(t, "f") for t in ("$DESCRIPTION", "{{ summary }}", "${what} goes here", "Returns {{ value }}", "$NAME: $SUMMARY", "<describe the function>"))

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 from traceloom.llm.email import label_lines, new_lines
 
 HEAD = "From: Ana Berg | Date: 2024-01-02 | Subject: Re: x\n\n"
@@ -64,3 +66,35 @@ def test_long_texts_are_quick():
 def test_signs_that_are_no_quotes():
     body = "It takes long.\n> 56 minutes of waiting is too much.\n\n>>> load(3) then prints None.\nWhy?\n\nOn Mon, 1 Jan 2024, Bo wrote:\n> 5 days are fine.\n\n> Old.\n> 7 hours more."
     assert new(body) == ["It takes long.", "> 56 minutes of waiting is too much.", ">>> load(3) then prints None.", "Why?"]
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        "This message is about the release plan.\nIt must ship on Friday.",
+        "This email contains the numbers you asked for.\nThey are final.",
+        "Warning: the link on page 3 is dead.\nPlease fix it.",
+        "External tools are listed below.\nAsk me for more.",
+        "This communication has improved a lot.",
+        "The information in this chapter is old.",
+    ],
+)
+def test_plain_sentences_are_no_notices(body):
+    assert new(body) == body.split("\n")
+
+
+@pytest.mark.parametrize("notice", ["This e-mail may contain private information.", "This message is intended for its addressee only.", "This email and any attachments are confidential.", "This message has been scanned for viruses.", "[EXTERNAL] This mail was sent from outside.", "CAUTION: unknown sender domain.", "Achtung: diese E-Mail stammt von einer externen Adresse."])
+def test_notices_are_not_new(notice):
+    assert new(f"Please send it.\n\n{notice}") == ["Please send it."]
+
+
+@pytest.mark.parametrize("introduction", ["在 2024年5月3日，王伟 写道：", "王伟 写道：", "Il giorno 3 maggio 2024 Anna Rossi ha scritto:", "Escribió Bo:", "Anna Rossi wrote:", "Em 3 de maio de 2024, Ana escreveu:", "On Mon, 3 May 2024, " + "Anna Maria Rossi <a@b.c>, " * 15 + "wrote:"])
+def test_introductions_of_many_languages(introduction):
+    assert new(f"Yes, agreed.\n\n{introduction}\n> old text\n\nMore below.") == ["Yes, agreed.", "More below."]
+
+
+def test_replies_below_an_older_mail_stay_new():
+    block = "-----Original Message-----\nFrom: A\nSent: today\nSubject: x\n\n> old one\n> old two\n\nI answer down here."
+    assert new(block) == ["I answer down here."]
+    assert new("Above.\n---------- Forwarded message ----------\nFrom: A\n\nold\n\n---- End of forwarded message ----\nBelow.") == ["Above.", "Below."]
+    assert new("Above.\n-----Original Message-----\nFrom: A\nSubject: x\n\nall old\nto the end") == ["Above."]

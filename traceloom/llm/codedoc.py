@@ -35,7 +35,8 @@ PLACEHOLDERS = {
     "missing docstring", "fill me in", "fill in", "summary", "short description", "lorem ipsum", "description of the function", "function description", "method description", "function docstring",
     "your docstring here", "write docstring here", "insert description here", "add description here", "describe the function here", "this function needs documentation",
 }
-_TEMPLATE = re.compile(r"_(?:summary|description|type)_|\[(?:summary|description|type|extended_summary)\]|<(?:summary|description|insert|your|add|todo|fill|what|describe|short)[^<>]*>|\{\{.*?\}\}|\$\{?\w+\}?|lorem ipsum|\{(?:name|summary|description|doc|what)\}", re.I)
+_TEMPLATE = re.compile(r"_(?:summary|description|type)_|\[(?:summary|description|type|extended_summary)\]|<(?:summary|description|insert|your|add|todo|fill|what|describe|short)[^<>]*>|lorem ipsum|\{(?:name|summary|description|doc|what)\}", re.I)
+_BLANK = re.compile(r"\{\{.*?\}\}|\$\{\w+\}|\$[A-Za-z_]\w*")  # a place to fill in, or a variable that real prose speaks of
 _OPENING = re.compile(r"^(?:todo|fixme|tbd|xxx)\b", re.I)
 _NO_PROSE = re.compile(r"^(?:File:\s|!|-\*-|noqa\b|type:|pylint:|pragma\b|fmt:|isort:|mypy:|ruff:|flake8:|nosec\b|region\b|endregion\b|[-=#*_~\s]*$)")
 _FILLER = {"the", "a", "an", "of", "this", "that", "to", "for", "and", "in", "function", "method", "der", "die", "das", "le", "la", "les", "el", "los", "de", "des", "du", "it", "is", "does", "self", "called", "named", "here", "will", "be", "class", "simply", "just"}
@@ -251,7 +252,7 @@ def is_trivial(description: str, name: str) -> bool:
             break
         prose.append(line)
     text = " ".join(prose).strip()
-    words = _words(text)
+    words = _words(_BLANK.sub(" ", text))  # what a template says without its blanks
     flat = " ".join(words).lower()
     if len(words) <= 2 or flat in PLACEHOLDERS or _TEMPLATE.search(text) or _OPENING.match(text):
         return True

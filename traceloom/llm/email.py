@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 HEADER = re.compile(r"^From:\s*(?P<sender>.*?)\s*\|\s*Date:.*?\|\s*Subject:")
 _QUOTE = re.compile(r"^\s*(?:>|»|\||›|&gt;)")
 
+LONG_INTRODUCTION = 260  # beyond this many characters an introduction must open with its date
+
 # Signs that look like a quote mark: "more than" before a number with its unit, and the prompt of a Python shell.
 _NO_QUOTE = re.compile(
     r"^\s*>\s?[~≈]?\d[\d.,]*\s*(?:%|(?:percent|seconds?|minutes?|hours?|days?|weeks?|months?|years?|ms|[kmg]b|rows?|users?|times|points?|prozent|sekunden?|minuten?|stunden?|tagen?|wochen?|monaten?|pour cent|secondes?|heures?|jours?|semaines?|mois|por ciento|segundos?|minutos?|horas?|días?|semanas?|meses)\b)"
@@ -28,20 +30,26 @@ _NO_QUOTE = re.compile(
 )
 
 # The line rules, by language where they differ.
-_BANNER = re.compile(r"^\W*(?:\[?(?:external|extern|externe|externo)\]?\b.*|(?:caution|warning|achtung|vorsicht|attention|avertissement|atención|advertencia|precaución)\b\s*:.*(?:mail|sender|absender|adresse|domain|expéditeur|exp|remitente|extern|outside|link|correo|courriel|message).*)$", re.I)
+_BANNER = re.compile(
+    r"^\W*(?:\[(?:external|extern|externe|externo)\].*|(?:external|externe?s?|externo)\s+(?:e-?mail|mail|message|sender|absender|courriel|correo|remitente)\b[^.!?]{0,40}[.!]?\s*$|(?:external|extern|externe|externo)\W*$"
+    r"|(?:caution|warning|achtung|vorsicht|attention|avertissement|atención|advertencia|precaución)\b\s*[:!].*(?:unknown (?:sender|domain)|sender domain|external|outside|extern|unbekannte|inconnu|desconocid|expéditeur|remitente|do not (?:open|click|follow) (?:any )?links?).*)$",
+    re.I,
+)
 _BANNER_MORE = re.compile(r"\b(?:extern\w*|outside|unknown sender|sender domain|do not open|öffnen sie|n'ouvrez|no abra|links?)\b", re.I)
 _WROTE = re.compile(
-    r"(?:\b(?:wrote|writes|said|says)(?:\s+on\b[^\n]*)?|\bschrieb\b.*|\ba écrit\s*|\bescribió\b.*)\s*:\s*$",
+    r"(?:\b(?:wrote|writes|said|says)(?:\s+on\b[^\n]*)?|\bschrieb\b.*|\ba écrit\s*|\bescribió\b.*|\bha scritto\b.*|\bescreveu\b.*|\bschreef\b.*)\s*:\s*$|(?:写道|寫道|写到|来信说)\s*[:：]\s*$",
     re.I,
 )
-_OPENS = re.compile(r"^\s*(?:on|at|am|le|el|den|il|em)\s", re.I)
-_VERB = re.compile(r"\b(?:wrote|said|schrieb|a écrit|escribió)\b", re.I)
+_OPENS = re.compile(r"^\s*(?:(?:on|at|am|le|el|den|il|em|op)\s|在|于|於|\d{4}\s*年)", re.I)
+_VERB = re.compile(r"\b(?:wrote|said|schrieb|a écrit|escribió|ha scritto|escreveu|schreef)\b|写道|寫道|写到|来信说", re.I)
+_BARE = re.compile(r"^(?:escribió|schrieb)\s+[^\W\d_][^:.!?]{0,40}:\s*$|^[^\W\d_][^:.!?,;]{0,40}\s(?:wrote|schrieb|a écrit|escribió|ha scritto|escreveu|schreef)\s*:\s*$|^[^\s:：，。]{1,20}\s*(?:写道|寫道)\s*[:：]\s*$", re.I)  # without a date; a quote must follow
 _QUOTING = re.compile(r"^\s*(?:quoting|zitat von|citando a|citation de)\b.*:\s*$", re.I)
-_DATED = re.compile(r"\d{1,4}[-./ ]\w+[-./ ]*\d*|\d{4}", re.I)
+_DATED = re.compile(r"\d{1,4}[-./ 年月]\w*[-./ ]*\d*|\d{4}", re.I)
 _FORWARD = re.compile(
     r"^\s*(?:[-=_*]{2,}\s*)?(?:(?:begin\s+)?forwarded message|original message|original mail|ursprüngliche nachricht|originalnachricht|weitergeleitete nachricht|mensaje original|mensaje reenviado|message d['’]origine|message original|message transféré|message forwardé|earlier mail|previous mail|begin forwarded message|anfang der weitergeleiteten nachricht|début du message (?:transféré|réexpédié)|inicio del mensaje reenviado|forwarded by\b.*?|weitergeleitet von\b.*?|transféré par\b.*?|reenviado por\b.*?)\s*:?\s*(?:[-=_*]{2,})?\s*$",
     re.I,
 )
+_FORWARD_END = re.compile(r"^\s*[-=_*]{2,}\s*(?:end (?:of )?(?:the )?(?:forwarded|original|quoted)? ?(?:message|mail)|ende der (?:weitergeleiteten |ursprünglichen )?nachricht|fin du message(?: transféré)?|fin del mensaje(?: reenviado)?)\s*[-=_*]*\s*$", re.I)
 _FIELD = re.compile(r"^\s*\*{0,2}(?:from|sent|to|cc|bcc|date|subject|von|gesendet|an|kopie|betreff|datum|de|envoyé|à|objet|date|enviado(?: el)?|para|asunto|fecha|reply-to)\s*:\*{0,2}(?:\s|$)", re.I)
 _FROM_FIELD = re.compile(r"^\s*\*{0,2}(?:from|von|de)\s*:\*{0,2}\s+\S", re.I)
 _RULE = re.compile(r"^\s*(?:[-–—_=*#~]{2,}|(?:[-*_#] ){2,}[-*_#]|—|–|\*\s\*\s\*)\s*$")
@@ -57,7 +65,7 @@ _DEVICE = re.compile(
     re.I,
 )
 _LEGAL = re.compile(
-    r"^\W*(?:confidential(?:ity)?(?: notice| note)?\s*:|confidentiality notice\b|this (?:e-?mail|message|communication|transmission)\b[^.]*\b(?:confidential|privileged|intended)|this (?:e-?mail|message|communication)(?: and (?:its|any) attachments?)?\s+(?:is|are|may|contains?|has)\b|the information (?:above|contained|in this)\b.*|please consider the environment\b|any unauthori[sz]ed (?:review|use|disclosure)|if you (?:are not the|have received this|got (?:it|this))\b.*(?:recipient|addressee|mistake|error)|views expressed are those|disclaimer\s*:|legal notice\s*:"
+    r"^\W*(?:confidential(?:ity)?(?: notice| note)?\s*:|confidentiality notice\b|this (?:e-?mail|message|communication|transmission)\b[^.]*\b(?:confidential|privileged|intended)|this (?:e-?mail|message|communication)(?: and (?:its|any) (?:attachments?|files?))?\s+(?:(?:is|are) (?:private|proprietary|strictly|solely|only for|for the (?:sole|exclusive|named|use)|meant (?:only|solely|for)|subject to|protected|legally|property)\b|may (?:contain|be)\b.*\b(?:information|private|protected|copyright|privilege\w*|proprietary|monitored)|contains? (?:private|proprietary|legally|copyright|information (?:that|which|intended|belonging)|trade secrets?)\b|has been (?:scanned|checked|swept)\b)|the information (?:above|contained|in this (?:e-?mail|message|communication|transmission))\b.*\b(?:confidential|private|privileged|intended|proprietary|addressee|recipient|legal\w*)|please consider the environment\b|any unauthori[sz]ed (?:review|use|disclosure)|if you (?:are not the|have received this|got (?:it|this))\b.*(?:recipient|addressee|mistake|error)|views expressed are those|disclaimer\s*:|legal notice\s*:"
     r"|[^.!?]{0,60}\baccepts? no liability\b|registered office\s*:|[^.!?]{0,60}\bsitz der gesellschaft"
     r"|diese (?:nachricht|e-?mail)\b[^.]*\b(?:vertraulich|ausschließlich|nur für)|der inhalt dieser (?:e-?mail|nachricht)\b|(?:bitte )?(?:denken|prüfen) sie\b.*\b(?:umwelt|drucken)|sollten sie\b.*\birrtümlich\b|haftungsausschluss\s*:|vertraulichkeitshinweis\s*:"
     r"|ce (?:message|courriel|mail)\b[^.]*\b(?:confidentiel|destiné|strictement)|(?:le|les) (?:contenu|informations?)\b[^.]*\b(?:de ce (?:message|courriel)|confidentiel)|pensez à l['’]environnement|avis de confidentialité|si vous (?:avez reçu|n['’]êtes pas)\b.*(?:erreur|destinataire)"
@@ -132,12 +140,15 @@ def _attributions(lines: list[str], blank: list[bool], labels: list[str | None],
         if _QUOTING.match(line):
             labels[j] = "attribution"
             continue
+        if _BARE.match(line) and (follows := next((m for m in range(j + 1, n) if not blank[m]), None)) is not None and labels[follows] == "quote":
+            labels[j] = "attribution"
+            continue
         opens = _OPENS.match(line) and _DATED.search(line) or _VERB.search(line)
         for k in range(j, min(j + 3, n)) if opens else ():
             if blank[k] or labels[k]:
                 break
             joined = " ".join(x.strip() for x in lines[j : k + 1])
-            if len(joined) < 260 and _WROTE.search(joined) and _DATED.search(joined):
+            if _WROTE.search(joined) and _DATED.search(joined) and (len(joined) < LONG_INTRODUCTION or _OPENS.match(joined)):
                 follows = next((m for m in range(k + 1, n) if not blank[m]), None)
                 if follows is None or labels[follows] == "quote" or "@" in joined or k > j or _OPENS.match(joined):
                     for m in range(j, k + 1):
@@ -183,7 +194,7 @@ def _forwards(lines: list[str], blank: list[bool], labels: list[str | None], bod
     """From the introduction of a forwarded mail (or its bare header block) to the end everything is older."""
     n = len(lines)
     for j in range(body, n):
-        if blank[j] or labels[j] == "quote":
+        if blank[j] or labels[j] in ("quote", "forwarded"):
             continue
         opens = bool(_FORWARD.match(lines[j]))
         if not opens and _FROM_FIELD.match(lines[j]):
@@ -199,10 +210,29 @@ def _forwards(lines: list[str], blank: list[bool], labels: list[str | None], bod
             above = [k for k in range(max(body, j - 2), j) if not blank[k]]
             if above and _RULE.match(lines[above[-1]]) and labels[above[-1]] is None:
                 first = above[-1]
-            for k in range(first, n):
+            end = _forward_end(lines, blank, labels, j, n)
+            for k in range(first, end):
                 if not blank[k]:
                     labels[k] = "forwarded"
-            return
+            if end == n:
+                return
+
+
+def _forward_end(lines: list[str], blank: list[bool], labels: list[str | None], at: int, n: int) -> int:
+    """Where the older mail that begins at ``at`` ends: after its last marked line if its text is quoted by marks, after a line that says so, else with the text."""
+    for k in range(at + 1, n):
+        if _FORWARD_END.match(lines[k]):
+            return k + 1
+    k = at + 1
+    while k < n and (blank[k] or _FIELD.match(lines[k]) or _RULE.match(lines[k])):
+        k += 1
+    if k < n and labels[k] == "quote":
+        while k < n and (blank[k] or labels[k] == "quote"):
+            k += 1
+        while k < n and blank[k - 1]:
+            k -= 1
+        return k
+    return n
 
 
 def _banners(lines: list[str], blank: list[bool], labels: list[str | None], body: int) -> None:
