@@ -42,6 +42,11 @@ def at(*parts, zone="UTC", fold=0, micro=0):
         ("2022-11-29 01:52:24 EST", at(2022, 11, 29, 6, 52, 24)),
         ("2022-12-12T19:28:58[America/Los_Angeles]", at(2022, 12, 12, 19, 28, 58, zone="America/Los_Angeles")),
         ("2022-12-12T19:28:58[UTC]", at(2022, 12, 12, 19, 28, 58)),
+        ("2022-12-12T19:28:58[america/los_angeles]", at(2022, 12, 12, 19, 28, 58, zone="America/Los_Angeles")),
+        ("2022-12-12T19:28:58[Etc/GMT+5]", at(2022, 12, 13, 0, 28, 58)),
+        ("2022-12-12T19:28:58[America/Port-au-Prince]", at(2022, 12, 12, 19, 28, 58, zone="America/Port-au-Prince")),
+        ("2022-12-12T19:28:58[America/Port_of_Spain] ", at(2022, 12, 12, 19, 28, 58, zone="America/Port_of_Spain")),
+        ("[2022-12-12 19:28:58]", at(2022, 12, 12, 18, 28, 58)),
         ("14.12.2022 10:09 Uhr", at(2022, 12, 14, 9, 9)),
         ("December 22, 2022 4:54 AM", at(2022, 12, 22, 3, 54)),
         ("26 Nov 2022, 11:06:58", at(2022, 11, 26, 10, 6, 58)),

@@ -71,6 +71,7 @@ FORMS = (
     Form("month_first", r"^" + _DAYNAME + _WORD + r"\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})(?:,?\s+(?:at\s+)?" + _CLOCK + r")?$", "ymd|$3|$1|$2|$4|$5|$6|$7|$8|$9|$10"),
     Form("day_first", r"^" + _DAYNAME + r"(\d{1,2})(?:st|nd|rd|th|\.)?(?:\s+|-)(?:de\s+)?" + _WORD + r"(?:\s+|-)(?:de\s+)?(\d{4})(?:,?\s+(?:at\s+|um\s+|à\s+|a\s+las\s+)?" + _CLOCK + r")?$", "ymd|$3|$2|$1|$4|$5|$6|$7|$8|$9|$10"),
 )
+WRITTEN_ZONE = r"\[([A-Za-z]+(?:[/_+-][A-Za-z0-9]+)*)\][\s\p{Cf}]*$"
 EPOCH = r"^@?(\d{10}|\d{13}|\d{16})(?:\.(\d{1,6})\d*)?(?:\s+[+-]\d{4})?$"
 
 
@@ -93,14 +94,14 @@ def _month(word: Column) -> Column:
 
 
 def _zone(written: Column, iana: Column, default: Column) -> Column:
-    """An offset wins over a named zone, a named zone over the default; an unknown abbreviation gives NULL."""
+    """``iana``: a zone in brackets, in the letter case it was written in.  An offset wins over a named zone, a named zone over the default; an unknown abbreviation gives NULL."""
     digits = F.regexp_replace(written, r"^(?:utc|gmt)", "")
     offset = F.when(digits.rlike(r"^[+-]\d{1,2}$"), F.concat(F.substring(digits, 1, 1), F.lpad(F.substring(digits, 2, 2), 2, "0"), F.lit(":00"))).when(
         digits.rlike(r"^[+-]\d{2}:?\d{2}$"), F.regexp_replace(digits, r"^(...):?(..)$", "$1:$2")
     )
     table = F.create_map(*[F.lit(x) for pair in ABBREVIATIONS.items() for x in pair])
-    named = F.concat_ws("/", F.transform(F.split(iana, "/"), lambda p: F.regexp_replace(F.initcap(F.regexp_replace(p, "_", " ")), " ", "_")))
-    named = F.when(F.upper(iana).isin("UTC", "GMT", "Z"), F.lit("UTC")).otherwise(named)
+    titled = F.concat_ws("/", F.transform(F.split(F.lower(iana), "/"), lambda p: F.regexp_replace(F.initcap(F.regexp_replace(p, "_", " ")), " ", "_")))
+    named = F.when(F.upper(iana).isin("UTC", "GMT", "Z"), F.lit("UTC")).when(iana == F.lower(iana), titled).otherwise(iana)
     return F.when(F.length(written) > 0, F.coalesce(offset, F.try_element_at(table, written))).when(F.length(iana) > 0, named).otherwise(default)
 
 
@@ -114,8 +115,8 @@ def _year(text: Column) -> Column:
 
 
 def fields(df: DataFrame, text: str, prefix: str = "_ts") -> DataFrame:
-    """Adds the cleaned text and its canonical record; the text is parsed once."""
-    out = df.withColumn(f"{prefix}_text", clean(F.col(text)))
+    """Adds the cleaned text, its canonical record, and the bracketed zone as written (names of zones keep their letter case); the text is parsed once."""
+    out = df.withColumn(f"{prefix}_text", clean(F.col(text))).withColumn(f"{prefix}_iana", F.when(F.col(text).contains("/") & F.col(text).contains("["), F.regexp_extract(text, WRITTEN_ZONE, 1)))
     return out.withColumn(f"{prefix}_rec", canonical(F.col(f"{prefix}_text")))
 
 
@@ -133,7 +134,7 @@ def instant_micros(df: DataFrame, default_zone: Column, month_first: Column, pre
     hour = F.when(F.length(ap) == 0, hour).when(hour.between(1, 12), hour % 12 + F.when(ap == "p", 12).otherwise(0))
     second = F.concat(F.when(F.length(part(6)) > 0, part(6)).otherwise(F.lit("0")), F.lit("."), F.rpad(F.substring(part(7), 1, 6), 6, "0"))
     second = F.when(_number(part(6)) < 60, second.try_cast("decimal(8,6)"))
-    zone = _zone(part(9), part(10), default_zone)
+    zone = _zone(part(9), F.when(F.length(part(10)) > 0, F.coalesce(F.nullif(F.col(f"{prefix}_iana"), F.lit("")), part(10))).otherwise(part(10)), default_zone)
     build = lambda z: F.try_make_timestamp(_year(part(1)), month, day, hour, _number(part(5)), second, z)
     made = build(zone)
     if gap_policy == "null":
@@ -191,7 +192,7 @@ def normalise(df: DataFrame, text: str, source: str, zones: DataFrame, near: str
     look_up = zone.join(orders, "source", "full_outer").select(F.col("source").alias(f"{p}_source"), F.col("zone").alias(f"{p}_zone"), F.col("month_first").alias(f"{p}_month_first"))
     joined = parsed.join(look_up, F.col(source) == F.col(f"{p}_source"), "left")
     made = instant_micros(joined, F.col(f"{p}_zone"), F.col(f"{p}_month_first"), p, gap_policy)
-    return joined.withColumn(out, made).drop(*[f"{p}_{c}" for c in ("text", "rec", "source", "zone", "month_first")])
+    return joined.withColumn(out, made).drop(*[f"{p}_{c}" for c in ("text", "rec", "iana", "source", "zone", "month_first")])
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
