@@ -82,13 +82,71 @@ def test_blank_documents_give_no_chunks(spark):
 def test_elements_merge_forward_and_keep_the_first_locator(spark):
     rows = [("d", 1, "tiny", "p1", {"a": "1"}), ("d", 2, "long enough text here", "p2", {"a": "2", "b": "3"}), ("d", 3, "end", "p3", None), ("d", 4, "  ", "p4", None)]
     df = spark.createDataFrame(rows, "k string, o int, text string, locator string, metadata map<string,string>")
-    got = C.chunk_elements(df, "k", "o", overlap=False, least=10).orderBy("chunk_index").collect()
+    got = C.chunk_elements(df, "k", ["o"], overlap=False, least=10).orderBy("chunk_index").collect()
     assert [(r.chunk_text, r.source_locator, r.metadata) for r in got] == [("tiny\n\nlong enough text here", "p1", {"a": "2", "b": "3"}), ("end", "p3", {})]
 
 
+def brute_elements(pieces, size, least, n, kind=""):
+    """A document's (text, locator) pieces to chunks by a plain loop."""
+    out, cur = [], None
+    for text, locator in pieces:
+        for p in C.cut(text.strip(), size, kind) if text.strip() else []:
+            cur = (p, locator) if cur is None else (f"{cur[0]}\n\n{p}", cur[1])
+            if len(cur[0]) >= least:
+                out.append(cur)
+                cur = None
+    out += [cur] if cur is not None else []
+    texts = overlap([x for x, _ in out], n) if n else [x for x, _ in out]
+    return list(zip(texts, [x for _, x in out]))
+
+
+def test_elements_of_hot_and_small_documents_equal_a_plain_loop(spark):
+    r = random.Random(4)
+    word = lambda n: " ".join(r.choice(["Alpha.", "beta", "Gamma!"]) for _ in range(n))
+    rows = [("hot", i, word(r.choice([1, 1, 2, 9, 40]))) for i in range(700)] + [("short", i, "ok") for i in range(400)] + [(f"d{i % 40}", i, word(r.randrange(0, 30))) for i in range(400)] + [(None, 1, "x")]
+    df = spark.createDataFrame(rows, "k string, o int, text string").selectExpr("*", "concat('p', o) as locator", "map('a', cast(o as string)) as metadata", "1 as position")
+    want = {}
+    for k in {x[0] for x in rows if x[0]}:
+        want[k] = brute_elements([(t, f"p{o}") for kk, o, t in sorted((x for x in rows if x[0] == k)) ], 120, 50, 150)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        for coalesce in ("true", "false"):  # one part, and several in which documents end and begin
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+            got = {}
+            for x in C.chunk_elements(df, "k", ["o"], size=120).collect():
+                got.setdefault(x.k, {})[x.chunk_index] = (x.chunk_text, x.source_locator)
+            assert {k: [v[i] for i in range(len(v))] for k, v in got.items()} == {k: v for k, v in want.items() if v}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_chunks_by_type(spark):
+    page = spark.createDataFrame([("d", 1, "one short page"), ("d", 2, "another"), ("d", 3, ("A sentence here. " * 40).strip())], "k string, position int, text string")
+    got = C.page_chunks(page, "k", size=200).orderBy("chunk_index").collect()
+    assert got[0].source_locator == "page 1" and got[0].chunk_text.startswith("one short page\n\nanother\n\nA sentence") and got[0].metadata["page_number"] == "3" and got[0].metadata["source_type"] == "PDF"
+    assert all(len(x.chunk_text) <= 200 + 152 + 30 for x in got) and [x.chunk_index for x in got] == list(range(len(got)))
+    code = "# T\n\n```\n" + "x = 1\n\n" * 20 + "```\n\n" + "word " * 40
+    rows = [("m", 0, 0, "", "", ""), ("m", 1, 1, "T", code, "T"), ("m", 2, 0, "", "tail " * 20, "")]
+    sections = spark.createDataFrame(rows, "k string, position int, heading_level int, heading_text string, section_text string, section_path string")
+    got = C.section_chunks(sections, "k", size=100).orderBy("chunk_index").collect()
+    assert any(x.chunk_text.count("```") == 2 for x in got) and got[-1].source_locator == "section 3" and got[0].metadata["heading_text"] == "T"
+    rows = [("w", 0, 0, "", "intro", ""), ("w", 1, 1, "A", "A", "A"), ("w", 2, 0, "", "body one", "A"), ("w", 3, 0, "", "body two", "A"), ("w", 4, 2, "B", "B", "A > B")]
+    elements = spark.createDataFrame(rows, "k string, position int, heading_level int, heading_text string, section_text string, section_path string")
+    got = C.document_chunks(elements, "k", least=1).orderBy("chunk_index").collect()
+    assert [(x.source_locator, x.chunk_text.split("\n\n")[-1]) for x in got] == [("(body)", "intro"), ("A", "body two"), ("A > B", "B")]
+    assert "A\n\nbody one\n\nbody two" in got[1].chunk_text
+
+
+@pytest.mark.parametrize(("t", "want"), [("27/01/2023, 10:00:05", "2023-01-27 10:00:05"), ("01/02/2023, 10:00", "2023-02-01 10:00:00"), ("01/27/2023, 10:00:05", "2023-01-27 10:00:05"), ("1/27/23, 9:05 PM", "2023-01-27 21:05:00"), ("27/1/23, 9:05 pm", "2023-01-27 21:05:00"), ("01/27/2023, 10:00", None), ("soon", None), ("", None), (None, None), ("01/02/23, 7:08", "2023-02-01 07:08:00")])
+def test_chat_times(spark, t, want):
+    got = value(spark, C.chat_time(F.col("t")), t=t)
+    assert (got and str(got)) == want
+
+
 def test_fences_hide_blank_lines(spark):
     t = "one\n\n```\ncode\n\nmore\n```\n\ntwo\n\n~~~\na\n\nb\n~~~"
-    assert value(spark, C.fence_paragraphs(F.col("t")), t=t) == ["one", "```\ncode\n\nmore\n```", "two", "~~~\na\n\nb\n~~~"]
+    assert C.paragraphs("plain", "MARKDOWN") == ["plain"] and C.paragraphs("a\n \nb\n\n\nc", "MARKDOWN") == ["a\n \nb", "c"]
+    assert C.paragraphs(t, "MARKDOWN") == ["one", "```\ncode\n\nmore\n```", "two", "~~~\na\n\nb\n~~~"]
 
 
 def test_trailing_context(spark):
@@ -117,9 +175,9 @@ def test_a_chat_window_is_cut_by_its_own_length_only(spark):
         got = [tuple(r) for r in C.chat_chunks(df, "k", "o", width=width).orderBy("k", "window_no", "part_no").collect()]
         assert got == [
             ("d", 0, 0, "\n".join(f"[t{i}] s{i % 2}: m{i}" for i in range(5)), "t0 to t4", ["s0", "s1"], 5),
-            ("d", 1, 0, "[t5] s1: m5", "t5 to t5", ["s1"], 1), ("e", 0, 0, "[t] Unknown: ", "t to t", [], 1),
+            ("d", 1, 0, "[t5] s1: m5", "t5 to t5", ["s1"], 1), ("e", 0, 0, "[t] Unknown: ", "t to t", ["Unknown"], 1),
         ], width
-        cut = C.chat_chunks(df.filter("k = 'd' and window_no = 0"), "k", "o", width=width, most=2).orderBy("part_no").collect()
+        cut = C.chat_chunks(df.filter("k = 'd' and window_no = 0"), "k", "o", width=width, most=24).orderBy("part_no").collect()
         assert [(r.part_no, r.message_count, r.locator) for r in cut] == [(0, 2, "t0 to t1"), (1, 2, "t2 to t3"), (2, 1, "t4 to t4")], width
 
 

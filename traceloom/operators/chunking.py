@@ -1,104 +1,207 @@
 """Documents to ordered chunks.
 
-A document's pieces are an array in one row, and each step is a fold over that array (``aggregate``), so
-order comes from the array and nothing shuffles.  ``grouped_pieces`` builds the array from element rows.
+Packing, joining short pieces and overlapping depend on what came before, so they are folds.  A text of one row is folded in its row;
+the element rows of a document are folded by ``ordered_fold``, in as many tasks as their number asks for.
 
-Defined results: null or blank texts give no chunks; indexes run from 0 without gaps.
+Defined results: null or blank texts give no chunks; indexes run from 0 without gaps; a text without a boundary stays whole.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.config import SETTINGS
-from traceloom.functions.text import paragraphs, sentences, strip
+from traceloom.functions.text import SENTENCE_GAP, strip
+from traceloom.operators.folds import ordered_fold
+
+_SENTENCE, _PARAGRAPH = re.compile(SENTENCE_GAP), re.compile(r"\n\s*\n")
+_FENCE = re.compile(r"```.*?```|~~~.*?~~~", re.S)
+
 
-PIECE = "struct<text:string,locator:string,metadata:map<string,string>>"
+def _filled(parts: list[str]) -> list[str]:
+    return [p for p in (x.strip() for x in parts) if p]
 
 
-def pack(pieces: Column, size: int = SETTINGS.max_chunk_chars) -> Column:
+def paragraphs(text: str, kind: str = "") -> list[str]:
+    """Cut at blank lines; Markdown at empty lines outside fenced code."""
+    if kind != "MARKDOWN":
+        return _filled(_PARAGRAPH.split(text))
+    fences = [m.span() for m in _FENCE.finditer(text)]
+    parts, start, at, f = [], 0, text.find("\n\n"), 0
+    while at >= 0:
+        while f < len(fences) and fences[f][1] <= at:
+            f += 1
+        if f < len(fences) and fences[f][0] <= at:
+            at = text.find("\n\n", fences[f][1])
+            continue
+        parts.append(text[start:at])
+        start = at + 2
+        at = text.find("\n\n", at + 1)
+    return _filled([*parts, text[start:]]) or [text]
+
+
+def pack(parts: list[str], size: int = SETTINGS.max_chunk_chars) -> list[str]:
     """Greedy packing: neighbours join with a blank line while they fit; a piece that is too long stays alone."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    out: list[list[str]] = []
+    length = 0
+    for p in parts:
+        if out and length + len(p) + 2 <= size:
+            out[-1].append(p)
+            length += len(p) + 2
+        else:
+            out.append([p])
+            length = len(p)
+    return ["\n\n".join(x) for x in out]
 
-    def step(acc: Column, piece: Column) -> Column:
-        overflow = (acc["open"] != "") & (F.length(acc["open"]) + F.length(piece) + 2 > size)
-        opened = F.when(overflow | (acc["open"] == ""), piece).otherwise(F.concat(acc["open"], F.lit("\n\n"), piece))
-        return F.struct(F.when(overflow, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]).alias("done"), opened.alias("open"))
 
-    return F.aggregate(pieces, start, step, lambda acc: F.when(acc["open"] != "", F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]))
+def split_large(text: str, size: int = SETTINGS.max_chunk_chars, kind: str = "") -> list[str]:
+    """Packed paragraphs, or sentences if it is one paragraph; a text within the size stays whole."""
+    if len(text) <= size:
+        return [text]
+    parts = paragraphs(text, kind)
+    if len(parts) <= 1:
+        parts = _filled(_SENTENCE.split(text))
+    return pack(parts, size) if len(parts) > 1 else [text]
 
 
-def split_large(text: Column, size: int = SETTINGS.max_chunk_chars) -> Column:
-    """A text as an array of packed paragraphs, or sentences if it is one paragraph; a text within the size stays whole."""
-    parts, lines = paragraphs(text), sentences(text)
-    return F.when(F.length(text) <= size, F.array(text)).when(F.size(parts) > 1, pack(parts, size)).when(F.size(lines) > 1, pack(lines, size)).otherwise(F.array(text))
+# Kinds whose elements are cut once on their own and again with all others, so a long paragraph of theirs ends as sentences.
+CUT_TWICE = ("PDF", "PYTHON")
 
 
-def fence_paragraphs(text: Column) -> Column:
-    """Markdown paragraphs: cut at empty lines outside fenced code."""
-    fence = r"(?s)(?:```.*?```|~~~.*?~~~)"
-    marked = F.regexp_extract_all(text, F.lit(rf"{fence}|(?:(?!```|~~~).)+"), F.lit(0))
-    safe = F.array_join(F.transform(marked, lambda x: F.when(x.rlike(rf"^{fence}$"), x).otherwise(F.replace(x, F.lit("\n\n"), F.lit("\x00")))), "")
-    return F.filter(F.transform(F.split(safe, "\x00"), strip), lambda s: s != "")
+def cut(text: str, size: int, kind: str = "") -> list[str]:
+    once = split_large(text, size, kind)
+    return [x for p in once for x in split_large(p, size, kind)] if kind in CUT_TWICE else once
 
 
-def enforce_limits(pieces: Column, size: int = SETTINGS.max_chunk_chars, least: int = SETTINGS.min_chunk_chars) -> Column:
-    """Pieces (text, locator, metadata): long ones split, short ones joined to the one after; the last may stay short.
+class Chunks:
+    """The fold: pieces shorter than ``least`` join the one after, the last may stay short; each chunk begins with the end of the one before.
 
-    A join keeps the locator of the first piece, and the later value of a metadata key.
+    A join keeps the locator of the first piece, and the later value of a metadata key.  The end is taken of a chunk with its own
+    overlap, so short chunks cascade.  State: (open piece, end of the last chunk).
     """
-    cut = F.flatten(F.transform(pieces, lambda p: F.transform(split_large(p["text"], size), lambda t: F.struct(t.alias("text"), p["locator"].alias("locator"), p["metadata"].alias("metadata")))))
-    start = F.struct(F.array().cast(f"array<{PIECE}>").alias("done"), F.lit(None).cast(PIECE).alias("open"))
 
-    def join(a: Column, b: Column) -> Column:
-        keys = F.map_keys(b["metadata"])
-        kept = F.map_filter(a["metadata"], lambda k, _: ~F.array_contains(keys, k))
-        return F.struct(F.concat(a["text"], F.lit("\n\n"), b["text"]).alias("text"), a["locator"].alias("locator"), F.map_concat(kept, b["metadata"]).alias("metadata"))
+    def __init__(self, size: int, least: int, overlap: int):
+        self.size, self.least, self.overlap = size, least, overlap
 
-    def step(acc: Column, p: Column) -> Column:
-        here = F.when(acc["open"].isNull(), p).otherwise(join(acc["open"], p))
-        short = F.length(here["text"]) < least
-        return F.struct(
-            F.when(short, acc["done"]).otherwise(F.array_append(acc["done"], here)).alias("done"), F.when(short, here).otherwise(F.lit(None).cast(PIECE)).alias("open")
-        )
+    def forgets(self, row: dict) -> bool:
+        return len(row["text"]) >= max(self.least, self.overlap) and len(cut(row["text"], self.size, row.get("kind") or "")[-1]) >= max(self.least, self.overlap)
 
-    return F.aggregate(cut, start, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
+    def step(self, state, row: dict) -> tuple:
+        opened, tail = state or (None, None)
+        made = []
+        for text in cut(row["text"], self.size, row.get("kind") or ""):
+            locator, metadata = row["locator"], dict(row["metadata"] or [])
+            if opened is not None:
+                text, locator, metadata = f"{opened[0]}\n\n{text}", opened[1], opened[2] | metadata
+            if len(text) < self.least:
+                opened = (text, locator, metadata)
+                continue
+            opened, (tail, out) = None, self._out(tail, text, locator, metadata)
+            made.append(out)
+        return (opened, tail), made
 
+    def _out(self, tail: str | None, text: str, locator: str, metadata: dict) -> tuple:
+        if self.overlap and tail is not None:
+            text = f"{tail}\n\n{text}".strip()
+        return text[-self.overlap :] if self.overlap else None, (text, locator, list(metadata.items()), len(text))
 
-def with_overlap(texts: Column, overlap: int = SETTINGS.overlap_chars) -> Column:
-    """Each text preceded by the end of the one before, as that one stands after its own overlap (so short texts cascade)."""
+    def end(self, state) -> list[tuple]:
+        opened, tail = state or (None, None)
+        return [self._out(tail, *opened)[1]] if opened is not None else []
 
-    def step(acc: Column, t: Column) -> Column:
-        before = F.element_at(acc, -1)
-        tail = F.when(F.length(before) > overlap, F.substring(before, -overlap, overlap)).otherwise(before)
-        return F.array_append(acc, F.when(F.size(acc) == 0, t).otherwise(strip(F.concat(tail, F.lit("\n\n"), t))))
 
-    return F.aggregate(texts, F.array().cast("array<string>"), step)
+def chunk_text(text: str, size: int = SETTINGS.max_chunk_chars, least: int = SETTINGS.min_chunk_chars, overlap: int = SETTINGS.overlap_chars, kind: str = "") -> list[str]:
+    """The chunks of one text."""
+    fold = Chunks(size, least, overlap)
+    state, made = fold.step(None, {"text": text, "locator": "", "metadata": None, "kind": kind})
+    return [x[0] for x in [*made, *fold.end(state)]]
 
 
 def chunk_documents(docs: DataFrame, key: str, text: str, overlap: bool = True, size: int = SETTINGS.max_chunk_chars, least: int = SETTINGS.min_chunk_chars) -> DataFrame:
-    """One text per row to (key, chunk_index, chunk_text, char_count)."""
-    whole = F.array(F.struct(F.col(text).alias("text"), F.lit("").alias("locator"), F.create_map().cast("map<string,string>").alias("metadata")))
-    texts = F.transform(enforce_limits(whole, size, least), lambda p: p["text"])
-    texts = with_overlap(texts) if overlap else texts
-    out = docs.filter(F.length(strip(F.col(text))) > 0).select(key, F.posexplode(texts).alias("chunk_index", "chunk_text"))
-    return out.withColumn("char_count", F.length("chunk_text"))
+    """One text per row to (key, chunk_index, chunk_text, char_count); one narrow stage."""
+    rows = docs.filter(F.length(strip(F.col(text))) > 0).select(key, F.col(text).alias("_text"))
+
+    def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            take, number, out = [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                for n, c in enumerate(chunk_text(t, size, least, SETTINGS.overlap_chars if overlap else 0)):
+                    take.append(i)
+                    number.append(n)
+                    out.append(c)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), pa.array(number, pa.int32()), pa.array(out, pa.string()), pa.array([len(c) for c in out], pa.int32())], [key, "chunk_index", "chunk_text", "char_count"])
+
+    return rows.mapInArrow(chunk, f"`{key}` {docs.schema[key].dataType.simpleString()}, chunk_index int, chunk_text string, char_count int")
+
+
+def chunk_elements(elements: DataFrame, key: str, order: list[str], overlap: bool = True, size: int = SETTINGS.max_chunk_chars, least: int = SETTINGS.min_chunk_chars, kind: str = "") -> DataFrame:
+    """Element rows (key, order, text, locator, metadata) to chunks of their document, in order: key, chunk_index, chunk_text, source_locator, metadata, char_count."""
+    kept = elements.filter(F.length(strip(F.col("text"))) > 0).select(key, *order, strip(F.col("text")).alias("text"), "locator", F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"), F.lit(kind).alias("kind"))
+    schema = [("chunk_text", "string", pa.string()), ("source_locator", "string", pa.string()), ("metadata", "map<string,string>", pa.map_(pa.string(), pa.string())), ("char_count", "int", pa.int32())]
+    made = ordered_fold(kept, key, order, lambda: Chunks(size, least, SETTINGS.overlap_chars if overlap else 0), schema)
+    return made.withColumnRenamed("position", "chunk_index")
+
+
+def base_metadata(document: Column, source_type: str) -> dict[str, Column]:
+    """The metadata that all chunks of a document share."""
+    return {"filename": document, "source_type": F.lit(source_type)}
+
 
+def _metadata(**values: Column) -> Column:
+    """A map of the given values as strings, nulls left out."""
+    whole = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v.cast("string"))])
+    return F.map_filter(whole, lambda _, v: v.isNotNull())
 
-def chunk_elements(elements: DataFrame, key: str, order: str, overlap: bool = True, size: int = SETTINGS.max_chunk_chars, least: int = SETTINGS.min_chunk_chars) -> DataFrame:
-    """Element rows (key, order, text, locator, metadata) to chunks of their document, in order.
 
-    A document's elements meet in one row; a file's size limit bounds them.
+def page_chunks(pages: DataFrame, key: str, size: int = SETTINGS.max_chunk_chars, least: int = SETTINGS.min_chunk_chars) -> DataFrame:
+    """Pages (key, position, text) to chunks with their page as locator."""
+    rows = pages.select(key, "position", "text", F.format_string("page %d", "position").alias("locator"), _metadata(**base_metadata(F.col(key), "PDF"), page_number=F.col("position")).alias("metadata"))
+    return chunk_elements(rows, key, ["position"], size=size, least=least, kind="PDF")
+
+
+def section_chunks(sections: DataFrame, key: str, kind: str = "MARKDOWN", size: int = SETTINGS.max_chunk_chars, least: int = SETTINGS.min_chunk_chars) -> DataFrame:
+    """Sections (key, position, heading_level, heading_text, section_text, section_path) to chunks; the locator is the path, else the heading, else the number."""
+    name = F.coalesce(F.nullif("section_path", F.lit("")), F.nullif("heading_text", F.lit("")), F.format_string("section %d", F.col("position") + 1) if kind == "MARKDOWN" else F.lit("(body)"))
+    rows = sections.select(key, "position", F.col("section_text").alias("text"), name.alias("locator"), _metadata(**base_metadata(F.col(key), kind), heading_text=F.col("heading_text"), heading_level=F.col("heading_level"), section_path=F.col("section_path")).alias("metadata"))
+    return chunk_elements(rows, key, ["position"], size=size, least=least, kind=kind)
+
+
+class Sections:
+    """The fold of a word-processor document: body elements join the heading before them.  State: (position, level, heading, path, texts)."""
+
+    def forgets(self, row: dict) -> bool:
+        return row["heading_level"] > 0
+
+    def step(self, state, row: dict) -> tuple:
+        if row["heading_level"] > 0:
+            return (row["position"], row["heading_level"], row["heading_text"], row["section_path"], [row["section_text"]]), self.end(state)
+        if state is None:
+            return (row["position"], 0, "", "", [row["section_text"]]), []
+        state[4].append(row["section_text"])
+        return state, []
+
+    def end(self, state) -> list[tuple]:
+        text = "\n\n".join(state[4]).strip() if state else ""
+        return [(state[1], state[2], text, state[3])] if text else []
+
+
+def document_sections(elements: DataFrame, key: str) -> DataFrame:
+    """Word-processor elements (key, position, heading_level, heading_text, section_text, section_path) joined by heading: key, position, heading_level, heading_text, section_text, section_path.
+
+    The body under one heading is held together, as it is one section; sections, not documents, bound what a task holds.
     """
-    kept = elements.filter(F.length(strip(F.col("text"))) > 0)
-    piece = F.struct(F.col("text"), F.col("locator"), F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"))
-    docs = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t"), piece.alias("p"))), lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)).alias("_e"))
-    pieces = enforce_limits(F.transform("_e", lambda e: e["p"]), size, least)
-    texts = F.transform(pieces, lambda p: p["text"])
-    final = F.arrays_zip((with_overlap(texts) if overlap else texts).alias("text"), pieces.alias("piece"))
-    out = docs.select(key, F.posexplode(final).alias("chunk_index", "_c"))
-    return out.select(key, "chunk_index", F.col("_c.text").alias("chunk_text"), F.col("_c.piece.locator").alias("source_locator"), F.col("_c.piece.metadata").alias("metadata"), F.length("_c.text").alias("char_count"))
+    schema = [("heading_level", "int", pa.int32()), ("heading_text", "string", pa.string()), ("section_text", "string", pa.string()), ("section_path", "string", pa.string())]
+    return ordered_fold(elements.select(key, "position", "heading_level", "heading_text", "section_text", "section_path"), key, ["position"], Sections, schema)
+
+
+def document_chunks(elements: DataFrame, key: str, size: int = SETTINGS.max_chunk_chars, least: int = SETTINGS.min_chunk_chars) -> DataFrame:
+    """``document_sections`` to chunks."""
+    return section_chunks(document_sections(elements, key), key, "DOCX", size, least)
 
 
 SLICE = 100_000  # a document's rows are handled in slices of this many order numbers, whatever its length
@@ -154,78 +257,120 @@ def chat_windows(messages: DataFrame, key: str, order: str, micros: str, gap_min
     return joined.withColumn("window_no", number).drop("_before", "_jump", "_opens", "_base", "_at", "_slice")
 
 
+# How chat exports write their times, in the order in which they are tried (day before month, with and without seconds, 12-hour clocks).
+CHAT_TIMES = ("d/M/yyyy, H:m:s", "d/M/yyyy, H:m", "M/d/yyyy, H:m:s", "M/d/yyyy, h:m a", "d/M/yy, H:m:s", "d/M/yy, H:m", "M/d/yy, h:m a", "d/M/yy, h:m a")
+
+
+def chat_time(written: Column) -> Column:
+    """The time a chat line states, in the first form that fits; NULL if none does.  No zone: only the distance to other lines counts."""
+    text = F.upper(F.regexp_replace(strip(written), r"\s+", " "))
+    shape = r"^\d{1,2}/\d{1,2}/(\d{4}|\d{2}), \d{1,2}:\d{1,2}"
+    year4 = text.rlike(r"^\d+/\d+/\d{4},")
+    fits = lambda f: (year4 if "yyyy" in f else ~year4) & text.rlike(r" [AP]M$" if " a" in f else r"\d$")
+    return F.when(text.rlike(shape), F.coalesce(*[F.when(fits(f), F.try_to_timestamp(text, F.lit(f))) for f in CHAT_TIMES]))
+
+
 def chat_line() -> Column:
     return F.format_string("[%s] %s: %s", F.coalesce("timestamp", F.lit("")), F.coalesce("sender", F.lit("Unknown")), F.coalesce("message_text", F.lit("")))
 
 
-def chat_chunks(messages: DataFrame, key: str, order: str, width: int = SLICE, most: int = SLICE) -> DataFrame:
+PART_CHARS = 1_000_000  # a window's text beyond this is given in parts of about that length, cut between its lines
+
+
+def chat_chunks(messages: DataFrame, key: str, order: str, width: int = SLICE, most: int = PART_CHARS) -> DataFrame:
     """Windows as texts of lines ``[time] sender: text`` with their participants; input as from ``chat_windows``.
 
-    Only a window of more than ``most`` messages is cut, after every ``most`` of its own messages, so a row's text stays bounded.
-    Messages are numbered within slices of ``width`` order numbers, and each slice's first number follows from one summary row
+    A window is one row, but for one of more than ``most`` characters, which comes in parts cut between lines, so that a row's text stays
+    bounded.  Characters are summed within slices of ``width`` order numbers, and each slice's first sum follows from one summary row
     per window and slice; the result does not depend on ``width``.
     """
     part = [key, "window_no", "_slice"]
-    rows = messages.withColumn("_slice", F.floor(F.col(order) / width))
+    rows = messages.withColumn("_slice", F.floor(F.col(order) / width)).withColumn("_line", chat_line())
+    size = F.length("_line") + 1
     earlier = Window.partitionBy(key, "window_no").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).select(*part, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*part).orderBy(order)
-    position = F.col("_base") + F.row_number().over(inside) - 1
+    base = rows.groupBy(*part).agg(F.sum(size).alias("_n")).select(*part, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    position = F.col("_base") + F.coalesce(F.sum(size).over(inside), F.lit(0))
     parts = rows.join(base, part).withColumn("part_no", F.floor(position / most))
-    item = F.struct(F.col(order).alias("o"), chat_line().alias("l"), F.col("timestamp").alias("t"))
-    per = parts.groupBy(key, "window_no", "part_no").agg(F.array_sort(F.collect_list(item)).alias("_m"), F.array_sort(F.collect_set("sender")).alias("participants"))
+    item = F.struct(F.col(order).alias("o"), F.col("_line").alias("l"), F.col("timestamp").alias("t"))
+    per = parts.groupBy(key, "window_no", "part_no").agg(F.array_sort(F.collect_list(item)).alias("_m"), F.array_sort(F.collect_set(F.coalesce("sender", F.lit("Unknown")))).alias("participants"))
     text = F.array_join(F.transform("_m", lambda m: m["l"]), "\n")
-    locator = F.concat_ws(" to ", F.element_at("_m", 1)["t"], F.element_at("_m", -1)["t"])
+    locator = F.concat(F.coalesce(F.element_at("_m", 1)["t"], F.lit("")), F.lit(" to "), F.coalesce(F.element_at("_m", -1)["t"], F.lit("")))
     return per.select(key, "window_no", "part_no", text.alias("text"), locator.alias("locator"), "participants", F.size("_m").alias("message_count"))
 
 
-def email_chunks(messages: DataFrame, key: str, order: str, size: int = SETTINGS.max_chunk_chars, least: int = SETTINGS.min_chunk_chars, width: int = SLICE) -> DataFrame:
-    """Messages (sender, timestamp, subject, body) to chunks with the messages before each as context, within the limits of size."""
+def email_header(sender: Column, timestamp: Column, subject: Column) -> Column:
+    return F.format_string("From: %s | Date: %s | Subject: %s", F.coalesce(sender, F.lit("Unknown")), F.coalesce(timestamp, F.lit("")), F.coalesce(subject, F.lit("(no subject)")))
+
+
+def email_texts(messages: DataFrame, key: str, order: str, width: int = SLICE) -> DataFrame:
+    """Messages (sender, timestamp, subject, body) with ``text``: header and body after the two messages before as context; and their ``locator``."""
     kept = messages.filter(F.length(strip(F.col("body"))) > 0)
-    head = F.format_string("From: %s | Date: %s | Subject: %s\n\n", F.coalesce("sender", F.lit("Unknown")), F.coalesce("timestamp", F.lit("")), F.coalesce("subject", F.lit("(no subject)")))
-    raw = kept.withColumn("_raw", F.concat(head, strip(F.col("body"))))
-    rows = trailing_context(raw, key, order, "_raw", width=width)
-    elements = rows.select(key, order, strip(with_context(F.col("_raw"), F.col("context"))).alias("text"), F.concat(F.lit("Message from "), F.coalesce("sender", F.lit("Unknown"))).alias("locator"), F.lit(None).cast("map<string,string>").alias("metadata"))
-    return chunk_elements(elements, key, order, overlap=False, size=size, least=least).drop("metadata")
+    raw = kept.withColumn("_raw", F.concat(email_header(F.col("sender"), F.col("timestamp"), F.col("subject")), F.lit("\n\n"), strip(F.col("body"))))
+    rows = numbered(trailing_context(raw, key, order, "_raw", width=width), key, order, "message_index", width)
+    locator = F.format_string("Message %d from %s", F.col("message_index") + 1, F.coalesce("sender", F.lit("Unknown")))
+    return rows.withColumn("text", strip(with_context(F.col("_raw"), F.col("context")))).withColumn("locator", locator).drop("_raw", "context")
 
 
-def chat_context_chunks(messages: DataFrame, key: str, order: str, size: int = SETTINGS.max_chunk_chars, least: int = SETTINGS.min_chunk_chars, width: int = SLICE, most: int = SLICE) -> DataFrame:
-    """``chat_chunks``, each window after a document's first preceded by the last messages before it, within the limits of size.
+def email_chunks(messages: DataFrame, key: str, order: str, size: int = SETTINGS.max_chunk_chars, least: int = SETTINGS.min_chunk_chars, width: int = SLICE) -> DataFrame:
+    """``email_texts`` within the limits of size."""
+    rows = email_texts(messages, key, order, width)
+    about = _metadata(**base_metadata(F.col(key), "EMAIL"), sender=F.col("sender"), timestamp=F.col("timestamp"), subject=F.col("subject"), message_index=F.col("message_index"))
+    return chunk_elements(rows.select(key, order, "text", "locator", about.alias("metadata")), key, [order], overlap=False, size=size, least=least, kind="EMAIL")
 
-    A document's windows meet in one row, as in ``chunk_elements``.
-    """
+
+def numbered(rows: DataFrame, key: str, order: str, name: str, width: int = SLICE) -> DataFrame:
+    """Adds ``name``: the row's place in its document from 0, counted within slices and shifted by what the slices before hold."""
+    part = [key, "_slice"]
+    dealt = rows.withColumn("_slice", F.floor(F.col(order) / width))
+    earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).select(*part, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    own = F.row_number().over(Window.partitionBy(*part).orderBy(order))
+    return dealt.withColumn("_own", own).join(base, part).withColumn(name, F.col("_base") + F.col("_own") - 1).drop("_own", "_base", "_slice")
+
+
+def chat_context_texts(messages: DataFrame, key: str, order: str, width: int = SLICE, most: int = PART_CHARS) -> DataFrame:
+    """``chat_chunks`` with ``text`` after the last two messages before the window, but for a document's first window."""
     lines = trailing_context(messages.withColumn("_line", chat_line()), key, order, "_line", width=width, between="\n")
     before = lines.groupBy(key, "window_no").agg(F.min(F.struct(F.col(order).alias("o"), "context"))["context"].alias("_context"), F.lit(0).cast("bigint").alias("part_no"))
     rows = chat_chunks(messages, key, order, width, most).join(before, [key, "window_no", "part_no"], "left")
     text = F.when(F.col("_context").isNull(), F.col("text")).otherwise(F.concat(F.lit("[Context:]\n"), "_context", F.lit("\n\n[Current window:]\n"), "text"))
-    elements = rows.select(key, F.struct("window_no", "part_no").alias("_order"), text.alias("text"), "locator", F.lit(None).cast("map<string,string>").alias("metadata"))
-    return chunk_elements(elements, key, "_order", overlap=False, size=size, least=least).drop("metadata")
+    return rows.withColumn("text", text).drop("_context")
+
+
+def chat_context_chunks(messages: DataFrame, key: str, order: str, size: int = SETTINGS.max_chunk_chars, least: int = SETTINGS.min_chunk_chars, width: int = SLICE, most: int = PART_CHARS) -> DataFrame:
+    """``chat_context_texts`` within the limits of size."""
+    rows = chat_context_texts(messages, key, order, width, most)
+    about = _metadata(**base_metadata(F.col(key), "WHATSAPP"), message_count=F.col("message_count"), participants=F.array_join("participants", ", "))
+    return chunk_elements(rows.select(key, "window_no", "part_no", "text", "locator", about.alias("metadata")), key, ["window_no", "part_no"], overlap=False, size=size, least=least, kind="WHATSAPP")
 
 
 def commit_chunks(commits: DataFrame, files: int = 20) -> DataFrame:
-    """A text per commit: identity, author, date, message and up to ``files`` changed files."""
+    """A text per commit: identity, author, date, message and the first ``files`` changed files (the reference's number; a parameter, their count is kept whole)."""
     some = F.slice(F.coalesce("changed_files", F.array().cast("array<string>")), 1, files)
     listing = F.when(F.size(some) > 0, F.concat(F.lit("\n\nChanged files:\n"), F.array_join(F.transform(some, lambda f: F.concat(F.lit("- "), f)), "\n"))).otherwise(F.lit(""))
     body = F.format_string("Commit: %s\nAuthor: %s\nDate: %s\n\n%s", F.coalesce("commit_sha", F.lit("")), F.coalesce("author", F.lit("")), F.coalesce("date", F.lit("")), F.coalesce("message", F.lit("")))
     return commits.withColumn("text", F.concat(body, listing)).withColumn("locator", F.format_string("commit %s (%s)", F.substring("commit_sha", 1, 8), F.coalesce("date", F.lit(""))))
 
 
-def section_groups(elements: DataFrame, key: str, order: str) -> DataFrame:
-    """Body elements joined under the heading before them (word-processor documents): key, section_no, text, locator."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    numbered = elements.withColumn("section_no", F.sum((F.col("heading_level") > 0).cast("int")).over(w))
-    item = F.struct(F.col(order).alias("o"), F.col("section_text").alias("t"), F.col("section_path").alias("p"), F.col("heading_text").alias("h"))
-    per = numbered.groupBy(key, "section_no").agg(F.array_sort(F.collect_list(item)).alias("_e"))
-    first = F.element_at("_e", 1)
-    name = F.coalesce(F.nullif(first["p"], F.lit("")), F.nullif(first["h"], F.lit("")), F.lit("(body)"))
-    return per.select(key, "section_no", F.array_join(F.transform("_e", lambda e: e["t"]), "\n\n").alias("text"), name.alias("locator"))
+def commit_metadata(key: str) -> Column:
+    n = F.greatest(F.coalesce(F.size("changed_files"), F.lit(0)), F.lit(0))
+    return _metadata(**base_metadata(F.col(key), "GIT"), commit_sha=F.col("commit_sha"), author=F.col("author"), date=F.col("date"), changed_files_count=n, is_merge=F.col("is_merge"))
+
+
+def python_chunks(elements: DataFrame, key: str, order: str, size: int = SETTINGS.max_chunk_chars, least: int = SETTINGS.min_chunk_chars) -> DataFrame:
+    """``python_elements_to_pieces`` within the limits of size."""
+    return chunk_elements(python_elements_to_pieces(elements, key, order), key, ["piece_order"], overlap=False, size=size, least=least, kind="PYTHON")
 
 
 def python_elements_to_pieces(elements: DataFrame, key: str, order: str) -> DataFrame:
-    """Module and imports as one first piece, each class and function as its own; input for ``chunk_elements``."""
+    """Module and imports as one first piece, each class and function as its own; input for ``chunk_elements``.
+
+    A document's module texts and import lines meet in one row, the overview chunk that they are.
+    """
     head = F.col("element_type").isin("module", "import_block")
     group = elements.withColumn("_head", head)
     first = group.filter("_head").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("body").alias("t")))).alias("_e"))
     module = first.select(key, F.lit(-1).cast("bigint").alias("piece_order"), F.concat(F.lit("# File: "), F.col(key), F.lit("\n\n"), F.array_join(F.transform("_e", lambda e: e["t"]), "\n\n")).alias("text"), F.lit("module overview").alias("locator"))
     rest = group.filter(~F.col("_head")).select(key, F.col(order).cast("bigint").alias("piece_order"), F.col("body").alias("text"), F.format_string("lines %d-%d", "line_start", "line_end").alias("locator"))
-    return module.unionByName(rest).withColumn("metadata", F.create_map(F.lit("source_type"), F.lit("PYTHON")))
+    return module.unionByName(rest).withColumn("metadata", _metadata(**base_metadata(F.col(key), "PYTHON")))

@@ -6,31 +6,33 @@ Stated query sets: searches take the rows whose id is divisible by 20 as queries
 from __future__ import annotations
 
 import datetime
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceloom.config import SOURCE_TYPES, STATUS_COLOURS
 from traceloom.functions import text as T
-from traceloom.functions.providers import embedding
+from traceloom.functions.providers import embedding, extract_answers
 from traceloom.functions.timestamps import normalise, union_all
 from traceloom.operators import chunking, correlate, extraction, graph, matrix, metrics, retrieval, store, trace
 from traceloom.operators.sessions import sessionise
 from traceloom.plans.lineage import checkpoint, scratch
 from traceloom.plans.tables import table
 from traceloom.sources import files, parsers
+from traceloom.sources.ingestion import ingest_files
 
 QUERIES: dict = {}
-SQL: dict[str, str] = {}
+LATER: dict = {}  # SQL, or a function that gives it once all parts of this module are there
 
 
-def query(sql: str | None = None):
+def query(sql: str | Callable[[], str] | None = None):
     """Registers a query under its function's name, with its SQL."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            LATER[f.__name__] = sql
         return f
 
     return add
@@ -38,6 +40,11 @@ def query(sql: str | None = None):
 
 # ---- sources ---------------------------------------------------------------------------------------------
 
+# white space as Java and Python see it in a pattern without Unicode classes
+_SPACE = r"[ \t\n\x0B\f\r]"
+_ANY_SPACE = r"[\s\x0B\x1C-\x1F\x85\pZ]"  # as in any script
+_STRIP = "regexp_replace({0}, '^" + _ANY_SPACE + "+|" + _ANY_SPACE + "+$', '', 'g')"
+
 
 @query("SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL")
 def s04_content_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -78,6 +85,19 @@ def s07_source_type(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", files.source_type(F.col("source_document"), F.col("text")).alias("source_type"))
 
 
+@query(f"""
+WITH t AS (SELECT doc_id, doc_id || '-' || source_document AS filename, text, sha256(text) AS file_hash FROM documents WHERE text IS NOT NULL AND source_document IS NOT NULL), g AS (SELECT * FROM t WHERE strlen(text) > 0),
+f AS (SELECT file_hash, min(filename) AS filename FROM g WHERE file_hash NOT IN (SELECT file_hash FROM ingestion_log WHERE status = 'success' AND file_hash IS NOT NULL) GROUP BY 1),
+x AS (SELECT g.filename, g.file_hash, strlen(text) AS file_size, regexp_extract(lower(g.filename), '\\.([^./]+)$', 1) AS ext, {_LOOKS} FROM g JOIN f USING (filename)),
+y AS (SELECT *, {_TYPE} WHEN ext IN ('txt', 'log') OR ext NOT IN ('pdf') THEN CASE WHEN chat THEN 'WHATSAPP' WHEN email THEN 'EMAIL' WHEN git THEN 'GIT' WHEN ext = 'txt' THEN 'MARKDOWN' END END AS source_type FROM x)
+SELECT filename, file_hash, file_size, source_type, 'success' AS status FROM y WHERE source_type IS NOT NULL""")
+def s01_ingestion_log(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as files (their source document's name, their text's bytes) through the whole chain: what is logged."""
+    docs = table(spark, d, "documents").filter("text is not null and source_document is not null")
+    read = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit("-"), "source_document").alias("filename"), F.encode("text", "UTF-8").alias("content")).withColumn("length", F.length("content").cast("bigint"))
+    return ingest_files(read, table(spark, d, "ingestion_log"))[1].select("filename", "file_hash", "file_size", "source_type", "status")
+
+
 @query(f"SELECT chunk_uid, chat, email, git FROM (SELECT DISTINCT chunk_uid, chunk_text AS text FROM raw_chunks WHERE chunk_text IS NOT NULL), LATERAL (SELECT {_LOOKS})")
 def s08_sniff(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("chunk_text")
@@ -85,10 +105,26 @@ def s08_sniff(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("chunk_uid", files.looks_like_chat(t).alias("chat"), files.looks_like_email(t).alias("email"), files.looks_like_git_log(t).alias("git")).distinct()
 
 
-@query()
+_SECTION_START = "regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g'), '(?s)\\A---\\n.*?\\n---\\n', ''), '(?m)^(#{1,6}[ \\t\\n\\x0B\\f\\r]+\\S)', chr(1) || '\\1', 'g'), chr(1))"
+_MARKDOWN = """k0 AS (SELECT doc_id, list_filter(""" + _SECTION_START + """, lambda s: """ + _STRIP.format("s") + """ <> '') AS p FROM documents WHERE lower(trim(source)) = 'markdown' AND text IS NOT NULL),
+k1 AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) - 1 AS position FROM k0),
+k2 AS (SELECT *, length(regexp_extract(s, '^(#{1,6})[ \\t\\n\\x0B\\f\\r]', 1)) AS lv, trim(regexp_extract(s, '^#{1,6}[ \\t\\n\\x0B\\f\\r]+(.+)', 1)) AS title FROM k1),
+k3 AS (SELECT a.doc_id, a.position, string_agg(b.title, ' > ' ORDER BY b.position) AS path FROM k2 a JOIN k2 b ON b.doc_id = a.doc_id AND b.position <= a.position AND b.lv > 0
+  AND NOT EXISTS (SELECT 1 FROM k2 c WHERE c.doc_id = a.doc_id AND c.position > b.position AND c.position <= a.position AND c.lv > 0 AND c.lv <= b.lv) GROUP BY 1, 2)"""
+
+
+def _sections(spark: SparkSession, d: str) -> DataFrame:
+    return parsers.parse_markdown(table(spark, d, "documents").filter(F.lower(F.trim("source")) == "markdown"), "doc_id", "text")
+
+
+@query(f"WITH {_MARKDOWN} SELECT doc_id, position, lv AS heading_level, title AS heading_text, coalesce(path, '') AS section_path FROM k2 LEFT JOIN k3 USING (doc_id, position)")
 def s14_markdown_sections(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").filter(F.lower(F.trim("source")) == "markdown")
-    return parsers.parse_markdown(rows, "doc_id", "text")
+    return _sections(spark, d).drop("section_text")
+
+
+@query()
+def s14_markdown_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _sections(spark, d)
 
 
 @query()
@@ -97,10 +133,10 @@ def s15_python_elements(spark: SparkSession, d: str) -> DataFrame:
     return parsers.parse_python(rows, "element_row", "body", "source_document")
 
 
-@query()
+@query(lambda: f"WITH {_MAIL} SELECT chunk_uid, position, sender, timestamp, subject, sha256(body) AS body_hash, is_forwarded FROM mail")
 def s16_email_messages(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "raw_chunks").filter("source_type = 'EMAIL'").dropDuplicates(["chunk_uid"])
-    return parsers.parse_email(rows, "chunk_uid", "chunk_text")
+    return parsers.parse_email(rows, "chunk_uid", "chunk_text").withColumn("body_hash", F.sha2("body", 256)).drop("body")
 
 
 @query(r"""
@@ -118,13 +154,15 @@ def s17_chat_messages(spark: SparkSession, d: str) -> DataFrame:
     return parsers.parse_chat(rows, "chunk_uid", "chunk_text")
 
 
-@query()
+@query(r"""WITH c AS (SELECT DISTINCT ON (commit_row) * FROM git_commits WHERE regexp_full_match(commit_sha, '[0-9a-f]{40}')), m AS (SELECT source_document, commit_row, commit_sha, trim(coalesce(author, '')) AS author, trim(coalesce(date, '')) AS date,
+ regexp_split_to_array(regexp_replace(coalesce(message, ''), '\r\n|\r', chr(10), 'g'), chr(10)) AS l FROM c)
+SELECT source_document, row_number() OVER (PARTITION BY source_document ORDER BY commit_row) - 1 AS position, commit_sha, author, date, sha256(STRIPPED) AS message_hash, len(list_filter(l, lambda x: starts_with(lower(x), 'merge'))) > 0 AS is_merge FROM m""".replace("STRIPPED", r"regexp_replace(array_to_string(l, chr(10)), '^[\s\x0B\x1C-\x1F\x85\p{Z}]+|[\s\x0B\x1C-\x1F\x85\p{Z}]+$', '', 'g')").replace("\\\\", "\\"))
 def s18_git_commits(spark: SparkSession, d: str) -> DataFrame:
     """A log per source document put together from the commit table in ``git log`` form, parsed again."""
     rows = table(spark, d, "git_commits").dropDuplicates(["commit_row"]).filter(F.col("commit_sha").rlike(r"^[0-9a-f]{40}$"))
     entry = F.concat(F.lit("commit "), F.col("commit_sha"), F.lit("\nAuthor: "), F.coalesce("author", F.lit("")), F.lit("\nDate:   "), F.coalesce("date", F.lit("")), F.lit("\n\n    "), F.regexp_replace(F.coalesce("message", F.lit("")), r"\r\n|\r|\n", "\n    "), F.lit("\n"))
     logs = rows.groupBy("source_document").agg(F.array_sort(F.collect_list(F.struct("commit_row", entry.alias("e")))).alias("_e"))
-    return parsers.parse_git_log(logs.select("source_document", F.array_join(F.transform("_e", lambda e: e["e"]), "\n").alias("log")), "source_document", "log")
+    return parsers.parse_git_log(logs.select("source_document", F.array_join(F.transform("_e", lambda e: e["e"]), "\n").alias("log")), "source_document", "log").withColumn("message_hash", F.sha2("message", 256)).drop("message", "changed_files")
 
 
 @query("SELECT CASE WHEN source_type IN ('PDF', 'DOCX', 'EMAIL', 'WHATSAPP', 'GIT', 'MARKDOWN', 'PYTHON') THEN source_type ELSE 'MARKDOWN' END AS source_type, count(*) AS n FROM (SELECT DISTINCT chunk_uid, source_type FROM raw_chunks) GROUP BY 1")
@@ -139,6 +177,25 @@ def s21_scan_by_type(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "evidence").filter("entity_type = 'REQUIREMENT'").select("seq", "entity_type", "entity_id", "source_document", "created_at").distinct().orderBy(F.desc("created_at"))
 
 
+_SOME = {"entity_id": "REQUIREMENT", "linked_requirement": "IMPLEMENTATION", "chunk_id": "IMPLEMENTATION", "source_document": "EVALUATION"}
+_SCANS = " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS by, seq FROM evidence WHERE {c} = (SELECT min({c}) FROM evidence WHERE entity_type = '{kind}')" for c, kind in _SOME.items())
+
+
+@query(_SCANS)
+def s21_scans(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence by entity, link, chunk and document, for one value of each."""
+    rows = table(spark, d, "evidence")
+    first = rows.agg(*[F.min(F.when(F.col("entity_type") == kind, F.col(c))).alias(c) for c, kind in _SOME.items()]).first()
+    return union_all([store.scan(rows, **{c: first[c]}).select(F.lit(c).alias("by"), "seq").distinct() for c in _SOME])
+
+
+@query("SELECT DISTINCT seq, correlation_id, status FROM correlation WHERE requirement_entity_id = (SELECT min(requirement_entity_id) FROM correlation WHERE requirement_entity_id <> '(unlinked)')")
+def s23_scan_by_requirement(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "correlation")
+    first = rows.filter("requirement_entity_id <> '(unlinked)'").agg(F.min("requirement_entity_id")).first()[0]
+    return store.scan(rows, requirement_entity_id=first).select("seq", "correlation_id", "status").distinct()
+
+
 @query("SELECT filename, status, ingested_at FROM ingestion_log ORDER BY ingested_at DESC")
 def s22_ingestion_log(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ingestion_log").select("filename", "status", "ingested_at").orderBy(F.desc("ingested_at"))
@@ -224,44 +281,50 @@ def k05_delete_by_source(spark: SparkSession, d: str) -> DataFrame:
 # ---- chunking --------------------------------------------------------------------------------------------
 
 
-@query(r"""
-SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, '\s+', '', 'g') <> '')) AS n_sentences
-FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\x00-\x7F]*')""")
+_SENTENCES = "list_filter(list_transform(regexp_split_to_array(regexp_replace({0}, '([.!?])" + _SPACE + "+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: " + _STRIP.format("s") + "), lambda s: s <> '')"
+_PARAGRAPHS = "list_filter(list_transform(regexp_split_to_array({0}, '\\n" + _SPACE + "*\\n'), lambda s: " + _STRIP.format("s") + "), lambda s: s <> '')"
+
+
+@query(f"SELECT doc_id, len(p) AS n_sentences, list_aggregate(list_transform(p, lambda s: length(s)), 'sum')::BIGINT AS n_chars FROM (SELECT doc_id, {_SENTENCES.format('text')} AS p FROM documents WHERE text IS NOT NULL)")
 def c01_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """The ASCII documents, as in the SQL; ``c01_sentences_all`` has them all."""
-    return _sentence_counts(table(spark, d, "documents").filter(F.col("text").rlike(r"^[\x00-\x7f]*$")))
+    return _piece_counts(spark, d, T.sentences, "n_sentences")
 
 
-def _sentence_counts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.size(T.sentences(F.col("text"))).alias("n_sentences"))
+@query(f"SELECT doc_id, len(p) AS n_paragraphs, list_aggregate(list_transform(p, lambda s: length(s)), 'sum')::BIGINT AS n_chars FROM (SELECT doc_id, {_PARAGRAPHS.format('text')} AS p FROM documents WHERE text IS NOT NULL)")
+def c02_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return _piece_counts(spark, d, T.paragraphs, "n_paragraphs")
 
 
-@query()
-def c01_sentences_all(spark: SparkSession, d: str) -> DataFrame:
-    return _sentence_counts(table(spark, d, "documents").filter("text is not null"))
+def _piece_counts(spark: SparkSession, d: str, cut, name: str) -> DataFrame:
+    """How many pieces a document has and how many characters they hold together (NULL: none)."""
+    rows = table(spark, d, "documents").filter("text is not null").select("doc_id", cut(F.col("text")).alias("p"))
+    total = F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
+    return rows.select("doc_id", F.size("p").alias(name), F.when(F.size("p") > 0, total).alias("n_chars"))
 
 
-@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda x: regexp_replace(x, '\s+', '', 'g') <> '')) AS n_paragraphs FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')")
-def c02_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    """The ASCII documents, as in the SQL; ``c02_paragraphs_all`` has them all."""
-    return _paragraph_counts(table(spark, d, "documents").filter(F.col("text").rlike(r"^[\x00-\x7f]*$")))
+# greedy packing, joining of short pieces and cascading overlap as folds over lists; d: done, o: open
+_PACK = "list_reduce(list_prepend({{'d': []::VARCHAR[], 'o': ''}}, list_transform({0}, lambda p: {{'d': []::VARCHAR[], 'o': p}})), lambda a, b: CASE WHEN a.o = '' THEN {{'d': a.d, 'o': b.o}} WHEN length(a.o) + length(b.o) + 2 > 1500 THEN {{'d': list_append(a.d, a.o), 'o': b.o}} ELSE {{'d': a.d, 'o': a.o || chr(10) || chr(10) || b.o}} END)"
+_JOIN = "list_reduce(list_prepend({{'d': []::VARCHAR[], 'o': ''}}, list_transform({0}, lambda p: {{'d': []::VARCHAR[], 'o': p}})), lambda a, b: CASE WHEN length(CASE WHEN a.o = '' THEN b.o ELSE a.o || chr(10) || chr(10) || b.o END) < 50 THEN {{'d': a.d, 'o': CASE WHEN a.o = '' THEN b.o ELSE a.o || chr(10) || chr(10) || b.o END}} ELSE {{'d': list_append(a.d, CASE WHEN a.o = '' THEN b.o ELSE a.o || chr(10) || chr(10) || b.o END), 'o': ''}} END)"
+_OVERLAP = "list_reduce(list_transform({0}, lambda p: [p]), lambda a, b: list_append(a, " + _STRIP.format("right(a[-1], 150) || chr(10) || chr(10) || b[1]") + "))"
 
 
-def _paragraph_counts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.size(T.paragraphs(F.col("text"))).alias("n_paragraphs"))
+def _chunk_sql(source: str, key: str, text: str) -> str:
+    """CTEs up to ``ch`` (key, l: the chunks in order without overlap) for one text per row."""
+    return f"""x0 AS ({source}), x1 AS (SELECT {key}, {text} AS t, {_PARAGRAPHS.format(text)} AS ps, {_SENTENCES.format(text)} AS ss FROM x0 WHERE {_STRIP.format(text)} <> ''),
+x2 AS (SELECT {key}, t, CASE WHEN length(t) <= 1500 THEN NULL WHEN len(ps) > 1 THEN ps WHEN len(ss) > 1 THEN ss END AS parts FROM x1),
+x3 AS (SELECT {key}, CASE WHEN parts IS NULL THEN {{'d': []::VARCHAR[], 'o': t}} ELSE {_PACK.format('parts')} END AS r FROM x2),
+x4 AS (SELECT {key}, {_JOIN.format('list_append(r.d, r.o)')} AS r FROM x3), ch AS (SELECT {key}, CASE WHEN r.o = '' THEN r.d ELSE list_append(r.d, r.o) END AS l FROM x4)"""
 
 
-@query()
-def c02_paragraphs_all(spark: SparkSession, d: str) -> DataFrame:
-    return _paragraph_counts(table(spark, d, "documents").filter("text is not null"))
+_DOCUMENT_CHUNKS = _chunk_sql("SELECT doc_id, text FROM documents WHERE text IS NOT NULL", "doc_id", "text")
 
 
-@query()
+@query(f"WITH {_DOCUMENT_CHUNKS}, u AS (SELECT doc_id, unnest(l) AS chunk_text, generate_subscripts(l, 1) - 1 AS chunk_index FROM ch) SELECT doc_id, chunk_index, chunk_text, length(chunk_text) AS char_count FROM u")
 def c04_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_documents(table(spark, d, "documents"), "doc_id", "text", overlap=False)
 
 
-@query()
+@query(f"WITH {_DOCUMENT_CHUNKS}, ov AS (SELECT doc_id, {_OVERLAP.format('l')} AS l FROM ch), u AS (SELECT doc_id, unnest(l) AS chunk_text, generate_subscripts(l, 1) - 1 AS chunk_index FROM ov) SELECT doc_id, chunk_index, chunk_text, length(chunk_text) AS char_count FROM u")
 def c06_chunks_with_overlap(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_documents(table(spark, d, "documents"), "doc_id", "text")
 
@@ -269,8 +332,7 @@ def c06_chunks_with_overlap(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def c11_python_chunks(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "python_elements").dropDuplicates(["element_row"]).filter("source_document is not null and body is not null")
-    pieces = chunking.python_elements_to_pieces(rows, "source_document", "element_row")
-    return chunking.chunk_elements(pieces, "source_document", "piece_order", overlap=False).drop("metadata")
+    return chunking.python_chunks(rows, "source_document", "element_row").drop("metadata")
 
 
 @query(r"""
@@ -282,30 +344,140 @@ def c12_trailing_context(spark: SparkSession, d: str) -> DataFrame:
     return chunking.trailing_context(rows, "source_document", "chunk_uid", "chunk_text").select("chunk_uid", F.sha2("context", 256).alias("context_hash"))
 
 
-@query()
-def c12_email_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Every message of the mail texts, in the order of their chunks, with the two before it as context."""
+_MAIL_SPLIT = "regexp_split_to_array(regexp_replace(" + _STRIP.format(r"regexp_replace(chunk_text, '\r\n|\r', chr(10), 'g')") + ", '\\nFrom:(" + _SPACE + ")', chr(1) || 'From:\\1', 'g'), chr(1))"
+_FIELDS = r"From|To|Date|Subject|Cc|Bcc|Reply-To|Message-ID|Content-Type|Content-Transfer-Encoding|MIME-Version|Received|Return-Path|X-[A-Za-z0-9_]+"
+_HEADER_LINE = "'(?im)^(?:" + _FIELDS + r"):[^\S\n]*.*$'"
+_MAIL = f"""m0 AS (SELECT DISTINCT chunk_uid, source_document, chunk_text FROM raw_chunks WHERE source_type = 'EMAIL' AND chunk_text IS NOT NULL),
+m1 AS (SELECT chunk_uid, source_document, unnest({_MAIL_SPLIT}) AS s, generate_subscripts({_MAIL_SPLIT}, 1) - 1 AS position FROM m0),
+m2 AS (SELECT chunk_uid, source_document, position, trim(regexp_extract(s, '(?im)^From:[^\\S\\n]*(.+)$', 1)) AS f, trim(regexp_extract(s, '(?im)^Date:[^\\S\\n]*(.+)$', 1)) AS t, trim(regexp_extract(s, '(?im)^Subject:[^\\S\\n]*(.+)$', 1)) AS j,
+  {_STRIP.format("regexp_replace(" + _STRIP.format("regexp_replace(s, " + _HEADER_LINE + ", '', 'g')") + ", '(?m)^" + _SPACE + "*[-_=]{3,}" + _SPACE + "*$', '', 'g')")} AS body FROM m1),
+mail AS (SELECT chunk_uid, source_document, position, CASE WHEN f = '' THEN 'Unknown' ELSE f END AS sender, CASE WHEN t = '' THEN 'Unknown' ELSE t END AS timestamp, CASE WHEN j = '' THEN '(no subject)' ELSE j END AS subject, body,
+  regexp_matches(body, '(?i)-{{5,}}\\s*Forwarded message\\s*-{{5,}}') AS is_forwarded FROM m2 WHERE f <> '' OR t <> '')"""
+
+
+@query(f"""WITH {_MAIL}, h AS (SELECT *, 'From: ' || sender || ' | Date: ' || timestamp || ' | Subject: ' || subject || chr(10) || chr(10) || body AS raw FROM mail WHERE body <> '' AND source_document IS NOT NULL),
+w AS (SELECT *, row_number() OVER o AS n, lag(raw, 2) OVER o AS a, lag(raw, 1) OVER o AS b FROM h WINDOW o AS (PARTITION BY source_document ORDER BY chunk_uid, position)),
+z AS (SELECT source_document, chunk_uid, position, 'Message ' || n || ' from ' || sender AS locator, CASE WHEN n = 1 THEN raw ELSE '[Previous context:]' || chr(10) || CASE WHEN a IS NULL THEN b ELSE a || chr(10) || '---' || chr(10) || b END || chr(10) || '[End context]' || chr(10) || chr(10) || raw END AS text FROM w)
+SELECT source_document, chunk_uid, position, locator, sha256({_STRIP.format('text')}) AS text_hash FROM z""")
+def c12_email_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every message of the mail texts with its header, after the two messages before it in its document."""
+    rows = chunking.email_texts(_mail(spark, d), "source_document", "message_no", chunking.SLICE << 20)
+    return rows.select("source_document", "chunk_uid", "position", "locator", F.sha2("text", 256).alias("text_hash"))
+
+
+def _mail(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "raw_chunks").filter("source_type = 'EMAIL' and chunk_text is not null and source_document is not null").dropDuplicates(["chunk_uid"])
     mail = parsers.parse_email(rows, "chunk_uid", "chunk_text").join(rows.select("chunk_uid", "source_document"), "chunk_uid")
-    # a chunk holds fewer messages than characters, far below 2^20
-    return chunking.email_chunks(mail.withColumn("message_no", F.col("chunk_uid") * (1 << 20) + F.col("position")), "source_document", "message_no", width=chunking.SLICE << 20)
+    return mail.withColumn("message_no", F.col("chunk_uid") * (1 << 20) + F.col("position"))  # a chunk holds fewer messages than characters, far below 2^20
+
+
+@query()
+def c12_email_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """``c12_email_texts`` within the limits of size."""
+    return chunking.email_chunks(_mail(spark, d), "source_document", "message_no", width=chunking.SLICE << 20).drop("metadata")
+
+
+_CHAT_TIME = "coalesce(" + ", ".join(f"CASE WHEN {'y4' if '%Y' in f else 'NOT y4'} AND {'ap' if '%p' in f else 'NOT ap'} THEN try_strptime(z, '{f}') END" for f in ("%d/%m/%Y, %H:%M:%S", "%d/%m/%Y, %H:%M", "%m/%d/%Y, %H:%M:%S", "%m/%d/%Y, %I:%M %p", "%d/%m/%y, %H:%M:%S", "%d/%m/%y, %H:%M", "%m/%d/%y, %I:%M %p", "%d/%m/%y, %I:%M %p")) + ")"
+_CHAT = f"""h0 AS (SELECT DISTINCT ON (msg_id) * FROM chat_messages WHERE NOT is_media AND NOT is_system AND source_document IS NOT NULL AND trim(message_text) <> ''),
+h1 AS (SELECT *, upper(regexp_replace({_STRIP.format('timestamp')}, '{_SPACE}+', ' ', 'g')) AS z FROM h0),
+h2 AS (SELECT *, regexp_matches(z, '^\\d+/\\d+/\\d{{4}},') AS y4, regexp_matches(z, ' [AP]M$') AS ap FROM h1),
+h3 AS (SELECT *, CASE WHEN regexp_matches(z, '^\\d{{1,2}}/\\d{{1,2}}/(\\d{{4}}|\\d{{2}}), \\d{{1,2}}:\\d{{1,2}}') THEN {_CHAT_TIME} END AS ts FROM h2),
+h4 AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(last_value(ts IGNORE NULLS) OVER (PARTITION BY source_document ORDER BY msg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) > 1800000000 THEN 1 ELSE 0 END AS jump FROM h3),
+win AS (SELECT *, sum(jump) OVER (PARTITION BY source_document ORDER BY msg_id) AS window_no, '[' || coalesce(timestamp, '') || '] ' || coalesce(sender, 'Unknown') || ': ' || coalesce(message_text, '') AS line FROM h4),
+wt AS (SELECT source_document, window_no, min(msg_id) AS first_id, string_agg(line, chr(10) ORDER BY msg_id) AS text, coalesce(arg_min(coalesce(timestamp, ''), msg_id), '') || ' to ' || coalesce(arg_max(coalesce(timestamp, ''), msg_id), '') AS locator,
+  array_to_string(list_sort(list(DISTINCT coalesce(sender, 'Unknown'))), ', ') AS participants, count(*) AS message_count FROM win GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_CHAT} SELECT msg_id, epoch_us(ts) AS micros FROM h3")
+def c15_chat_times(spark: SparkSession, d: str) -> DataFrame:
+    """The times of chat lines by the eight forms of chat exports, tried in order."""
+    return _chat(spark, d).select("msg_id", F.col("us").alias("micros"))
+
+
+def _chat(spark: SparkSession, d: str) -> DataFrame:
+    chat = table(spark, d, "chat_messages").dropDuplicates(["msg_id"]).filter("not is_media and not is_system and source_document is not null and trim(message_text) <> ''")
+    return chat.withColumn("us", F.unix_micros(chunking.chat_time(F.col("timestamp"))))
+
+
+def _chat_windows(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chat_windows(_chat(spark, d), "source_document", "msg_id", "us")
+
+
+@query(f"WITH {_CHAT} SELECT source_document, window_no, sha256(text) AS text_hash, locator, participants, message_count FROM wt")
+def c13_chat_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of chat by the pauses in the order of the file."""
+    rows = chunking.chat_chunks(_chat_windows(spark, d), "source_document", "msg_id")
+    return rows.select("source_document", "window_no", F.sha2("text", 256).alias("text_hash"), "locator", F.array_join("participants", ", ").alias("participants"), "message_count")
+
+
+@query(f"""WITH {_CHAT}, lg AS (SELECT source_document, msg_id, lag(line, 2) OVER o AS a, lag(line, 1) OVER o AS b FROM win WINDOW o AS (PARTITION BY source_document ORDER BY msg_id))
+SELECT wt.source_document, window_no, sha256(CASE WHEN b IS NULL THEN text ELSE '[Context:]' || chr(10) || CASE WHEN a IS NULL THEN b ELSE a || chr(10) || b END || chr(10) || chr(10) || '[Current window:]' || chr(10) || text END) AS text_hash
+FROM wt JOIN lg ON lg.source_document = wt.source_document AND msg_id = first_id""")
+def c14_chat_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Each window after the last two messages before it."""
+    rows = chunking.chat_context_texts(checkpoint(_chat_windows(spark, d)), "source_document", "msg_id")
+    return rows.select("source_document", "window_no", F.sha2("text", 256).alias("text_hash"))
 
 
 @query()
 def c14_chat_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chat windows with the two messages before each as context, within the limits of size."""
-    return chunking.chat_context_chunks(checkpoint(_chat_windows(spark, d)), "source_document", "msg_id")
+    """``c14_chat_texts`` within the limits of size."""
+    return chunking.chat_context_chunks(checkpoint(_chat_windows(spark, d)), "source_document", "msg_id").drop("metadata")
 
 
 @query()
-def c13_chat_windows(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chat_chunks(_chat_windows(spark, d), "source_document", "msg_id")
+def c13_chat_windows_by_instant(spark: SparkSession, d: str) -> DataFrame:
+    """Windows by the instants of all written forms (problem 6) instead of the eight of chat exports."""
+    chat = table(spark, d, "chat_messages").dropDuplicates(["msg_id"]).filter("not is_media and not is_system and source_document is not null and trim(message_text) <> ''")
+    timed = normalise(chat, "timestamp", "source_document", table(spark, d, "ingestion_log"), near="loaded_at")
+    return chunking.chat_chunks(chunking.chat_windows(timed, "source_document", "msg_id", "utc_micros"), "source_document", "msg_id")
 
 
-def _chat_windows(spark: SparkSession, d: str) -> DataFrame:
-    chat = table(spark, d, "chat_messages").dropDuplicates(["msg_id"]).filter("not is_media and not is_system and source_document is not null")
-    timed = normalise(chat.filter(F.trim("message_text") != ""), "timestamp", "source_document", table(spark, d, "ingestion_log"), near="loaded_at")
-    return chunking.chat_windows(timed, "source_document", "msg_id", "utc_micros")
+_PAGES = "SELECT DISTINCT source_document, chunk_uid, chunk_text FROM raw_chunks WHERE source_type = '{0}' AND source_document IS NOT NULL AND chunk_text IS NOT NULL"
+
+
+def _page_sql(kind: str, overlap: bool) -> str:
+    """Chunks of documents whose elements are the texts of one kind: each cut on its own (twice), joined if short, overlapped."""
+    cut = lambda t: f"CASE WHEN length({t}) <= 1500 THEN [{t}] WHEN len({_PARAGRAPHS.format(t)}) > 1 THEN list_append(({_PACK.format(_PARAGRAPHS.format(t))}).d, ({_PACK.format(_PARAGRAPHS.format(t))}).o) WHEN len({_SENTENCES.format(t)}) > 1 THEN list_append(({_PACK.format(_SENTENCES.format(t))}).d, ({_PACK.format(_SENTENCES.format(t))}).o) ELSE [{t}] END"
+    return f"""p0 AS ({_PAGES.format(kind)}), p1 AS (SELECT source_document, chunk_uid, {_STRIP.format('chunk_text')} AS t FROM p0), p2 AS (SELECT source_document, chunk_uid, {cut('t')} AS l FROM p1 WHERE t <> ''),
+p3 AS (SELECT source_document, chunk_uid, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM p2), p4 AS (SELECT source_document, chunk_uid, i, {cut('t')} AS l FROM p3),
+p5 AS (SELECT source_document, flatten(list(l ORDER BY chunk_uid, i)) AS l FROM p4 GROUP BY 1), p6 AS (SELECT source_document, {_JOIN.format('l')} AS r FROM p5), p7 AS (SELECT source_document, CASE WHEN r.o = '' THEN r.d ELSE list_append(r.d, r.o) END AS l FROM p6),
+p8 AS (SELECT source_document, {_OVERLAP.format('l') if overlap else 'l'} AS l FROM p7) SELECT source_document, generate_subscripts(l, 1) - 1 AS chunk_index, sha256(unnest(l)) AS text_hash FROM p8"""
+
+
+@query(f"WITH {_page_sql('PDF', True)}")
+def c08_page_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The PDF texts of each document as its pages."""
+    rows = table(spark, d, "raw_chunks").filter("source_type = 'PDF' and source_document is not null").dropDuplicates(["chunk_uid"])
+    pages = parsers.pages(rows.select("source_document", "chunk_uid", "chunk_text"), "source_document", "chunk_uid", "chunk_text")
+    return chunking.page_chunks(pages, "source_document").select("source_document", "chunk_index", F.sha2("chunk_text", 256).alias("text_hash"))
+
+
+@query(f"""WITH p0 AS ({_PAGES.format('DOCX')}), e AS (SELECT source_document, chunk_uid, {_STRIP.format('chunk_text')} AS t FROM p0 WHERE {_STRIP.format('chunk_text')} <> ''),
+s AS (SELECT *, sum(CASE WHEN chunk_uid % 5 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source_document ORDER BY chunk_uid) AS n FROM e),
+g AS (SELECT source_document, n, string_agg(t, chr(10) || chr(10) ORDER BY chunk_uid) AS section, any_value(CASE WHEN n > 0 THEN first END) AS path FROM s LEFT JOIN (SELECT source_document, n, arg_min(t, chunk_uid) AS first FROM s GROUP BY 1, 2) USING (source_document, n) GROUP BY 1, 2)
+SELECT source_document, row_number() OVER (PARTITION BY source_document ORDER BY n) - 1 AS position, sha256(section) AS text_hash, coalesce(path, '') AS section_path FROM g""")
+def c09_document_sections(spark: SparkSession, d: str) -> DataFrame:
+    """The DOCX texts of each document as its elements, those whose number is divisible by 5 as headings: the body joined under them."""
+    sections = chunking.document_sections(_docx(spark, d), "source_document")
+    return sections.select("source_document", "position", F.sha2("section_text", 256).alias("text_hash"), "section_path")
+
+
+def _docx(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "raw_chunks").filter("source_type = 'DOCX' and source_document is not null").dropDuplicates(["chunk_uid"])
+    style = F.when(F.col("chunk_uid") % 5 == 0, "Heading 1").otherwise("Normal")
+    return parsers.paragraphs(rows.select("source_document", F.col("chunk_uid").alias("position"), style.alias("style"), F.col("chunk_text").alias("text")), "source_document", "position")
+
+
+@query()
+def c09_document_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.document_chunks(_docx(spark, d), "source_document").drop("metadata")
+
+
+@query()
+def c10_markdown_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The Markdown documents, section by section; fenced code is never cut at its empty lines."""
+    return chunking.section_chunks(_sections(spark, d), "doc_id").select("doc_id", "chunk_index", "chunk_text", "source_locator", "char_count")
 
 
 @query("""
@@ -327,25 +499,18 @@ def c16_commit_texts(spark: SparkSession, d: str) -> DataFrame:
     return chunking.commit_chunks(commits).select("commit_row", F.sha2("text", 256).alias("text_hash"), "locator", F.length("text").alias("char_count"))
 
 
-@query()
+@query("""SELECT DISTINCT ON (commit_row) commit_row, 'Commit: ' || coalesce(commit_sha, '') || chr(10) || 'Author: ' || coalesce(author, '') || chr(10) || 'Date: ' || coalesce(date, '') || chr(10) || chr(10) || coalesce(message, '')
+ || CASE WHEN len(changed_files) > 0 THEN chr(10) || chr(10) || 'Changed files:' || chr(10) || array_to_string(list_transform(changed_files[1:20], lambda x: '- ' || x), chr(10)) ELSE '' END AS text, 'commit ' || substring(commit_sha, 1, 8) || ' (' || coalesce(date, '') || ')' AS locator FROM git_commits""")
 def c16_commit_chunks(spark: SparkSession, d: str) -> DataFrame:
     commits = table(spark, d, "git_commits").dropDuplicates(["commit_row"])
-    return chunking.commit_chunks(commits).select("commit_row", "text", "locator", F.length("text").alias("char_count"))
+    return chunking.commit_chunks(commits).select("commit_row", "text", "locator")
 
 
 # ---- normal forms and identity ---------------------------------------------------------------------------
 
 
-@query(r"""
-SELECT DISTINCT chunk_uid, sha256(regexp_replace(regexp_replace(regexp_replace(chunk_text, '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS text_hash
-FROM raw_chunks WHERE regexp_full_match(chunk_text, '[\x20-\x7E\n\r\t]*') AND trim(chunk_text, ' ' || chr(10) || chr(13) || chr(9)) <> ''""")
-def n01_normalise(spark: SparkSession, d: str) -> DataFrame:
-    """The ASCII chunks, as in the SQL; ``n01_normalise_all`` has them all."""
-    return _normalised_hashes(table(spark, d, "raw_chunks").filter(F.col("chunk_text").rlike(r"^[\x20-\x7E\n\r\t]*$")))
-
-
 @query()
-def n01_normalise_all(spark: SparkSession, d: str) -> DataFrame:
+def n01_normalise(spark: SparkSession, d: str) -> DataFrame:
     return _normalised_hashes(table(spark, d, "raw_chunks"))
 
 
@@ -458,7 +623,7 @@ def q10_min_max(spark: SparkSession, d: str) -> DataFrame:
 WITH ids AS (SELECT DISTINCT split_part(entity_id, '-', 1) AS query_id FROM evidence WHERE entity_type = 'REQUIREMENT' AND seq % 20 = 0), c AS (SELECT DISTINCT chunk_uid, chunk_text FROM raw_chunks)
 SELECT query_id, chunk_uid AS row_id FROM ids JOIN c ON contains(lower(chunk_text), lower(query_id)) WHERE trim(query_id) <> ''""")
 def q12_id_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Short requirement numbers (``R12``) in chunk texts, as substrings."""
+    """The numbers of requirements (``R12``, what texts name them by) in chunk texts, as substrings; ``q16`` and ``q15`` look for whole ids."""
     ids = table(spark, d, "evidence").filter("entity_type = 'REQUIREMENT' and seq % 20 = 0").select(F.split("entity_id", "-")[0].alias("query_id"))
     docs = table(spark, d, "raw_chunks").select(F.col("chunk_uid").alias("row_id"), F.col("chunk_text").alias("text")).dropDuplicates(["row_id"])
     return retrieval.id_matches(ids, docs)
@@ -545,34 +710,43 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("seq", answer.alias("raw_response"), "source_document", "chunk_id", F.col("text").alias("source_text"))
 
 
-@query("SELECT DISTINCT seq, seq % 4 <> 3 AS readable FROM evidence WHERE text NOT LIKE '%]%' AND text NOT LIKE '%[%' AND text NOT LIKE '%}%'")
+_FIRST_PART = r"regexp_extract({0}, '(?s)(\[.*?\]|\{{.*?\}})', 1)"
+_ANSWERS = f"""a0 AS (SELECT DISTINCT ON (seq) seq, entity_type, entity_id, text, linked_requirement FROM evidence),
+a1 AS (SELECT *, '[{{' || array_to_string(list_filter(['"entity_type":' || to_json(entity_type)::VARCHAR, '"entity_id":' || to_json(entity_id)::VARCHAR, '"text":' || to_json(text)::VARCHAR, '"linked_requirement":' || to_json(coalesce(linked_requirement, ''))::VARCHAR], lambda x: x IS NOT NULL), ',') || '}}]' AS j FROM a0),
+a2 AS (SELECT *, CASE seq % 4 WHEN 0 THEN true WHEN 1 THEN json_valid(regexp_extract('```json' || chr(10) || j || chr(10) || '```', '(?s)```(?:json)?\\s*(\\[.*?\\]|\\{{.*?\\}})\\s*```', 1)) WHEN 2 THEN json_valid({_FIRST_PART.format("'Here it is: ' || j")}) ELSE false END AS readable FROM a1)"""
+
+
+@query(f"WITH {_ANSWERS} SELECT seq, readable FROM a2")
 def x05_json_recovery(spark: SparkSession, d: str) -> DataFrame:
-    """Texts without brackets, as in the SQL; ``x05_json_recovery_all`` has them all."""
-    return _readable(_answers(spark, d).filter(~F.col("source_text").rlike(r"[\[\]}]")))
+    return _readable(_answers(spark, d))
 
 
 def _readable(rows: DataFrame) -> DataFrame:
     return rows.select("seq", extraction.recover_json(F.col("raw_response")).isNotNull().alias("readable"))
 
 
-@query()
-def x05_json_recovery_all(spark: SparkSession, d: str) -> DataFrame:
-    return _readable(_answers(spark, d))
-
-
-@query("SELECT entity_type, count(*) AS n FROM (SELECT DISTINCT seq, entity_type, entity_id, text FROM evidence WHERE seq % 4 <> 3 AND text NOT LIKE '%]%' AND text NOT LIKE '%[%' AND text NOT LIKE '%}%') WHERE trim(entity_id) <> '' AND trim(text) <> '' GROUP BY 1")
+@query(f"WITH {_ANSWERS} SELECT seq, entity_type, trim(entity_id) AS entity_id, sha256({_STRIP.format('text')}) AS text_hash, CASE WHEN {_STRIP.format('linked_requirement')} <> '' THEN linked_requirement END AS linked_requirement FROM a2 WHERE readable AND trim(entity_id) <> '' AND {_STRIP.format('text')} <> ''")
 def x06_validate(spark: SparkSession, d: str) -> DataFrame:
-    """Texts without brackets, as in the SQL; ``x06_validate_all`` has them all."""
-    return _valid_counts(_answers(spark, d).filter(~F.col("source_text").rlike(r"[\[\]}]")))
+    """Every valid item of every answer, with its fields brought to the rules (X07)."""
+    rows = _answers(spark, d).withColumn("chunk_id", F.col("seq").cast("string"))  # the place an item comes from, given back with it
+    good, _ = extraction.validate(rows)
+    return good.select(F.col("chunk_id").cast("bigint").alias("seq"), "entity_type", "entity_id", F.sha2("text", 256).alias("text_hash"), "linked_requirement")
 
 
-def _valid_counts(rows: DataFrame) -> DataFrame:
-    return extraction.validate(rows)[0].groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+@query(f"WITH {_ANSWERS} SELECT seq, '- ' || CASE WHEN NOT readable THEN 'no JSON found' WHEN trim(entity_id) = '' OR entity_id IS NULL THEN 'empty entity_id' ELSE 'empty text' END AS errors FROM a2 WHERE NOT readable OR coalesce(trim(entity_id), '') = '' OR coalesce({_STRIP.format('text')}, '') = ''")
+def x10_error_lists(spark: SparkSession, d: str) -> DataFrame:
+    """What the next attempt is told about each answer that gave no item."""
+    _, bad = extraction.validate(_answers(spark, d).withColumn("chunk_id", F.col("seq").cast("string")))
+    told = bad.groupBy("chunk_id").agg(extraction.error_list(F.array_sort(F.collect_list("error"))).alias("errors"))  # a chunk's answer bounds them
+    return told.select(F.col("chunk_id").cast("bigint").alias("seq"), "errors")
 
 
 @query()
-def x06_validate_all(spark: SparkSession, d: str) -> DataFrame:
-    return _valid_counts(_answers(spark, d))
+def x03_extraction(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk text through the extractor with its retries, validated: the rows it gives."""
+    rows = table(spark, d, "raw_chunks").filter("chunk_text is not null").dropDuplicates(["chunk_uid"])
+    asked = rows.select(F.col("chunk_uid").cast("string").alias("chunk_id"), "source_document", F.col("chunk_text").alias("source_text"), extract_answers(F.col("chunk_text"), F.col("source_document"), F.col("source_locator"))["answer"].alias("raw_response"))
+    return extraction.validate(asked)[0].select("chunk_id", "entity_type", "entity_id", "text", "linked_requirement", "hallucination_risk")
 
 
 _WORDS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
@@ -1067,3 +1241,6 @@ def ev04_confusion(spark: SparkSession, d: str) -> DataFrame:
     decided = correlate.decide(table(spark, d, "evidence"), table(spark, d, "candidates")).select("requirement_id", F.col("status").alias("label"))
     stored = matrix.best_correlations(table(spark, d, "correlation")).select(F.col("requirement_entity_id").alias("requirement_id"), F.col("status").alias("label"))
     return metrics.confusion(decided, stored, "requirement_id")
+
+
+SQL: dict[str, str] = {name: sql() if callable(sql) else sql for name, sql in LATER.items()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceloom.config import SETTINGS
@@ -73,6 +73,21 @@ def looks_like_git_log(text: Column) -> Column:
     return start.rlike(r"(?m)^commit [0-9a-f]{40}") | start.contains(COMMIT_MARK)
 
 
+# The media type that an ending stands for, and how files of known kinds begin.
+MIME_OF_EXTENSION = {
+    "pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "doc": "application/msword", "eml": "message/rfc822",
+    "md": "text/markdown", "markdown": "text/markdown", "py": "text/x-python", "txt": "text/plain", "log": "text/plain",
+}
+BEGINNINGS = {"25504446": "application/pdf", "504B0304": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "D0CF11E0": "application/msword"}
+
+
+def mime_type(filename: Column, content: Column | None = None) -> Column:
+    """The media type by how the bytes begin, else by the ending; ``application/octet-stream`` if neither says."""
+    table = lambda d: F.create_map(*[F.lit(x) for pair in d.items() for x in pair])
+    begins = F.try_element_at(table(BEGINNINGS), F.substring(F.hex(F.substring(content, 1, 4)), 1, 8)) if content is not None else F.lit(None).cast("string")
+    return F.coalesce(begins, F.try_element_at(table(MIME_OF_EXTENSION), extension(filename)), F.lit("application/octet-stream"))
+
+
 def source_type(filename: Column, text: Column, mime: Column | None = None) -> Column:
     """Media type, then ending, then the look of the text; a plain .txt is Markdown; NULL: not supported."""
     table = lambda d: F.create_map(*[F.lit(x) for pair in d.items() for x in pair])
@@ -87,16 +102,10 @@ def source_type(filename: Column, text: Column, mime: Column | None = None) -> C
 
 
 def ingest(files: DataFrame, log: DataFrame, mime: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(files to parse with file_hash, text and source_type; rejected files with an error)."""
+    """(files to parse with file_hash, content, text and source_type; rejected files with an error).  ``mime``: a column, else the bytes and the ending tell."""
     checked = files.withColumn("file_hash", content_hash(F.col("content"))).withColumn("error_message", validation_error(F.col("length")))
     bad = checked.filter("error_message is not null").select("filename", "file_hash", "error_message")
     fresh = first_copies(checked.filter("error_message is null").drop("error_message"), log)
-    typed = fresh.withColumn("text", decode(F.col("content"))).withColumn("source_type", source_type(F.col("filename"), F.col("text"), F.col(mime) if mime else None))
+    typed = fresh.withColumn("text", decode(F.col("content"))).withColumn("source_type", source_type(F.col("filename"), F.col("text"), F.col(mime) if mime else mime_type(F.col("filename"), F.col("content"))))
     unsupported = typed.filter("source_type is null").select("filename", "file_hash", F.lit("unsupported type").alias("error_message"))
-    return typed.filter("source_type is not null").drop("content"), bad.unionByName(unsupported)
-
-
-def latest_versions(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row per key by the given columns."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    return typed.filter("source_type is not null"), bad.unionByName(unsupported)

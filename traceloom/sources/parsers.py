@@ -1,8 +1,8 @@
 """Parsers: one text per row to its structural elements.
 
 Mail, chat, commit logs and Markdown are cut with built-in expressions inside their row; only Python
-source goes through Arrow.  ``PARSERS`` is the registry, by source type; paged and word-processor
-documents need a page or paragraph table from an extractor (``pages`` / ``paragraphs``).
+source and binary files go through Arrow.  ``PARSERS`` is the registry, by source type; paged and word-processor
+files are read by an extractor that the caller may replace.
 
 Defined results: null and blank texts give no elements; a part without recognisable header is dropped.
 """
@@ -10,14 +10,19 @@ Defined results: null and blank texts give no elements; a part without recognisa
 from __future__ import annotations
 
 import ast
+import io
+import re
+import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions.text import strip
-from traceloom.sources.files import COMMIT_MARK
+from traceloom.operators.folds import ordered_fold
+from traceloom.sources.files import BY_EXTENSION, BY_MIME, COMMIT_MARK
 
 # Header names, chat line forms, texts of chat programs.
 _HEADERS = r"(?im)^(?:From|To|Date|Subject|Cc|Bcc|Reply-To|Message-ID|Content-Type|Content-Transfer-Encoding|MIME-Version|Received|Return-Path|X-\w+):[^\S\n]*.*$"
@@ -134,8 +139,8 @@ def python_elements(source: str, filename: str = "") -> list[tuple[str, str, str
         out.append(("module", filename, doc, doc, 1, tree.body[0].end_lineno or 1))
     imports = [n for n in ast.walk(tree) if isinstance(n, (ast.Import, ast.ImportFrom))]
     if imports:
-        numbers = sorted({n.lineno for n in imports})
-        out.append(("import_block", "imports", "", "\n".join(lines[i - 1] for i in numbers), numbers[0], numbers[-1]))
+        first_lines = [lines[n.lineno - 1] for n in imports]  # in the order of the walk, as many as there are statements
+        out.append(("import_block", f"{filename}:imports", "", "\n".join(first_lines), 1, len(first_lines)))
     for node in tree.body:
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             kind = "class" if isinstance(node, ast.ClassDef) else "function"
@@ -168,22 +173,142 @@ def pages(table: DataFrame, key: str, page: str, text: str) -> DataFrame:
     return table.withColumn("_t", strip(F.col(text))).filter("_t <> ''").select(key, F.col(page).alias("position"), F.col("_t").alias("text"), F.format_string("page %d", page).alias("locator"))
 
 
+class HeadingPaths:
+    """The fold of headings: each row with the titles open at it.  State: the open (level, title) pairs."""
+
+    def forgets(self, row: dict) -> bool:
+        return row["heading_level"] == 1
+
+    def step(self, state, row: dict) -> tuple:
+        level, text = row["heading_level"], row["section_text"]
+        if level > 0:
+            state = [*(x for x in state or [] if x[0] < level), (level, text)]
+        return state, [(row["_at"], level, text if level > 0 else "", text, " > ".join(t for _, t in state or []), row["is_table"])]
+
+    def end(self, state) -> list[tuple]:
+        return []
+
+
 def paragraphs(table: DataFrame, key: str, position: str) -> DataFrame:
-    """Word-processor documents from a paragraph table (key, position, style, text): headings by style name, with their path."""
+    """Word-processor documents from a paragraph table (key, position, style, text, perhaps is_table): headings by style name, with their path.
+
+    A document's tables stand after its paragraphs, under the last heading.
+    """
     level = F.coalesce(F.regexp_extract("style", r"(?i)^heading\s+([1-9])$", 1).try_cast("int"), F.lit(0))
-    rows = table.withColumn("section_text", strip(F.col("text"))).filter("section_text <> ''").withColumn("heading_level", level)
-    w = Window.partitionBy(key).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    # a heading stays open until one of its level or above comes: keep the last of each level that nothing closed since
-    at = {n: F.max(F.when(F.col("heading_level") == n, F.struct(F.col(position).alias("p"), F.col("section_text").alias("t")))).over(w) for n in range(1, 10)}
-    out = rows
-    for n, c in at.items():
-        out = out.withColumn(f"_h{n}", c)
-    for n in range(2, 10):
-        closed = F.greatest(*[F.coalesce(F.col(f"_h{m}.p"), F.lit(-1)) for m in range(1, n)], F.lit(-1))
-        out = out.withColumn(f"_k{n}", F.when(F.col(f"_h{n}.p") > closed, F.col(f"_h{n}.t")))
-    out = out.withColumn("section_path", F.concat_ws(" > ", F.col("_h1.t"), *[F.col(f"_k{n}") for n in range(2, 10)]))
-    return out.withColumn("heading_text", F.when(F.col("heading_level") > 0, F.col("section_text")).otherwise(F.lit(""))).select(key, position, "heading_level", "heading_text", "section_text", "section_path")
+    of_table = F.coalesce("is_table", F.lit(False)) if "is_table" in table.columns else F.lit(False)
+    rows = table.withColumn("section_text", strip(F.col("text"))).filter("section_text <> ''").select(key, F.col(position).cast("bigint").alias("_at"), level.alias("heading_level"), "section_text", of_table.alias("is_table"))
+    schema = [("_at", "bigint", pa.int64()), ("heading_level", "int", pa.int32()), ("heading_text", "string", pa.string()), ("section_text", "string", pa.string()), ("section_path", "string", pa.string()), ("is_table", "boolean", pa.bool_())]
+    made = ordered_fold(rows, key, ["is_table", "_at"], HeadingPaths, schema)
+    return made.select(key, F.col("_at").alias(position) if position != "position" else "position", "heading_level", "heading_text", "section_text", "section_path", "is_table")
+
+
+# ---- extractors --------------------------------------------------------------------------------------------
+
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def docx_elements(content: bytes) -> list[tuple[str, str, bool]]:
+    """(style, text, is_table) of a word-processor file: its paragraphs in order, and its tables as Markdown; [] for a file that is none."""
+    from xml.etree import ElementTree
+
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+            styles = ElementTree.fromstring(z.read("word/styles.xml")) if "word/styles.xml" in z.namelist() else None
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+        return []
+    named = {} if styles is None else {x.get(f"{_W}styleId"): x.find(f"{_W}name").get(f"{_W}val") for x in styles.iter(f"{_W}style") if x.find(f"{_W}name") is not None}
+    said = lambda e: "".join({"t": x.text or "", "tab": "\t", "br": "\n"}.get(x.tag.removeprefix(_W), "") for x in e.iter())
+    out = []
+    for e in () if body is None else body:
+        if e.tag == f"{_W}p":
+            style = e.find(f"{_W}pPr/{_W}pStyle")
+            mark = style.get(f"{_W}val") if style is not None else ""
+            out.append((named.get(mark, mark), said(e), False))
+        elif e.tag == f"{_W}tbl":
+            rows = ["| " + " | ".join("\n".join(said(p) for p in c.iter(f"{_W}p")).strip().replace("\n", " ") for c in r.findall(f"{_W}tc")) + " |" for r in e.findall(f"{_W}tr")]
+            if rows:
+                rows.insert(1, "|" + " --- |" * (rows[0].count("|") - 1))
+            out.append(("", "\n".join(rows), True))
+    return out
+
+
+_PDF_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
+_PDF_STREAM = re.compile(rb"(.*?)\bstream\r?\n(.*?)\r?\n?endstream", re.S)
+_PDF_TEXT = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|T\*|\b(?:Tj|TJ|Td|TD|Tm|ET|BT)\b|['\"]|-?\d+(?:\.\d+)?", re.S)
+_PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _pdf_string(token: bytes) -> str:
+    if token[:1] == b"<":
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    else:
+        raw = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else b"" if m[1][-1:] == b"\n" else _PDF_ESCAPES.get(m[1], m[1]), token[1:-1], flags=re.S)
+    return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("latin-1")
+
+
+def _pdf_page(stream: bytes) -> str:
+    out: list[str] = []
+    for token in _PDF_TEXT.findall(stream):
+        if token[:1] in (b"(", b"<"):
+            out.append(_pdf_string(token))
+        elif token in (b"Td", b"TD", b"T*", b"'", b'"', b"ET", b"Tm"):
+            out.append("\n")
+        elif token[:1] == b"-" and float(token) < -200 and out and not out[-1].endswith((" ", "\n")):  # a wide step inside TJ is a space
+            out.append(" ")
+    return re.sub(r"\n{2,}", "\n", "".join(out)).strip()
+
+
+def pdf_pages(content: bytes) -> list[str]:
+    """The text of each page of a plain PDF (simple fonts, streams packed with Flate or not at all); [] for a file that is none.
+
+    Embedded character maps, object streams and encryption need a library: give its function to ``read_pages`` instead.
+    """
+    if not content.startswith(b"%PDF"):
+        return []
+    objects = {int(n): body for n, body in _PDF_OBJECT.findall(content)}
+    found = []
+    for body in (b for _, b in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b", b)):
+        text = []
+        for n in re.findall(rb"(\d+)\s+\d+\s+R", (re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body) or [b"", b""])[1]):
+            m = _PDF_STREAM.match(objects.get(int(n), b""))
+            if m:
+                try:
+                    text.append(_pdf_page(zlib.decompress(m[2]) if b"FlateDecode" in m[1] else m[2]))
+                except zlib.error:
+                    continue
+        found.append("\n".join(text))
+    return found
+
+
+def _read(files: DataFrame, key: str, content: str, extract: Callable, schema: list[tuple[str, str, pa.DataType]]) -> DataFrame:
+    """key, position (from 1) and what ``extract`` gives of each file's bytes; a file is read whole in its task, its size is limited."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, data in enumerate(batch.column(1).to_pylist()):
+                rows = [x if isinstance(x, tuple) else (x,) for x in extract(data or b"")]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(rows), pa.int64())), pa.array(range(1, len(rows) + 1), pa.int32()), *[pa.array([r[c] for r in rows], t) for c, (_, _, t) in enumerate(schema)]], [key, "position", *[n for n, _, _ in schema]])
+
+    return files.select(key, content).mapInArrow(read, f"`{key}` {files.schema[key].dataType.simpleString()}, position int, " + ", ".join(f"{n} {t}" for n, t, _ in schema))
+
+
+def read_pages(files: DataFrame, key: str, content: str = "content", extract: Callable[[bytes], list[str]] = pdf_pages) -> DataFrame:
+    """Paged files to ``pages`` rows, with an extractor of the caller's choice."""
+    return pages(_read(files, key, content, extract, [("text", "string", pa.string())]), key, "position", "text")
+
+
+def read_docx(files: DataFrame, key: str, content: str = "content", extract: Callable[[bytes], list[tuple[str, str, bool]]] = docx_elements) -> DataFrame:
+    """Word-processor files to ``paragraphs`` rows, with an extractor of the caller's choice."""
+    rows = _read(files, key, content, extract, [("style", "string", pa.string()), ("text", "string", pa.string()), ("is_table", "boolean", pa.bool_())])
+    return paragraphs(rows, key, "position")
 
 
 Parser = Callable[..., DataFrame]
-PARSERS: dict[str, Parser] = {"EMAIL": parse_email, "WHATSAPP": parse_chat, "GIT": parse_git_log, "MARKDOWN": parse_markdown, "PYTHON": parse_python}
+PARSERS: dict[str, Parser] = {"PDF": read_pages, "DOCX": read_docx, "EMAIL": parse_email, "WHATSAPP": parse_chat, "GIT": parse_git_log, "MARKDOWN": parse_markdown, "PYTHON": parse_python}
+
+
+def can_handle(kind: str, mime: str = "", extension: str = "") -> bool:
+    """Whether the parser of a source type takes a media type or an ending (without its dot)."""
+    return kind in PARSERS and (BY_MIME.get(mime.lower()) == kind or BY_EXTENSION.get(extension.lower()) == kind)
