@@ -353,6 +353,28 @@ def test_long_texts_are_embedded_whole(spark):
     assert not any(rows[2].s) and not any(rows[3].s)
 
 
+def test_providers_that_answer():
+    class Down:
+        def available(self):
+            raise ConnectionError
+
+    assert providers.available(Scripted("x")) and providers.available(providers.HashingEmbedder()) and not providers.available(Down())
+
+
+def test_logs_rotate(tmp_path):
+    import json
+    import logging
+
+    from traceloom.logs import log_to
+
+    path = str(tmp_path / "log")
+    for i in range(40):
+        log_to(path, "t", file_bytes=1000, files=2).info("step %d", i, extra={"context": {"rows": i}})
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["log", "log.1", "log.2"]
+    last = json.loads((tmp_path / "log").read_text().splitlines()[-1])
+    assert (last["message"], last["rows"], last["level"]) == ("step 39", 39, "INFO") and len(logging.getLogger("t").handlers) == 1
+
+
 def test_stream_inserts_once(spark, tmp_path):
     from traceloom.streaming.pipeline import insert_stream, table_stream
 

@@ -48,6 +48,14 @@ class ChatModel(Protocol):
     def available(self) -> bool: ...
 
 
+def available(provider: object) -> bool:
+    """Whether a provider answers; one without a check always does, an error in the check counts as no."""
+    try:
+        return bool(getattr(provider, "available", lambda: True)())
+    except Exception:  # noqa: BLE001 - whatever a client raises
+        return False
+
+
 def asked(model: ChatModel, messages: list[dict[str, str]]) -> str:
     """The model's answer; an error of the model is an empty one, so it counts as a failed attempt and stops no task."""
     try:

@@ -369,7 +369,7 @@ def python_elements_to_pieces(elements: DataFrame, key: str, order: str) -> Data
     A document's module texts and import lines meet in one row, the overview chunk that they are.
     """
     head = F.col("element_type").isin("module", "import_block")
-    group = elements.withColumn("_head", head)
+    group = elements.withColumn("body", strip(F.col("body"))).filter("body <> ''").withColumn("_head", head)
     first = group.filter("_head").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("body").alias("t")))).alias("_e"))
     module = first.select(key, F.lit(-1).cast("bigint").alias("piece_order"), F.concat(F.lit("# File: "), F.col(key), F.lit("\n\n"), F.array_join(F.transform("_e", lambda e: e["t"]), "\n\n")).alias("text"), F.lit("module overview").alias("locator"))
     rest = group.filter(~F.col("_head")).select(key, F.col(order).cast("bigint").alias("piece_order"), F.col("body").alias("text"), F.format_string("lines %d-%d", "line_start", "line_end").alias("locator"))

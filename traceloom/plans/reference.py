@@ -308,6 +308,19 @@ _JOIN = "list_reduce(list_prepend({{'d': []::VARCHAR[], 'o': ''}}, list_transfor
 _OVERLAP = "list_reduce(list_transform({0}, lambda p: [p]), lambda a, b: list_append(a, " + _STRIP.format("right(a[-1], 150) || chr(10) || chr(10) || b[1]") + "))"
 
 
+def _fold_sql(source: str, key: str, overlap: bool, twice: bool) -> str:
+    """Chunks of documents from their elements (key, ord, t): each cut on its own, once or twice, joined if short, overlapped."""
+    cut = lambda t: f"CASE WHEN length({t}) <= 1500 THEN [{t}] WHEN len({_PARAGRAPHS.format(t)}) > 1 THEN list_append(({_PACK.format(_PARAGRAPHS.format(t))}).d, ({_PACK.format(_PARAGRAPHS.format(t))}).o) WHEN len({_SENTENCES.format(t)}) > 1 THEN list_append(({_PACK.format(_SENTENCES.format(t))}).d, ({_PACK.format(_SENTENCES.format(t))}).o) ELSE [{t}] END"
+    return f"""p1 AS (SELECT {key}, ord, {_STRIP.format('t')} AS t FROM ({source})), p2 AS (SELECT {key}, ord, {cut('t')} AS l FROM p1 WHERE t <> ''),
+p3 AS (SELECT {key}, ord, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM p2), p4 AS (SELECT {key}, ord, i, {cut('t') if twice else '[t]'} AS l FROM p3),
+p5 AS (SELECT {key}, flatten(list(l ORDER BY ord, i)) AS l FROM p4 GROUP BY 1), p6 AS (SELECT {key}, {_JOIN.format('l')} AS r FROM p5), p7 AS (SELECT {key}, CASE WHEN r.o = '' THEN r.d ELSE list_append(r.d, r.o) END AS l FROM p6),
+p8 AS (SELECT {key}, {_OVERLAP.format('l') if overlap else 'l'} AS l FROM p7) SELECT {key}, generate_subscripts(l, 1) - 1 AS chunk_index, sha256(unnest(l)) AS text_hash FROM p8"""
+
+
+def _hashed(chunks: DataFrame, key: str) -> DataFrame:
+    return chunks.select(key, "chunk_index", F.sha2("chunk_text", 256).alias("text_hash"))
+
+
 def _chunk_sql(source: str, key: str, text: str) -> str:
     """CTEs up to ``ch`` (key, l: the chunks in order without overlap) for one text per row."""
     return f"""x0 AS ({source}), x1 AS (SELECT {key}, {text} AS t, {_PARAGRAPHS.format(text)} AS ps, {_SENTENCES.format(text)} AS ss FROM x0 WHERE {_STRIP.format(text)} <> ''),
@@ -329,12 +342,6 @@ def c06_chunks_with_overlap(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_documents(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
-def c11_python_chunks(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "python_elements").dropDuplicates(["element_row"]).filter("source_document is not null and body is not null")
-    return chunking.python_chunks(rows, "source_document", "element_row").drop("metadata")
-
-
 @query(r"""
 WITH x AS (SELECT DISTINCT chunk_uid, source_document, chunk_index, chunk_text FROM raw_chunks WHERE source_type = 'EMAIL' AND chunk_text IS NOT NULL AND source_document IS NOT NULL),
 w AS (SELECT chunk_uid, row_number() OVER o AS n, lag(chunk_text, 2) OVER o AS a, lag(chunk_text, 1) OVER o AS b FROM x WINDOW o AS (PARTITION BY source_document ORDER BY chunk_uid))
@@ -355,10 +362,12 @@ mail AS (SELECT chunk_uid, source_document, position, CASE WHEN f = '' THEN 'Unk
   regexp_matches(body, '(?i)-{{5,}}\\s*Forwarded message\\s*-{{5,}}') AS is_forwarded FROM m2 WHERE f <> '' OR t <> '')"""
 
 
-@query(f"""WITH {_MAIL}, h AS (SELECT *, 'From: ' || sender || ' | Date: ' || timestamp || ' | Subject: ' || subject || chr(10) || chr(10) || body AS raw FROM mail WHERE body <> '' AND source_document IS NOT NULL),
+_MAIL_TEXTS = f"""{_MAIL}, h AS (SELECT *, 'From: ' || sender || ' | Date: ' || timestamp || ' | Subject: ' || subject || chr(10) || chr(10) || body AS raw FROM mail WHERE body <> '' AND source_document IS NOT NULL),
 w AS (SELECT *, row_number() OVER o AS n, lag(raw, 2) OVER o AS a, lag(raw, 1) OVER o AS b FROM h WINDOW o AS (PARTITION BY source_document ORDER BY chunk_uid, position)),
-z AS (SELECT source_document, chunk_uid, position, 'Message ' || n || ' from ' || sender AS locator, CASE WHEN n = 1 THEN raw ELSE '[Previous context:]' || chr(10) || CASE WHEN a IS NULL THEN b ELSE a || chr(10) || '---' || chr(10) || b END || chr(10) || '[End context]' || chr(10) || chr(10) || raw END AS text FROM w)
-SELECT source_document, chunk_uid, position, locator, sha256({_STRIP.format('text')}) AS text_hash FROM z""")
+z AS (SELECT source_document, chunk_uid, position, 'Message ' || n || ' from ' || sender AS locator, CASE WHEN n = 1 THEN raw ELSE '[Previous context:]' || chr(10) || CASE WHEN a IS NULL THEN b ELSE a || chr(10) || '---' || chr(10) || b END || chr(10) || '[End context]' || chr(10) || chr(10) || raw END AS text FROM w)"""
+
+
+@query(f"""WITH {_MAIL_TEXTS} SELECT source_document, chunk_uid, position, locator, sha256({_STRIP.format('text')}) AS text_hash FROM z""")
 def c12_email_texts(spark: SparkSession, d: str) -> DataFrame:
     """Every message of the mail texts with its header, after the two messages before it in its document."""
     rows = chunking.email_texts(_mail(spark, d), "source_document", "message_no", chunking.SLICE << 20)
@@ -371,10 +380,10 @@ def _mail(spark: SparkSession, d: str) -> DataFrame:
     return mail.withColumn("message_no", F.col("chunk_uid") * (1 << 20) + F.col("position"))  # a chunk holds fewer messages than characters, far below 2^20
 
 
-@query()
+@query(f"WITH {_MAIL_TEXTS}, " + _fold_sql("SELECT source_document, chunk_uid * 1048576 + position AS ord, text AS t FROM z", "source_document", False, False))
 def c12_email_chunks(spark: SparkSession, d: str) -> DataFrame:
     """``c12_email_texts`` within the limits of size."""
-    return chunking.email_chunks(_mail(spark, d), "source_document", "message_no", width=chunking.SLICE << 20).drop("metadata")
+    return _hashed(chunking.email_chunks(_mail(spark, d), "source_document", "message_no", width=chunking.SLICE << 20), "source_document")
 
 
 _CHAT_TIME = "coalesce(" + ", ".join(f"CASE WHEN {'y4' if '%Y' in f else 'NOT y4'} AND {'ap' if '%p' in f else 'NOT ap'} THEN try_strptime(z, '{f}') END" for f in ("%d/%m/%Y, %H:%M:%S", "%d/%m/%Y, %H:%M", "%m/%d/%Y, %H:%M:%S", "%m/%d/%Y, %I:%M %p", "%d/%m/%y, %H:%M:%S", "%d/%m/%y, %H:%M", "%m/%d/%y, %I:%M %p", "%d/%m/%y, %I:%M %p")) + ")"
@@ -410,19 +419,22 @@ def c13_chat_windows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("source_document", "window_no", F.sha2("text", 256).alias("text_hash"), "locator", F.array_join("participants", ", ").alias("participants"), "message_count")
 
 
-@query(f"""WITH {_CHAT}, lg AS (SELECT source_document, msg_id, lag(line, 2) OVER o AS a, lag(line, 1) OVER o AS b FROM win WINDOW o AS (PARTITION BY source_document ORDER BY msg_id))
-SELECT wt.source_document, window_no, sha256(CASE WHEN b IS NULL THEN text ELSE '[Context:]' || chr(10) || CASE WHEN a IS NULL THEN b ELSE a || chr(10) || b END || chr(10) || chr(10) || '[Current window:]' || chr(10) || text END) AS text_hash
-FROM wt JOIN lg ON lg.source_document = wt.source_document AND msg_id = first_id""")
+_CHAT_TEXTS = f"""{_CHAT}, lg AS (SELECT source_document, msg_id, lag(line, 2) OVER o AS a, lag(line, 1) OVER o AS b FROM win WINDOW o AS (PARTITION BY source_document ORDER BY msg_id)),
+ctx AS (SELECT wt.source_document, window_no, CASE WHEN b IS NULL THEN text ELSE '[Context:]' || chr(10) || CASE WHEN a IS NULL THEN b ELSE a || chr(10) || b END || chr(10) || chr(10) || '[Current window:]' || chr(10) || text END AS text
+ FROM wt JOIN lg ON lg.source_document = wt.source_document AND msg_id = first_id)"""
+
+
+@query(f"WITH {_CHAT_TEXTS} SELECT source_document, window_no, sha256(text) AS text_hash FROM ctx")
 def c14_chat_texts(spark: SparkSession, d: str) -> DataFrame:
     """Each window after the last two messages before it."""
     rows = chunking.chat_context_texts(checkpoint(_chat_windows(spark, d)), "source_document", "msg_id")
     return rows.select("source_document", "window_no", F.sha2("text", 256).alias("text_hash"))
 
 
-@query()
+@query(f"WITH {_CHAT_TEXTS}, " + _fold_sql("SELECT source_document, window_no AS ord, text AS t FROM ctx", "source_document", False, False))
 def c14_chat_chunks(spark: SparkSession, d: str) -> DataFrame:
     """``c14_chat_texts`` within the limits of size."""
-    return chunking.chat_context_chunks(checkpoint(_chat_windows(spark, d)), "source_document", "msg_id").drop("metadata")
+    return _hashed(chunking.chat_context_chunks(checkpoint(_chat_windows(spark, d)), "source_document", "msg_id"), "source_document")
 
 
 @query()
@@ -436,27 +448,20 @@ def c13_chat_windows_by_instant(spark: SparkSession, d: str) -> DataFrame:
 _PAGES = "SELECT DISTINCT source_document, chunk_uid, chunk_text FROM raw_chunks WHERE source_type = '{0}' AND source_document IS NOT NULL AND chunk_text IS NOT NULL"
 
 
-def _page_sql(kind: str, overlap: bool) -> str:
-    """Chunks of documents whose elements are the texts of one kind: each cut on its own (twice), joined if short, overlapped."""
-    cut = lambda t: f"CASE WHEN length({t}) <= 1500 THEN [{t}] WHEN len({_PARAGRAPHS.format(t)}) > 1 THEN list_append(({_PACK.format(_PARAGRAPHS.format(t))}).d, ({_PACK.format(_PARAGRAPHS.format(t))}).o) WHEN len({_SENTENCES.format(t)}) > 1 THEN list_append(({_PACK.format(_SENTENCES.format(t))}).d, ({_PACK.format(_SENTENCES.format(t))}).o) ELSE [{t}] END"
-    return f"""p0 AS ({_PAGES.format(kind)}), p1 AS (SELECT source_document, chunk_uid, {_STRIP.format('chunk_text')} AS t FROM p0), p2 AS (SELECT source_document, chunk_uid, {cut('t')} AS l FROM p1 WHERE t <> ''),
-p3 AS (SELECT source_document, chunk_uid, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM p2), p4 AS (SELECT source_document, chunk_uid, i, {cut('t')} AS l FROM p3),
-p5 AS (SELECT source_document, flatten(list(l ORDER BY chunk_uid, i)) AS l FROM p4 GROUP BY 1), p6 AS (SELECT source_document, {_JOIN.format('l')} AS r FROM p5), p7 AS (SELECT source_document, CASE WHEN r.o = '' THEN r.d ELSE list_append(r.d, r.o) END AS l FROM p6),
-p8 AS (SELECT source_document, {_OVERLAP.format('l') if overlap else 'l'} AS l FROM p7) SELECT source_document, generate_subscripts(l, 1) - 1 AS chunk_index, sha256(unnest(l)) AS text_hash FROM p8"""
-
-
-@query(f"WITH {_page_sql('PDF', True)}")
+@query("WITH " + _fold_sql("SELECT source_document, chunk_uid AS ord, chunk_text AS t FROM (" + _PAGES.format("PDF") + ")", "source_document", True, True))
 def c08_page_chunks(spark: SparkSession, d: str) -> DataFrame:
     """The PDF texts of each document as its pages."""
     rows = table(spark, d, "raw_chunks").filter("source_type = 'PDF' and source_document is not null").dropDuplicates(["chunk_uid"])
     pages = parsers.pages(rows.select("source_document", "chunk_uid", "chunk_text"), "source_document", "chunk_uid", "chunk_text")
-    return chunking.page_chunks(pages, "source_document").select("source_document", "chunk_index", F.sha2("chunk_text", 256).alias("text_hash"))
+    return _hashed(chunking.page_chunks(pages, "source_document"), "source_document")
 
 
-@query(f"""WITH p0 AS ({_PAGES.format('DOCX')}), e AS (SELECT source_document, chunk_uid, {_STRIP.format('chunk_text')} AS t FROM p0 WHERE {_STRIP.format('chunk_text')} <> ''),
+_DOCX = f"""p0 AS ({_PAGES.format('DOCX')}), e AS (SELECT source_document, chunk_uid, {_STRIP.format('chunk_text')} AS t FROM p0 WHERE {_STRIP.format('chunk_text')} <> ''),
 s AS (SELECT *, sum(CASE WHEN chunk_uid % 5 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source_document ORDER BY chunk_uid) AS n FROM e),
-g AS (SELECT source_document, n, string_agg(t, chr(10) || chr(10) ORDER BY chunk_uid) AS section, any_value(CASE WHEN n > 0 THEN first END) AS path FROM s LEFT JOIN (SELECT source_document, n, arg_min(t, chunk_uid) AS first FROM s GROUP BY 1, 2) USING (source_document, n) GROUP BY 1, 2)
-SELECT source_document, row_number() OVER (PARTITION BY source_document ORDER BY n) - 1 AS position, sha256(section) AS text_hash, coalesce(path, '') AS section_path FROM g""")
+g AS (SELECT source_document, n, string_agg(t, chr(10) || chr(10) ORDER BY chunk_uid) AS section, any_value(CASE WHEN n > 0 THEN first END) AS path FROM s LEFT JOIN (SELECT source_document, n, arg_min(t, chunk_uid) AS first FROM s GROUP BY 1, 2) USING (source_document, n) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_DOCX} SELECT source_document, row_number() OVER (PARTITION BY source_document ORDER BY n) - 1 AS position, sha256(section) AS text_hash, coalesce(path, '') AS section_path FROM g""")
 def c09_document_sections(spark: SparkSession, d: str) -> DataFrame:
     """The DOCX texts of each document as its elements, those whose number is divisible by 5 as headings: the body joined under them."""
     sections = chunking.document_sections(_docx(spark, d), "source_document")
@@ -469,9 +474,20 @@ def _docx(spark: SparkSession, d: str) -> DataFrame:
     return parsers.paragraphs(rows.select("source_document", F.col("chunk_uid").alias("position"), style.alias("style"), F.col("chunk_text").alias("text")), "source_document", "position")
 
 
-@query()
+@query(f"WITH {_DOCX}, " + _fold_sql("SELECT source_document, n AS ord, section AS t FROM g", "source_document", True, False))
 def c09_document_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.document_chunks(_docx(spark, d), "source_document").drop("metadata")
+    return _hashed(chunking.document_chunks(_docx(spark, d), "source_document"), "source_document")
+
+
+_PYTHON_PIECES = f"""e0 AS (SELECT DISTINCT ON (element_row) * FROM python_elements WHERE source_document IS NOT NULL AND body IS NOT NULL), e1 AS (SELECT source_document, element_row, element_type IN ('module', 'import_block') AS head, {_STRIP.format('body')} AS body FROM e0),
+e2 AS (SELECT source_document, -1 AS ord, '# File: ' || source_document || chr(10) || chr(10) || string_agg(body, chr(10) || chr(10) ORDER BY element_row) AS t FROM e1 WHERE head AND body <> '' GROUP BY 1
+  UNION ALL SELECT source_document, element_row, body FROM e1 WHERE NOT head AND body <> '')"""
+
+
+@query(f"WITH {_PYTHON_PIECES}, " + _fold_sql("SELECT * FROM e2", "source_document", False, True))
+def c11_python_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "python_elements").dropDuplicates(["element_row"]).filter("source_document is not null and body is not null")
+    return _hashed(chunking.python_chunks(rows, "source_document", "element_row"), "source_document")
 
 
 @query()
@@ -509,7 +525,13 @@ def c16_commit_chunks(spark: SparkSession, d: str) -> DataFrame:
 # ---- normal forms and identity ---------------------------------------------------------------------------
 
 
-@query()
+# full-width forms and wide blanks as a rule, composition by the engine; the texts hold no other compatibility characters
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000\u00a0"
+_PLAIN = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''") + "  "
+_NORMAL = _STRIP.format(f"regexp_replace(regexp_replace(nfc_normalize(translate(chunk_text, '{_WIDE}', '{_PLAIN}')), '\\n{{{{3,}}}}', chr(10) || chr(10), 'g'), '[ \\t]{{{{2,}}}}', ' ', 'g')".replace("{{", "{").replace("}}", "}"))
+
+
+@query(f"SELECT DISTINCT chunk_uid, sha256({_NORMAL}) AS text_hash FROM raw_chunks WHERE {_NORMAL} <> ''")
 def n01_normalise(spark: SparkSession, d: str) -> DataFrame:
     return _normalised_hashes(table(spark, d, "raw_chunks"))
 
@@ -518,7 +540,7 @@ def _normalised_hashes(rows: DataFrame) -> DataFrame:
     return rows.select("chunk_uid", T.normalise(F.col("chunk_text")).alias("t")).filter("t <> ''").select("chunk_uid", F.sha2("t", 256).alias("text_hash")).distinct()
 
 
-@query()
+@query(f"SELECT DISTINCT ON (chunk_uid) chunk_uid, chunk_index, {_NORMAL} AS normalized_text, length({_NORMAL}) AS char_count FROM raw_chunks WHERE {_NORMAL} <> ''")
 def n02_normalised_chunks(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "raw_chunks").dropDuplicates(["chunk_uid"]).withColumn("normalized_text", T.normalise(F.col("chunk_text")))
     return rows.filter("normalized_text <> ''").select("chunk_uid", "chunk_index", "normalized_text", F.length("normalized_text").alias("char_count"))
