@@ -117,14 +117,13 @@ def _sections(spark: SparkSession, d: str) -> DataFrame:
     return parsers.parse_markdown(table(spark, d, "documents").filter(F.lower(F.trim("source")) == "markdown"), "doc_id", "text")
 
 
-@query(f"WITH {_MARKDOWN} SELECT doc_id, position, lv AS heading_level, title AS heading_text, coalesce(path, '') AS section_path FROM k2 LEFT JOIN k3 USING (doc_id, position)")
-def s14_markdown_sections(spark: SparkSession, d: str) -> DataFrame:
-    return _sections(spark, d).drop("section_text")
+_SECTION_HEAD = r"regexp_extract(s, '^(#{1,6}[ \t\n\x0B\f\r]+[^\n]*)', 1)"
+_SECTION_BODY = _STRIP.format(r"regexp_replace(s, '^#{1,6}[ \t\n\x0B\f\r]+[^\n]*\n?', '')")
 
 
-@query()
-def s14_markdown_texts(spark: SparkSession, d: str) -> DataFrame:
-    return _sections(spark, d)
+@query("WITH " + _MARKDOWN + " SELECT doc_id, position, lv AS heading_level, title AS heading_text, coalesce(path, '') AS section_path, sha256(CASE WHEN lv > 0 THEN " + _STRIP.format(f"{_SECTION_HEAD} || chr(10) || chr(10) || {_SECTION_BODY}") + " ELSE " + _STRIP.format("s") + " END) AS text_hash FROM k2 LEFT JOIN k3 USING (doc_id, position)")
+def s14_markdown_sections(spark: SparkSession, d: str) -> DataFrame:
+    return _sections(spark, d).withColumn("text_hash", F.sha2("section_text", 256)).drop("section_text")
 
 
 @query()
@@ -148,10 +147,20 @@ def s17_chat_message_counts(spark: SparkSession, d: str) -> DataFrame:
     return parsers.parse_chat(rows, "chunk_uid", "chunk_text").groupBy("chunk_uid").agg(F.count(F.lit(1)).alias("n_messages"))
 
 
-@query()
+_CHAT_AT = r"\d{1,2}/\d{1,2}/\d{2,4},[ \t\n\x0B\f\r]*\d{1,2}:\d{2}(?::\d{2})?(?:[ \t\n\x0B\f\r]*[AP]M)?"
+_CHAT_HEAD = rf"[ \t\n\x0B\f\r]*(?:\[{_CHAT_AT}\]|{_CHAT_AT}[ \t\n\x0B\f\r]+-)[ \t\n\x0B\f\r]+.+?:[ \t\n\x0B\f\r]"
+_CHAT_FIRST = rf"^[ \t\n\x0B\f\r]*(?:\[({_CHAT_AT})\]|({_CHAT_AT})[ \t\n\x0B\f\r]+-)[ \t\n\x0B\f\r]+(.+?):[ \t\n\x0B\f\r]+(.*)$"
+
+
+@query(f"""WITH g0 AS (SELECT DISTINCT chunk_uid, chunk_text FROM raw_chunks WHERE source_type = 'WHATSAPP' AND chunk_text IS NOT NULL),
+g1 AS (SELECT chunk_uid, regexp_split_to_array(regexp_replace(chr(10) || regexp_replace(chunk_text, '\\r\\n|\\r', chr(10), 'g'), '\\n({_CHAT_HEAD})', chr(1) || '\\1', 'g'), chr(1)) AS p FROM g0),
+g2 AS (SELECT chunk_uid, unnest(p) AS s, generate_subscripts(p, 1) - 1 AS position FROM g1), g3 AS (SELECT chunk_uid, position, regexp_split_to_array(s, '\\n') AS l FROM g2),
+g4 AS (SELECT chunk_uid, position, list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '{_CHAT_FIRST}')) AS hit, l FROM g3), g5 AS (SELECT chunk_uid, position, l[hit[1]] AS h, array_to_string(list_prepend(trim(regexp_extract(l[hit[1]], '{_CHAT_FIRST}', 4)), l[hit[1] + 1:]), chr(10)) AS body FROM g4 WHERE len(hit) > 0)
+SELECT chunk_uid, position, trim(regexp_extract(h, '{_CHAT_FIRST}', 3)) AS sender, trim(regexp_extract(h, '{_CHAT_FIRST}', 1) || regexp_extract(h, '{_CHAT_FIRST}', 2)) AS timestamp, sha256(body) AS text_hash, contains(body, '<Media omitted>') AS is_media,
+ regexp_matches(body, '(?i)added|removed|left|joined|created|changed|Messages and calls|<Media omitted>|This message was deleted|You deleted this message|Security code changed') AS is_system FROM g5""")
 def s17_chat_messages(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "raw_chunks").filter("source_type = 'WHATSAPP'").dropDuplicates(["chunk_uid"])
-    return parsers.parse_chat(rows, "chunk_uid", "chunk_text")
+    return parsers.parse_chat(rows, "chunk_uid", "chunk_text").withColumn("text_hash", F.sha2("message_text", 256)).drop("message_text")
 
 
 @query(r"""WITH c AS (SELECT DISTINCT ON (commit_row) * FROM git_commits WHERE regexp_full_match(commit_sha, '[0-9a-f]{40}')), m AS (SELECT source_document, commit_row, commit_sha, trim(coalesce(author, '')) AS author, trim(coalesce(date, '')) AS date,
@@ -763,12 +772,17 @@ def x10_error_lists(spark: SparkSession, d: str) -> DataFrame:
     return told.select(F.col("chunk_id").cast("bigint").alias("seq"), "errors")
 
 
-@query()
+_X03_ID = r"(?:^|[^\pL\pN_])((?:R|REQ-|NFR-)[0-9]+)(?:$|[^\pL\pN_])"
+
+
+@query(f"""WITH r0 AS (SELECT DISTINCT chunk_uid, chunk_text FROM raw_chunks WHERE chunk_text IS NOT NULL), r1 AS (SELECT chunk_uid, unnest(regexp_split_to_array(regexp_replace(chunk_text, '([.!?]){_ANY_SPACE}+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM r0),
+r2 AS (SELECT chunk_uid, {_STRIP.format('s')} AS text, regexp_extract(s, '{_X03_ID}', 1) AS id, CASE WHEN regexp_matches(lower(s), 'rated|score|review') THEN 'EVALUATION' WHEN regexp_matches(lower(s), 'implement|built|closed|merged') THEN 'IMPLEMENTATION' ELSE 'REQUIREMENT' END AS entity_type FROM r1)
+SELECT chunk_uid::VARCHAR AS chunk_id, entity_type, id AS entity_id, sha256(text) AS text_hash, CASE WHEN entity_type <> 'REQUIREMENT' THEN id END AS linked_requirement, false AS hallucination_risk FROM r2 WHERE id <> ''""")
 def x03_extraction(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk text through the extractor with its retries, validated: the rows it gives."""
     rows = table(spark, d, "raw_chunks").filter("chunk_text is not null").dropDuplicates(["chunk_uid"])
     asked = rows.select(F.col("chunk_uid").cast("string").alias("chunk_id"), "source_document", F.col("chunk_text").alias("source_text"), extract_answers(F.col("chunk_text"), F.col("source_document"), F.col("source_locator"))["answer"].alias("raw_response"))
-    return extraction.validate(asked)[0].select("chunk_id", "entity_type", "entity_id", "text", "linked_requirement", "hallucination_risk")
+    return extraction.validate(asked)[0].select("chunk_id", "entity_type", "entity_id", F.sha2("text", 256).alias("text_hash"), "linked_requirement", "hallucination_risk")
 
 
 _WORDS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
