@@ -31,9 +31,9 @@ def brute(rows):
     return out
 
 
-def run(spark, rows):
+def run(spark, rows, hot=200_000):
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
-    fused = reciprocal_rank_fusion(df, "g", "i", SCORES, ("a",))
+    fused = reciprocal_rank_fusion(df, "g", "i", SCORES, ("a",), hot_rows=hot)
     ordered = {(r.g, r.i): r.position for r in final_order(fused, "g", "i").collect()}
     first = {r.g: r.i for r in first_of_each(fused, "g", "i").collect()}
     return ordered, first
@@ -45,8 +45,9 @@ def test_equals_brute_force(spark):
     rows = [(r.choice("xxxy"), f"i{r.randrange(60)}", value(1), value(90), value(5)) for _ in range(300)]
     rows += [(None, "i1", 1.0, 1.0, 1.0), ("x", None, 1.0, 1.0, 1.0), ("z", "only", None, None, None), ("w", "a", -0.0, 0.0, 1.0), ("w", "b", 0.0, -0.0, float("inf")), *rows[:20]]
     want = brute(rows)
-    ordered, first = run(spark, rows)
-    assert ordered == want
+    for hot in (0, 10, 200_000):
+        ordered, first = run(spark, rows, hot)
+        assert ordered == want, hot
     assert first == {g: i for (g, i), p in want.items() if p == 1}
 
 
@@ -54,7 +55,7 @@ def test_one_hot_group_with_ties_and_missing_scores(spark):
     r = random.Random(7)
     rows = [("hot", f"i{n:05}", None if n % 3 else r.random(), 0.0 if n % 2 else r.random() * 100, float(r.randrange(3))) for n in range(3000)]
     rows += [(f"g{n % 500}", f"i{n}", r.random(), r.random(), None) for n in range(3000)]
-    ordered, first = run(spark, rows)
+    ordered, first = run(spark, rows, 1000)
     hot = [x for x in rows if x[0] == "hot"]
     want = brute_ranks(hot)
     assert {i: p for (g, i), p in ordered.items() if g == "hot"} == want

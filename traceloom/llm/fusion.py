@@ -8,11 +8,11 @@ counting; null, NaN and (where asked) zero scores are missing and rank with the
 equal values share the better rank; equal totals are ordered by item; rows with a null group or item are
 left out; an empty table gives an empty ranking.
 
-Scale: one plan for all sizes.  Not items but the distinct values of a group are ranked, each with the number of
-its items, so any number of equal or missing scores is one row.  Distinct values are cut into 1,024 ranges of the whole
-table's distribution, so a group with a third of all rows is many tasks; within a range a window counts what is higher,
-and a range's start follows from one sum per range.  The ranks then meet the items by value, a join whose
-hot values adaptive execution splits.
+Scale: one plan for all sizes.  The items of a group of up to ``hot_rows`` rows are ranked in one window.  Of larger groups not
+items but the distinct values are ranked, each with the number of its items, so any number of equal or missing scores is
+one row.  Distinct values are cut into 1,024 ranges of the whole table's distribution, so a group with a third of
+all rows is many tasks; within a range a window counts what is higher, and a range's start follows from one sum per
+range.  The ranks then meet the items by value, a join whose hot values adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from traceloom.plans.lineage import checkpoint
 
+HOT_ROWS = 200_000  # a group of more rows is ranked by ranges
 FAN = 32  # ranges are found in two steps of this many
 
 
@@ -71,16 +72,35 @@ def value_ranks(long: DataFrame, cuts: list[np.ndarray], group: str) -> DataFram
     return ranked.unionByName(lowest)
 
 
-def reciprocal_rank_fusion(df: DataFrame, group: str, item: str, scores: list[str], zero_missing: tuple[str, ...] = (), k: int = 60) -> DataFrame:
-    """Columns: group, item, ``rank_<score>`` of each score, and ``rrf`` (rounded to 12 places, so equal sums are equal)."""
-    merged = merge_pairs(df, group, item, scores, zero_missing)
+def _window_ranks(merged: DataFrame, group: str, scores: list[str]) -> DataFrame:
+    """``rank_<score>`` of each item, its group in one window."""
+    whole = Window.partitionBy(group)
+    out = merged.withColumns({f"_v_{s}": F.coalesce(F.col(s), F.min(s).over(whole)) for s in scores})
+    for s in scores:
+        out = out.withColumn(f"rank_{s}", F.rank().over(whole.orderBy(F.desc(f"_v_{s}"))).cast("bigint"))
+    return out.drop(*scores, *[f"_v_{s}" for s in scores])
+
+
+def _range_ranks(merged: DataFrame, group: str, item: str, scores: list[str], cuts: list[np.ndarray]) -> DataFrame:
+    """The same by distinct values in ranges."""
     values = F.array(*[F.coalesce(F.col(s).cast("double"), F.lit(float("nan"))) for s in scores])
     long = merged.select(F.col(group), F.col(item), F.posexplode(values).alias("_score", "_v"))
-    ranked = long.join(value_ranks(long.drop(item), _cuts(df, scores, zero_missing), group), [group, "_score", "_v"], "left")
+    ranked = long.join(value_ranks(long.drop(item), cuts, group), [group, "_score", "_v"], "left")
     rank = F.coalesce("_rank", F.lit(1))  # a score that the whole group lacks
-    per = ranked.groupBy(group, item).agg(*[F.max(F.when(F.col("_score") == i, rank)).alias(f"rank_{s}") for i, s in enumerate(scores)])
+    return ranked.groupBy(group, item).agg(*[F.max(F.when(F.col("_score") == i, rank)).alias(f"rank_{s}") for i, s in enumerate(scores)])
+
+
+def reciprocal_rank_fusion(df: DataFrame, group: str, item: str, scores: list[str], zero_missing: tuple[str, ...] = (), k: int = 60, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Columns: group, item, ``rank_<score>`` of each score, and ``rrf`` (rounded to 12 places, so equal sums are equal).
+
+    The table of groups above ``hot_rows`` is broadcast; it has fewer rows than the data divided by ``hot_rows``.
+    """
+    merged = merge_pairs(df, group, item, scores, zero_missing)
+    hot = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(group)
+    usual = _window_ranks(merged.join(F.broadcast(hot), group, "left_anti"), group, scores)
+    large = _range_ranks(merged.join(F.broadcast(hot), group, "left_semi"), group, item, scores, _cuts(df, scores, zero_missing))
     total = reduce(lambda a, b: a + b, [F.lit(1.0) / (k + F.col(f"rank_{s}")) for s in scores])
-    return per.withColumn("rrf", F.round(total, 12))
+    return usual.unionByName(large).withColumn("rrf", F.round(total, 12))
 
 
 def first_of_each(fused: DataFrame, group: str, item: str) -> DataFrame:
