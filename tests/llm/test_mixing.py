@@ -2,11 +2,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
-import numpy as np
 from traceloom.llm.mixing import _features, fit_rates, fit_sources, mix, mix_report, rates
-from traceloom.llm.tokens import VOCABULARY, n_tokens
+from traceloom.llm.tokens import VOCABULARY, n_tokens, token_ids
 
 pytestmark = pytest.mark.skipif(not __import__("os").path.exists(VOCABULARY), reason="no vocabulary")
 DOCS = "doc_id long, text string, source string, _label string"
@@ -61,12 +61,12 @@ def test_the_classifier_has_its_say_in_every_membership(spark):
     model = fit_sources(table, sorted(WORDS), "_text")
     right = total = 0
     for r in table.filter("_label is not null and _label <> 'elsewhere'").collect():
-        x = np.sqrt(_features(r._text))
-        p, free = model.posterior(x, r._fold, r._label), model.prior + model.scores(x, r._fold)
+        x = _features(token_ids(r._text))
+        p, free = model.posterior(x, r._fold, r._label), model.prior + model.sharpness * model.scores(x, r._fold)
         right, total = right + (sorted(WORDS)[int(free.argmax())] == r._label), total + 1
         assert abs(p.sum() - 1) < 1e-9 and 0 < p[sorted(WORDS).index(r._label)] <= 1
     assert right / total > 0.95 and model.sharpness > 0
-    mail = np.sqrt(_features("dear1 regards2 meeting3 sender4 reply5 dear6 meeting7"))
+    mail = _features(token_ids("dear1 regards2 meeting3 sender4 reply5 dear6 meeting7"))
     assert sorted(WORDS)[int(model.posterior(mail, 0, None).argmax())] == "mail"
     assert model.posterior(mail, 0, "note")[sorted(WORDS).index("mail")] > model.posterior(mail, 0, "note")[sorted(WORDS).index("code")]
 
@@ -77,7 +77,7 @@ def test_words_that_say_nothing_get_no_weight(spark):
     r = rnd.Random(1)
     rows = [(i, r.choice(["a", "b"]), " ".join(r.choice("u v w x y z".split()) + str(r.randrange(300)) for _ in range(20)), str(i).encode(), i % 2) for i in range(400)]
     model = fit_sources(spark.createDataFrame(rows, "doc_id long, _label string, _text string, _hash binary, _fold int"), ["a", "b"], "_text")
-    assert model.sharpness <= 0.12
+    assert model.sharpness <= 4
 
 
 def test_empty(spark):

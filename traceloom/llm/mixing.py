@@ -19,8 +19,6 @@ its share is used as often as allowed and the report shows what it reached; an e
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,60 +28,60 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions.keys import id_key
-from traceloom.llm.tokens import VOCABULARY, n_tokens
+from traceloom.llm.tokens import VOCABULARY, token_ids
 from traceloom.plans.lineage import checkpoint
 
 FEATURES, LABELLED_PER_SOURCE, MAX_PASSES, TOLERANCE, PART_ROWS = 4096, 1000, 25, 5e-4, 100_000
-STATED_ERROR = 0.01  # how often a stated source is taken to be wrong
-SHARPNESS = (0.0, 0.03, 0.06, 0.12, 0.25, 0.5, 1.0)  # what the log-likelihoods of words may be multiplied with
-_WORD = re.compile(r"\w+|[^\w\s]")
-
-
-def _features(text: str) -> np.ndarray:
-    """How often each hashed word occurs, over the whole text."""
-    seen: dict[str, int] = {}
-    for w in _WORD.findall(text.lower()):
-        w = "0" if w.isdigit() else w
-        seen[w] = seen.get(w, 0) + 1
-    out = np.zeros(FEATURES, np.float64)
-    for w, n in seen.items():
-        out[zlib.crc32(w.encode()) % FEATURES] += n
-    return out
+STATED_ERROR = 0.001  # how often a stated source is taken to be wrong; larger values let the words outvote it, and shares by stated source drift
+SHARPNESS = (0.0, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)  # what the mean log-likelihood of a token may be multiplied with
+
+
+Features = tuple[np.ndarray, np.ndarray]
+
+
+def _features(ids: list[int]) -> Features:
+    """The tokens of a whole text by bucket: (buckets, square roots of how often each occurs)."""
+    counts = np.bincount(np.asarray(ids, np.int64) % FEATURES, minlength=FEATURES)
+    at = np.flatnonzero(counts)
+    return at, np.sqrt(counts[at])
 
 
 @dataclass
 class Sources:
-    """Log priors, log-likelihoods per fold, source and feature, and the sharpness that fits unseen labels best."""
+    """Log priors, log-likelihoods per fold, feature and source, and the sharpness that fits unseen labels best."""
 
     names: list[str]
     prior: np.ndarray
     words: np.ndarray
     sharpness: float = 1.0
 
-    def scores(self, x: np.ndarray, fold: int | None) -> np.ndarray:
-        """The words' log-likelihood per source, by the fold that did not see the text (None: by both)."""
-        w = self.words.mean(axis=0) if fold is None else self.words[1 - fold]
-        return w @ x / max(1.0, np.sqrt(x.sum() / 8))
+    def scores(self, x: Features, fold: int | None) -> np.ndarray:
+        """The mean log-likelihood of a token per source, by the fold that did not see the text (None: by both); a mean, so long texts are no surer than they are right."""
+        at, n = x
+        out = n @ self.words[1 if fold is None else 1 - fold][at]
+        out = (out + n @ self.words[0][at]) / 2 if fold is None else out
+        return out / max(1.0, n.sum())
 
-    def posterior(self, x: np.ndarray, fold: int, stated: str | None) -> np.ndarray:
+    def posterior(self, x: Features, fold: int, stated: str | None) -> np.ndarray:
         score = self.prior + self.sharpness * self.scores(x, None if stated is None else fold)
         if stated is not None:
-            score = score + np.log(np.where(np.array(self.names) == stated, 1 - STATED_ERROR, STATED_ERROR / max(1, len(self.names) - 1)))
+            score = score + np.log(STATED_ERROR / max(1, len(self.names) - 1))
+            score[self.names.index(stated)] += np.log((1 - STATED_ERROR) / STATED_ERROR * max(1, len(self.names) - 1))
         p = np.exp(score - score.max())
         return p / p.sum()
 
 
-def fit_sources(docs: DataFrame, names: list[str], text: str, per_source: int = LABELLED_PER_SOURCE) -> Sources:
-    """A multinomial model in two folds (``_fold``), fitted on about ``per_source`` labelled texts of each source at most.
+def fit_sources(docs: DataFrame, names: list[str], text: str, per_source: int = LABELLED_PER_SOURCE, path: str = VOCABULARY) -> Sources:
+    """A multinomial model of tokens in two folds (``_fold``), fitted on about ``per_source`` labelled texts of each source at most.
 
     They are chosen by the hash of the text (``_hash``); that bound holds at every size, what comes to the driver is sources x features.  Priors come from all rows.
     """
     labelled = docs.filter(F.col("_label").isin(names))
     sizes = {r["_label"]: r["n"] for r in labelled.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(sizes.values()) + len(names)
-    model = Sources(names, np.log(np.array([(sizes.get(s, 0) + 1) / total for s in names])), np.full((2, len(names), FEATURES), 0.1))
+    model = Sources(names, np.log(np.array([(sizes.get(s, 0) + 1) / total for s in names])), np.full((2, FEATURES, len(names)), 0.1))
     if not sizes:
-        model.words = np.log(model.words / model.words.sum(axis=2, keepdims=True))
+        model.words = np.log(model.words / model.words.sum(axis=1, keepdims=True))
         return model
     share = F.create_map(*[F.lit(x) for s, n in sizes.items() for x in (s, min(1.0, per_source / n))])
     chance = F.pmod(F.xxhash64("_hash", F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
@@ -93,21 +91,22 @@ def fit_sources(docs: DataFrame, names: list[str], text: str, per_source: int =
         sums: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
             for label, fold, t in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                sums[label, fold] = sums.get((label, fold), 0) + np.sqrt(_features(t or ""))
+                at, n = _features(token_ids(t or "", path))
+                sums.setdefault((label, fold), np.zeros(FEATURES))[at] += n
         for (label, fold), v in sums.items():
             at = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(at)), pa.array([fold] * len(at), pa.int32()), pa.array(at.astype(np.int32)), pa.array(v[at])], ["source", "fold", "feature", "weight"])
 
     place = {s: i for i, s in enumerate(names)}
     for r in sample.mapInArrow(count, "source string, fold int, feature int, weight double").groupBy("source", "fold", "feature").agg(F.sum("weight").alias("w")).collect():
-        model.words[r["fold"], place[r["source"]], r["feature"]] += r["w"]
-    model.words = np.log(model.words / model.words.sum(axis=2, keepdims=True))
+        model.words[r["fold"], r["feature"], place[r["source"]]] += r["w"]
+    model.words = np.log(model.words / model.words.sum(axis=1, keepdims=True))
 
     def held_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loss = np.zeros(len(SHARPNESS))
         for batch in batches:
             for label, fold, t in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                score = model.prior[:, None] + np.outer(model.scores(np.sqrt(_features(t or "")), fold), SHARPNESS)
+                score = model.prior[:, None] + np.outer(model.scores(_features(token_ids(t or "", path)), fold), SHARPNESS)
                 score -= score.max(axis=0)
                 loss += np.log(np.exp(score).sum(axis=0)) - score[place[label]]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(SHARPNESS)), pa.int32()), pa.array(loss)], ["i", "loss"])
@@ -119,7 +118,7 @@ def fit_sources(docs: DataFrame, names: list[str], text: str, per_source: int =
 
 def measured(docs: DataFrame, names: list[str], text: str, per_source: int, path: str) -> DataFrame:
     """Per document (doc_id, _hash, _label, _fold): its tokens and its membership in every source, from one pass over the texts."""
-    model = docs.sparkSession.sparkContext.broadcast(fit_sources(docs, names, text, per_source))
+    model = docs.sparkSession.sparkContext.broadcast(fit_sources(docs, names, text, per_source, path))
     rows = docs.select("doc_id", "_hash", "_label", "_fold", F.col(text).alias("_text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -127,8 +126,9 @@ def measured(docs: DataFrame, names: list[str], text: str, per_source: int, path
         for batch in batches:
             lengths, members = [], []
             for label, fold, t in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)]):
-                lengths.append(n_tokens(t, path) if t.strip() else 0)
-                members.append(model.value.posterior(np.sqrt(_features(t)), fold, label))
+                ids = token_ids(t, path) if t.strip() else []
+                lengths.append(len(ids))
+                members.append(model.value.posterior(_features(ids), fold, label))
             flat = pa.array(np.concatenate(members) if members else np.zeros(0))
             ends = pa.array(np.arange(len(members) + 1) * len(names), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "_hash", "_label", "n_tokens", "membership"])

@@ -29,18 +29,22 @@ def encoding(path: str = VOCABULARY):
 _LONG_GAP = re.compile(r"\s{10000}")
 
 
-def n_tokens(text: str, path: str = VOCABULARY) -> int:
+def token_ids(text: str, path: str = VOCABULARY) -> list[int]:
     """The tokens of a whole text.
 
     The tokenizer's own pattern engine has no stack for white space of 10,000 characters and more; texts that hold some are cut into
-    words by the same pattern in another engine, and each word is encoded whole, so the count is the tokenizer's.
+    words by the same pattern in another engine, and each word is encoded whole, so the tokens are the tokenizer's.
     """
     own = encoding(path)
     if len(text) >= 10_000 and _LONG_GAP.search(text):
         import regex
 
-        return sum(len(own._encode_single_piece(word)) for word in regex.findall(PATTERN, text))
-    return len(own.encode_ordinary(text))
+        return [t for word in regex.findall(PATTERN, text) for t in own._encode_single_piece(word)]
+    return own.encode_ordinary(text)
+
+
+def n_tokens(text: str, path: str = VOCABULARY) -> int:
+    return len(token_ids(text, path))
 
 
 def count_tokens(df: DataFrame, columns: list[Column | str], text: str, path: str = VOCABULARY) -> DataFrame:
