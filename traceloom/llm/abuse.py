@@ -25,11 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions.keys import id_key
 
+MAX_CHARS = 64_000_000  # characters of those documents, at most
 MAX_TOXIC, MAX_ORDINARY = 4000, 4000  # labelled documents of each class the models are fitted on, at most
 CHUNK = 40_000  # characters per round of array operations, so that the arrays stay in the processor's cache
 TOXIC = ("insult", "threat", "hate", "sexual")
@@ -457,11 +458,16 @@ def majority(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     return each.filter(F.col("_sum") != 0).select(key, (F.col("_sum") > 0).alias("toxic"))
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most: tuple[int, int] = (MAX_TOXIC, MAX_ORDINARY)) -> Model | None:
-    """Models fitted on at most ``most`` labelled documents of each class, those with the lowest hash of their key."""
+def fit_on_labels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most: tuple[int, int] = (MAX_TOXIC, MAX_ORDINARY), most_chars: int = MAX_CHARS) -> Model | None:
+    """Models fitted on at most ``most`` labelled documents of each class, those with the lowest hash of their key.
+
+    They come to the driver, so beside their number their characters are bounded: a document that would pass ``most_chars`` is left out of the sample.
+    """
     known = majority(labels, key)
     toxic, ordinary = (known.filter(c).orderBy(F.xxhash64(key), key).limit(n) for c, n in (("toxic", most[0]), ("not toxic", most[1])))
-    rows = docs.select(key, text).filter(F.col(text).isNotNull()).join(toxic.unionByName(ordinary), key).dropDuplicates([key]).collect()  # bounded by ``most``
+    sample = docs.select(key, text).filter(F.col(text).isNotNull()).join(toxic.unionByName(ordinary), key).dropDuplicates([key])  # bounded by ``most``
+    so_far = F.sum(F.length(text).cast("bigint")).over(Window.orderBy(F.xxhash64(key), key))
+    rows = sample.withColumn("_chars", so_far).filter(F.col("_chars") <= most_chars).drop("_chars").collect()
     rows.sort(key=lambda r: r[key])
     return fit([r[text] for r in rows], np.array([r["toxic"] for r in rows], bool))
 
