@@ -317,9 +317,13 @@ _JOIN = "list_reduce(list_prepend({{'d': []::VARCHAR[], 'o': ''}}, list_transfor
 _OVERLAP = "list_reduce(list_transform({0}, lambda p: [p]), lambda a, b: list_append(a, " + _STRIP.format("right(a[-1], 150) || chr(10) || chr(10) || b[1]") + "))"
 
 
-def _fold_sql(source: str, key: str, overlap: bool, twice: bool) -> str:
+# Markdown: empty lines outside fenced code
+_FENCED = "list_filter(list_transform(string_split(array_to_string(list_transform(regexp_extract_all({0}, '(?s)```.*?```|~~~.*?~~~|[^`~]+|[`~]'), lambda x: CASE WHEN length(x) > 5 AND left(x, 3) IN ('```', '~~~') THEN replace(x, chr(10), chr(2)) ELSE x END), ''), chr(10) || chr(10)), lambda x: " + _STRIP.format("replace(x, chr(2), chr(10))") + "), lambda x: x <> '')"
+
+
+def _fold_sql(source: str, key: str, overlap: bool, twice: bool, paragraphs: str = _PARAGRAPHS) -> str:
     """Chunks of documents from their elements (key, ord, t): each cut on its own, once or twice, joined if short, overlapped."""
-    cut = lambda t: f"CASE WHEN length({t}) <= 1500 THEN [{t}] WHEN len({_PARAGRAPHS.format(t)}) > 1 THEN list_append(({_PACK.format(_PARAGRAPHS.format(t))}).d, ({_PACK.format(_PARAGRAPHS.format(t))}).o) WHEN len({_SENTENCES.format(t)}) > 1 THEN list_append(({_PACK.format(_SENTENCES.format(t))}).d, ({_PACK.format(_SENTENCES.format(t))}).o) ELSE [{t}] END"
+    cut = lambda t: f"CASE WHEN length({t}) <= 1500 THEN [{t}] WHEN len({paragraphs.format(t)}) > 1 THEN list_append(({_PACK.format(paragraphs.format(t))}).d, ({_PACK.format(paragraphs.format(t))}).o) WHEN len({_SENTENCES.format(t)}) > 1 THEN list_append(({_PACK.format(_SENTENCES.format(t))}).d, ({_PACK.format(_SENTENCES.format(t))}).o) ELSE [{t}] END"
     return f"""p1 AS (SELECT {key}, ord, {_STRIP.format('t')} AS t FROM ({source})), p2 AS (SELECT {key}, ord, {cut('t')} AS l FROM p1 WHERE t <> ''),
 p3 AS (SELECT {key}, ord, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM p2), p4 AS (SELECT {key}, ord, i, {cut('t') if twice else '[t]'} AS l FROM p3),
 p5 AS (SELECT {key}, flatten(list(l ORDER BY ord, i)) AS l FROM p4 GROUP BY 1), p6 AS (SELECT {key}, {_JOIN.format('l')} AS r FROM p5), p7 AS (SELECT {key}, CASE WHEN r.o = '' THEN r.d ELSE list_append(r.d, r.o) END AS l FROM p6),
@@ -499,10 +503,10 @@ def c11_python_chunks(spark: SparkSession, d: str) -> DataFrame:
     return _hashed(chunking.python_chunks(rows, "source_document", "element_row"), "source_document")
 
 
-@query()
+@query("WITH " + _MARKDOWN + ", k4 AS (SELECT doc_id, position AS ord, CASE WHEN lv > 0 THEN " + _STRIP.format(f"{_SECTION_HEAD} || chr(10) || chr(10) || {_SECTION_BODY}") + " ELSE s END AS t FROM k2), " + _fold_sql("SELECT * FROM k4", "doc_id", True, False, _FENCED))
 def c10_markdown_chunks(spark: SparkSession, d: str) -> DataFrame:
     """The Markdown documents, section by section; fenced code is never cut at its empty lines."""
-    return chunking.section_chunks(_sections(spark, d), "doc_id").select("doc_id", "chunk_index", "chunk_text", "source_locator", "char_count")
+    return _hashed(chunking.section_chunks(_sections(spark, d), "doc_id"), "doc_id")
 
 
 @query("""
