@@ -79,9 +79,11 @@ def parse_git_log(docs: DataFrame, key: str, text: str, most: int | None = None,
     source = _lf(F.col(text))
     marked = F.array_remove(F.transform(F.split(source, COMMIT_MARK), strip), "")
     plain = F.filter(F.split(source, r"(?m)(?=^commit\s+[0-9a-f]{40}$)"), lambda s: s.rlike(r"^commit\s+[0-9a-f]{40}"))
-    parts = F.when(source.contains(COMMIT_MARK), F.filter(marked, lambda s: F.size(F.split(s, "\n")) >= 3)).otherwise(plain)
+    # the form goes with each commit: a look at the log again, once per commit, would cost its length squared
+    told = lambda commits, is_marked: F.transform(commits, lambda s: F.struct(F.lit(is_marked).alias("m"), s.alias("s")))
+    parts = F.when(source.contains(COMMIT_MARK), told(F.filter(marked, lambda s: F.size(F.split(s, "\n")) >= 3), True)).otherwise(told(plain, False))
     kept = parts if most is None else F.when(F.size(parts) <= most, parts).otherwise(F.slice(parts, F.size(parts) - most + 1 if keep == "tail" else F.lit(1), F.lit(most)))
-    rows = docs.filter(F.col(text).isNotNull()).select(key, source.contains(COMMIT_MARK).alias("_m"), F.posexplode(kept).alias("position", "_s"))
+    rows = docs.filter(F.col(text).isNotNull()).select(key, F.posexplode(kept).alias("position", "_c")).select(key, "position", F.col("_c.m").alias("_m"), F.col("_c.s").alias("_s"))
     lines, field = F.split("_s", "\n"), lambda n: F.trim(F.regexp_extract("_s", rf"(?m)^{n}:[^\S\n]+(.+)$", 1))
     indented = F.regexp_extract_all("_s", F.lit(r"(?m)^    (.*)$"), F.lit(1))
     message = F.when(F.col("_m"), strip(F.array_join(F.slice(lines, 4, F.greatest(F.size(lines) - 3, F.lit(0))), "\n"))).otherwise(strip(F.array_join(indented, "\n")))
